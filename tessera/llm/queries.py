@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import odd_sketch
+from tessera.llm import byte_bpe, nnls_packing, odd_sketch
 from tessera.llm._tables import table
 
 
@@ -12,5 +13,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {"op4_near_dedup": op4_near_dedup}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op4_near_dedup": op4_near_dedup, "op5_byte_bpe": op5_byte_bpe, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
