@@ -89,13 +89,13 @@ class Words:
         self.first[-1] = len(self.starts)
         self.docs = len(self.off) - 1
 
-    def hashes(self) -> np.ndarray:
-        """64 bits of each word, lower-cased."""
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """64 bits of each word, lower-cased if asked for."""
         n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         power, inverse = powers(n)
-        value = _BYTE_VALUE[LOWER[self.data]]
+        value = _BYTE_VALUE[LOWER[self.data] if lower else self.data]
         value *= power
         total = np.cumsum(value, dtype=np.uint64)
         return mix((total[self.ends - 1] - total[self.starts] + value[self.starts]) * inverse[self.starts])

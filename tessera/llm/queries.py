@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, nnls_packing, odd_sketch
+from tessera.llm import byte_bpe, discriminant, nnls_packing, odd_sketch, rule_ledger
 from tessera.llm._tables import table
 
 
@@ -21,5 +21,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_near_dedup": op4_near_dedup, "op5_byte_bpe": op5_byte_bpe, "op9_packing": op9_packing}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality": op7_quality,
+    "op8_rules": op8_rules,
+    "op9_packing": op9_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
