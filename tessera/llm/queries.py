@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, discriminant, nnls_packing, odd_sketch, rule_ledger
+from tessera.llm import byte_bpe, discriminant, log_bilinear, nnls_packing, odd_sketch, rule_ledger
 from tessera.llm._tables import table
 
 
@@ -21,6 +21,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality": op7_quality,
     "op8_rules": op8_rules,
     "op9_packing": op9_packing,
