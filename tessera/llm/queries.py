@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, discriminant, log_bilinear, nnls_packing, odd_sketch, rule_ledger
+from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger
 from tessera.llm._tables import table
 
 
@@ -33,6 +33,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
@@ -40,5 +44,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_rules": op8_rules,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
