@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger
+from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger, weak_pii
 from tessera.llm._tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.found(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -38,6 +42,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_near_dedup": op4_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_lm_scoring": op6_lm_scoring,
