@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger, weak_pii
+from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, projection_forest, rule_ledger, url_trees, weak_pii
 from tessera.llm._tables import table
 
 
@@ -13,6 +13,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.found(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -43,6 +51,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_nearest": op2_nearest,
+    "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_lm_scoring": op6_lm_scoring,
