@@ -31,6 +31,7 @@ ROWS = 4
 BANDS = 32
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
+SMALL = 64  # rows of a bucket up to which it is joined with itself
 BLOCK = 512  # rows of a bucket that one task compares with as many others
 MISS_SIGMAS = 6.0
 
@@ -91,7 +92,7 @@ def signatures(size: int):
                         pa.array(np.array(k1, np.uint64).view(np.int64)),
                         pa.array(np.array(k2, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * BANDS, bands.ravel()),
-                        pa.array([x.tobytes() for x in sketches], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * (SKETCH_BITS // 64), np.ascontiguousarray(sketches).view(np.int64).ravel()),
                     ],
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
@@ -127,11 +128,11 @@ def across(most: int, best_only: bool):
         left, right = rows[rows.chunk == lo], rows[rows.chunk == hi]
         a, b = left.rep.to_numpy(), right.rep.to_numpy()
         ca, cb = left.comp.to_numpy(), right.comp.to_numpy()
-        sa = np.array([np.frombuffer(x, np.uint64) for x in left.sketch]).reshape(len(a), -1)
-        sb = np.array([np.frombuffer(x, np.uint64) for x in right.sketch]).reshape(len(b), -1)
+        sa = np.array(left.sketch.tolist(), np.int64).reshape(len(a), -1)
+        sb = np.array(right.sketch.tolist(), np.int64).reshape(len(b), -1)
         out_a, out_b = [], []
         for i in range(len(a)):
-            ones = np.bitwise_count(sb ^ sa[i]).sum(axis=1, dtype=np.int64)
+            ones = np.bitwise_count((sb ^ sa[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             j = np.flatnonzero((ones <= most) & (cb != ca[i]) & (b > a[i] if lo == hi else True))
             if best_only and len(j):
                 j = j[np.lexsort((b[j], ones[j]))]
@@ -165,38 +166,39 @@ def components(links: DataFrame) -> DataFrame:
     return names.join(least, "comp").select("id", F.col("least").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, extra: list[str] | None = None) -> DataFrame:
+def _ones(x: str, y: str) -> F.Column:
+    """Ones in the XOR of two sketches."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+    schema = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>"
     signed = keep(texts.mapInArrow(signatures(size), schema), "signatures")
     key = ["n_shingles", "k1", "k2"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes, key).where("doc_id = rep").dropDuplicates(["rep", *key])
-    band = keep(reps.select("rep", "sketch", F.posexplode("bands").alias("place", "band")).select("rep", "sketch", "band").drop_duplicates(["rep", "band"]), "bands")
-    shared = band.groupBy("band").agg(F.count("*").alias("rows"), F.min(F.struct("rep", "sketch")).alias("hub")).where("rows > 1")
-    band = keep(band.join(shared, "band"), "buckets")
+    reps = keep(full.join(classes, key).where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep", "bands"]), "representatives")
+    band = reps.select("rep", F.explode("bands").alias("band"))
+    shared = band.groupBy("band").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
+    buckets = keep(band.join(shared, "band"), "buckets")
+    sketches = reps.select("rep", "sketch")
     most = most_ones(percent)
-    near = F.bit_count(F.lit(0))
-    for at in range(0, SKETCH_BITS // 8, 8):
-        word = lambda c: F.conv(F.hex(F.substring(c, at + 1, 8)), 16, -10).cast("bigint")  # noqa: B023, E731
-        near = near + F.bit_count(word("sketch").bitwiseXOR(word("hub.sketch")))
-    stars = band.where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), near.alias("ones")).where(F.col("ones") <= most).select("a", "b").distinct()
+    stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").where(_ones("x", "y") <= most).select("a", "b").distinct()
     checked = confirmed(keep(stars, "pairs"), texts, size, percent)
     for best_only in (True, False):
-        if not checked.where("linked").take(1):
-            comp = None
-            labelled = band.withColumn("comp", F.col("rep"))
-        else:
-            comp = keep(components(checked.where("linked")), "components")
-            labelled = band.join(comp, F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "rep"))
-        labelled = labelled.select("band", "rep", "sketch", "rows", "comp")
+        comp = keep(components(checked.where("linked")), "components")
+        labelled = buckets.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", "rows", F.coalesce("comp", "rep").alias("comp"))
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        chunks = F.ceil(F.col("rows") / BLOCK).cast("int")
-        dealt = labelled.join(mixed, "band").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        rows = keep(labelled.join(mixed, "band").join(sketches, "rep"), "mixed")
+        small = rows.where(F.col("rows") <= SMALL)
+        left, right = (small.select("band", F.col("rep").alias(f"{n}"), F.col("comp").alias(f"comp_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in "ab")
+        found = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (_ones("sketch_a", "sketch_b") <= most)).select("a", "b")
+        dealt = rows.where(F.col("rows") > SMALL).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-        found = dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, best_only), "a bigint, b bigint").distinct()
+        found = found.union(dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, best_only), "a bigint, b bigint")).distinct()
         fresh = keep(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if not fresh.take(1):
             break
@@ -204,8 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, extra: li
         comp = None
     if comp is None:
         comp = keep(components(checked.where("linked")), "components")
-    member = signed.join(classes, key, "left").join(comp, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
+    member = signed.select("doc_id", *key).join(classes, key, "left").join(comp, F.col("rep") == F.col("id"), "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
