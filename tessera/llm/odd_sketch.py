@@ -3,8 +3,10 @@
 Each document's set of word shingles gives SAMPLES MinHash values. They make BANDS band keys, by which candidates meet, and
 an odd sketch: the values, each with its position, are folded into a parity bitmap of SKETCH_BITS bits. For two documents that differ in
 D of the positions the bitmaps' XOR has about SKETCH_BITS / 2 * (1 - exp(-4 D / SKETCH_BITS)) ones, so its population count
-estimates high similarities closely. The estimate only discards candidates that are far below the threshold; every link is confirmed
-on the full shingle sets.
+estimates high similarities closely. The estimate only discards candidates that are far below the threshold. A second parity bitmap, of SET_BITS bits, folds the whole
+shingle set: the ones in the XOR of two such bitmaps can't exceed the size of the symmetric difference, so more than
+(|A| + |B|) (1 - t) / (1 + t) ones prove a similarity below t. This bound never discards a link, and leaves few pairs below the threshold.
+Every link is confirmed on the full shingle sets.
 
 Equal sets are one class from the start, and only the smallest doc_id of a class goes further. Within a band key, all rows first meet
 the smallest one alone (a star, counted before it is shuffled). What confirmed stars join is one component; only in buckets that still hold several
@@ -31,6 +33,7 @@ ROWS = 4
 BANDS = 32
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
+SET_BITS = 2048
 SMALL = 64  # rows of a bucket up to which it is joined with itself
 BLOCK = 512  # rows of a bucket that one task compares with as many others
 MISS_SIGMAS = 6.0
@@ -62,6 +65,11 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def set_parity(elements: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as bytes."""
+    return np.packbits(np.bincount((elements >> np.uint64(20)).astype(np.int64) % SET_BITS, minlength=SET_BITS).astype(np.uint8) & 1)
+
+
 def most_ones(percent: int) -> int:
     """Ones in the XOR of two sketches beyond which a similarity of percent / 100 is out of the question: MISS_SIGMAS above the expected differing samples."""
     share = 1 - percent / 100
@@ -73,18 +81,19 @@ def signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n, k1, k2, minima = [], [], [], []
+                n, k1, k2, minima, parity = [], [], [], [], []
                 for s in Words(part.column("text")).shingles(size):
                     n.append(len(s))
                     k1.append(int(np.sum(mix(s), dtype=np.uint64)))
                     k2.append(int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
                     minima.append(minhash(s))
+                    parity.append(set_parity(s))
                 m = np.array(minima, np.uint32).reshape(-1, SAMPLES)
                 bands = np.zeros((len(m), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands + m[:, r::ROWS] + np.uint64(0x9E3779B97F4A7C15))
                 bands = mix(bands ^ _BAND).view(np.int64)
-                sketches = odd_sketch(m)
+                sketches = np.ascontiguousarray(np.hstack([odd_sketch(m), np.array(parity, np.uint8).reshape(len(m), -1)])).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
@@ -92,7 +101,7 @@ def signatures(size: int):
                         pa.array(np.array(k1, np.uint64).view(np.int64)),
                         pa.array(np.array(k2, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * BANDS, bands.ravel()),
-                        pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * (SKETCH_BITS // 64), np.ascontiguousarray(sketches).view(np.int64).ravel()),
+                        pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * sketches.shape[1], sketches.ravel()),
                     ],
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
@@ -120,22 +129,28 @@ def confirm(size: int, percent: int):
     return run
 
 
-def across(most: int, best_only: bool):
-    """Pairs of different components in two blocks of one bucket whose sketches are near enough; with best_only the nearest for each row and foreign component."""
+def across(most: int, percent: int, best_only: bool):
+    """Pairs of different components in two blocks of one bucket that the sketches don't rule out; with best_only the nearest for each row and foreign component."""
+    head = SKETCH_BITS // 64
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, lo, hi = key
         left, right = rows[rows.chunk == lo], rows[rows.chunk == hi]
         a, b = left.rep.to_numpy(), right.rep.to_numpy()
         ca, cb = left.comp.to_numpy(), right.comp.to_numpy()
-        sa = np.array(left.sketch.tolist(), np.int64).reshape(len(a), -1)
-        sb = np.array(right.sketch.tolist(), np.int64).reshape(len(b), -1)
+        na, nb = left.n.to_numpy(), right.n.to_numpy()
+        sa = np.array(left.sketch.tolist(), np.int64).reshape(len(a), -1).view(np.uint64)
+        sb = np.array(right.sketch.tolist(), np.int64).reshape(len(b), -1).view(np.uint64)
         out_a, out_b = [], []
         for i in range(len(a)):
-            ones = np.bitwise_count((sb ^ sa[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            j = np.flatnonzero((ones <= most) & (cb != ca[i]) & (b > a[i] if lo == hi else True))
+            j = np.flatnonzero((cb != ca[i]) & (b > a[i] if lo == hi else True))
+            ones = np.bitwise_count(sb[j, :head] ^ sa[i, :head]).sum(axis=1, dtype=np.int64)
+            j = j[ones <= most]
+            ones = np.bitwise_count(sb[j, head:] ^ sa[i, head:]).sum(axis=1, dtype=np.int64)
+            near = ones * (100 + percent) <= (na[i] + nb[j]) * (100 - percent)
+            j, ones = j[near], ones[near]
             if best_only and len(j):
-                j = j[np.lexsort((b[j], ones[j]))]
+                j = j[np.lexsort((b[j], ones))]
                 j = j[np.unique(cb[j], return_index=True)[1]]
             out_a.append(np.full(len(j), a[i]))
             out_b.append(b[j])
@@ -148,27 +163,31 @@ def across(most: int, best_only: bool):
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of all ids in links (a, b); comp is the smallest id of the component.
 
-    Each round every id joins the neighbour, or itself, that comes first in an order dealt anew, and the links are carried over to
-    what they joined. That shrinks chains as well as stars by a constant share a round."""
-    names = keep(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("comp", F.col("id")), "ids")
-    edges, turn = keep(links.where("a <> b").select("a", "b").distinct(), "edges"), 0
+    Each round every id joins the neighbour, or itself, that comes first in an order, and the links are carried over to what they
+    joined. By turns the order is that of the ids, which shrinks a star around its smallest id to a point at once, and one dealt anew, which shrinks
+    chains by a constant share."""
+    edges, turn, steps = keep(links.where("a <> b").select("a", "b").distinct(), "edges"), 0, []
+    names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
     while edges.take(1):
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)  # noqa: B023, E731
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        to = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m")).select(F.col("a").alias("v"), F.when(F.col("m") < order(F.col("a")), F.col("m")["b"]).otherwise(F.col("a")).alias("to"))
-        to = keep(to, "join")
-        names = keep(names.join(to, names.comp == to.v, "left").select("id", F.coalesce("to", "comp").alias("comp")), "ids")
-        x = to.select(F.col("v").alias("a"), F.col("to").alias("x"))
-        y = to.select(F.col("v").alias("b"), F.col("to").alias("y"))
+        order = (lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), c.alias("v"))) if turn % 2 else (lambda c: F.struct(F.lit(0).alias("h"), c.alias("v")))  # noqa: B023, E731
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
+        first = F.least(F.min(order(F.col("w"))), order(F.col("v")))
+        to = keep(both.groupBy("v").agg(first.alias("m")).select("v", F.col("m")["v"].alias("to")), "join")
+        steps.append(to)
+        x, y = to.toDF("a", "x"), to.toDF("b", "y")
         edges = keep(edges.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         turn += 1
+    for to in steps:
+        names = names.join(to, names.comp == to.v, "left").select("id", F.coalesce("to", "comp").alias("comp"))
     least = names.groupBy("comp").agg(F.min("id").alias("least"))
     return names.join(least, "comp").select("id", F.col("least").alias("comp"))
 
 
-def _ones(x: str, y: str) -> F.Column:
-    """Ones in the XOR of two sketches."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+def _near(x: str, y: str, size_x: str, size_y: str, most: int, percent: int) -> F.Column:
+    """Whether two sketches leave it open that their sets are near enough."""
+    ones = lambda places: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in places), F.lit(0))
+    head = SKETCH_BITS // 64
+    return (ones(range(head)) <= most) & (ones(range(head, head + SET_BITS // 64)) * (100 + percent) <= (F.col(size_x) + F.col(size_y)) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -179,14 +198,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     key = ["n_shingles", "k1", "k2"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = keep(full.join(classes, key).where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep", "bands"]), "representatives")
+    reps = keep(full.join(classes, key).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["rep", "bands"]), "representatives")
     band = reps.select("rep", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
     buckets = keep(band.join(shared, "band"), "buckets")
-    sketches = reps.select("rep", "sketch")
+    sketches = reps.select("rep", "n", "sketch")
     most = most_ones(percent)
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").where(_ones("x", "y") <= most).select("a", "b").distinct()
+    stars = stars.join(sketches.toDF("a", "n_a", "x"), "a").join(sketches.toDF("b", "n_b", "y"), "b").where(_near("x", "y", "n_a", "n_b", most, percent)).select("a", "b").distinct()
     checked = confirmed(keep(stars, "pairs"), texts, size, percent)
     for best_only in (True, False):
         comp = keep(components(checked.where("linked")), "components")
@@ -194,11 +213,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
         rows = keep(labelled.join(mixed, "band").join(sketches, "rep"), "mixed")
         small = rows.where(F.col("rows") <= SMALL)
-        left, right = (small.select("band", F.col("rep").alias(f"{n}"), F.col("comp").alias(f"comp_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in "ab")
-        found = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (_ones("sketch_a", "sketch_b") <= most)).select("a", "b")
+        left, right = (small.select("band", F.col("rep").alias(f"{n}"), F.col("comp").alias(f"comp_{n}"), F.col("sketch").alias(f"sketch_{n}"), F.col("n").alias(f"n_{n}")) for n in "ab")
+        found = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near("sketch_a", "sketch_b", "n_a", "n_b", most, percent)).select("a", "b")
         dealt = rows.where(F.col("rows") > SMALL).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-        found = found.union(dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, best_only), "a bigint, b bigint")).distinct()
+        found = found.union(dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, percent, best_only), "a bigint, b bigint")).distinct()
         fresh = keep(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if not fresh.take(1):
             break
