@@ -1,4 +1,4 @@
-"""Every query of the library, by name, with its SQL."""
+"""Every query of the library, by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import interval_queries, matrix_queries, sequence_queries, statistic_queries
+
+_MODULES = (interval_queries, matrix_queries, statistic_queries, sequence_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
