@@ -35,7 +35,7 @@ SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 SET_BITS = 2048
 SMALL = 64  # rows of a bucket up to which it is joined with itself
-BLOCK = 512  # rows of a bucket that one task compares with as many others
+BLOCK = 4096  # rows of a bucket that one task compares with as many others
 MISS_SIGMAS = 6.0
 
 _GEN = np.random.Generator(np.random.PCG64(77))
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b, linked: the pairs judged on the full sets of their texts."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = keep(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    found = keep(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")  # never broadcast: the ids grow with the input
     joined = pairs.join(found.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     judged = joined.select("a", "b", "text_a", "text_b").mapInArrow(confirm(size, percent), "a bigint, b bigint, linked boolean")
     return keep(judged.groupBy("a", "b").agg(F.max("linked").alias("linked")), "judged")
