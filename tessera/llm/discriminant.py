@@ -181,5 +181,5 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_i
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with docs' own columns. A doc_id goes if any of its rows is rejected; rows without one are judged as good."""
-    bad = scored(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad_id"), F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    bad = scored(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id") == F.col("b.doc_id"), "left_anti")

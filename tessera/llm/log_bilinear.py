@@ -78,7 +78,7 @@ class Vocabulary:
         self.count = np.array([c for _, c in head], np.int64)
         classed = [w for w, _ in head if w != END][:CLASS_WORDS]
         own = {w: i for i, w in enumerate(classed)} | {END: CLASS_WORDS}
-        self.class_of = np.array([own.get(w, -1) if w in own else bucket(w) for w, _ in head], np.int64)
+        self.class_of = np.array([*(own[w] if w in own else bucket(w) for w, _ in head), 0], np.int64)  # the last stands for words that are not there
         self.at = {w: i for i, (w, _) in enumerate(head)}
         self.size = np.zeros(CLASSES)
         self.inner = np.zeros(CLASSES)

@@ -240,6 +240,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are alone or first (smallest doc_id) of their component, with docs' own columns."""
-    found = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that are alone or first (smallest doc_id) of their component, with docs' own columns. Of rows that repeat a doc_id with the same text all stay."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")

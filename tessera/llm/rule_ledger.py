@@ -130,5 +130,5 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs that the policy keeps, with docs' own columns. A doc_id goes if any of its rows is rejected."""
-    bad = apply_policy(ledger(docs), policy).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    bad = apply_policy(ledger(docs), policy).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id") == F.col("b.doc_id"), "left_anti")
