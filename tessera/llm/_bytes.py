@@ -15,6 +15,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _GEN = np.random.Generator(np.random.PCG64(20260101))
 _BYTE_VALUE = _GEN.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -89,6 +91,23 @@ class Words:
         self.first[-1] = len(self.starts)
         self.docs = len(self.off) - 1
 
+    def part_final(self, marks: bytes) -> None:
+        """Make a mark that ends a word, behind an ASCII letter or digit, a word of its own."""
+        if not len(self.starts):
+            return
+        last = self.data[self.ends - 1]
+        before = self.data[np.maximum(self.ends - 2, 0)]
+        split = np.isin(last, list(marks)) & (self.ends - self.starts > 1) & _ALNUM[before]
+        more = np.cumsum(split)
+        at = np.arange(len(self.starts)) + more - split
+        n = len(self.starts) + int(more[-1])
+        starts, ends = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        starts[at], ends[at] = self.starts, self.ends - split
+        own = at[split] + 1
+        starts[own], ends[own] = self.ends[split] - 1, self.ends[split]
+        self.first = self.first + np.concatenate([[0], more])[self.first]
+        self.starts, self.ends = starts, ends
+
     def hashes(self, lower: bool = True) -> np.ndarray:
         """64 bits of each word, lower-cased if asked for."""
         n = len(self.data)

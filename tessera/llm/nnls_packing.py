@@ -16,9 +16,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,16 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import slices
-from tessera.llm._memo import PieceMemo, segments
+from tessera.llm._bytes import Words, ragged, slices
 from tessera.llm._tables import keep
 
 WINDOW = 4096
 END_ID = 2
 SWEEPS = 30
-MOST_WORDS = 1_000_000  # of the memo of pre-tokens
-_CONTROL = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+MOST_WORDS = 800_000  # of a worker's memo
 
 
 def _byte_characters() -> list[str]:
@@ -48,10 +46,11 @@ def _byte_characters() -> list[str]:
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer whose pre-tokens never hold white space, word by word through a memo.
+    """Ids of texts by a tokenizer that lower-cases and whose pre-tokens never hold white space.
 
-    A word of Latin characters is lower-cased and split here, by the tokenizer's own pattern, and only its model is asked; for
-    these characters (up to U+024F) NFC changes nothing. All other words go through the whole tokenizer."""
+    Words are found and hashed for a whole batch at once, a final point or comma as a word of its own; each different word is looked up once in a
+    bounded memo of 64-bit hashes. A new word of Latin characters is split here, by the tokenizer's own pattern, and only its model is
+    asked; for these characters (up to U+024F) NFC changes nothing. All other new words go through the whole tokenizer."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,41 +62,51 @@ class WordTokens:
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in says["added_tokens"]))
         self.pattern = regex.compile(says["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.map = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
-        self.known: dict[str, list[int]] = {}
-        self.memo = PieceMemo(self._new)
+        self.clear()
 
-    def _new(self, words: list[str]) -> list[list[int]]:
-        out, known, find, tokenize = [], self.known, self.pattern.findall, self.model.tokenize
-        if len(known) > MOST_WORDS:
-            known.clear()
+    def clear(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _new(self, words: Iterator[str]) -> list[list[int]]:
+        out, find, tokenize = [], self.pattern.findall, self.model.tokenize
         for word in words:
-            if not (word.isascii() or max(word) <= "\u024f") or self.special.search(word):
+            if not (word.isascii() or max(word) <= "ɏ") or self.special.search(word):
                 out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
                 continue
             low = word.lower()
-            if low.isalpha():
-                found: tuple | list = (low,)
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                found = (low[:-1], low[-1])
-            else:
-                found = find(low)
             ids: list[int] = []
-            for x in found:
-                got = known.get(x)
-                if got is None:
-                    got = known[x] = [t.id for t in tokenize(x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.map))]
-                ids += got
+            for x in (low,) if low.isalpha() else find(low):
+                ids += [t.id for t in tokenize(x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.map))]
             out.append(ids)
         return out
 
-    @staticmethod
-    def split(text: str) -> Iterator[list[str]]:
-        for part in segments(text):
-            yield [x for x in _SPACES.split(part) if x] if _CONTROL.search(part) else part.split()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = self.memo.texts(((i, words) for i, text in enumerate(texts) for words in self.split(text)), len(texts))
-        return [x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, np.uint32)]) for x in parts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the n + 1 offsets of the texts in them."""
+        w = Words(texts)
+        w.part_final(b".,")
+        special = bool(((w.data[:-1] == 60) & (w.data[1:] == 124)).any()) if len(w.data) else False  # where "<|" occurs, case matters
+        found, first, inverse = np.unique(w.hashes(lower=not special), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, found)
+        known = np.zeros(len(found), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == found[inside]
+        if len(self.keys) + (~known).sum() > MOST_WORDS and len(self.keys):
+            self.clear()
+            known[:] = False
+        if not known.all():
+            data, places = w.data, first[~known]
+            got = self._new(data[a:b].tobytes().decode() for a, b in zip(w.starts[places].tolist(), w.ends[places].tolist(), strict=True))
+            n, lengths = len(self.start), np.fromiter(map(len, got), np.int64, len(got))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+            keys, slot = np.concatenate([self.keys, found[~known]]), np.concatenate([self.slot, np.arange(n, n + len(got))])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], slot[order]
+        which = self.slot[np.searchsorted(self.keys, found)][inverse]
+        lengths = self.length[which]
+        return self.flat[ragged(self.start[which], lengths)], np.concatenate([[0], np.cumsum(lengths)])[w.first]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -185,8 +194,8 @@ class Plan:
                     left[n] -= times * k
                     offset += n * k
                 self.sequences += times
-        self.first_rank = {n: np.array([r[0] for r in v], np.int64) for n, v in runs.items()}
-        self.runs = {n: np.array(v, np.int64).reshape(-1, 5) for n, v in runs.items()}
+        self.first_rank = {n: [r[0] for r in v] for n, v in runs.items()}
+        self.runs = runs
         self.residual_rank = {int(n): int(histogram[n] - left[n]) for n in lengths}
         # residual tails lie one behind the other, the longest length first
         order = lengths[::-1]
@@ -203,7 +212,7 @@ class Plan:
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """(start within the tail, length, sequence, offset) of each piece of the tail."""
         if rank < self.residual_rank[length]:
-            start, _, k, sequence, offset = self.runs[length][np.searchsorted(self.first_rank[length], rank, "right") - 1].tolist()
+            start, _, k, sequence, offset = self.runs[length][bisect_right(self.first_rank[length], rank) - 1]
             r = rank - start
             return [(0, length, sequence + r // k, offset + r % k * length)]
         token = self.residual_token[length] + (rank - self.residual_rank[length]) * length
@@ -229,10 +238,11 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
         tokens, task = word_tokens(definition.value), TaskContext.get().partitionId()
         seen, rows = np.zeros(window, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 total, tail, number, tail_ids, full, full_ids = [], [], [], [], [], []
-                for ids in tokens.encode([x or "" for x in part.column("text").to_pylist()]):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                every, off = tokens.encode(part.column("text"))
+                for d in range(part.num_rows):
+                    ids = np.append(every[off[d] : off[d + 1]], np.uint32(end_id)).astype("<u4")
                     whole = len(ids) // window
                     n = len(ids) - whole * window
                     total.append(len(ids))
