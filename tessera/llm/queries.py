@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, projection_forest, rule_ledger, url_trees, weak_pii
 from tessera.llm._tables import table
+from tessera.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scanned(table(spark, sf_dir, "documents"))
+    return license_scan.scanned(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 QUERIES = {
@@ -61,4 +62,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
