@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import interval_queries, matrix_queries, sequence_queries, statistic_queries
+from tessera.plans import composite_queries, interval_queries, matrix_queries, sequence_queries, statistic_queries
 
-_MODULES = (interval_queries, matrix_queries, statistic_queries, sequence_queries)
+_MODULES = (interval_queries, matrix_queries, statistic_queries, sequence_queries, composite_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
