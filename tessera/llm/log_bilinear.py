@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,7 +212,7 @@ def train_model(train: DataFrame, vocab, start: Model) -> Model:
                 seen += len(classes)
         values = np.array_split(model.vector(), blocks)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, rng.integers(0, 64), np.int32)), pa.array(np.full(blocks, float(seen))), pa.array(list(values), pa.list_(pa.float32()))], ["block", "part", "weight", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, TaskContext.get().partitionId() % 64, np.int32)), pa.array(np.full(blocks, float(seen))), pa.array(list(values), pa.list_(pa.float32()))], ["block", "part", "weight", "v"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, weight, total = None, 0.0, None
