@@ -224,12 +224,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every accepted span of text replaced by its kind in angle brackets, and n_chars made to fit; other columns as they are.
 
     Where accepted spans overlap, what they cover together is gone and each is named once."""
-    model = fit(keep(with_candidates(docs.select("text")).select("spans").where(F.size("spans") > 0), "candidates"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
+    table = keep(with_candidates(named).select("own", "spans"), "candidates")  # with the texts, so that they are searched once
+    model = fit(table.select("spans"))
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     whole = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("name"))
     # reach: the furthest stop so far; the text between two spans is what lies between the reach of the one before and the start of the next
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
-    held = with_candidates(named).withColumn("spans", accepted(F.col("spans"), model))
+    held = table.withColumn("spans", accepted(F.col("spans"), model))
 
     def step(a: Column, s: Column) -> Column:
         plain = F.substring(F.col("own.text").cast("string"), a["stop"] + 1, F.greatest(s["start"] - a["stop"], F.lit(0)))
