@@ -35,7 +35,7 @@ from tessera.llm._tables import keep
 WINDOW = 4096
 END_ID = 2
 SWEEPS = 30
-MOST_WORDS = 800_000  # of a worker's memo
+MOST_WORDS = 600_000  # of a worker's memo
 
 
 def _byte_characters() -> list[str]:
@@ -238,7 +238,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
         tokens, task = word_tokens(definition.value), TaskContext.get().partitionId()
         seen, rows = np.zeros(window, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 total, tail, number, tail_ids, full, full_ids = [], [], [], [], [], []
                 every, off = tokens.encode(part.column("text"))
                 for d in range(part.num_rows):
