@@ -2,8 +2,8 @@
 
 Labelled URLs are (url, label) rows with label 1 for blocked ones. Features are lengths, depth, digit share, entropy, hyphens, parameter
 counts and the smoothed share of blocked URLs among those whose last two host labels fall in the same of SUFFIX_BINS bins. The trees are fitted
-on the driver by plain arithmetic on a bounded sample (SAMPLE rows a class, chosen by a hash of the URL) and become one column expression, so that
-judging is a scan. Only DataFrame expressions run on the executors; the suffix statistics are counted map-side into SUFFIX_BINS rows.
+on the driver by plain arithmetic on a bounded sample (SAMPLE rows a class, chosen by a hash of the URL, each weighing as many rows of its class as it
+stands for, so that scores keep the true shares at every size) and become one column expression, so that judging is a scan. Only DataFrame expressions run on the executors; the suffix statistics are counted map-side into SUFFIX_BINS rows.
 
 Defined results: null and URLs without :// have an empty host and path, no rule, and are judged by the trees. Without labelled URLs of both
 classes everything that no rule fits is allowed. Repeated rows are judged each on its own."""
@@ -85,7 +85,8 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
 class Trees:
     """Gradient boosting for the logistic loss: TREES trees of depth DEPTH on binned features."""
 
-    def __init__(self, rows: list[list[float]], labels: list[int]):
+    def __init__(self, rows: list[list[float]], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)):
+        """weights: how many rows each row of class 0 and of class 1 stands for."""
         import numpy as np
 
         x, y = np.array(rows, float).reshape(len(labels), len(FEATURES)), np.array(labels, float)
@@ -94,7 +95,8 @@ class Trees:
         if not 0 < y.sum() < len(y):
             self.base = -1.0
             return
-        self.base = math.log(y.mean() / (1 - y.mean()))
+        weight = np.where(y > 0, weights[1], weights[0])
+        self.base = math.log(weights[1] * y.sum() / (weights[0] * (len(y) - y.sum())))
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])
         z = np.full(len(y), self.base)
@@ -122,7 +124,7 @@ class Trees:
 
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-z))
-            gradient, hessian = y - p, p * (1 - p)
+            gradient, hessian = weight * (y - p), weight * p * (1 - p)
             self.trees.append(grow(np.arange(len(y)), DEPTH))
 
     def score(self) -> Column:
@@ -160,7 +162,9 @@ def fit(labelled: DataFrame) -> tuple[Trees, dict[int, float]]:
     some = F.when(F.col("label") > 0, draw < int((1 << 30) * min(1.0, SAMPLE / max(total[1], 1)))).otherwise(draw < int((1 << 30) * min(1.0, SAMPLE / max(total[0], 1))))
     rows = with_features(parts.where(some).drop("suffix_bin")).select("label", "suffix_bin", *[f"f_{k}" for k in FEATURES[:-1]]).collect()  # about SAMPLE rows a class
     rows.sort()
-    return Trees([[*r[2:], suffix[r.suffix_bin]] for r in rows], [int(r.label > 0) for r in rows]), suffix | {-1: usual}
+    labels = [int(r.label > 0) for r in rows]
+    drawn = (len(labels) - sum(labels), sum(labels))
+    return Trees([[*r[2:], suffix[r.suffix_bin]] for r in rows], labels, (total[0] / max(drawn[0], 1), total[1] / max(drawn[1], 1))), suffix | {-1: usual}
 
 
 def judged(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:

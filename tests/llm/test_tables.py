@@ -40,6 +40,14 @@ def test_trees_learn_from_labels(spark):
     assert np.mean([(got[p] == "block") == bool(y) for p, y in truth.items()]) > 0.98
 
 
+def test_scores_keep_the_shares_when_classes_are_drawn_at_different_rates(spark, monkeypatch):
+    monkeypatch.setattr(url_trees, "SAMPLE", 300)
+    r = np.random.default_rng(1)
+    labelled = spark.createDataFrame([(f"http://h{r.integers(10**6)}.example.com/{i}", int(r.random() < 0.2)) for i in range(3000)], "url string, label int")
+    got = url_trees.judged(labelled.selectExpr("monotonically_increasing_id() page_id", "url"), labelled, rules=[]).collect()
+    assert abs(np.mean([x.score for x in got]) - 0.2) < 0.05 and np.mean([x.verdict == "block" for x in got]) < 0.1
+
+
 def test_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     bad = [(10**6, None), (10**6 + 1, [0.0] * 64), (10**6 + 2, [float("nan")] * 64), (10**6 + 3, [None] * 64), (10**6 + 4, [1.0]), (None, [1.0] * 64)] + [(10**6 + 100 * k, [0.5] * 64) for k in range(1, 16)]
