@@ -207,22 +207,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(sketches.toDF("a", "n_a", "x"), "a").join(sketches.toDF("b", "n_b", "y"), "b").where(_near("x", "y", "n_a", "n_b", most, percent)).select("a", "b").distinct()
     checked = confirmed(keep(stars, "pairs"), texts, size, percent)
+    comp = None
     for best_only in (True, False):
-        comp = keep(components(checked.where("linked")), "components")
-        labelled = buckets.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", "rows", F.coalesce("comp", "rep").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        rows = keep(labelled.join(mixed, "band").join(sketches, "rep"), "mixed")
-        small = rows.where(F.col("rows") <= SMALL)
+        if comp is None:
+            comp = keep(components(checked.where("linked")), "components")
+            labelled = buckets.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", "rows", F.coalesce("comp", "rep").alias("comp"))
+            mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+            rows = keep(labelled.join(mixed, "band").join(sketches, "rep"), "mixed")
+        small, large = rows.where(F.col("rows") <= SMALL), rows.where(F.col("rows") > SMALL)
         left, right = (small.select("band", F.col("rep").alias(f"{n}"), F.col("comp").alias(f"comp_{n}"), F.col("sketch").alias(f"sketch_{n}"), F.col("n").alias(f"n_{n}")) for n in "ab")
         found = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near("sketch_a", "sketch_b", "n_a", "n_b", most, percent)).select("a", "b")
-        dealt = rows.where(F.col("rows") > SMALL).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        dealt = large.withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
         found = found.union(dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, percent, best_only), "a bigint, b bigint")).distinct()
         fresh = keep(found.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.take(1):
+        if fresh.take(1):
+            checked = checked.unionByName(confirmed(fresh, texts, size, percent))
+            comp = None
+        elif not large.take(1):  # small buckets are exhausted by either pass; in large ones a nearest pair that failed may hide others
             break
-        checked = checked.unionByName(confirmed(fresh, texts, size, percent))
-        comp = None
     if comp is None:
         comp = keep(components(checked.where("linked")), "components")
     member = signed.select("doc_id", *key).join(classes, key, "left").join(comp, F.col("rep") == F.col("id"), "left")

@@ -105,6 +105,31 @@ def test_near_duplicates(docs, rows, size, small, block, monkeypatch):
     assert held(odd_sketch.near_duplicates(docs, size), ["doc_id", "n_shingles", "component_id", "kept"]) == want
 
 
+def test_a_failed_nearest_pair_hides_no_link(spark, monkeypatch):
+    """1 has 2 (similarity 0.79, checked as a star, failed) nearer by parity than 4 (0.81), and 2 and 4 are one component by way of 3."""
+    words = lambda a, b: [f"w{k}" for k in range(a, b)]
+    texts = {0: words(9000, 11000), 1: words(0, 2000), 2: words(0, 1580), 3: words(0, 1580) + words(2000, 2395), 4: words(0, 2468)}
+    bands = {0: [1], 1: [1, 2], 2: [1, 2, 3], 3: [3, 4], 4: [1, 3, 4]}
+    real = odd_sketch.signatures
+
+    def signatures(size):
+        inner = real(size)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in inner(batches):
+                own = [[*bands[i], *range(100 * (i + 1), 100 * (i + 1) + 32 - len(bands[i]))] for i in batch.column("doc_id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64())) if n == "bands" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+        return run
+
+    monkeypatch.setattr(odd_sketch, "SMALL", 1)
+    monkeypatch.setattr(odd_sketch, "signatures", signatures)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(docs, 1).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = {r.id: r.comp for r in odd_sketch.components(spark.createDataFrame(links, "a long, b long")).collect()}
