@@ -64,19 +64,23 @@ def profile_over(ranges: DataFrame, track: DataFrame, part: list[str], ids: list
     return slots.join(track, [*part, index]).groupBy(*part, *ids).agg(F.max(value).alias("height"), F.sum(value).alias("area"))
 
 
-def poisson_tail(observed: Column, mean: Column, upper: bool = True, terms: int = 200) -> Column:
-    """-log10 of the Poisson tail P(X >= observed), or P(X <= observed), by summing `terms` terms from the observed one outwards in a log scale."""
-    k = F.sequence(F.lit(0), F.lit(terms - 1))
-    at = lambda i: observed + i if upper else observed - i
+def poisson_tail(observed: Column, mean: Column, upper: bool = True) -> Column:
+    """-log10 of the Poisson tail P(X >= observed), or P(X <= observed); 0 for the upper tail at 0.
+
+    Terms are summed in a log scale away from the mean, where they fall, over 12 deviations and 40 terms more, beyond which nothing is left. A tail that holds
+    the mean is 1 less the other one."""
+    far = observed >= mean if upper else observed <= mean
+    rises = far if upper else ~far
+    k = observed + F.when(far, 0).otherwise(-1 if upper else 1)
     # the ratio of each term to the first is a product of mean / k, or k / mean
     start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 
     def step(a: Column, i: Column) -> Column:
-        total = a["total"] + a["term"]
-        ratio = mean / (at(i) + 1) if upper else F.when(at(i) > 0, at(i) / mean).otherwise(0.0)
-        return F.struct((a["term"] * ratio).alias("term"), total.alias("total"))
-
-    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(observed.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i))
-    first = observed * F.log(mean) - mean - log_factorial
-    tail = F.log(F.aggregate(k, start, step, lambda a: a["total"]))
-    return F.when(mean > 0, F.round(-(first + tail) / F.log(F.lit(10.0)), 8))
+        ratio = F.when(rises, mean / (k + i + 1)).otherwise(F.greatest(k - i, F.lit(0)) / mean)
+        return F.struct((a["term"] * ratio).alias("term"), (a["total"] + a["term"]).alias("total"))
+
+    terms = F.sequence(F.lit(0), F.ceil(12 * F.sqrt(mean)).cast("int") + 40)
+    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i))
+    tail = k * F.log(mean) - mean - log_factorial + F.log(F.aggregate(terms, start, step, lambda a: a["total"]))
+    score = F.round(F.when(far, -tail).otherwise(-F.log1p(-F.exp(tail))) / F.log(F.lit(10.0)), 8)
+    return F.when(mean > 0, F.when(observed == 0, 0.0).otherwise(score) if upper else score)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -91,6 +92,21 @@ def test_gaussian_sums_to_about_one():
     assert abs(sum(w for _, w in signal.gaussian(3.0)) - 1) < 0.01 and len(signal.gaussian(3.0)) == 19
 
 
+def test_poisson_tails_are_whole(spark):
+    cases = [(n, m) for m in (0.3, 28.5, 300.0, 10_000.0) for n in {0, 1, int(m) // 2, int(m) - 1, int(m), int(m) + 1, int(m) + 90, 2 * int(m), 1000} if n >= 0]
+    rows = spark.createDataFrame(cases, "n long, m double")
+    got = rows.select("n", "m", signal.poisson_tail(F.col("n"), F.col("m")).alias("upper"), signal.poisson_tail(F.col("n"), F.col("m"), upper=False).alias("lower")).collect()
+    for r in got:
+        terms = [k * math.log(r.m) - r.m - math.lgamma(k + 1) for k in range(25_000)]
+
+        def score(part):
+            top = max(part)
+            return -(top + math.log(math.fsum(math.exp(x - top) for x in part))) / math.log(10)
+
+        assert r.upper == pytest.approx(score(terms[r.n :]) if r.n else 0, rel=1e-9, abs=2e-8)
+        assert r.lower == pytest.approx(score(terms[: r.n + 1]), rel=1e-9, abs=2e-8)
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     from tessera.streaming.contacts import stream_counts
 
