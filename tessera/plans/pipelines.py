@@ -13,35 +13,59 @@ from tessera.operators import intervals, islands, loops, matrix, segments
 def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, score_cut: float | None = None) -> DataFrame:
     """chrom, start, end, kind, spacing, positioning, nuc and dense bin_id from nucleosomes (chrom, start, end, height, auc, property, nlp_peak, nlp_valley), genes and chromosome lengths (chrom, length).
 
-    Shoulders below score_cut (the elbow of their areas' density, where none is given) go; cores are spaced, scored, extended and moved apart; what lies between is filtered, annotated, typed and cut into pieces."""
+    Cores are spaced and scored; shoulders below score_cut (where the density of their areas first reaches 3/4 of its peak, if none is given) go; the others are extended and moved apart; what lies between is filtered, annotated, filtered
+    again in genes, typed and cut into pieces."""
     width = F.col("end") - F.col("start")
     n = nucleosomes.withColumn("width", width)
-    if score_cut is not None:
-        n = n.where((F.col("property") != "Shoulder") | (F.col("auc") >= score_cut))
     n = stats.positioning(n, "width", "height", "auc", "nlp_peak", "nlp_valley").withColumnRenamed("position_score", "positioning")
     n = n.withColumn("_m", ((F.col("start") + F.col("end")) / 2).cast("bigint"))
     n = intervals.spacing(n, ["chrom"], ["start", "end"], "_m")
+    if score_cut is None:
+        score_cut = kernels.area_cut(nucleosomes.where("property = 'Shoulder'"), "auc")
+    if score_cut is not None:
+        n = n.where((F.col("property") != "Shoulder") | (F.col("auc") >= score_cut))
     n = intervals.deoverlap(intervals.extend_short(n, "start", "end"), ["chrom"], ["start", "end"], "start", "end")
     cores = n.select("chrom", "start", "end", F.lit("nucleosome").alias("kind"), F.col("spacing").cast("double").alias("spacing"), "positioning", F.lit(1).alias("nuc"), "nlp_valley").where("start < end")
     gaps = intervals.complement(cores, ["chrom"], "start", "end", chroms, "length").withColumnsRenamed({"gap_start": "start", "gap_end": "end"})
     left = cores.select("chrom", F.col("end").alias("start"), F.col("nlp_valley").alias("left_valley")).dropDuplicates(["chrom", "start"])
     right = cores.select("chrom", F.col("start").alias("end"), F.col("nlp_valley").alias("right_valley")).dropDuplicates(["chrom", "end"])
     gaps = gaps.join(left, ["chrom", "start"], "left").join(right, ["chrom", "end"], "left").fillna(20.0, ["left_valley", "right_valley"])
-    cut = gaps.where("left_valley > 0.03125").agg((2 * F.median(F.abs(F.col("left_valley") - 0))).alias("cut"))
-    near = interval_filter(gaps.join(F.broadcast(cut)), "cut")
+    cut, mad = gap_measures(gaps)
+    near = interval_filter(gaps.withColumn("cut", F.lit(cut).cast("double")), "cut", mad=mad)
     known = intervals.annotate(near, intervals.gene_regions(genes), ["chrom"], ["chrom", "start", "end"], "start", "end", 50_000)
+    known = genebody_filter(known, mad)
     typed = known.withColumn("kind", intervals.interval_type(F.col("left_valley"), F.col("right_valley"), F.col("cut"), F.col("region"), F.col("end") - F.col("start")))
     pieces = intervals.subdivide(typed, "start", "end").select("chrom", F.col("piece_start").alias("start"), F.col("piece_end").alias("end"), "kind", F.lit(0.0).alias("spacing"), F.lit(0.0).alias("positioning"), F.lit(0).alias("nuc"))
     return intervals.number_bins(cores.drop("nlp_valley").unionByName(pieces), "chrom", ["start", "end"])
 
 
-def interval_filter(gaps: DataFrame, cut: str, least: int = 70) -> DataFrame:
-    """Intervals longer than `least` of which not both a valley is at most cut and the length at most five deviations (or `least`)."""
+def gap_measures(gaps: DataFrame) -> tuple[float | None, float]:
+    """Two deviations (MAD) of the left valleys above 1/32 of all gaps but the first, None if there are none, and the MAD of the gaps' lengths. Numbers, as each use of gaps in a plan repeats what made them."""
     size = F.col("end") - F.col("start")
-    m = gaps.agg(F.median(size).alias("_md"))
-    mad = gaps.join(F.broadcast(m)).agg(F.median(F.abs(size - F.col("_md"))).alias("_mad"))
+    at = F.struct("chrom", "start")
+    first, middle = gaps.agg(F.min(at), F.median(size)).first()
+    if first is None:
+        return None, 0.0
+    valley = F.when(((F.col("chrom") != first.chrom) | (F.col("start") != first.start)) & (F.col("left_valley") > 0.03125), F.col("left_valley"))
+    usual, mad = gaps.agg(F.median(valley), F.median(F.abs(size - middle))).first()
+    return (None if usual is None else 2 * gaps.agg(F.median(F.abs(valley - usual))).first()[0]), mad
+
+
+def interval_filter(gaps: DataFrame, cut: str, least: int = 70, mad: float | None = None) -> DataFrame:
+    """Intervals longer than `least` of which not both a valley is at most cut and the length at most five deviations (or `least`). mad: the lengths' deviation, where it is known."""
+    size = F.col("end") - F.col("start")
+    if mad is None:
+        m = gaps.agg(F.median(size).alias("_md"))
+        gaps = gaps.join(F.broadcast(gaps.join(F.broadcast(m)).agg(F.median(F.abs(size - F.col("_md"))).alias("_mad"))))
+    else:
+        gaps = gaps.withColumn("_mad", F.lit(mad))
     shallow = (F.col("left_valley") <= F.col(cut)) | (F.col("right_valley") <= F.col(cut))
-    return gaps.join(F.broadcast(mad)).where((size > least) & ~(shallow & (size <= F.greatest(5 * F.col("_mad"), F.lit(float(least)))))).drop("_mad")
+    return gaps.where((size > least) & ~(shallow & (size <= F.greatest(5 * F.col("_mad"), F.lit(float(least)))))).drop("_mad")
+
+
+def genebody_filter(known: DataFrame, mad: float, least: int = 90) -> DataFrame:
+    """Intervals but those in gene bodies that are shorter than three deviations (mad) of all gaps' lengths (or `least`)."""
+    return known.where((F.col("region") != "Genebody") | (F.col("end") - F.col("start") >= max(3 * mad, least)))
 
 
 def merge_maps(a: DataFrame, b: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:

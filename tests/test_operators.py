@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import kernels
 from tessera.operators import intervals, islands, matrix, signal
+from tessera.plans import pipelines
 from tessera.sources import formats
 
 
@@ -122,3 +125,24 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
         if a % 10 < 8 and b % 10 < 8:
             want[a // 10, b // 10] = want.get((a // 10, b // 10), 0) + 1
     assert {(r.bin1_id, r.bin2_id): r.cnt for r in spark.table("counts").collect()} == want
+
+
+def test_bins_drop_shoulders_and_short_gaps_in_genes(spark):
+    areas = [2.0 ** (k / 10) for k in range(-30, 31) for _ in range(31 - abs(k))]
+    cut = kernels.area_cut(spark.createDataFrame([(a,) for a in areas], "auc double"), "auc")
+    grid, density = kernels.kde(np.log2(areas))
+    assert cut == pytest.approx(2 ** grid[np.flatnonzero(density >= 0.75 * density.max())[0]]) and 0.3 < cut < 1
+    rows = [("c", 400 * k, 400 * k + 150, 1.0, a, kind, 2.0, 3.0) for k, (a, kind) in enumerate([(5.0, "MainPeak")] * 10 + [(a, "Shoulder") for a in (1.0, 8.0, 8.0, 8.0, 8.0, 8.0)])]
+    n = spark.createDataFrame(rows, "chrom string, start long, end long, height double, auc double, property string, nlp_peak double, nlp_valley double")
+    genes = spark.createDataFrame([], "chrom string, start long, end long, strand string, gene string")
+    bins = pipelines.build_bins(n, genes, spark.createDataFrame([("c", 7000)], "chrom string, length long"))
+    assert sorted(r.start for r in bins.where("nuc = 1").collect()) == [400 * k for k in range(16) if k != 10]
+
+
+def test_gap_measures_and_genebody_filter(spark):
+    gaps = spark.createDataFrame([("c", 0, 500, 20.0)] + [("c", 1000 * k, 1000 * k + 100 + 10 * k, v) for k, v in enumerate([5.0, 6.0, 8.0, 9.0, 0.01], 1)], "chrom string, start long, end long, left_valley double")
+    # the median of 5, 6, 8, 9 is 7, their deviations 2, 1, 1, 2; lengths 500, 110, .. 150: median 135, deviations 365, 25, 15, 5, 5, 15
+    assert pipelines.gap_measures(gaps) == (3.0, 15.0) and pipelines.gap_measures(gaps.where("false")) == (None, 0.0)
+    known = spark.createDataFrame([("Genebody", 0, 89), ("Genebody", 0, 90), ("Distal", 0, 80)], "region string, start long, end long")
+    assert sorted((r.region, r.end) for r in pipelines.genebody_filter(known, 15.0).collect()) == [("Distal", 80), ("Genebody", 90)]
+    assert [r.region for r in pipelines.genebody_filter(known, 31.0).collect()] == ["Distal"]
