@@ -137,25 +137,51 @@ def normalise_pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def outlying(x: np.ndarray, threshold: float = 5.0) -> np.ndarray:
+    """Whether the modified z-score of each value is above threshold, as in stats.outliers: zeros are left out and are none, and there is none where the deviation is 0."""
+    own = x[x != 0]
+    if not len(own):
+        return np.zeros(len(x), bool)
+    far = np.abs(x - np.median(own))
+    mad = np.median(far[x != 0])
+    return (x != 0) & (0.6745 * far > threshold * mad) if mad > 0 else np.zeros(len(x), bool)
+
+
 def normalise_marginals(rows: DataFrame) -> DataFrame:
-    """chrom, bin_id, norm_a, norm_b from marginals a and b and sites: groups of equal numbers of sites are strong or weak by the slope of b on a, and each kind is normalised apart."""
+    """chrom, bin_id, norm_a, norm_b from marginals a and b and sites: groups of equal numbers of sites are strong or weak by the slope of b on a without outliers, and each kind is normalised apart.
+
+    Bins without sites are in no group: the coefficients (norm + 1) / (raw + 1) of the others are interpolated over them by row. All coefficients are then applied to the raw marginals.
+    A chromosome without any bin that has sites is an error."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bin_id")
-        kind = np.full(len(part), "strong", object)
-        for _, at in part.groupby("sites").indices.items():
-            x, y = part.a.to_numpy(float)[at], part.b.to_numpy(float)[at]
-            if len(at) < 2 or not x.sum() or not y.sum():
+        raw = [part[c].to_numpy(float) for c in "ab"]
+        anchors = part.sites.to_numpy() != 0
+        if not anchors.any():
+            raise ValueError(f"chromosome {part.chrom.iloc[0]}: no bin with contacts has a site")
+        kind = np.where(anchors, "strong", "none").astype(object)
+        for sites, at in part.groupby("sites").indices.items():
+            x, y = (r[at] for r in raw)
+            if not sites or len(at) < 2 or not x.sum() or not y.sum():
+                continue
+            usual = ~(outlying(x) | outlying(y))
+            x, y = x[usual], y[usual]
+            if len(x) < 2:
                 continue
             if x.std() < 1e-10:
                 kind[at] = "strong" if y.sum() > x.sum() else "weak"
             elif abs(np.polyfit(x, y, 1)[0]) < 0.5:
                 kind[at] = "weak"
-        a, b = np.zeros(len(part)), np.zeros(len(part))
+        norm = [np.zeros(len(part)), np.zeros(len(part))]
         for k in ("strong", "weak"):
             if (m := kind == k).any():
-                a[m], b[m] = normalise_pair(part.a.to_numpy(float)[m], part.b.to_numpy(float)[m])
-        return pd.DataFrame({"chrom": part.chrom, "bin_id": part.bin_id, "norm_a": a, "norm_b": b})
+                norm[0][m], norm[1][m] = normalise_pair(raw[0][m], raw[1][m])
+        out, places = [], np.arange(len(part))
+        for r, v in zip(raw, norm, strict=True):
+            factor = np.interp(places, places[anchors], (v[anchors] + 1) / (r[anchors] + 1))
+            new = factor * (r + 1) - 1
+            out.append(np.where(r == 0, 0.0, np.abs(np.where(new == 0, factor, new))))
+        return pd.DataFrame({"chrom": part.chrom, "bin_id": part.bin_id, "norm_a": out[0], "norm_b": out[1]})
 
     return rows.where("a <> 0 or b <> 0").groupBy("chrom").applyInPandas(run, "chrom string, bin_id bigint, norm_a double, norm_b double")
 

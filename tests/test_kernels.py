@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tessera.functions.kernels import balance, bh_values, blobs, change_points, connected_labels, greedy_gaps, kde, lowess, mann_whitney_less
+from tessera.functions.kernels import balance, bh_values, blobs, change_points, connected_labels, greedy_gaps, kde, lowess, mann_whitney_less, normalise_marginals, normalise_pair
 
 
 def test_balanced_rows_meet_their_targets():
@@ -66,3 +66,21 @@ def test_a_planted_blob_is_found():
     a = np.triu(np.maximum(0, 5 - np.abs(i[:, None] - i) / 40) + r.random((160, 160)))
     a[60:63, 100:103] += 20
     assert any(abs(x - 61) <= 1 and abs(y - 101) <= 1 for x, y, *_ in blobs(a))
+
+
+def test_marginals_leave_outliers_out_and_fill_bins_without_sites(spark):
+    # with one site: slope 1 but for the last, whose a is an outlier that alone makes the slope small; with two sites: slope 0.1; without sites: between them
+    one = [(0, 10, 12), (1, 20, 21), (2, 30, 33), (3, 40, 39), (4, 50, 54), (5, 5000, 60)]
+    two = [(10, 100, 50), (11, 200, 61), (12, 300, 69), (13, 400, 81)]
+    none = [(7, 80, 0), (8, 90, 70)]
+    rows = [("c", i, a, b, s) for s, group in ((1, one), (2, two), (0, none)) for i, a, b in group]
+    got = {r.bin_id: (r.norm_a, r.norm_b) for r in normalise_marginals(spark.createDataFrame(rows, "chrom string, bin_id long, a long, b long, sites long")).collect()}
+    factors = {}
+    for group in (one, two):
+        a, b = (np.array([x[k] for x in group], float) for k in (1, 2))
+        for (i, *_), x, y, na, nb in zip(group, a, b, *normalise_pair(a, b), strict=True):
+            assert got[i] == pytest.approx((na, nb))
+            factors[i] = (na + 1) / (x + 1), (nb + 1) / (y + 1)
+    for step, (i, a, b) in enumerate(none, 1):  # rows, not bins, are counted between 5 and 10
+        fa, fb = (factors[5][k] + (factors[10][k] - factors[5][k]) * step / 3 for k in (0, 1))
+        assert got[i] == pytest.approx((fa * (a + 1) - 1, fb * (b + 1) - 1 if b else 0))
