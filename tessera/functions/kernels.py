@@ -443,7 +443,9 @@ def boundaries_in_regions(regions: DataFrame, pixels: DataFrame, window: int, p_
 
 
 def precise_positions(profile: np.ndarray, smooth: np.ndarray, least: float = 0.5) -> list[tuple[int, int, str]]:
-    """(first, last, label) of peaks of a track: ranges of negative curvature of the smooth track; a lower one whose valley towards a neighbour is shallow is its shoulder, and two of like height are a doublet."""
+    """(first, last, label) of peaks of a track: ranges of negative curvature of the smooth track; a lower one whose valley towards a neighbour is shallow is its shoulder, and two of like height are a doublet.
+
+    An approximation of the described positioning only: without the threshold tiers of the shoulder relation, border adjustment and noise discarding; no range is labelled Shoulder alone."""
     bend = np.concatenate([[0], np.diff(smooth, 2), [0]])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (bend < 0).astype(int), [0]])))
     ranges = [(int(a), int(b - 1)) for a, b in zip(edges[::2], edges[1::2], strict=True) if profile[a:b].max(initial=0) > 0]
