@@ -1,4 +1,4 @@
-"""Reading tables and keeping intermediate results where every executor sees them."""
+"""Reading tables, keeping intermediate results where every executor sees them, and carrying a table's own columns through a batch function."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,29 +18,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is set a temporary one is made on a local master, whose executors share the driver's disk; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and go on from the written table: lineage is cut and nothing is computed twice."""
+    """Write df once to the shared folder and go on from the written table: lineage is cut and nothing is computed twice. It is deleted by forget(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing will read again: what was made from them has been written or collected."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    while _written:
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before; the folder's owner then clears it
             pass
+
+
+def rolled(docs: DataFrame) -> DataFrame:
+    """text (as string) and own, a struct of all other columns, so that a batch function can add columns of any name; unrolled() gives docs' columns back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("own"), F.col("text").cast("string").alias("text"))
+
+
+def unrolled(rows: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of docs from rows that rolled() made, some of them replaced."""
+    return rows.select(*[(instead[c] if c in instead else F.col("text") if c == "text" else F.col("own").getField(c)).alias(c) for c in docs.columns])
+
+
+def rolled_schema(rows: DataFrame, more: str = "") -> StructType:
+    """The schema of rolled() rows with some columns more."""
+    return StructType(rows.schema.fields + (StructType.fromDDL(more).fields if more else []))
