@@ -1,23 +1,27 @@
 """LM scoring with a log-bilinear neural model.
 
-The model predicts a token's class from the two before it: the context vector is the sum of two position-wise embeddings, a class's score
-its product with the class's output vector plus a bias. Classes are the CLASS_WORDS most frequent training words, the text's end, and BUCKETS classes
-that share all other words by the letters they end with; inside a bucket a word has its smoothed training frequency, so every word, also one never seen, has a
-probability and all of them sum to one. The parameters are learnt by noise-contrastive estimation with noise from the class frequencies (the
-bias starts at their logarithm): each task makes one pass over all its training tokens from the same start, and the tasks' parameters are averaged by
-their numbers of tokens. Scores are normalised: the partition function of every context comes from a batched matrix product, made
-once by the executors.
+The model predicts a token from the two before it. The context vector is the sum of two position-wise embeddings. A token is predicted in two steps, its class and then
+the word in the class; each score is the product of the context vector with an output vector plus a bias. The vocabulary that has vectors of its own grows with the training
+tokens: the most frequent words, one for each TOKENS_A_WORD tokens (LEAST_WORDS at least, HEAD at most). The most frequent SINGLES of them and the
+text's end are classes by themselves; the others are sorted by their endings and cut into groups of about the square root of their number, so that both softmaxes stay small. All other
+words, as contexts and as targets, are one of BUCKETS classes by their last two bytes; inside such a class a word has its smoothed training frequency. So every word, also one never
+seen, has a probability and all of them sum to one.
 
-Word counts are taken over all training rows. The HEAD most frequent words go to the executors as a table (a size fixed by the parameter); the counts
-of all other words are joined to the tokens that need them.
+The parameters are learnt by noise-contrastive estimation on both levels, with noise from the frequencies of the classes and of the words in a group (the biases start at their logarithms): each
+task makes one pass over all its training tokens from the same start, and what it changed is averaged row by row, weighted by how often the tasks met the row. So the
+parameters, and with them score (but none of the counts), depend on how the input is split into tasks. Scores are normalised by batched matrix products on the executors.
 
-Defined results: null and empty texts have the one end token. A null doc_id is never held out. Rows are scored each on its own."""
+Word counts are taken over all training rows. The HEAD most frequent words (ties by a hash) and the end go to the executors as a table, a size fixed by the parameter; the counts
+of all other words are joined to the tokens that need them. No count depends on HEAD.
+
+Defined results: null and empty texts have the one end token. A null doc_id is never held out. Rows, also repeated ones, are scored each on its own. Without training rows N and V are 0 and
+the parameters stay as they start. An empty table gives none."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +33,27 @@ from tessera.llm._bytes import slices
 from tessera.llm._tables import keep
 
 HEAD = 200_000
-CLASS_WORDS = 959
+TOKENS_A_WORD = 3000
+LEAST_WORDS = 1000
+SINGLES = 63
 BUCKETS = 64
-CLASSES = CLASS_WORDS + 1 + BUCKETS
-DIM = 24
-NOISE = 32
-MINIBATCH = 2048
+DIM = 16
+NOISE = 16
+GROUP_NOISE = 16
+MINIBATCH = 4096
 RATE = 0.08
 SMOOTH = 0.1
 END = b" "  # no word holds a space
 FLUSH = 300_000  # distinct words a task counts before it sends them on
-_START = CLASS_WORDS  # what stands before the first token: as after an end
+TIES = 4096  # parts by hash of the words at the edge of the head
+BLOCK = 1024  # rows of parameters that are averaged together
 
 
-def bucket(word: bytes) -> int:
-    """The bucket class of a word, by its last two bytes."""
-    return CLASS_WORDS + 1 + (sum(b * f for b, f in zip(word[-2:], (31, 7), strict=False)) + len(word[-2:])) % BUCKETS
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """Each word's bucket: by 31 and 7 times its last two bytes plus 2, or 31 times its only byte plus 1."""
+    ends = np.frombuffer(b"".join([w[-2:] if len(w) > 1 else w + b"\0" for w in words]), np.uint8).reshape(-1, 2).astype(np.int64)
+    long = np.fromiter(map(len, words), np.int64, len(words)) > 1
+    return (ends[:, 0] * 31 + np.where(long, ends[:, 1] * 7 + 2, 1)) % BUCKETS
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -72,115 +81,236 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Counts of the most frequent words, their classes, and each bucket's number of tokens and words."""
+    """The head's words with their counts, the class, context row and place in a group of each, and each bucket's number of tokens and words.
+
+    Classes are, in this order, SINGLES words, the end, the buckets, and the groups. Rows of contexts are the words with vectors, the end, and the buckets."""
 
     def __init__(self, head: list[tuple[bytes, int]], buckets: dict[int, tuple[int, int]], tokens: int, words: int):
+        """head: words by falling count, the end among them; buckets: tokens and words of all words but the end."""
         self.tokens, self.words = tokens, words
         self.count = np.array([c for _, c in head], np.int64)
-        classed = [w for w, _ in head if w != END][:CLASS_WORDS]
-        own = {w: i for i, w in enumerate(classed)} | {END: CLASS_WORDS}
-        self.class_of = np.array([*(own[w] if w in own else bucket(w) for w, _ in head), 0], np.int64)  # the last stands for words that are not there
         self.at = {w: i for i, (w, _) in enumerate(head)}
-        self.size = np.zeros(CLASSES)
-        self.inner = np.zeros(CLASSES)
-        for k, (n, v) in buckets.items():
-            self.size[k] = n
-            self.inner[k] = n + SMOOTH * (v + 1)
-        for w, i in own.items():
-            if w in self.at:
-                self.size[i] = self.count[self.at[w]]
-        self.inner[CLASS_WORDS + 1 :] = np.maximum(self.inner[CLASS_WORDS + 1 :], SMOOTH)
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the head (-1: not there) and class of each word."""
-        get = self.at.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        classes = self.class_of[at]
-        for i in np.flatnonzero(at < 0):
-            classes[i] = bucket(words[i])
-        return at, classes
+        most = min(HEAD, max(LEAST_WORDS, tokens // TOKENS_A_WORD))
+        own = [(w, c) for w, c in head if w != END][:most]
+        grouped = sorted(own[SINGLES:], key=lambda x: x[0][::-1])
+        self.singles = min(SINGLES, len(own))
+        size = max(16, int(1.5 * len(grouped) ** 0.5))
+        many = -(-len(grouped) // size)
+        self.edges = np.minimum(np.arange(many + 1) * size, len(grouped))  # places of each group
+        self.end_class, self.first_bucket, self.first_group = SINGLES, SINGLES + 1, SINGLES + 1 + BUCKETS
+        self.classes, self.rows = self.first_group + many, len(own) + 1 + BUCKETS
+        self.end_row = len(own)
+        place = {w: i for i, (w, _) in enumerate(grouped)}
+        row = {w: i for i, (w, _) in enumerate(own)}
+        n = len(head)
+        in_bucket = buckets_of([w for w, _ in head]).tolist()
+        # the last entry of each stands for words that are not in the head, and is replaced
+        self.class_of, self.row_of, self.place_of = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        for i, (w, _) in enumerate(head):
+            if w == END:
+                self.class_of[i], self.row_of[i] = self.end_class, self.end_row
+            elif w not in row:
+                self.class_of[i], self.row_of[i] = self.first_bucket + in_bucket[i], self.end_row + 1 + in_bucket[i]
+            else:
+                self.row_of[i] = row[w]
+                p = place.get(w)
+                self.class_of[i] = row[w] if p is None else self.first_group + p // size
+                self.place_of[i] = -1 if p is None else p
+        self.place_count = np.array([c for _, c in grouped], np.float64)
+        rest = {b: list(buckets.get(b, (0, 0))) for b in range(BUCKETS)}
+        for w, c in own:
+            b = in_bucket[self.at[w]]
+            rest[b] = [rest[b][0] - c, rest[b][1] - 1]
+        self.mass = np.zeros(self.classes)  # training tokens of each class
+        np.add.at(self.mass, self.class_of[:n], self.count)
+        self.inner = np.zeros(self.classes)
+        for b, (t, v) in rest.items():
+            self.mass[self.first_bucket + b] = t
+            self.inner[self.first_bucket + b] = t + SMOOTH * (v + 1)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the head (-1: not there), class and context row of each word."""
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        classes, rows = self.class_of[at], self.row_of[at]
+        tail = np.flatnonzero(at < 0)
+        b = buckets_of([words[i] for i in tail.tolist()])
+        classes[tail], rows[tail] = self.first_bucket + b, self.end_row + 1 + b
+        return at, classes, rows
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    # the least step of a logarithmic scale of counts from which on there are at most HEAD words
-    step = F.floor(64 * F.log2("c"))
-    least, above = None, 0
-    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):
-        above += r["count"]
-        if above > HEAD:
-            break
-        least = r.s
-    head = sorted(((bytes(r.word), r.c) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0])) if least is not None else []
-    if not head:
-        return Vocabulary([], {}, 0, 0)
-    classed = [w for w, _ in head if w != END][:CLASS_WORDS]
-    # the rule of bucket(), on the last two bytes
+    # the rule of buckets_of(), on the last two bytes
     byte = lambda at: F.conv(F.hex(F.expr(f"substring(word, greatest(length(word) - 1, 1) + {at}, 1)")), 16, 10).cast("long")
-    k = (byte(0) * 31 + F.coalesce(F.when(F.length("word") > 1, byte(1)), F.lit(0)) * 7 + F.least(F.length("word"), F.lit(2))) % BUCKETS + CLASS_WORDS + 1
-    own = counts.sparkSession.createDataFrame([(w,) for w in [*classed, END]], "word binary")  # CLASS_WORDS + 1 rows
-    rest = counts.join(F.broadcast(own), "word", "left_anti").groupBy(k.cast("int").alias("k")).agg(F.sum("c"), F.count("*")).collect()
-    total = counts.agg(F.sum("c"), F.count("*")).collect()[0]
-    return Vocabulary(head, {r[0]: (r[1], r[2]) for r in rest}, total[0], total[1])
+    k = (byte(0) * 31 + F.coalesce(F.when(F.length("word") > 1, byte(1)), F.lit(0)) * 7 + F.least(F.length("word"), F.lit(2))) % BUCKETS
+    k = F.when(F.col("word") == F.lit(END), F.lit(-1)).otherwise(k)
+    buckets = {r.k: (r.n, r.v) for r in counts.groupBy(k.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    tokens, words = (sum(x[i] for x in buckets.values()) for i in (0, 1))
+    # the least step of a logarithmic scale of counts from which on there are at most HEAD words, and of the step below as many parts by a hash as still fit
+    step, tie = F.floor(64 * F.log2("c")), F.pmod(F.xxhash64("word"), F.lit(TIES))
+    rest = counts.where(F.col("word") != F.lit(END))
+    room, least, edge, parts = HEAD, None, None, 0
+    for r in sorted(rest.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):
+        if r["count"] > room:
+            edge = r.s
+            break
+        room, least = room - r["count"], r.s
+    if edge is not None:
+        sizes = {r.t: r["count"] for r in rest.where(step == edge).groupBy(tie.alias("t")).count().collect()}
+        while parts < TIES and sizes.get(parts, 0) <= room:
+            room -= sizes.get(parts, 0)
+            parts += 1
+    taken = F.col("word") == F.lit(END)
+    if least is not None:
+        taken = taken | (step >= least)
+    if parts:
+        taken = taken | ((step == edge) & (tie < parts))
+    head = sorted(((bytes(r.word), r.c) for r in counts.where(taken).collect()), key=lambda x: (-x[1], x[0]))  # HEAD + 1 rows at most
+    return Vocabulary(head, buckets, tokens, words)
+
+
+def _sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that occur, the sum of the gradients of each, and how often it occurs."""
+    order = np.argsort(rows)
+    ordered = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(gradient[order], starts, axis=0), np.diff(np.append(starts, len(rows)))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Model:
-    """Position-wise context embeddings, output vectors and biases."""
+    """Position-wise context embeddings, and output vectors of classes and of the words in groups. The last column of outputs is a bias; that of contexts is fixed, so that they add up to 1 there."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, v: Vocabulary):
         rng = np.random.Generator(np.random.PCG64(11))
-        self.first, self.second, self.out = (rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32) for _ in range(3))
-        share = (vocabulary.size + SMOOTH) / (vocabulary.size + SMOOTH).sum()
-        self.noise = share
-        self.bias = np.log(share).astype(np.float32)
-        self.speed = [np.full(CLASSES, 1e-2, np.float32) for _ in range(4)]
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([self.first.ravel(), self.second.ravel(), self.out.ravel(), self.bias])
-
-    def load(self, v: np.ndarray) -> None:
-        n = CLASSES * DIM
-        self.first, self.second, self.out = (v[i * n : (i + 1) * n].reshape(CLASSES, DIM).astype(np.float32) for i in range(3))
-        self.bias = v[3 * n :].astype(np.float32)
-
-    def learn(self, one: np.ndarray, two: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
-        """A step of noise-contrastive estimation: the tokens against NOISE noise classes that the minibatch shares."""
-        noise = rng.choice(CLASSES, NOISE, p=self.noise)
-        context = self.first[one] + self.second[two]
-        offset = np.log(NOISE * self.noise).astype(np.float32)
-        own = (context * self.out[token]).sum(axis=1) + self.bias[token] - offset[token]
-        other = context @ self.out[noise].T + (self.bias[noise] - offset[noise])
-        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))
-        g_other = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        g_context = g_own[:, None] * self.out[token] + g_other @ self.out[noise]
-        self._step(2, self.out, np.concatenate([token, noise]), np.concatenate([g_own[:, None] * context, g_other.T @ context]))
-        self._step(0, self.first, one, g_context)
-        self._step(1, self.second, two, g_context)
-        self._step(3, self.bias, np.concatenate([token, noise]), np.concatenate([g_own, g_other.sum(axis=0)]))
-
-    def _step(self, which: int, values: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """Adagrad with one speed a row, over the summed gradient of each row."""
-        order = np.argsort(rows, kind="stable")
-        sorted_rows = rows[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        total = np.add.reduceat(gradient[order], starts, axis=0)
-        at = sorted_rows[starts]
-        square = (total * total).mean(axis=1) if total.ndim == 2 else total * total
-        self.speed[which][at] += square
-        pace = RATE / np.sqrt(self.speed[which][at])
-        values[at] += (pace[:, None] if total.ndim == 2 else pace) * total
-
-
-def contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class before each token and the one before that; texts are separate."""
-    n = len(classes)
+        self.edges = v.edges
+        inside = v.place_count + SMOOTH
+        whole = np.add.reduceat(inside, v.edges[:-1]) if len(inside) else inside
+        shares = [(v.mass + SMOOTH) / (v.mass + SMOOTH).sum(), inside / np.repeat(whole, np.diff(v.edges))]
+        self.share = {2: shares[0], 3: shares[1]}  # of classes among all, and of words in their groups
+        self.parts = [(0.1 * rng.standard_normal((n, DIM + 1))).astype(np.float32) for n in (v.rows, v.rows, v.classes, len(inside))]
+        for p, last in zip(self.parts, (1.0, 0.0, np.log(shares[0]), np.log(shares[1])), strict=True):
+            p[:, DIM] = last
+
+    def begin(self) -> None:
+        """Make ready for learning: the start, the speeds and how often each row was met."""
+        self.start = [p.copy() for p in self.parts]
+        self.speed = [np.full((len(p), 2), 1e-2, np.float32) for p in self.parts]  # of vectors and of biases
+        self.met = [np.zeros(len(p), np.float32) for p in self.parts]
+        self.offset = {k: np.log(n * self.share[k]).astype(np.float32) for k, n in ((2, NOISE), (3, GROUP_NOISE))}
+
+    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.parts[0][one] + self.parts[1][two]
+
+    def learn(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray, rng: np.random.Generator) -> None:
+        """Noise-contrastive estimation over some tokens: the classes in minibatches, then the words of each group."""
+        order = rng.permutation(len(classes))
+        for at in range(0, len(order), MINIBATCH):
+            some = order[at : at + MINIBATCH]
+            noise = rng.choice(len(self.share[2]), NOISE, p=self.share[2])
+            self._contexts(one[some], two[some], self._against(2, self.context(one[some], two[some]), classes[some], noise))
+        held, waiting = [], 0
+        for low, high, some in self._by_group(places):
+            noise = low + rng.choice(high - low, GROUP_NOISE, p=self.share[3][low:high])
+            held.append((some, self._against(3, self.context(one[some], two[some]), places[some], noise)))
+            waiting += len(some)
+            if waiting >= MINIBATCH:
+                self._all_contexts(held, one, two)
+                held, waiting = [], 0
+        self._all_contexts(held, one, two)
+
+    def _by_group(self, places: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each group that occurs its first place, the one behind its last, and which tokens are in it."""
+        own = np.flatnonzero(places >= 0)
+        own = own[np.argsort(places[own])]
+        bounds = np.searchsorted(places[own], self.edges)
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            yield int(self.edges[g]), int(self.edges[g + 1]), own[bounds[g] : bounds[g + 1]]
+
+    def _all_contexts(self, held: list, one: np.ndarray, two: np.ndarray) -> None:
+        if held:
+            some = np.concatenate([x[0] for x in held])
+            self._contexts(one[some], two[some], np.concatenate([x[1] for x in held]))
+
+    def _contexts(self, one: np.ndarray, two: np.ndarray, slope: np.ndarray) -> None:
+        slope[:, DIM] = 0
+        self._step(0, one, slope)
+        self._step(1, two, slope)
+
+    def _against(self, which: int, context: np.ndarray, token: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """One step of the output vectors: the tokens against noise that they share; returns the slope for the contexts."""
+        own, other, offset = self.parts[which][token], self.parts[which][noise], self.offset[which]
+        g_own = 1 - _sigmoid((context * own).sum(axis=1) - offset[token])
+        g_other = -_sigmoid(context @ other.T - offset[noise])
+        slope = g_own[:, None] * own
+        slope += g_other @ other
+        self._step(which, np.concatenate([token, noise.astype(token.dtype)]), np.concatenate([g_own[:, None] * context, g_other.T @ context]))
+        return slope
+
+    def _step(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Adagrad with one speed a vector and one a bias, over the summed gradient of each row."""
+        at, total, often = _sums(rows, gradient)
+        speed = self.speed[which][at]
+        square = total * total
+        speed[:, 0] += square[:, :DIM].mean(axis=1)
+        speed[:, 1] += square[:, DIM]
+        self.speed[which][at] = speed
+        pace = RATE / np.sqrt(speed)
+        total[:, :DIM] *= pace[:, :1]
+        total[:, DIM] *= pace[:, 1]
+        self.parts[which][at] += total
+        self.met[which][at] += often
+
+    def changes(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """For each block of rows its number, the rows in it that were met, how often, and what changed."""
+        for which, p in enumerate(self.parts):
+            for low in range(0, len(p), BLOCK):
+                rows = np.flatnonzero(self.met[which][low : low + BLOCK])
+                if len(rows):
+                    change = p[low + rows] - self.start[which][low + rows]
+                    yield which << 24 | low // BLOCK, rows.astype(np.int16).tobytes(), self.met[which][low + rows].tobytes(), change.astype(np.float16).tobytes()
+
+    def apply(self, number: int, rows: bytes, change: bytes) -> None:
+        which, low = number >> 24, (number & 0xFFFFFF) * BLOCK
+        at = low + np.frombuffer(rows, np.int16).astype(np.int64)
+        self.parts[which][at] += np.frombuffer(change, np.float16).reshape(len(at), -1).astype(np.float32)
+
+    def log_probability(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the normalised probability of each token's class and, in groups, of the word."""
+        out = np.zeros(len(classes))
+        for at in range(0, len(classes), 2048):
+            part = slice(at, at + 2048)
+            out[part] = _log_softmax(self.context(one[part], two[part]), self.parts[2], classes[part])
+        for low, high, own in self._by_group(places):
+            for at in range(0, len(own), 2048):
+                some = own[at : at + 2048]
+                out[some] += _log_softmax(self.context(one[some], two[some]), self.parts[3][low:high], places[some] - low)
+        return out
+
+
+def _log_softmax(context: np.ndarray, vectors: np.ndarray, token: np.ndarray) -> np.ndarray:
+    scores = context @ vectors.T
+    own = scores[np.arange(len(token)), token].astype(float)
+    top = 0.0
+    if not -60 < float(scores.min()) <= float(scores.max()) < 60:
+        top = scores.max(axis=1, keepdims=True)
+        scores -= top
+        top = top[:, 0].astype(float)
+    return own - top - np.log(np.exp(scores, out=scores).sum(axis=1).astype(float))
+
+
+def contexts(rows: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context row before each token and the one before that; texts are separate, and begin as after an end."""
+    n = len(rows)
     starts = np.cumsum(lengths) - lengths
-    one, two = np.full(n, _START), np.full(n, _START)
-    one[1:] = classes[:-1]
-    two[2:] = classes[:-2]
-    one[starts] = _START
-    two[starts] = _START
-    second = starts[lengths > 1] + 1
-    two[second] = _START
+    one, two = np.full(n, start, rows.dtype), np.full(n, start, rows.dtype)
+    one[1:] = rows[:-1]
+    two[2:] = rows[:-2]
+    one[starts] = start
+    two[starts] = start
+    two[starts[lengths > 1] + 1] = start
     return one, two
 
 
@@ -189,80 +319,47 @@ def _tokens(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-def train_model(train: DataFrame, vocab, start: Model) -> Model:
-    """The average, weighted by tokens, of what the tasks learn. A task's parameters are rows (block, weight, values); blocks are averaged in two steps, so no task gathers those of all others at once."""
-    blocks, spark = 64, train.sparkSession
+def train_model(train: DataFrame, vocab) -> Model:
+    """The start, moved by what the tasks learn: for each row of parameters the mean change, weighted by how often the tasks met it.
+
+    Blocks of rows are averaged in two steps, so no task gathers those of all others at once."""
+    model = Model(vocab.value)
     if not vocab.value.tokens:
-        return start
-    sent = spark.sparkContext.broadcast(start)
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        model, rng, seen = Model(v), np.random.Generator(np.random.PCG64(5)), 0
-        model.load(sent.value.vector())
+        own, rng, seen = Model(v), np.random.Generator(np.random.PCG64(5)), 0
+        own.begin()
         for batch in batches:
             for part in slices(batch, "text"):
                 words, lengths = _tokens(part)
-                _, classes = v.look_up(words)
-                one, two = contexts(classes, lengths)
-                order = rng.permutation(len(classes))
-                for at in range(0, len(order), MINIBATCH):
-                    some = order[at : at + MINIBATCH]
-                    model.learn(one[some], two[some], classes[some], rng)
+                at, classes, rows = v.look_up(words)
+                one, two = contexts(rows, lengths, v.end_row)
+                own.learn(one, two, classes, v.place_of[at], rng)
                 seen += len(classes)
-        values = np.array_split(model.vector(), blocks)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, TaskContext.get().partitionId() % 64, np.int32)), pa.array(np.full(blocks, float(seen))), pa.array(list(values), pa.list_(pa.float32()))], ["block", "part", "weight", "v"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, weight, total = None, 0.0, None
-        for batch in batches:
-            for key, w, v in zip(batch.column(0).to_pylist(), batch.column("weight").to_pylist(), batch.column("v"), strict=True):
-                x = v.values.to_numpy().astype(float) * w
-                first, weight, total = key, weight + w, x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))], ["block", "weight", "v"])
-
-    schema = "block int, weight double, v array<float>"
-    learnt = train.select("text").mapInArrow(run, "block int, part int, weight double, v array<float>")
-    partly = learnt.groupBy("block", "part").applyInArrow(lambda t: pa.Table.from_batches(list(average(iter(t.to_batches())))), schema)
-    rows = partly.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(average(iter(t.to_batches())))), schema).collect()  # `blocks` rows
-    if rows:
-        start.load(np.concatenate([np.array(r.v, np.float32) for r in sorted(rows, key=lambda r: r.block)]))
-    return start
-
-
-def log_partition(spark, model: Model) -> np.ndarray:
-    """log Z of every context (class before, class before that), by matrix products on the executors; CLASSES^2 floats come back."""
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        far = m.second @ m.out.T + m.bias
-        for batch in batches:
-            for one in batch.column("id").to_pylist():
-                scores = far + m.out @ m.first[one]
-                top = scores.max(axis=1)
-                z = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([z.astype(np.float32)], pa.list_(pa.float32()))], ["id", "z"])
-
-    rows = spark.range(0, CLASSES, 1, 16).mapInArrow(run, "id bigint, z array<float>").collect()
-    out = np.zeros((CLASSES, CLASSES), np.float32)
-    for r in rows:
-        out[r.id] = r.z
-    return out
-
-
-class Scorer:
-    """Tables from which a token's normalised log probability is three look-ups."""
-
-    def __init__(self, model: Model, log_z: np.ndarray):
-        self.near = (model.first @ model.out.T).astype(np.float32)
-        self.far = (model.second @ model.out.T + model.bias).astype(np.float32)
-        self.log_z = log_z
-
-    def log_probability(self, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> np.ndarray:
-        return self.near[one, token].astype(float) + self.far[two, token] - self.log_z[one, two]
+            part_number = np.int32(TaskContext.get().partitionId() % 64)
+            for number, rows, met, change in own.changes():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part_number], pa.int32()), pa.array([rows], pa.binary()), pa.array([met], pa.binary()), pa.array([change], pa.binary())], ["block", "part", "rows", "met", "change"])
+
+    def average(t: pa.Table) -> pa.Table:
+        met, total = np.zeros(BLOCK), None
+        for rows, often, change in zip(*(t.column(c).to_pylist() for c in ("rows", "met", "change")), strict=True):
+            at, w = np.frombuffer(rows, np.int16), np.frombuffer(often, np.float32).astype(float)
+            x = np.frombuffer(change, np.float16).reshape(len(at), -1).astype(float)
+            total = np.zeros((BLOCK, x.shape[1])) if total is None else total
+            met[at] += w
+            total[at] += w[:, None] * x
+        at = np.flatnonzero(met)
+        mean = (total[at] / met[at, None]).astype(np.float16)
+        return pa.table({"block": t.column("block")[:1], "rows": pa.array([at.astype(np.int16).tobytes()], pa.binary()), "met": pa.array([met[at].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
+
+    schema = "block int, rows binary, met binary, change binary"
+    learnt = train.select("text").mapInArrow(run, "block int, part int, rows binary, met binary, change binary")
+    for r in learnt.groupBy("block", "part").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema).select("block", "rows", "change").collect():  # one row a block; their number is bounded by HEAD
+        model.apply(r.block, bytes(r.rows), bytes(r.change))
+    return model
 
 
 def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 = 0") -> DataFrame:
@@ -272,23 +369,21 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
     train = rows.where("not held_out")
     counts = keep(word_counts(train), "counts")
     vocab = spark.sparkContext.broadcast(vocabulary(counts))
-    model = train_model(train, vocab, Model(vocab.value))
-    scorer = spark.sparkContext.broadcast(Scorer(model, log_partition(spark, model)))
+    learnt = spark.sparkContext.broadcast(train_model(train, vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, s = vocab.value, scorer.value
-        base = np.log10(v.count + SMOOTH)
+        v, model = vocab.value, learnt.value
+        base = np.append(np.log10(v.count + SMOOTH), 0.0)
         inner = np.log10(np.where(v.inner > 0, v.inner, 1.0))
         for batch in batches:
             for part in slices(batch, "text"):
                 words, lengths = _tokens(part)
-                at, classes = v.look_up(words)
-                one, two = contexts(classes, lengths)
-                p = s.log_probability(one, two, classes) / np.log(10)
+                at, classes, context_rows = v.look_up(words)
+                one, two = contexts(context_rows, lengths, v.end_row)
+                p = model.log_probability(one, two, classes, v.place_of[at]) / np.log(10)
                 known = at >= 0
-                c = np.where(known, base[at] if len(base) else 0.0, 0.0)
-                inside = classes > CLASS_WORDS
-                p += np.where(inside, c - inner[classes], 0.0)
+                c = base[at]  # 0 for words that aren't in the head
+                p += np.where((classes >= v.first_bucket) & (classes < v.first_group), c - inner[classes], 0.0)
                 starts = np.cumsum(lengths) - lengths
                 tails = [[] for _ in range(len(lengths))]
                 doc = np.repeat(np.arange(len(lengths)), lengths)
