@@ -10,7 +10,9 @@ import numpy as np
 
 from tessera.llm._bytes import ragged
 
-MOST_PIECES = 1_000_000
+MOST_PIECES = 600_000
+MOST_BYTES = 48 << 20  # of the pieces and their ids, about
+FLUSH = 4 << 20  # characters of pieces that wait for being encoded
 SEGMENT = 1 << 20  # characters of a long text that are looked at together
 _INNER_EDGE = re.compile(r"\S(?=\x20)")
 
@@ -25,12 +27,12 @@ class PieceMemo:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.flat, self.used, self.bytes = np.zeros(1 << 18, np.uint32), 0, 0
 
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and the number of ids of each piece."""
         new = list(set(pieces).difference(self.at))
-        if new and len(self.at) + len(new) > self.most and self.at:
+        if new and self.at and (len(self.at) + len(new) > self.most or self.bytes > MOST_BYTES):
             self.clear()
             new = list(set(pieces))
         if new:
@@ -43,6 +45,7 @@ class PieceMemo:
             self.start[k : k + m] = self.used + np.cumsum(lengths) - lengths
             self.length[k : k + m] = lengths
             self.used += total
+            self.bytes += 4 * total + sum(map(len, new))
             self.at.update(zip(new, range(k, k + m), strict=True))
         which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.length[which]
@@ -55,6 +58,8 @@ class PieceMemo:
         size: list[int] = []
         pieces: list[str] = []
 
+        waiting = 0
+
         def flush() -> None:
             ids, lengths = self.ids(pieces)
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *size])]
@@ -68,8 +73,10 @@ class PieceMemo:
             owner.append(d)
             size.append(len(more))
             pieces += more
-            if len(pieces) > 200_000:
+            waiting += sum(map(len, more))
+            if len(pieces) > 200_000 or waiting > FLUSH:
                 flush()
+                waiting = 0
         flush()
         return out
 

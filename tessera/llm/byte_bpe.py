@@ -2,11 +2,14 @@
 
 Bytes are mapped to Latin-1 characters for an Aho-Corasick automaton over the vocabulary; one pass over a pre-token gives the longest
 token at each byte. From these the encoder goes forward, falls back to shorter tokens where two neighbours are not compatible, and
-backtracks where no token fits; a bit for each byte makes sure that no place is tried twice. Two tokens are compatible if merging their
+backtracks where no token fits; a mark for each byte makes sure that no place is tried twice, so the time grows in proportion to the length. Two tokens are compatible if merging their
 bytes by the ranks would give just these two; that is found by undoing merges at the seam, and memoised. The result equals applying the
 merges in rank order.
 
-Defined results: null is the empty text; an empty text has no tokens. Lone surrogates cannot occur in Spark strings."""
+Memos are bounded by entries and by bytes: pre-tokens of more than LONG characters aren't kept.
+
+Defined results: null is the empty text; an empty text has no tokens. Rows, also repeated ones and those without doc_id (which stays null), are encoded each on its own. Lone surrogates
+cannot occur in Spark strings. An empty table gives none."""
 
 from __future__ import annotations
 
@@ -25,7 +28,8 @@ from tessera.llm._bytes import slices
 from tessera.llm._memo import PieceMemo, segments
 
 _AWKWARD = regex.compile(r"\s\x20|\s\Z")
-MOST_WORDS = 1_000_000  # of the memo of pre-tokens
+MOST_WORDS = 300_000  # of the memo of pre-tokens
+LONG = 48
 MOST_SEAMS = 2_000_000  # of the memo of compatible neighbours
 _PIECE = regex.compile(r"\s*\S+|\s+")
 
@@ -92,11 +96,11 @@ class Encoder:
         for end, (back, rank) in self.automaton.iter(word.decode("latin-1")):
             longest[end - back] = rank  # ends only grow, so the longest token of a start comes last
         out: list[int] = []
-        blocked = None
+        closed = bytearray(n)  # places from which no way leads to the end
         at, token = 0, longest[0]
         while True:
             end = at + size[token]
-            ok = blocked is None or end not in blocked
+            ok = end == n or not closed[end]
             if ok and out:
                 ok = seam(key := out[-1] << 32 | token)
                 if ok is None:
@@ -111,7 +115,7 @@ class Encoder:
                 continue
             shorter = prefix[token]
             while shorter is None:  # nothing fits here: this place is closed, and the token before is shortened
-                blocked = {*(blocked or ()), at}
+                closed[at] = 1
                 token = out.pop()
                 at -= size[token]
                 shorter = prefix[token]
@@ -126,7 +130,9 @@ class Encoder:
             for word in find(piece):
                 got = words.get(word)
                 if got is None:
-                    got = words[word] = self.encode_word(word.encode())
+                    got = self.encode_word(word.encode())
+                    if len(word) <= LONG:
+                        words[word] = got
                 ids += got
             out.append(ids)
         return out
