@@ -9,7 +9,8 @@ these as soft labels a logistic span classifier over kind and votes is trained,
 Only DataFrame expressions are used; the two fits are plain arithmetic over the counted patterns.
 
 Defined results: null is the empty text. Spans are code points, end exclusive. Candidates that overlap a base span, or a candidate of a kind listed before,
-are not added again. Without any candidate the classifier accepts none."""
+are not added again. Without any candidate the classifier accepts none. Rows, also repeated ones and those without doc_id (which stays null), are searched each on its own. An empty table
+gives none."""
 
 from __future__ import annotations
 
@@ -18,8 +19,8 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._native import let, matches
-from tessera.llm._tables import keep
+from tessera.llm._native import chunks, count_below, cut, let, matches, most_before
+from tessera.llm._tables import keep, rolled, unrolled
 
 #: Base kinds in their order, with patterns that match what the plain ones do, but can't backtrack: a run of characters is taken whole
 #: (possessive), and begins where it isn't preceded by one of its own, unless the last match ended there.
@@ -54,6 +55,7 @@ _GAZETTEER = {
     "secret": None,
 }
 ROUNDS = 60
+FEW = 32  # spans up to which each candidate is held against all of them
 ACCEPT = 0.5
 
 
@@ -108,6 +110,14 @@ def _votes(kind: str, strict: bool, s: Column) -> Column:
     return F.array(regex, gazetteer, context, shape, _vote(~joined, joined)).cast("array<int>")
 
 
+def _apart(more: Column, held: Column) -> Column:
+    """The spans of more that overlap none that is held: as many of these begin before their ends as end before their starts."""
+    edges = lambda name: F.array_sort(F.transform(held, lambda y: y[name]))
+    few = F.filter(more, lambda x: ~F.exists(held, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
+    many = let(edges("start"), lambda starts: let(edges("stop"), lambda stops: F.filter(more, lambda x: count_below(starts, x["stop"], False) == count_below(stops, x["start"], True))))
+    return F.when(F.size(held) <= FEW, few).otherwise(many)
+
+
 _SPAN = "array<struct<start:int,kind:int,stop:int,base:boolean,votes:array<int>>>"
 
 
@@ -129,8 +139,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     out = docs.withColumn("spans", F.concat(*[spans(k, k, p, True) for k, p in BASE.items()]))
     for name, (pattern, kind) in LOOSE.items():
-        apart = F.filter("_more", lambda x: ~F.exists("spans", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-        out = out.withColumn("_more", spans(name, kind, pattern, False)).withColumn("spans", F.when(F.size("_more") > 0, F.concat("spans", apart)).otherwise(F.col("spans"))).drop("_more")
+        out = out.withColumn("_more", spans(name, kind, pattern, False)).withColumn("spans", F.when(F.size("_more") > 0, F.concat("spans", _apart(F.col("_more"), F.col("spans")))).otherwise(F.col("spans"))).drop("_more")
     return out.withColumn("spans", F.array_sort("spans"))
 
 
@@ -223,20 +232,20 @@ def found(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every accepted span of text replaced by its kind in angle brackets, and n_chars made to fit; other columns as they are.
 
-    Where accepted spans overlap, what they cover together is gone and each is named once."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
-    table = keep(with_candidates(named).select("own", "spans"), "candidates")  # with the texts, so that they are searched once
+    Where accepted spans overlap, what they cover together is gone and each is named once. A null text stays null. The new text is joined from what lies between the spans, which is taken from pieces of the
+    text, so a long text with many spans takes time in proportion."""
+    table = keep(with_candidates(rolled(docs)), "candidates")  # with the texts, so that they are searched once
     model = fit(table.select("spans"))
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    whole = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("name"))
-    # reach: the furthest stop so far; the text between two spans is what lies between the reach of the one before and the start of the next
     held = table.withColumn("spans", accepted(F.col("spans"), model))
 
-    def step(a: Column, s: Column) -> Column:
-        plain = F.substring(F.col("own.text").cast("string"), a["stop"] + 1, F.greatest(s["start"] - a["stop"], F.lit(0)))
-        return F.struct(s["start"].alias("start"), F.greatest(a["stop"], s["stop"]).alias("stop"), F.concat(a["name"], plain, F.element_at(kinds, s["kind"] + 1)).alias("name"))
+    def joined(pieces: Column, reach: Column) -> Column:
+        # reach: the furthest stop before each span; what stays is between it and the span's start
+        between = F.transform("spans", lambda s, i: F.concat(cut(pieces, F.get(reach, i), s["start"]), F.element_at(kinds, s["kind"] + 1)))
+        last = cut(pieces, F.array_max(F.transform("spans", lambda s: s["stop"])), F.char_length("text"))
+        return F.concat(F.array_join(between, ""), last)
 
-    cut = F.aggregate("spans", whole, step, lambda a: F.concat(a["name"], F.substring(F.col("own.text").cast("string"), a["stop"] + 1, F.char_length(F.col("own.text").cast("string")))))
-    done = held.withColumn("new", F.when(F.size("spans") > 0, cut).otherwise(F.col("own.text").cast("string")))
-    out = {"text": F.col("new").alias("text"), "n_chars": F.char_length("new").cast("bigint").alias("n_chars")}
-    return done.select(*[out.get(c, F.col("own").getField(c).alias(c)) for c in docs.columns])
+    stops = F.transform("spans", lambda s: s["stop"])
+    new = let(chunks(F.col("text")), lambda pieces: let(most_before(stops), lambda reach: joined(pieces, reach)))
+    done = held.withColumn("new", F.when(F.size("spans") > 0, new).otherwise(F.col("text")))
+    return unrolled(done, docs, text=F.col("new"), n_chars=F.char_length("new").cast("bigint"))
