@@ -6,15 +6,17 @@ D of the positions the bitmaps' XOR has about SKETCH_BITS / 2 * (1 - exp(-4 D /
 estimates high similarities closely. The estimate only discards candidates that are far below the threshold. A second parity bitmap, of SET_BITS bits, folds the whole
 shingle set: the ones in the XOR of two such bitmaps can't exceed the size of the symmetric difference, so more than
 (|A| + |B|) (1 - t) / (1 + t) ones prove a similarity below t. This bound never discards a link, and leaves few pairs below the threshold.
-Every link is confirmed on the full shingle sets.
+Every link is confirmed on the full shingle sets, as sets of 64-bit hashes of the shingles; n_shingles counts these.
 
 Equal sets are one class from the start, and only the smallest doc_id of a class goes further. Within a band key, all rows first meet
 the smallest one alone (a star, counted before it is shuffled). What confirmed stars join is one component; only in buckets that still hold several
-components are further pairs looked for, block against block, and only across components. So a bucket with a third of all rows
-costs about one pair a row, and yet no candidate is left out.
+components are further pairs looked for, block against block, and only across components: no block of the bucket's largest component meets another block of it. So a bucket with a third of
+all rows costs about one pair a row and for each block of the others, and yet no candidate is left out. Bands of more than HOT rows, of which there can't be more than a fixed number, are
+joined by broadcast where they stand; all others are small. The texts of documents that share a band are fetched once.
 
 Defined results: null or empty texts and texts of separators only have n_shingles 0 and stand alone. A null doc_id stands alone with
-component_id null and kept true. Rows that repeat a doc_id with the same text share its class, and each is returned."""
+component_id null and kept true. Rows that repeat a doc_id with the same text share its class, and each is returned; where texts under one doc_id differ, the doc_id links what either links.
+An empty table gives none. keep_one() goes by rows, not by doc_id."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import Words, mix, slices
-from tessera.llm._tables import keep
+from tessera.llm._tables import forget, keep, rolled, unrolled
 
 ROWS = 4
 BANDS = 32
@@ -36,6 +38,8 @@ SKETCH_BITS = 512
 SET_BITS = 2048
 SMALL = 64  # rows of a bucket up to which it is joined with itself
 BLOCK = 4096  # rows of a bucket that one task compares with as many others
+HOT = 20_000  # rows of a band from which on it is joined by broadcast
+MOST_HOT = 100_000  # bands that are broadcast, at most
 MISS_SIGMAS = 6.0
 
 _GEN = np.random.Generator(np.random.PCG64(77))
@@ -167,7 +171,8 @@ def components(links: DataFrame) -> DataFrame:
     joined. By turns the order is that of the ids, which shrinks a star around its smallest id to a point at once, and one dealt anew, which shrinks
     chains by a constant share."""
     edges, turn, steps = keep(links.where("a <> b").select("a", "b").distinct(), "edges"), 0, []
-    names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    names = keep(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")), "names")
+    begun = names
     while edges.take(1):
         order = (lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), c.alias("v"))) if turn % 2 else (lambda c: F.struct(F.lit(0).alias("h"), c.alias("v")))  # noqa: B023, E731
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
@@ -175,12 +180,15 @@ def components(links: DataFrame) -> DataFrame:
         to = keep(both.groupBy("v").agg(first.alias("m")).select("v", F.col("m")["v"].alias("to")), "join")
         steps.append(to)
         x, y = to.toDF("a", "x"), to.toDF("b", "y")
-        edges = keep(edges.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, edges = edges, keep(edges.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        forget(before)
         turn += 1
     for to in steps:
         names = names.join(to, names.comp == to.v, "left").select("id", F.coalesce("to", "comp").alias("comp"))
     least = names.groupBy("comp").agg(F.min("id").alias("least"))
-    return names.join(least, "comp").select("id", F.col("least").alias("comp"))
+    out = keep(names.join(least, "comp").select("id", F.col("least").alias("comp")), "components")
+    forget(edges, begun, *steps)
+    return out
 
 
 def _near(x: str, y: str, size_x: str, size_y: str, most: int, percent: int) -> F.Column:
@@ -190,6 +198,14 @@ def _near(x: str, y: str, size_x: str, size_y: str, most: int, percent: int) ->
     return (ones(range(head)) <= most) & (ones(range(head, head + SET_BITS // 64)) * (100 + percent) <= (F.col(size_x) + F.col(size_y)) * (100 - percent))
 
 
+def _by_band(rows: DataFrame, bands: DataFrame, hot: DataFrame, names: list[str]) -> DataFrame:
+    """rows joined with bands (one row a band) on band. hot: the bands whose many rows must not meet in one task, MOST_HOT at most."""
+    few = F.broadcast(hot.select("band"))
+    there = rows.join(F.broadcast(bands.join(few, "band", "left_semi")), "band")
+    others = rows.join(few, "band", "left_anti").join(bands.join(few, "band", "left_anti"), "band")
+    return there.select(*names).unionByName(others.select(*names))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -200,49 +216,74 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = keep(full.join(classes, key).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["rep", "bands"]), "representatives")
     band = reps.select("rep", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
-    buckets = keep(band.join(shared, "band"), "buckets")
+    shared = keep(band.groupBy("band").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"), "bands")
+    # with rows * BANDS rows in all, no more than MOST_HOT bands can hold more than this
+    hot = keep(shared.where(F.col("rows") > max(HOT, reps.count() * BANDS // MOST_HOT)).select("band"), "hot")
+    buckets = keep(_by_band(band, shared, hot, ["band", "rep", "rows", "hub"]), "buckets")
     sketches = reps.select("rep", "n", "sketch")
     most = most_ones(percent)
+    held = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    held = keep(texts.join(held.hint("merge"), "doc_id", "left_semi"), "texts")  # never broadcast: the ids grow with the input
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(sketches.toDF("a", "n_a", "x"), "a").join(sketches.toDF("b", "n_b", "y"), "b").where(_near("x", "y", "n_a", "n_b", most, percent)).select("a", "b").distinct()
-    checked = confirmed(keep(stars, "pairs"), texts, size, percent)
+    checked = confirmed(stars, held, size, percent)
     comp = None
     for best_only in (True, False):
         if comp is None:
-            comp = keep(components(checked.where("linked")), "components")
-            labelled = buckets.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", "rows", F.coalesce("comp", "rep").alias("comp"))
-            mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-            rows = keep(labelled.join(mixed, "band").join(sketches, "rep"), "mixed")
+            comp = components(checked.where("linked"))
+            labelled = keep(buckets.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", "rows", F.coalesce("comp", "rep").alias("comp")), "labelled")
+            rows = keep(_mixed(labelled, hot).join(sketches, "rep"), "mixed")
+            forget(labelled)
         small, large = rows.where(F.col("rows") <= SMALL), rows.where(F.col("rows") > SMALL)
         left, right = (small.select("band", F.col("rep").alias(f"{n}"), F.col("comp").alias(f"comp_{n}"), F.col("sketch").alias(f"sketch_{n}"), F.col("n").alias(f"n_{n}")) for n in "ab")
         found = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near("sketch_a", "sketch_b", "n_a", "n_b", most, percent)).select("a", "b")
-        dealt = large.withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-        found = found.union(dealt.groupBy("band", "lo", "hi").applyInPandas(across(most, percent, best_only), "a bigint, b bigint")).distinct()
+        found = found.union(_dealt(large).groupBy("band", "lo", "hi").applyInPandas(across(most, percent, best_only), "a bigint, b bigint")).distinct()
         fresh = keep(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if fresh.take(1):
-            checked = checked.unionByName(confirmed(fresh, texts, size, percent))
+            checked = checked.unionByName(confirmed(fresh, held, size, percent))
+            forget(rows, comp, fresh)
             comp = None
         elif not large.take(1):  # small buckets are exhausted by either pass; in large ones a nearest pair that failed may hide others
             break
     if comp is None:
-        comp = keep(components(checked.where("linked")), "components")
+        comp = components(checked.where("linked"))
+    forget(buckets, shared, hot, held, rows, reps)
     member = signed.select("doc_id", *key).join(classes, key, "left").join(comp, F.col("rep") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _mixed(labelled: DataFrame, hot: DataFrame) -> DataFrame:
+    """band, rep, rows, comp (labelled) of the buckets that hold several components, with major (whether the row is of the bucket's largest one), and n_major and n_minor, the numbers of such rows and of others."""
+    each = labelled.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    bands = each.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("n_major"), F.sum("k").alias("all"), F.count("*").alias("several")).where("several > 1")
+    out = _by_band(labelled, bands, hot, ["band", "rep", "rows", "comp", "largest", "n_major", "all"])
+    return out.select("band", "rep", "rows", "comp", (F.col("comp") == F.col("largest")).alias("major"), "n_major", (F.col("all") - F.col("n_major")).alias("n_minor"))
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """Rows of large buckets in chunks of about BLOCK, sent to each pair of chunks (lo, hi) that may hold a pair: chunks of the largest component don't meet each other."""
+    chunks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    minor, every = chunks("n_minor"), chunks("n_minor") + chunks("n_major")
+    place = F.when(F.col("major"), minor + F.pmod(F.xxhash64("rep"), chunks("n_major"))).otherwise(F.pmod(F.xxhash64("rep"), minor)).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("major"), minor).otherwise(every) - 1)
+    dealt = large.withColumn("chunk", place).withColumn("other", F.explode(others))
+    return dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "rows", "major", "n_major", "n_minor")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b, linked: the pairs judged on the full sets of their texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = keep(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")  # never broadcast: the ids grow with the input
-    joined = pairs.join(found.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    joined = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     judged = joined.select("a", "b", "text_a", "text_b").mapInArrow(confirm(size, percent), "a bigint, b bigint, linked boolean")
     return keep(judged.groupBy("a", "b").agg(F.max("linked").alias("linked")), "judged")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are alone or first (smallest doc_id) of their component, with docs' own columns. Of rows that repeat a doc_id with the same text all stay."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
+    """One row of docs, with docs' own columns, of each group of linked rows: that with the smallest doc_id (null comes last; of equal ones any). Rows are told apart by a number that is written with
+    them, so of rows that repeat a doc_id and its text one stays, and different texts under one doc_id are judged each on its own."""
+    rows = keep(rolled(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("row"), "component_id")
+    own = rows.select("row", F.col("own.doc_id").cast("bigint").alias("doc_id"))
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stay = found.join(own, "row").groupBy("component_id").agg(first.alias("row")).select("row")
+    return unrolled(rows.join(stay, "row", "left_semi"), docs)
