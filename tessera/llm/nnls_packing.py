@@ -7,9 +7,11 @@ that the histogram is met; the counts are rounded down (never above what is ther
 behind the other, cut where a window is full. The last, partial window is cut into powers of two, which need no padding.
 
 A tail's place follows from its rank among the tails of its length: a running number within the task that read it plus the counts of the tasks
-before. So nothing but histogram and plan passes through the driver, and a length that a third of all documents share is no burden.
+before. Full windows are numbered in the same way. So nothing but histogram and plan passes through the driver, and a length that a third of all documents share is no burden. The
+counts before a task, at most WINDOW numbers, are sent to each run of DEAL of its rows.
 
-Defined results: null is the empty text, which still has the end token; rows with the same or no doc_id are packed each on its own."""
+Defined results: null is the empty text, which still has the end token; rows with the same or no doc_id are packed each on its own, also repeated ones. A document of any length is cut into
+windows of which each is a sequence of its own. Tails of one length take their places in an order that depends on how the table is split. An empty table gives none."""
 
 from __future__ import annotations
 
@@ -35,7 +37,10 @@ from tessera.llm._tables import keep
 WINDOW = 4096
 END_ID = 2
 SWEEPS = 30
+SPLITS = 4  # pairs of lengths that are tried to fill up beside one of another length: the most even ones
 MOST_WORDS = 600_000  # of a worker's memo
+MOST_IDS = 4_000_000  # of these words together
+DEAL = 4096  # rows of a task that look up their ranks together
 
 
 def _byte_characters() -> list[str]:
@@ -91,7 +96,7 @@ class WordTokens:
         known = np.zeros(len(found), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == found[inside]
-        if len(self.keys) + (~known).sum() > MOST_WORDS and len(self.keys):
+        if (len(self.keys) + (~known).sum() > MOST_WORDS or len(self.flat) > MOST_IDS) and len(self.keys):
             self.clear()
             known[:] = False
         if not known.all():
@@ -137,7 +142,7 @@ def combinations(lengths: np.ndarray, window: int = WINDOW) -> list[dict[int, in
                 found.setdefault(tuple(sorted(c.items())), c)
         if (rest := window - a) > 2:
             half = np.flatnonzero(there[1 : rest // 2 + 1]) + 1
-            for b in half[there[rest - half]][-4:].tolist():  # the most even splits of the rest
+            for b in half[there[rest - half]][-SPLITS:].tolist():
                 c = {a: 1}
                 for x in (b, rest - b):
                     c[x] = c.get(x, 0) + 1
@@ -150,8 +155,6 @@ def solve(histogram: np.ndarray, patterns: list[dict[int, int]], sweeps: int = S
     left = histogram.astype(float).copy()
     x = np.zeros(len(patterns))
     rows = [(list(p), [float(k) for k in p.values()], float(sum(k * k for k in p.values()))) for p in patterns]
-    if len(rows) > 60_000:
-        sweeps = max(5, sweeps * 60_000 // len(rows))
     values = left.tolist()
     for _ in range(sweeps):
         moved = 0.0
@@ -236,10 +239,10 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(definition.value), TaskContext.get().partitionId()
-        seen, rows = np.zeros(window, np.int64), 0
+        seen, rows, windows = np.zeros(window, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                total, tail, number, tail_ids, full, full_ids = [], [], [], [], [], []
+                total, tail, number, tail_ids, full, before, full_ids = [], [], [], [], [], [], []
                 every, off = tokens.encode(part.column("text"))
                 for d in range(part.num_rows):
                     ids = np.append(every[off[d] : off[d + 1]], np.uint32(end_id)).astype("<u4")
@@ -250,16 +253,18 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
                     number.append(int(seen[n]))
                     seen[n] += 1
                     full.append([zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(whole)])
-                    full_ids.append(ids[: whole * window].astype(np.uint16).tobytes() if with_ids else b"")
+                    before.append(windows)
+                    windows += whole
+                    full_ids.append(ids[: whole * window].tobytes() if with_ids else b"")
                     tail_ids.append(ids[whole * window :].astype("<u2" if ids.max() < 65536 else "<u4").tobytes())
                 m = len(total)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(m, task, np.int64)), pa.array(np.arange(rows, rows + m)), pa.array(total, pa.int64()), pa.array(tail, pa.int32()), pa.array(number, pa.int64()), pa.array(tail_ids, pa.binary()), pa.array(full, pa.list_(pa.int64())), pa.array(full_ids, pa.binary())],
-                    ["doc_id", "task", "row", "doc_tokens", "tail", "number", "tail_ids", "full", "full_ids"],
+                    [part.column("doc_id"), pa.array(np.full(m, task, np.int64)), pa.array(np.arange(rows, rows + m)), pa.array(total, pa.int64()), pa.array(tail, pa.int32()), pa.array(number, pa.int64()), pa.array(tail_ids, pa.binary()), pa.array(full, pa.list_(pa.int64())), pa.array(before, pa.int64()), pa.array(full_ids, pa.binary())],
+                    ["doc_id", "task", "row", "doc_tokens", "tail", "number", "tail_ids", "full", "windows", "full_ids"],
                 )
                 rows += m
 
-    cut_schema = "doc_id bigint, task bigint, row bigint, doc_tokens bigint, tail int, number bigint, tail_ids binary, full array<bigint>, full_ids binary"
+    cut_schema = "doc_id bigint, task bigint, row bigint, doc_tokens bigint, tail int, number bigint, tail_ids binary, full array<bigint>, windows bigint, full_ids binary"
     tails = keep(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(cut, cut_schema), "tails")
     per_task = tails.groupBy("tail", "task").count()
     histogram = np.zeros(window, np.int64)
@@ -268,19 +273,22 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
     histogram[0] = 0
     plan = spark.sparkContext.broadcast(Plan(histogram, window))
     before = F.sum("count").over(Window.partitionBy("tail").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_task.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("tail", "before"))).alias("before"))
-    ranked = tails.join(offsets, "task").withColumn("rank", F.col("number") + F.col("before")[F.col("tail")])
+    ranks = per_task.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("tail", "before"))).alias("before"))  # `window` entries at most
+    own = tails.groupBy("task").agg(F.max(F.col("windows") + F.size("full")).alias("n"), F.floor(F.max("row") / DEAL).alias("deals"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a task
+    offsets = ranks.join(own.select("task", "deals", first.alias("first")), "task").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals")))).select("task", "deal", "before", "first")
+    ranked = tails.withColumn("deal", F.floor(F.col("row") / DEAL)).join(offsets, ["task", "deal"])
+    ranked = ranked.withColumn("rank", F.col("number") + F.col("before")[F.col("tail")]).withColumn("windows", F.col("windows") + F.col("first"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
-        first_full = p.sequences + p.full_residual + len(p.cuts)
+        first_full = p.sequences + p.full_residual + len(p.cuts) - 1
         for batch in batches:
             out: list[tuple] = []
-            for doc, task, row, total, n, rank, tail_ids, full, full_ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "task", "row", "doc_tokens", "tail", "rank", "tail_ids", "full", "full_ids")), strict=True):
+            for doc, total, n, rank, tail_ids, full, windows, full_ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "rank", "tail_ids", "full", "windows", "full_ids")), strict=True):
                 for i, crc in enumerate(full):
-                    # numbers of full windows: unique by task, row and window, behind all others
-                    sequence = first_full + (task << 40) + (row << 20) + i
-                    ids = np.frombuffer(full_ids, "<u2")[i * window : (i + 1) * window].astype(np.int32) if with_ids else None
+                    sequence = first_full + windows + i  # full windows are numbered behind all others
+                    ids = np.frombuffer(full_ids, "<u4")[i * window : (i + 1) * window].astype(np.int32) if with_ids else None
                     out.append((doc, i * window, window, crc, total, sequence, 0, ids))
                 if n:
                     ids = np.frombuffer(tail_ids, "<u2" if len(tail_ids) == 2 * n else "<u4").astype("<u4")
@@ -295,4 +303,4 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int =
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    return ranked.select("doc_id", "task", "row", "doc_tokens", "tail", "rank", "tail_ids", "full", "full_ids").mapInArrow(place, schema)
+    return ranked.select("doc_id", "doc_tokens", "tail", "rank", "tail_ids", "full", "windows", "full_ids").mapInArrow(place, schema)
