@@ -5,8 +5,12 @@ counts and the smoothed share of blocked URLs among those whose last two host la
 on the driver by plain arithmetic on a bounded sample (SAMPLE rows a class, chosen by a hash of the URL, each weighing as many rows of its class as it
 stands for, so that scores keep the true shares at every size) and become one column expression, so that judging is a scan. Only DataFrame expressions run on the executors; the suffix statistics are counted map-side into SUFFIX_BINS rows.
 
+Where no labels are given, host names with a word of UNWANTED are taken as unwanted: weak labels, which the trees carry over to other hosts by form alone. cross_validated() says how well they
+do on hosts that they haven't seen.
+
 Defined results: null and URLs without :// have an empty host and path, no rule, and are judged by the trees. Without labelled URLs of both
-classes everything that no rule fits is allowed. Repeated rows are judged each on its own."""
+classes everything that no rule fits is allowed. Repeated rows, and those without page_id (which stays null), are judged each on its own. Labelled rows with a null url or label are ignored. An
+empty table gives none."""
 
 from __future__ import annotations
 
@@ -167,13 +171,30 @@ def fit(labelled: DataFrame) -> tuple[Trees, dict[int, float]]:
     return Trees([[*r[2:], suffix[r.suffix_bin]] for r in rows], labels, (total[0] / max(drawn[0], 1), total[1] / max(drawn[1], 1))), suffix | {-1: usual}
 
 
+def _scored(rows: DataFrame, trees: Trees, suffix: dict[int, float]) -> DataFrame:
+    """rows (with url) with host, path and the trees' score, beside their other columns, which begin with none of the features' names."""
+    usual = suffix[-1]
+    known = rows.sparkSession.createDataFrame([(k, v) for k, v in suffix.items() if k >= 0] or [(-1, 0.0)], "suffix_bin int, f_suffix_share double")  # SUFFIX_BINS rows at most
+    out = with_features(with_parts(rows))
+    out = out.join(F.broadcast(known), "suffix_bin", "left").withColumn("f_suffix_share", F.coalesce("f_suffix_share", F.lit(usual)))
+    return out.withColumn("score", trees.score())
+
+
+def cross_validated(labelled: DataFrame, folds: int = 5) -> DataFrame:
+    """urls, unwanted, caught (of these) and blamed (of the others), when every URL (url, label) is judged by trees fitted on the hosts of the other folds."""
+    parts = with_parts(labelled.where("label is not null and url is not null").select("url", F.col("label").cast("int").alias("label")))
+    dealt = parts.select("url", "label", F.pmod(F.xxhash64("host"), F.lit(folds)).alias("fold"))
+    out = None
+    for k in range(folds):
+        own = _scored(dealt.where(F.col("fold") == k), *fit(dealt.where(F.col("fold") != k))).select("label", "score")
+        out = own if out is None else out.union(own)
+    bad, block = F.col("label") > 0, F.col("score") > 0.5
+    count = lambda c: F.count(F.when(c, 1))
+    return out.agg(F.count("*").alias("urls"), count(bad).alias("unwanted"), count(bad & block).alias("caught"), count(~bad & block).alias("blamed"))
+
+
 def judged(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of the trees) of every row of pages."""
-    trees, suffix = fit(seed_labels(pages) if labelled is None else labelled)
-    usual = suffix.pop(-1)
-    known = pages.sparkSession.createDataFrame(list(suffix.items()) or [(-1, 0.0)], "suffix_bin int, f_suffix_share double")  # SUFFIX_BINS rows at most
-    rows = with_features(with_parts(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")))
-    rows = rows.join(F.broadcast(known), "suffix_bin", "left").withColumn("f_suffix_share", F.coalesce("f_suffix_share", F.lit(usual)))
+    rows = _scored(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url"), *fit(seed_labels(pages) if labelled is None else labelled))
     rule, verdict = rule_of(RULES if rules is None else rules, F.col("host"), F.col("path"))
-    score = trees.score()
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
