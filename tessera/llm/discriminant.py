@@ -6,7 +6,8 @@ the Cholesky factors, which are made once and sent out. The score is the logisti
 (Mahalanobis terms and log determinants) plus the log odds of the classes.
 
 Defined results: null is the empty text, which is scored like any other (its statistics are zeros). Rows of labels with a null quality
-are ignored; if a doc_id has several labels the largest counts. If either class has no labelled row, all scores are 0.5."""
+are ignored; if a doc_id has several labels the largest counts. Rows, also repeated ones and those without doc_id (which have no label), are each scored by their own text. If either
+class has no labelled row, all scores are 0.5. An empty table gives none."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import Words, slices
-from tessera.llm._tables import keep
+from tessera.llm._tables import keep, rolled, rolled_schema, unrolled
 
 FEATURES = ["words", "word_length", "symbols", "upper", "digits", "spaces", "distinct", "top_run", "duplicate_lines", "line_words", "points", "calls", "bars", "short_words", "entropy", "repeated_pairs"]
 SHRINKAGE = 0.15
@@ -94,15 +95,17 @@ def statistics(texts: pa.Array) -> np.ndarray:
     )
 
 
+def _arrays(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), np.ascontiguousarray(x).ravel())
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and features (array of double) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = statistics(part.column("text"))
-                values = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), x.ravel())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _arrays(statistics(part.column("text")))], ["doc_id", "features"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, features array<double>")
 
@@ -163,12 +166,20 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.odds, -700, 700)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1") -> DataFrame:
+def fitted(table: DataFrame, labels: DataFrame, held_out: str):
+    """The model, sent to the executors, from the rows of table (doc_id, features) that have a label and that held_out leaves."""
+    known = labels.where("quality is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) q").groupBy("doc_id").agg(F.max("q").alias("y"))
+    train = table.where(f"doc_id is not null and not ({held_out})").select("doc_id", "features").join(known, "doc_id").select("features", "y")
+    return table.sparkSession.sparkContext.broadcast(Discriminant(moments(train)))
+
+
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+
+
+def scored(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, learnt from the labelled rows that held_out leaves."""
     table = keep(features(docs), "features")
-    known = labels.where("quality is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) q").groupBy("doc_id").agg(F.max("q").alias("y"))
-    train = table.where(f"doc_id is not null and not ({held_out})").join(known, "doc_id").select("features", "y")
-    model = docs.sparkSession.sparkContext.broadcast(Discriminant(moments(train)))
+    model = fitted(table, labels, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +190,21 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_i
     return table.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "features").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with docs' own columns. A doc_id goes if any of its rows is rejected; rows without one are judged as good."""
-    bad = scored(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id") == F.col("b.doc_id"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
+    """The rows of docs that are not rejected, with docs' own columns; each row is judged by its own text. The texts are written once beside their features, so no join is needed."""
+    rows = rolled(docs)
+
+    def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("own"), part.column("text"), _arrays(statistics(part.column("text")))], ["own", "text", "features"])
+
+    table = keep(rows.mapInArrow(with_features, rolled_schema(rows, "features array<double>")), "features")
+    model = fitted(table.select(F.col("own.doc_id").cast("bigint").alias("doc_id"), "features"), labels, held_out)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield batch.select(["own", "text"]).filter(pa.array(model.value.score(x) >= 0.5))
+
+    return unrolled(table.mapInArrow(good, rolled_schema(rows)), docs)

@@ -4,7 +4,8 @@ Every rule is evaluated once for every document. The ledger holds the measuremen
 version and the set of rules that reject; it is applied to a written ledger by one AND, so policies can change without reading a text again.
 ablation() counts by bitwise aggregation what each rule of a policy rejects, alone and together with others.
 
-Defined results: null is the empty text (no words; it fails too_short). Repeated rows are judged each on its own; a null doc_id stays null."""
+Defined results: null is the empty text (no words; it fails too_short). Rows, also repeated ones and those without
+doc_id, are judged each by its own text. An empty table gives none."""
 
 from __future__ import annotations
 
@@ -14,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm._bytes import Words, slices
+from tessera.llm._tables import rolled, unrolled
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_ellipsis_lines"]
 #: name -> SQL condition of failing, over MEASURES; the bit is the place in this dict, so new rules go to the end.
@@ -94,19 +97,23 @@ def measure(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the MEASURES and failed_bits of every row of docs."""
+def _measured(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns of rows (with text), the MEASURES and failed_bits."""
+    schema = StructType([rows.schema[c] for c in carried] + [StructField(m, LongType()) for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 m = measure(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(np.ascontiguousarray(m[:, k])) for k in range(m.shape[1])]], ["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *[pa.array(np.ascontiguousarray(m[:, k])) for k in range(m.shape[1])]], [*carried, *MEASURES])
 
-    schema = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
-    measured = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0))
-    return measured.withColumn("failed_bits", bits.cast("bigint"))
+    return rows.mapInArrow(run, schema).withColumn("failed_bits", bits.cast("bigint"))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the MEASURES and failed_bits of every row of docs."""
+    return _measured(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), ["doc_id"])
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -129,6 +136,6 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of docs that the policy keeps, with docs' own columns. A doc_id goes if any of its rows is rejected."""
-    bad = apply_policy(ledger(docs), policy).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id") == F.col("b.doc_id"), "left_anti")
+    """The rows of docs that the policy keeps, with docs' own columns, in one pass; each row is judged by its own text."""
+    rows = rolled(docs)
+    return unrolled(apply_policy(_measured(rows, ["own", "text"]), policy).where("kept"), docs)
