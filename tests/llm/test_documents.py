@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tessera.llm import byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger, weak_pii
+from tessera.llm import _memo, byte_bpe, discriminant, license_scan, log_bilinear, nnls_packing, odd_sketch, rule_ledger, weak_pii
 from tests.llm.data import SF, documents, nothing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,43 @@ def test_redaction(docs):
     assert out[10**6 + 1].text is None and out[10**6 + 4].text == "one"
 
 
+def test_redacted_texts_are_what_the_spans_leave(docs, rows):
+    """The accepted spans, cut out of the texts one by one."""
+    spans = defaultdict(list)
+    for r in weak_pii.found(docs).select("doc_id", "details").collect():
+        spans[r.doc_id].append(sorted((s.start, s.kind, s.stop) for s in r.details))
+    want = Counter()
+    for i, t in rows:
+        if t is None:
+            want[i, None] += 1
+            continue
+        out, reach = [], 0
+        for a, k, b in spans[i][0]:
+            out += [t[reach:a] if a > reach else "", f"<{weak_pii.KINDS[k]}>"]
+            reach = max(reach, b)
+        want[i, "".join(out) + t[reach:]] += 1
+    assert held(weak_pii.redacted(docs), ["doc_id", "text"]) == want
+
+
+def test_many_spans_are_held_apart_as_few_are(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    bits = ["4485 2757 4230 8327", "4485-2757--4230-8327", "+1 (017) 555-7713", "+49 . 30 . 1234567", "a@b.com", "a at b dot com", "1.2.3.4", "word", "9" * 16, "é", "😀"]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(bits, 300))) for i in range(12)], "doc_id long, text string")
+    few = sorted(map(str, weak_pii.with_candidates(docs).collect()))
+    monkeypatch.setattr(weak_pii, "FEW", 0)
+    assert sorted(map(str, weak_pii.with_candidates(docs).collect())) == few
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    took = []
+    for n in (4000, 16_000):
+        docs = spark.createDataFrame([(1, "card 4485 2757 4230 8327 and +1 (017) 555-7713; " * n)], "doc_id long, text string")
+        began = time.time()
+        assert weak_pii.redacted(docs).collect()[0].text == "card <card> and <phone>; " * n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 2
+
+
 def test_posteriors_follow_the_votes():
     m = weak_pii.Model([(3, (1, 1, 1, 1, 1), 50), (3, (-1, -1, 0, -1, -1), 50), (2, (1, 1, 0, 1, 1), 9), (2, (-1, 0, 0, 0, -1), 9)])
     assert m.posterior[3, (1, 1, 1, 1, 1)] > 0.9 and m.posterior[3, (-1, -1, 0, -1, -1)] < 0.1
@@ -130,6 +168,33 @@ def test_a_failed_nearest_pair_hides_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(docs, 1).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, rows without doc_id, and different texts under one doc_id are judged row by row."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(5, a, "x"), (5, a, "x"), (3, a + " tail", "x"), (7, b, "y"), (7, c, "z"), (None, c, "z"), (None, b + " more", "y"), (9, None, "n"), (9, None, "n"), (None, "", "n")], "doc_id long, text string, row string")
+    got = sorted(((r.doc_id, r.text, r["row"]) for r in odd_sketch.keep_one(docs).collect()), key=str)
+    assert odd_sketch.keep_one(docs).columns == docs.columns
+    assert got == sorted([(3, a + " tail", "x"), (7, b, "y"), (7, c, "z"), (9, None, "n"), (9, None, "n"), (None, "", "n")], key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 20_000])
+def test_hot_bands_and_large_components(spark, monkeypatch, hot):
+    """A chain of near copies that one star doesn't hold together, beside others in the same buckets."""
+    monkeypatch.setattr(odd_sketch, "HOT", hot)
+    monkeypatch.setattr(odd_sketch, "SMALL", 2)
+    monkeypatch.setattr(odd_sketch, "BLOCK", 4)
+    r = np.random.default_rng(3)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{k}" for k in range(80)]
+        for i in range(25):
+            rows.append((100 * g + i, " ".join(words)))
+            words[int(r.integers(0, 80))] = f"n{g}x{i}"
+    sets, find = brute_components(rows, 2)
+    got = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {x.doc_id: x.component_id for x in got.collect()} == {i: find(i) for i, _ in rows}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = {r.id: r.comp for r in odd_sketch.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -156,43 +221,128 @@ def test_byte_bpe(docs, rows):
     assert held(byte_bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == want
 
 
-def test_byte_bpe_round_trip_with_ids(docs):
-    out = byte_bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).where("doc_id = 1000005").collect()[0]
-    assert out.decoded == dict((10**6 + 5, t) for _, t in [(0, out.decoded)])[10**6 + 5] and len(out.ids) == out.n_tokens
+def test_byte_bpe_round_trip_with_ids(docs, rows):
+    out = byte_bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).select("doc_id", "decoded", "ids", "n_tokens").collect()
+    assert Counter((r.doc_id, r.decoded) for r in out) == Counter((i, t or "") for i, t in rows)
+    assert all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_byte_bpe_takes_linear_time():
+    """Steps through the automaton's tokens, by the compatibility look-ups, grow in proportion to a pre-token's length."""
+    data = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    e = byte_bpe.Encoder(byte_bpe.read_ranks(data), P.PATTERN)
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+    letters = np.random.default_rng(0).integers(97, 123, 1 << 18).astype(np.uint8).tobytes()
+    assert e.encode_word(letters[:20_000]) == t.encode_ordinary(letters[:20_000].decode())
+    took = []
+    for n in (1 << 16, 1 << 18):
+        began = time.process_time()
+        e.encode_word(letters[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.5  # sixteen times as much if it were quadratic
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(_memo, "MOST_BYTES", 1000)
+    memo = _memo.PieceMemo(lambda new: [[len(x), ord(x[0])] for x in new])
+    for k in range(50):
+        ids, lengths = memo.ids(["a" * (100 + k), "b", "a" * (100 + k)])
+        assert ids.tolist() == [100 + k, 97, 1, 98, 100 + k, 97] and lengths.tolist() == [2, 2, 2] and len(memo.at) < 20
 
 
 def test_lm_scores(docs, rows):
     got = log_bilinear.scored(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == lm_base(rows)
+    own = [r for r in got if r.held_out and r.doc_id < 10**6]
+    assert sum(r.score for r in own) > sum(r.base_score for r in own) and all(r.score < 0 for r in got)
+
+
+def lm_base(rows):
+    """doc_id, n_tokens, n_known, N and base_score by counting."""
     ho = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     tokens = [(i, [*WORD.findall(lower(t)), " "]) for i, t in rows]
     c = Counter(w for i, ws in tokens if not ho[i] for w in ws)
     n, v = sum(c.values()), len(c)
-    want = Counter((i, ho[i], len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in tokens)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    own = [r for r in got if r.held_out and r.doc_id < 10**6]
-    assert sum(r.score for r in own) > sum(r.base_score for r in own) and all(r.score < 0 for r in got)
+    return Counter((i, ho[i], len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in tokens)
 
 
-def test_lm_distribution_sums_to_one():
-    vocab = log_bilinear.Vocabulary([(b"the", 5), (log_bilinear.END, 3)], {}, 8, 2)
-    m = log_bilinear.Model(vocab)
-    far = m.second @ m.out.T + m.bias
-    z = np.log(np.exp(far + m.out @ m.first[3]).sum(axis=1))
-    log_z = np.zeros((log_bilinear.CLASSES,) * 2)
-    log_z[3] = z
-    k = log_bilinear.CLASSES
-    p = log_bilinear.Scorer(m, log_z).log_probability(np.full(k, 3), np.full(k, 5), np.arange(k))
-    assert abs(np.exp(p).sum() - 1) < 1e-4
+@pytest.mark.parametrize("head", [1, 30, 1000])
+def test_lm_counts_do_not_depend_on_the_head(spark, monkeypatch, head):
+    """Hundreds of words that occur once or twice, most of which are in no head; the end is rarer than the head's words."""
+    monkeypatch.setattr(log_bilinear, "HEAD", head)
+    many = " ".join(f"w{k}" for k in range(500))
+    rows = [(1, many), (2, many[:900] + " a a a a a"), (3, "a b c \x00 é"), (10, "never seen a"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = log_bilinear.scored(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == lm_base(rows)
+    assert all(r.score < 0 for r in got)
+
+
+@pytest.mark.parametrize("head,least", [(200_000, 1000), (60, 40), (5000, 300)])
+def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch, head, least):
+    """A trained model's probabilities of all training words and of one unseen word in each bucket, after some contexts."""
+    monkeypatch.setattr(log_bilinear, "HEAD", head)
+    monkeypatch.setattr(log_bilinear, "LEAST_WORDS", least)
+    train = docs.where("doc_id < 60 or doc_id >= 1000000").select("text")
+    counts = log_bilinear.word_counts(train).collect()
+    v = log_bilinear.vocabulary(spark.createDataFrame(counts))
+    assert v.tokens == sum(r.c for r in counts) and v.words == len(counts) and log_bilinear.END in v.at and len(v.at) <= head + 1
+    start = log_bilinear.Model(v)
+    model = log_bilinear.train_model(train, spark.sparkContext.broadcast(v))
+    assert any(np.abs(x - y).max() > 0.01 for x, y in zip(model.parts[:2], start.parts[:2], strict=True))
+    words, c = [bytes(r.word) for r in counts], np.array([r.c for r in counts], float)
+    at, classes, _ = v.look_up(words)
+    inside = np.where((classes >= v.first_bucket) & (classes < v.first_group), np.log((c + 0.1) / np.where(v.inner[classes] > 0, v.inner[classes], 1)), 0)
+    unseen = np.arange(v.first_bucket, v.first_group)
+    for one, two in [(0, 1), (v.end_row, v.end_row), (v.rows - 1, 2)]:
+        n = len(words)
+        p = model.log_probability(np.full(n, one), np.full(n, two), classes, v.place_of[at]) + inside
+        q = model.log_probability(np.full(len(unseen), one), np.full(len(unseen), two), unseen, np.full(len(unseen), -1)) + np.log(0.1 / v.inner[unseen])
+        assert abs(np.exp(p).sum() + np.exp(q).sum() - 1) < 1e-3
+
+
+def test_lm_vocabulary_grows_with_the_tokens():
+    own = [log_bilinear.Vocabulary([(f"w{k}".encode(), 10**9 // (k + 1)) for k in range(30_000)] + [(log_bilinear.END, 1)], {}, n, 10**6) for n in (10**6, 10**7, 4 * 10**7)]
+    assert [v.end_row for v in own] == [log_bilinear.LEAST_WORDS, 10**7 // log_bilinear.TOKENS_A_WORD, 4 * 10**7 // log_bilinear.TOKENS_A_WORD]
+    assert all(v.classes < 8 * v.end_row**0.5 + 200 for v in own)
+
+
+def plain_discriminant(x, y):
+    """Scores by the formula of the densities, with no Cholesky factors."""
+    center = x.mean(axis=0)
+    scale = np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    density = []
+    for c in (0, 1):
+        own = (x[y == c] - center) / scale
+        m, mean, cov = len(own), own.mean(axis=0), np.cov(own.T, bias=True)
+        w = max(discriminant.SHRINKAGE, min(1.0, x.shape[1] / (m + 1)))
+        cov = (1 - w) * cov + w * np.diag(0.5 * np.diag(cov) + 0.5) + 1e-6 * np.eye(x.shape[1])
+        density.append((mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1], m))
+
+    def score(v):
+        z = np.clip((v - center) / scale, -discriminant.CLIP, discriminant.CLIP)
+        side = [np.log(m) - 0.5 * ((z - mean) @ inverse @ (z - mean) + det) for mean, inverse, det, m in density]
+        return 1 / (1 + np.exp(np.clip(side[0] - side[1], -700, 700)))
+
+    return score
 
 
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").union(spark.createDataFrame([(None, 1, 0), (0, None, 0)], "doc_id long, quality int, toxic int"))
     got = discriminant.scored(docs, labels).collect()
-    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
-    truth = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
-    own = [r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth]
-    assert np.mean(own) > 0.93
+    held_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == held_out(r.doc_id) for r in got)
+    truth = {r.doc_id: r.quality for r in labels.where("quality is not null and doc_id is not null").collect()}
+    x = {r.doc_id: np.array(r.features) for r in discriminant.features(docs).collect()}
+    train = [i for i in truth if i in x and not held_out(i)]
+    score = plain_discriminant(np.array([x[i] for i in train]), np.array([truth[i] for i in train]))
+    assert all(abs(r.score - score(x[r.doc_id])) < 1e-6 for r in got if r.doc_id is not None)
+    own = [r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth and r.held_out]
+    assert len(own) > 20 and np.mean(own) > 0.93
     assert all(r.score == 0.5 for r in discriminant.scored(docs, labels.where("false")).collect())
+    kept = discriminant.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.score >= 0.5)
 
 
 def measures(t):
@@ -212,6 +362,8 @@ def test_rules(docs, rows):
         want[(i, *m, m[0] < 50 or 100 * m[4] > 50 * m[0])] += 1
     assert held(out, ["doc_id", *rule_ledger.MEASURES[:5], "base_failed"]) == want
     assert not out.where("base_failed and kept").count()
+    good = rule_ledger.keep_good(docs)
+    assert good.columns == docs.columns and held(good, ["doc_id"]) == held(out.where("kept"), ["doc_id"])
     ledger = rule_ledger.ledger(docs)
     bits = [r.failed_bits for r in ledger.collect()]
     for r in rule_ledger.ablation(ledger).collect():
@@ -244,6 +396,20 @@ def test_packing(docs, rows):
             assert tuple(x for r in own for x in r.ids) == ids and all(r.doc_tokens == len(ids) for r in own)
 
 
+def test_sequences_of_many_rows_and_windows_do_not_collide(spark, monkeypatch):
+    """Small windows, so that rows have many of them, and few rows that look up their ranks together."""
+    monkeypatch.setattr(nnls_packing, "DEAL", 3)
+    docs = spark.createDataFrame([(i, "word " * (i * 7 % 90)) for i in range(200)], "doc_id long, text string").repartition(5)
+    out = nnls_packing.packed(docs, P.path("word_bpe_49k.json"), window=16).collect()
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and sum(n for _, n in s) <= 16
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
 @pytest.mark.parametrize("lengths", [[3000] * 50, [1] * 9000, [4095, 1, 2048, 2048, 5], list(range(1, 400)) * 3])
 def test_plans_place_every_tail_once(lengths):
     h = np.bincount(lengths, minlength=4096)
