@@ -1,4 +1,4 @@
-"""Nearest neighbours, URL filter and pipeline."""
+"""Nearest neighbours and URL filter."""
 
 import math
 import re
@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import projection_forest, url_trees
-from tests.llm.data import SF, documents
+from tests.llm.data import SF
 
 ODD_URLS = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://A.NET/", "x://q://example.com/de/", "https://sub.EXAMPLE.com/de/1?a=1&b=2#f", "http://example.community/de/", "http://example.net/en/", "http://example.net/enx", "http://évil.org/fr/", "http://org/fr/", "http://cheap-pills.example.com/x", "http://h?x=://y/z", "a\n://b\n/c"]
 
@@ -186,19 +186,3 @@ def test_no_vectors(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert projection_forest.nearest(e).count() == 0
     assert projection_forest.nearest(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_pipeline_stages(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    from tessera.llm._tables import keep
-
-    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    before = {r.doc_id for r in docs.collect()}
-    for name, stage in pipeline.STAGES:
-        out = keep(stage(spark, docs, SF), name)
-        ids = {r.doc_id for r in out.collect()}
-        assert ids <= before
-        if name != pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns
-        docs, before = out, ids
-    assert len(before) > 100
