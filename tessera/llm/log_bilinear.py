@@ -176,6 +176,17 @@ def _sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ordered[starts], np.add.reduceat(gradient[order], starts, axis=0), np.diff(np.append(starts, len(rows)))
 
 
+def packed(change: np.ndarray) -> bytes:
+    """Rows of changes in a byte each: 127ths of the row's largest one, which comes before them."""
+    top = np.maximum(np.abs(change).max(axis=1, keepdims=True), 1e-8).astype(np.float32)
+    return np.hstack([top.view(np.int8), np.round(change / top * 127).astype(np.int8)]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.frombuffer(data, np.int8).reshape(-1, 4 + DIM + 1)
+    return wide[:, 4:] * (np.ascontiguousarray(wide[:, :4]).view(np.float32) / 127)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -269,13 +280,12 @@ class Model:
             for low in range(0, len(p), BLOCK):
                 rows = np.flatnonzero(self.met[which][low : low + BLOCK])
                 if len(rows):
-                    change = p[low + rows] - self.start[which][low + rows]
-                    yield which << 24 | low // BLOCK, rows.astype(np.int16).tobytes(), self.met[which][low + rows].tobytes(), change.astype(np.float16).tobytes()
+                    yield which << 24 | low // BLOCK, rows.astype(np.int16).tobytes(), self.met[which][low + rows].tobytes(), packed(p[low + rows] - self.start[which][low + rows])
 
     def apply(self, number: int, rows: bytes, change: bytes) -> None:
         which, low = number >> 24, (number & 0xFFFFFF) * BLOCK
         at = low + np.frombuffer(rows, np.int16).astype(np.int64)
-        self.parts[which][at] += np.frombuffer(change, np.float16).reshape(len(at), -1).astype(np.float32)
+        self.parts[which][at] += unpacked(change)
 
     def log_probability(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of each token's class and, in groups, of the word."""
@@ -344,16 +354,14 @@ def train_model(train: DataFrame, vocab) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part_number], pa.int32()), pa.array([rows], pa.binary()), pa.array([met], pa.binary()), pa.array([change], pa.binary())], ["block", "part", "rows", "met", "change"])
 
     def average(t: pa.Table) -> pa.Table:
-        met, total = np.zeros(BLOCK), None
+        met, total = np.zeros(BLOCK), np.zeros((BLOCK, DIM + 1))
         for rows, often, change in zip(*(t.column(c).to_pylist() for c in ("rows", "met", "change")), strict=True):
             at, w = np.frombuffer(rows, np.int16), np.frombuffer(often, np.float32).astype(float)
-            x = np.frombuffer(change, np.float16).reshape(len(at), -1).astype(float)
-            total = np.zeros((BLOCK, x.shape[1])) if total is None else total
             met[at] += w
-            total[at] += w[:, None] * x
+            total[at] += w[:, None] * unpacked(change)
         at = np.flatnonzero(met)
-        mean = (total[at] / met[at, None]).astype(np.float16)
-        return pa.table({"block": t.column("block")[:1], "rows": pa.array([at.astype(np.int16).tobytes()], pa.binary()), "met": pa.array([met[at].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
+        mean = packed(total[at] / met[at, None])
+        return pa.table({"block": t.column("block")[:1], "rows": pa.array([at.astype(np.int16).tobytes()], pa.binary()), "met": pa.array([met[at].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([mean], pa.binary())})
 
     schema = "block int, rows binary, met binary, change binary"
     learnt = train.select("text").mapInArrow(run, "block int, part int, rows binary, met binary, change binary")
@@ -385,20 +393,22 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
                 c = base[at]  # 0 for words that aren't in the head
                 p += np.where((classes >= v.first_bucket) & (classes < v.first_group), c - inner[classes], 0.0)
                 starts = np.cumsum(lengths) - lengths
-                tails = [[] for _ in range(len(lengths))]
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                for i in np.flatnonzero(~known):
-                    tails[doc[i]].append(words[i])
+                tails: list[Counter] = [Counter() for _ in range(len(lengths))]
+                tail = np.flatnonzero(~known)
+                for i, d in zip(tail.tolist(), np.repeat(np.arange(len(lengths)), lengths)[tail].tolist(), strict=True):
+                    tails[d][words[i]] += 1
+                many = pa.array(np.concatenate([[0], np.cumsum(list(map(len, tails)))]), pa.int32())
+                own = [pa.ListArray.from_arrays(many, pa.array(list(chain.from_iterable(x)), kind)) for x, kind in ((tails, pa.binary()), ((t.values() for t in tails), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(c, starts)), pa.array(np.add.reduceat(p, starts)), pa.array(tails, pa.list_(pa.binary()))],
-                    ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "tail"],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(c, starts)), pa.array(np.add.reduceat(p, starts)), *own],
+                    ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "word", "k"],
                 )
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_score double, tail array<binary>"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_score double, word array<binary>, k array<bigint>"
     partly = keep(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "partly")
     # the counts of words that aren't in the head: one row for each text and word, joined to the words' counts
-    needed = partly.select("row", F.explode("tail").alias("word")).groupBy("row", "word").count()
-    rest = needed.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("count"))).alias("n"), F.sum(F.col("count") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("s"))
+    needed = partly.select("row", F.explode(F.arrays_zip("word", "k")).alias("t")).select("row", "t.word", "t.k")
+    rest = needed.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("n"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("s"))
     n, v = vocab.value.tokens, vocab.value.words
     space = float(np.log10(n + SMOOTH * (v + 1)))
     more = F.coalesce("s", F.lit(0.0))
