@@ -270,7 +270,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = NEIG
 
     base = classes.withColumn("salt", F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(1 << 30))).select("salt", "embedding", "ids")
     left = base.mapInArrow(placed, f"cell bigint, task bigint, leaf bigint, embedding array<{kind}>, ids array<bigint>").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    right = question.mapInArrow(asked, f"cell bigint, task bigint, query_id bigint, embedding array<{kind}>, leaves array<bigint>").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
+    right = question.repartition(max(1, min(10_000, asked_for // 64)), "query_id").mapInArrow(asked, f"cell bigint, task bigint, query_id bigint, embedding array<{kind}>, leaves array<bigint>").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
     keys = ["cell", "task", "copy"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
