@@ -214,7 +214,7 @@ def change_points(y: np.ndarray) -> np.ndarray:
             out[p] = 1
         elif y[p] < y[p - 1] and y[p] < y[p + 1]:
             out[p] = -1
-    for a, b in zip(points[:-1], points[1:], strict=True):
+    for a, b in zip(points[:-2], points[1:-1], strict=True):  # not into the last segment
         if b - a > 1:
             part = y[a + 1 : b]
             if part.min() < min(y[a], y[b]):

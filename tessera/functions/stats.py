@@ -33,12 +33,23 @@ def mad_band(rows: DataFrame, part: list[str], value: str, n: float) -> DataFram
 
 
 def bh(rows: DataFrame, part: list[str], p: str, order: list[str]) -> DataFrame:
-    """rows with q, the Benjamini-Hochberg value of p within the part."""
-    w = Window.partitionBy(*part).orderBy(p, *order)
-    n = F.count("*").over(Window.partitionBy(*part))
-    ranked = rows.withColumn("_q", F.col(p) * n / F.row_number().over(w))
-    back = w.rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.min("_q").over(back), F.lit(1.0))).drop("_q")
+    """rows with q, the Benjamini-Hochberg value of p (from 0 to 1) within the part; null where p is.
+
+    Rows are dealt to ranges of p that get narrower towards 0, so a part is no task: ranks begin after the rows of the ranges below, and the smallest value behind a row is that in its range or in a range above.
+    Windows hold one range, or the ranges of a part, of which there are a few ten thousand at most."""
+    span = F.when(F.col(p) > 0, F.floor(-64 * F.log2(F.col(p)))).otherwise(F.lit(1 << 20))  # 0 where p is 1
+    dealt = rows.withColumn("_s", span.cast("long"))
+    across = Window.partitionBy(*part).orderBy(F.desc("_s"))  # ranges by rising p
+    counts = dealt.where(F.col(p).isNotNull()).groupBy(*part, "_s").agg(F.count("*").alias("_n"))
+    sizes = counts.withColumn("_below", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*part)))
+    own = Window.partitionBy(*part, "_s").orderBy(F.desc(p), *[F.desc(c) for c in order])  # the last comes first
+    joined = dealt.join(sizes, [*part, "_s"], "left")
+    raw = joined.withColumn("_q", F.col(p) * F.col("_all") / (F.col("_below") + F.col("_n") + 1 - F.row_number().over(own)))
+    least = raw.groupBy(*part, "_s").agg(F.min("_q").alias("_m"))
+    above = least.withColumn("_above", F.min("_m").over(Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    behind = F.least(F.min("_q").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_above", F.lit(1.0))  # least() leaves nulls out
+    out = raw.join(above, [*part, "_s"], "left").withColumn("q", F.when(F.col(p).isNotNull(), behind))
+    return out.drop("_s", "_n", "_below", "_all", "_q", "_above")
 
 
 def average_rank(rows: DataFrame, part: list[str], value: str) -> DataFrame:
@@ -65,7 +76,8 @@ def interpolate(rows: DataFrame, part: list[str], index: str, value: str) -> Dat
     w = Window.partitionBy(*part).orderBy(index)
     numbered = rows.withColumn("_r", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct("_r", value))
-    before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*part).orderBy(F.desc(index))
+    before, after = (F.last(known, ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, back))  # frames that only grow
     both = numbered.withColumn("_a", before).withColumn("_b", after)
     span = F.col("_b._r") - F.col("_a._r")
     line = F.col(f"_a.{value}") + (F.col(f"_b.{value}") - F.col(f"_a.{value}")) * (F.col("_r") - F.col("_a._r")) / span
@@ -88,6 +100,11 @@ def md(a: Column, b: Column) -> Column:
     return F.log2((a + 1) / (b + 1))
 
 
+def md_pairs(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """rows with one_to_two, ... for every pair of sample columns: the M value of the first against the second."""
+    return rows.withColumns({f"{x}_to_{y}": md(F.col(x), F.col(y)) for i, x in enumerate(samples) for y in samples[i + 1 :]})
+
+
 def natural_key(name: str) -> list[Column]:
     """Sort keys by which chr2 comes before chr10."""
     digits = F.regexp_extract(name, r"(\d+)", 1)

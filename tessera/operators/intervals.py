@@ -174,11 +174,19 @@ def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
     pattern = motif.replace("^", "").replace("N", "[ACGT]")
     pieces = F.split(F.col(text), f"(?={pattern})", -1)
     lengths = F.transform(pieces, lambda x: F.char_length(x))
-    edges = F.filter(F.transform(F.sequence(F.lit(1), F.size("_l") - 1), lambda i: F.aggregate(F.slice("_l", F.lit(1), i), F.lit(0), lambda a, x: a + x) + cut), lambda x: x < F.char_length(text))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    blocks = F.transform(F.sequence(F.lit(0), (F.size("_l") / 256).cast("int")), lambda b: total(F.slice("_l", b * 256 + 1, F.lit(256))))
+
+    def edge(i: Column) -> Column:
+        # the lengths of the first i pieces: whole blocks of them, and what is left
+        k = F.floor(i / 256).cast("int")
+        return total(F.slice("_bl", F.lit(1), k)) + total(F.slice("_l", k * 256 + 1, i % 256)) + cut
+
+    edges = F.filter(F.transform(F.sequence(F.lit(1), F.size("_l") - 1), edge), lambda x: x < F.char_length(text))
     first = F.when(F.col(text).rlike(f"^(?:{pattern})"), F.array(F.lit(cut))).otherwise(F.array().cast("array<int>"))
     inner = F.when(F.size("_l") > 1, edges).otherwise(F.array().cast("array<int>"))
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.char_length(text)), first, inner)))
-    out = rows.withColumn("_l", lengths).withColumn("_b", bounds).select(*ids, F.posexplode(F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0)))).alias("fragment", "start"), "_b")
+    out = rows.withColumn("_l", lengths).withColumn("_bl", blocks).withColumn("_b", bounds).select(*ids, F.posexplode(F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0)))).alias("fragment", "start"), "_b")
     return out.withColumn("end", F.get("_b", F.col("fragment") + 1)).drop("_b").where("start < end")
 
 

@@ -164,7 +164,7 @@ def called_loops(spark, sf_dir):
 def nucleosome_bins(spark, sf_dir):
     """Bins from customers as nucleosomes, each 90 to 189 bases wide, on chromosomes of their segment."""
     k = F.col("c_custkey")
-    start = k * 104729 % 2_300_000
+    start = k * 104729 % 230_000_000
     n = views.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("chrom"), start.alias("start"), (start + 90 + k % 100).alias("end"), (1 + k % 7).cast("double").alias("height"), (5 + k % 13).cast("double").alias("auc"), F.when(k % 9 == 0, "Shoulder").otherwise("MainPeak").alias("property"), (1 + k % 11).cast("double").alias("nlp_peak"), (k % 17 / 3.0).alias("nlp_valley"))
-    chroms = n.select("chrom").distinct().withColumn("length", F.lit(2_400_000).cast("bigint"))
+    chroms = n.select("chrom").distinct().withColumn("length", F.lit(231_000_000).cast("bigint"))
     return pipelines.build_bins(n, _genes(spark, sf_dir), chroms).withColumn("positioning", F.round("positioning", 6))

@@ -132,7 +132,7 @@ def bin_numbering(spark, sf_dir):
     return intervals.number_bins(views.events(spark, sf_dir), "chrom", ["pos", "event_id"]).select("event_id", "bin_id")
 
 
-_GENES_SQL = """, genes AS (SELECT 'g' || c_custkey AS gene, c_mktsegment AS chrom, CAST(c_custkey * 7919 % 2000000 AS BIGINT) AS s, CAST(c_custkey * 7919 % 2000000 + 500 + c_custkey % 5 * 1000 AS BIGINT) AS e, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM customer WHERE c_custkey <= 150),
+_GENES_SQL = """, genes AS (SELECT 'g' || c_custkey AS gene, c_mktsegment AS chrom, CAST(c_custkey * 7919 % 200000000 AS BIGINT) AS s, CAST(c_custkey * 7919 % 200000000 + 500 + c_custkey % 5 * 1000 AS BIGINT) AS e, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM customer),
 r0 AS (SELECT chrom, 'Promoter' AS region, gene, CASE WHEN strand = '+' THEN s - 1000 ELSE e - 1000 END AS a, CASE WHEN strand = '+' THEN s + 1000 ELSE e + 1000 END AS b FROM genes
 UNION ALL SELECT chrom, 'TTS', gene, CASE WHEN strand = '+' THEN e - 1000 ELSE s - 1000 END, CASE WHEN strand = '+' THEN e + 1000 ELSE s + 1000 END FROM genes
 UNION ALL SELECT chrom, 'Genebody', gene, s + 1000, e - 1000 FROM genes
@@ -144,10 +144,10 @@ regions AS (SELECT chrom, region, gene, CASE WHEN a < 0 THEN 1 ELSE a END AS s,
 
 
 def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 150 customers as genes: an annotation is a table of fixed size."""
+    """The customers as genes."""
     k = F.col("c_custkey")
-    s = k * 7919 % 2_000_000
-    return views.table(spark, sf_dir, "customer").where("c_custkey <= 150").select(F.concat(F.lit("g"), k).alias("gene"), F.col("c_mktsegment").alias("chrom"), s.alias("start"), (s + 500 + k % 5 * 1000).alias("end"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))
+    s = k * 7919 % 200_000_000
+    return views.table(spark, sf_dir, "customer").select(F.concat(F.lit("g"), k).alias("gene"), F.col("c_mktsegment").alias("chrom"), s.alias("start"), (s + 500 + k % 5 * 1000).alias("end"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))
 
 
 @query(_GENES_SQL + ' SELECT chrom, region, gene, s AS "start", e AS "end" FROM regions')
@@ -156,10 +156,10 @@ def gene_regions(spark, sf_dir):
 
 
 def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("chrom"), (F.col("c_custkey") * 104729 % 2_300_000).alias("s"), (F.col("c_custkey") * 104729 % 2_300_000 + 300).alias("e"))
+    return views.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("chrom"), (F.col("c_custkey") * 104729 % 230_000_000).alias("s"), (F.col("c_custkey") * 104729 % 230_000_000 + 300).alias("e"))
 
 
-@query(_GENES_SQL + """, loci AS (SELECT c_custkey, c_mktsegment AS chrom, CAST(c_custkey * 104729 % 2300000 AS BIGINT) AS ls FROM customer),
+@query(_GENES_SQL + """, loci AS (SELECT c_custkey, c_mktsegment AS chrom, CAST(c_custkey * 104729 % 230000000 AS BIGINT) AS ls FROM customer),
 h AS (SELECT c_custkey, CASE region WHEN 'Promoter' THEN 32 WHEN 'TTS' THEN 16 WHEN 'Genebody' THEN 8 WHEN 'Proximal' THEN 4 ELSE 2 END AS bit, region, gene FROM loci l JOIN regions r ON l.chrom = r.chrom AND ls < r.e AND ls + 300 > r.s),
 t AS (SELECT c_custkey, max(bit) AS bit FROM h GROUP BY ALL)
 SELECT c_custkey, coalesce(max(region), 'Desert') AS region, coalesce(string_agg(DISTINCT gene, ',' ORDER BY gene), '') AS genes FROM loci LEFT JOIN t USING (c_custkey) LEFT JOIN h USING (c_custkey, bit) GROUP BY c_custkey""")
