@@ -65,6 +65,11 @@ def balance(i: np.ndarray, j: np.ndarray, v: np.ndarray, target: np.ndarray, tol
     return x
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, for a cogroup of tables that come from one."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+
 def balance_map(pixels: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """chrom, bin_id, bias of each chromosome's balanced matrix; targets: chrom, bin_id, target (1 where none is given)."""
     want = pixels.select("chrom", F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id")).distinct()
@@ -78,8 +83,7 @@ def balance_map(pixels: DataFrame, targets: DataFrame | None = None) -> DataFram
         x = balance(i, j, left.cnt.to_numpy(float), goal)
         return pd.DataFrame({"chrom": right.chrom.iloc[0] if len(right) else None, "bin_id": ids, "bias": x})
 
-    want = want.select(F.col("chrom").alias("chrom"), F.col("bin_id").alias("bin_id"), F.col("target").alias("target"))
-    return pixels.groupBy("chrom").cogroup(want.groupBy("chrom")).applyInPandas(run, "chrom string, bin_id bigint, bias double")
+    return pixels.groupBy("chrom").cogroup(_apart(want).groupBy("chrom")).applyInPandas(run, "chrom string, bin_id bigint, bias double")
 
 
 def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.6, rounds: int = 3, delta: float = 0.01) -> np.ndarray:
@@ -253,18 +257,18 @@ def mann_whitney_less(x: np.ndarray, y: np.ndarray) -> float:
     return 0.5 * math.erfc(-(u - n * m / 2 + 0.5) / math.sqrt(2 * var))
 
 
-def domain_p_values(z: np.ndarray, window: int) -> np.ndarray:
-    """p of each bin but the last: the diamond between a bin's sides against the triangles on both sides, zeros of the triangles left out. z: dense, upper half."""
-    n = len(z)
+def domain_p_values(band: np.ndarray, window: int) -> np.ndarray:
+    """p of each bin but the last: the diamond between a bin's sides against the triangles on both sides, zeros of the triangles left out. band: [i, k] is the cell (i, i + k), k < 2 * window."""
+    n = len(band)
     out = np.ones(n)
     for i in range(1, n):
-        diamond = z[max(1, i - window + 1) : i + 1, i : min(i + window, n)]
-        triangles = []
-        for a, b in ((max(0, i - window), i), (i, min(i + window, n))):
-            part = z[a:b, a:b]
-            triangles.append(part[np.triu_indices(len(part), 1)])
-        side = np.concatenate(triangles)
-        out[i - 1] = mann_whitney_less(diamond.ravel(), side[side != 0])
+        low, high = max(0, i - window), min(n, i + window)
+        rows, columns = np.arange(low, high)[:, None], np.arange(low, high)[None]
+        k = columns - rows
+        cells = band[rows, k.clip(0, 2 * window - 1)]
+        side = cells[(k >= 1) & ((columns < i) | (rows >= i))]
+        diamond = cells[(rows >= max(1, i - window + 1)) & (rows <= i) & (columns >= i) & (k < 2 * window)]
+        out[i - 1] = mann_whitney_less(diamond, side[side != 0])
     return out
 
 
@@ -305,12 +309,10 @@ def kde_cut(values: np.ndarray) -> float:
     return float(grid[top + int((1 - x - y + y[-1] * x).argmax())])
 
 
-def area_cut(rows: DataFrame, value: str) -> float | None:
-    """Where the density of the logarithms of a positive column first reaches 3/4 of its peak; None without rows.
-
-    The density is kde's on the logarithms to base 2; each task sums up its rows' share on the grid."""
-    logs = rows.where(F.col(value) > 0).select(F.log2(F.col(value).cast("double")).alias("v"))
-    n, low, high, spread = logs.agg(F.count("*"), F.min("v"), F.max("v"), F.stddev_samp("v")).first()
+def density(values: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Grid and density of kde() for a column v; None without rows. Each task sums up its rows' share on the grid."""
+    held = values.where("v is not null and not isnan(v)")
+    n, low, high, spread = held.agg(F.count("*"), F.min("v"), F.max("v"), F.stddev_samp("v")).first()
     if not n:
         return None
     width = (spread or 0.0) * n ** (-1 / 5) or 1.0
@@ -324,9 +326,30 @@ def area_cut(rows: DataFrame, value: str) -> float | None:
                 total += np.exp(-0.5 * ((grid[:, None] - v[None, at : at + 4096]) / width) ** 2).sum(axis=1)
         yield pd.DataFrame({"at": np.arange(len(grid)), "d": total})
 
-    summed = logs.mapInPandas(run, "at int, d double").groupBy("at").agg(F.sum("d").alias("d")).orderBy("at").collect()  # a row for each place of the grid
-    density = np.array([r.d for r in summed])
-    return float(2 ** grid[min(int((density >= 0.75 * density.max()).argmax()), len(grid) - 2)])
+    summed = held.mapInPandas(run, "at int, d double").groupBy("at").agg(F.sum("d").alias("d")).orderBy("at").collect()  # a row for each place of the grid
+    return grid, np.array([r.d for r in summed]) / (n * width * math.sqrt(2 * math.pi))
+
+
+def area_cut(rows: DataFrame, value: str) -> float | None:
+    """Where the density of the logarithms of a positive column first reaches 3/4 of its peak; None without rows."""
+    found = density(rows.where(F.col(value) > 0).select(F.log2(F.col(value).cast("double")).alias("v")))
+    if found is None:
+        return None
+    grid, d = found
+    return float(2 ** grid[min(int((d >= 0.75 * d.max()).argmax()), len(grid) - 2)])
+
+
+def signal_cut(rows: DataFrame, value: str, least_density: float, least: int = 10) -> float:
+    """The place on the density's grid, as a number from 0 to 199, behind the peak where it falls to least_density, `least` at least; infinite without rows, and the last place where it doesn't fall so far.
+
+    It is the grid's index that signals are held against, not the signal there: so the described tool does, whose cutoffs this is to give."""
+    found = density(rows.select(F.col(value).cast("double").alias("v")))
+    if found is None:
+        return math.inf
+    _, d = found
+    behind = np.flatnonzero(d <= least_density)
+    behind = behind[behind > int(d.argmax())]
+    return float(max(behind[0] if len(behind) else len(d) - 1, least))
 
 
 def blur(a: np.ndarray, sigma: float) -> np.ndarray:
@@ -356,7 +379,7 @@ def bh_values(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def blobs(a: np.ndarray, sigma: float = 0.5, octaves: int = 2, layers: int = 10, q_most: float = 0.1, dense: float = 0.25, dense_wide: float = 0.6, least: int = 10_000) -> list[tuple[int, int, float, float]]:
+def blobs(a: np.ndarray, sigma: float = 0.5, octaves: int = 2, layers: int = 10, q_most: float = 0.1, dense: float = 0.25, dense_wide: float = 0.6, least: int = 10_000, reach: int = 2) -> list[tuple[int, int, float, float]]:
     """(row, column, q, scale) of blobs of a dense upper triangle, one a connected group: extrema of differences of Gaussians over scales, with p from an exponential fit, Benjamini-Hochberg q, enough
     filled cells around, and twice the mean of their diagonal. Fewer than `least` candidate cells give none."""
     n = len(a)
@@ -369,7 +392,7 @@ def blobs(a: np.ndarray, sigma: float = 0.5, octaves: int = 2, layers: int = 10,
         s0 = sigma * 2**octave
         smooth = [blur(work, s0)] + [blur(work, s0 * 2 ** (i / layers)) for i in range(layers + 2)]
         dog = [x - y for x, y in zip(smooth[:-1], smooth[1:], strict=True)]
-        top = [most_around(x) for x in dog]
+        top = [most_around(x, reach) for x in dog]
         for i in range(1, len(dog) - 1):
             peak = (dog[i] > best) & (dog[i] == top[i]) & ((dog[i - 1] == top[i - 1]) | (dog[i + 1] == top[i + 1])) & (dog[i] > np.minimum(top[i - 1], top[i + 1]))
             best[peak], scale[peak] = dog[i][peak], s0 * 2 ** ((i - 1) / layers)
@@ -387,8 +410,8 @@ def blobs(a: np.ndarray, sigma: float = 0.5, octaves: int = 2, layers: int = 10,
             continue
         s = int(math.ceil(scale[r, c]))
         shares = []
-        for reach in (s, 2 * s):
-            r0, r1, c0, c1 = max(0, r - reach), min(n, r + reach + 1), max(0, c - reach), min(n, c + reach + 1)
+        for far in (s, 2 * s):
+            r0, r1, c0, c1 = max(0, r - far), min(n, r + far + 1), max(0, c - far), min(n, c + far + 1)
             shares.append((filled[r1, c1] - filled[r0, c1] - filled[r1, c0] + filled[r0, c0]) / ((r1 - r0) * (c1 - c0)))
         k = c - r
         if k not in means:
@@ -416,30 +439,55 @@ def _dense(part: pd.DataFrame, low: int, high: int) -> np.ndarray:
 
 
 def blobs_in_tiles(tiles: DataFrame, **settings) -> DataFrame:
-    """chrom, bin1_id, bin2_id, fdr, scale: blobs of each tile (chrom, block, bin1_id, bin2_id, cnt), one tile a group, so memory is bounded by the tile."""
+    """chrom, bin1_id, bin2_id, fdr, scale: blobs of each tile (chrom, block, bin1_id, bin2_id, cnt, own), one tile a group, so memory is bounded by the tile. A blob that several tiles find is that of the tile that owns
+    its pixel, or else of the first one."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         low, high = int(part.bin1_id.min()), int(part.bin2_id.max())
         found = blobs(_dense(part, low, high), **settings)
-        return pd.DataFrame([(part.chrom.iloc[0], low + r, low + c, q, s) for r, c, q, s in found], columns=["chrom", "bin1_id", "bin2_id", "fdr", "scale"])
+        own = dict(zip(zip(part.bin1_id, part.bin2_id, strict=True), part.own, strict=True))
+        rows = [(part.chrom.iloc[0], int(part.block.iloc[0]), bool(own.get((low + r, low + c), False)), low + r, low + c, q, s) for r, c, q, s in found]
+        return pd.DataFrame(rows, columns=["chrom", "block", "own", "bin1_id", "bin2_id", "fdr", "scale"])
 
-    return tiles.groupBy("chrom", "block").applyInPandas(run, "chrom string, bin1_id bigint, bin2_id bigint, fdr double, scale double").dropDuplicates(["chrom", "bin1_id", "bin2_id"])
+    found = tiles.groupBy("chrom", "block").applyInPandas(run, "chrom string, block bigint, own boolean, bin1_id bigint, bin2_id bigint, fdr double, scale double")
+    first = F.min_by(F.struct("fdr", "scale"), F.struct(~F.col("own"), "block")).alias("f")
+    return found.groupBy("chrom", "bin1_id", "bin2_id").agg(first).select("chrom", "bin1_id", "bin2_id", "f.fdr", "f.scale")
 
 
-def boundaries_in_regions(regions: DataFrame, pixels: DataFrame, window: int, p_most: float = 0.05) -> DataFrame:
-    """chrom, bin_id, extreme, p of each region's bins (regions: chrom, first, last; pixels: z-scores in cnt): change points of the insulation and the domain p-value; minima with p below p_most stay -1."""
-    cells = pixels.join(F.broadcast(regions), "chrom").where("bin1_id >= first and bin2_id <= last").where(F.col("bin2_id") - F.col("bin1_id") < 2 * window)
+def boundaries_in_regions(regions: DataFrame, track: DataFrame, scores: DataFrame, fills: DataFrame, window: int, p_most: float = 0.05) -> DataFrame:
+    """chrom, bin_id, extreme, p of each region's bins: change points of the track (chrom, bin_id, score; 0 where there is none) and the domain p-value; minima with p below p_most stay -1.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(part["first"].iloc[0]), int(part["last"].iloc[0])
-        a = _dense(part, low, high)
-        n = len(a)
-        score = np.array([a[max(0, i - window + 1) : i + 1, i + 1 : i + 1 + window].mean() if i + 1 < n else 0.0 for i in range(n)])
-        extreme, p = change_points(score), domain_p_values(a, window)
+    regions: chrom, first, last; scores: chrom, bin1_id, bin2_id, z of the cells with a pixel; fills: chrom, fill, the z of the others on each diagonal. A region is one task, with the 2 * window diagonals that are used."""
+    spread = regions.select("chrom", "first", "last", F.explode(F.sequence("first", "last")).alias("bin_id"))
+    rows = spread.join(track.select("chrom", "bin_id", F.col("score").cast("double").alias("score")), ["chrom", "bin_id"], "left").fillna(0.0, ["score"]).join(fills, "chrom", "left")
+    k = F.col("bin2_id") - F.col("bin1_id")
+    cells = scores.where(k < 2 * window).join(spread.withColumnRenamed("bin_id", "bin1_id"), ["chrom", "bin1_id"]).where("bin2_id <= last").select("chrom", "first", "last", "bin1_id", k.alias("k"), "z")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("bin_id")
+        low, fill = int(left["first"].iloc[0]), left.fill.iloc[0]
+        band = np.zeros((len(left), 2 * window))
+        if fill is not None:
+            band[:] = np.asarray(fill, float)
+        band[right.bin1_id.to_numpy() - low, right.k.to_numpy()] = right.z
+        extreme, p = change_points(left.score.to_numpy()), domain_p_values(band, window)
         extreme = np.where((extreme == -1) & (p >= p_most), 0, extreme)
-        return pd.DataFrame({"chrom": part.chrom.iloc[0], "bin_id": np.arange(low, high + 1), "extreme": extreme, "p": p})
+        return pd.DataFrame({"chrom": left.chrom, "bin_id": left.bin_id, "extreme": extreme, "p": p})
+
+    key = ["chrom", "first", "last"]
+    return rows.groupBy(*key).cogroup(_apart(cells).groupBy(*key)).applyInPandas(run, "chrom string, bin_id bigint, extreme int, p double")
+
+
+def gap_bins(first_columns: DataFrame, bins: DataFrame) -> DataFrame:
+    """chrom, bin_id of the bins that greedy_gaps() finds; first_columns: chrom, bin_id, c, the first column with an entry of each row that has one; bins: chrom, bins. One row a bin meets in a task."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n = int(right.bins.iloc[0])
+        at = np.full(n, n)
+        at[left.bin_id.to_numpy()] = left.c
+        return pd.DataFrame({"chrom": right.chrom.iloc[0], "bin_id": np.flatnonzero(greedy_gaps(at))})
 
-    return cells.groupBy("chrom", "first", "last").applyInPandas(run, "chrom string, bin_id bigint, extreme int, p double")
+    return first_columns.groupBy("chrom").cogroup(_apart(bins).groupBy("chrom")).applyInPandas(run, "chrom string, bin_id bigint")
 
 
 def precise_positions(profile: np.ndarray, smooth: np.ndarray, least: float = 0.5) -> list[tuple[int, int, str]]:

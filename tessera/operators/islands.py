@@ -64,6 +64,11 @@ def local_maxima(rows: DataFrame, part: list[str], index: str, value: str) -> Da
     return runs.withColumn("_m", up & down).where("_m").select(*part, "first", "last", value)
 
 
+def local_minima(rows: DataFrame, part: list[str], index: str, value: str) -> DataFrame:
+    """Plateaus that are lower than what stands on both sides: first, last and value."""
+    return local_maxima(rows.withColumn(value, -F.col(value)), part, index, value).withColumn(value, -F.col(value))
+
+
 def negative_runs(rows: DataFrame, part: list[str], index: str, value: str) -> DataFrame:
     """Runs of negative values between sign changes; zeros don't count."""
     signed = rows.where(F.col(value) != 0).withColumn("_s", F.signum(value))

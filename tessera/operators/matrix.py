@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIXEL = ["chrom", "bin1_id", "bin2_id"]
@@ -106,35 +106,47 @@ def diagonal(pixels: DataFrame) -> Column:
     return F.col("bin2_id") - F.col("bin1_id")
 
 
-def diagonal_stats(pixels: DataFrame, bins: int, window: int, value: str = "cnt") -> DataFrame:
+def _with_bins(rows: DataFrame, bins: int | DataFrame) -> DataFrame:
+    """rows with _bins, the number of bins of their chromosome: the same for all, or a table chrom, bins."""
+    return rows.withColumn("_bins", F.lit(bins)) if isinstance(bins, int) else rows.join(bins.select("chrom", F.col("bins").alias("_bins")), "chrom")
+
+
+def diagonal_stats(pixels: DataFrame, bins: int | DataFrame, window: int, value: str = "cnt") -> DataFrame:
     """n, mean and sd of each diagonal 1 <= k < 2 * window, zeros counted without being made."""
     k = F.col("k")
     sums = pixels.withColumn("k", diagonal(pixels)).where((k >= 1) & (k < 2 * window)).groupBy("chrom", "k").agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    n = F.lit(bins) - k
+    n = F.col("_bins") - k
     mean = F.col("s") / n
-    return sums.select("chrom", "k", n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - n * mean * mean) / (n - 1), F.lit(0.0))).alias("sd"))
+    return _with_bins(sums, bins).select("chrom", "k", n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - n * mean * mean) / (n - 1), F.lit(0.0))).alias("sd"))
 
 
-def diagonal_zscore(pixels: DataFrame, bins: int, window: int, value: str = "cnt") -> DataFrame:
+def diagonal_zscore(pixels: DataFrame, bins: int | DataFrame, window: int, value: str = "cnt") -> DataFrame:
+    """z of the cells that there are; those without a pixel are at -mean / sd of their diagonal, see empty_scores()."""
     stats = diagonal_stats(pixels, bins, window, value)
     joined = pixels.withColumn("k", diagonal(pixels)).join(F.broadcast(stats), ["chrom", "k"])  # 2 * window rows a chromosome
     return joined.where("sd > 0").select(*PIXEL, ((F.col(value) - F.col("mean")) / F.col("sd")).alias("z"))
 
 
+def empty_scores(pixels: DataFrame, bins: int | DataFrame, window: int, value: str = "cnt") -> DataFrame:
+    """chrom and fill: an array over the diagonals 0 <= k < 2 * window of the z of cells without a pixel; 0 on the main one and where a diagonal doesn't vary."""
+    stats = diagonal_stats(pixels, bins, window, value).where("sd > 0").groupBy("chrom").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), -F.col("mean") / F.col("sd")))).alias("_m"))  # 2 * window entries
+    return stats.select("chrom", F.transform(F.sequence(F.lit(0), F.lit(2 * window - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0))).alias("fill"))
+
+
 def diagonal_mean(pixels: DataFrame, value: str = "cnt") -> DataFrame:
     """Mean of the entries that there are on each diagonal."""
     return pixels.groupBy("chrom", diagonal(pixels).alias("k")).agg(F.avg(value).alias("mean"))
 
 
-def insulation(pixels: DataFrame, bins: int, window: int, value: str = "cnt") -> DataFrame:
+def insulation(pixels: DataFrame, bins: int | DataFrame, window: int, value: str = "cnt") -> DataFrame:
     """Mean of the diamond of each bin i: rows i - w + 1 .. i, columns i + 1 .. i + w, as far as the matrix goes.
 
     A pixel lies in the diamonds of the bins between its own, so it is dealt to these and summed; no window over a chromosome is needed."""
     r, c = F.col("bin1_id"), F.col("bin2_id")
     near = pixels.where((c - r >= 1) & (c - r < 2 * window)).withColumn("i", F.explode(F.sequence(F.greatest(r, c - window), F.least(r + window - 1, c - 1))))
     i = F.col("i")
-    area = F.least(i + 1, F.lit(window)) * F.least(F.lit(bins - 1) - i, F.lit(window))
-    return near.groupBy("chrom", "i").agg(F.sum(value).alias("s")).select("chrom", F.col("i").alias("bin_id"), F.when(area > 0, F.col("s") / area).alias("score"))
+    area = F.least(i + 1, F.lit(window)) * F.least(F.col("_bins") - 1 - i, F.lit(window))
+    return _with_bins(near.groupBy("chrom", "i").agg(F.sum(value).alias("s")), bins).select("chrom", F.col("i").alias("bin_id"), F.when(area > 0, F.col("s") / area).alias("score"))
 
 
 def distance_band(pixels: DataFrame, bins: DataFrame, low: float, high: float) -> DataFrame:
@@ -167,7 +179,3 @@ def expected_pairs(bins: DataFrame, width: int, steps: int) -> DataFrame:
     other = m.select("chrom", F.col("m").alias("to"), F.col("n").alias("n2"))
     n, n2 = F.col("n"), F.col("n2")
     return ahead.join(other, ["chrom", "to"]).groupBy("chrom", "step").agg(F.sum(F.when(F.col("step") == 0, n * (n + 1) / 2).otherwise(n * n2)).cast("bigint").alias("pairs"))
-
-
-def dominance_sorted(rows: DataFrame, part: list[str], by: list[str]) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*by)))

@@ -36,13 +36,15 @@ def close_small_gaps(runs: DataFrame, most: int = 1000) -> DataFrame:
     return out.withColumn("score", F.when(F.col("tag") == "domain", F.least("score", F.lit(-1.0))).otherwise(F.col("score")))
 
 
-def runs_of_kinds(bins: DataFrame, least_boundary: int = 2) -> DataFrame:
-    """Segments from bins (chrom, bin_id, gap and boundary flags, p): runs of gaps, of boundaries (least_boundary bins at least), and of neither as domains, which become boundaries where all p are below 0.05."""
+def runs_of_kinds(bins: DataFrame, least_boundary: int = 2, p_most: float = 0.05) -> DataFrame:
+    """Segments from bins (chrom, bin_id, gap and boundary flags, p): runs of gaps, of boundaries (least_boundary bins at least), and of neither as domains, which become boundaries where all p are below p_most. score
+    is the mean p of a domain, 0 for others."""
     kinds = F.when(F.col("gap"), "gap").when(F.col("boundary"), "boundary").otherwise("domain")
     tagged = bins.withColumn("tag", kinds)
-    runs = with_runs(tagged, ["chrom"], ["bin_id"], differs("tag", ["chrom"], ["bin_id"])).groupBy("chrom", "run", "tag").agg(F.min("bin_id").alias("first"), F.max("bin_id").alias("last"), F.bool_and(F.col("p") < 0.05).alias("_low"))
+    runs = with_runs(tagged, ["chrom"], ["bin_id"], differs("tag", ["chrom"], ["bin_id"])).groupBy("chrom", "run", "tag").agg(F.min("bin_id").alias("first"), F.max("bin_id").alias("last"), F.bool_and(F.col("p") < p_most).alias("_low"), F.avg("p").alias("_p"))
     kept = runs.where((F.col("tag") != "boundary") | (F.col("last") - F.col("first") + 1 >= least_boundary))
-    return kept.withColumn("tag", F.when((F.col("tag") == "domain") & F.col("_low"), "boundary").otherwise(F.col("tag"))).drop("run", "_low")
+    named = kept.withColumn("tag", F.when((F.col("tag") == "domain") & F.col("_low"), "boundary").otherwise(F.col("tag")))
+    return named.withColumn("score", F.when(F.col("tag") == "domain", F.col("_p")).otherwise(0.0)).drop("run", "_low", "_p")
 
 
 def process_regions(bins: DataFrame, gaps: DataFrame, least: int = 3) -> DataFrame:
@@ -86,5 +88,42 @@ def split_domains(domains: DataFrame, boundaries: DataFrame, bucket: int) -> Dat
     return out.where("start < end")
 
 
-def dense_index(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("chrom").orderBy("start")) - 1)
+_PIECE = "array<struct<tag:string,start:bigint,end:bigint,first:bigint,last:bigint,score:double>>"
+
+
+def insert_boundaries(segments: DataFrame, boundaries: DataFrame, bucket: int) -> DataFrame:
+    """segments (chrom, first, last, start, end, tag, score) with boundaries (chrom, b_start, b_end, b_first, b_last) put into their domains, and the neighbours' edges made to meet.
+
+    A domain that lies inside a boundary stays as it is, and so do other segments. One boundary across an edge cuts the domain there; one inside makes domain, boundary, domain, where a part
+    without bins of its own goes to the boundary; several are put in one after the other, cut to the domain. A segment that no longer begins where the one before ends: a domain moves that end, others their own start."""
+    numbered = segments.withColumn("no", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "first")))
+    hits = overlap_join(numbered.where("tag = 'domain'"), boundaries, ["chrom"], "start", "end", "b_start", "b_end", bucket).where("not (start >= b_start and end <= b_end)")
+    cuts = hits.groupBy("chrom", "no").agg(F.array_sort(F.collect_set(F.struct(F.col("b_start").alias("s"), F.col("b_end").alias("e"), F.col("b_first").alias("f"), F.col("b_last").alias("l")))).alias("cuts"))
+    rows = numbered.join(cuts, ["chrom", "no"], "left")
+    s, e, first, last, score = (F.col(c) for c in ("start", "end", "first", "last", "score"))
+
+    def piece(tag: str, a: Column, b: Column, f: Column, t: Column, value: Column) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end"), f.cast("bigint").alias("first"), t.cast("bigint").alias("last"), value.cast("double").alias("score"))
+
+    one = F.get("cuts", F.lit(0))
+    left_empty, right_empty = first == one["f"], last == one["l"]
+    inner = piece("boundary", F.when(left_empty, s).otherwise(one["s"]), F.when(right_empty, e).otherwise(one["e"]), F.when(left_empty, first).otherwise(one["f"]), F.when(right_empty, last).otherwise(one["l"]), F.lit(1.0))
+    before, after = piece("domain", s, one["s"], first, one["f"], score), piece("domain", one["e"], e, one["l"], last, score)
+    none = F.array().cast(_PIECE)
+    inside = F.concat(F.when(left_empty, none).otherwise(F.array(before)), F.array(inner), F.when(right_empty, none).otherwise(F.array(after)))
+    single = F.when(one["s"] < s, F.array(after)).when(one["e"] > e, F.array(before)).otherwise(inside)
+
+    def put(a: Column, c: Column) -> Column:
+        begin, stop = F.greatest(a["at"], c["s"]), F.least(e, c["e"])
+        more = F.concat(F.when(a["at"] < begin, F.array(piece("domain", a["at"], begin, a["f"], c["f"], score))).otherwise(none), F.array(piece("boundary", begin, stop, c["f"], c["l"], F.lit(1.0))))
+        return F.struct(stop.cast("bigint").alias("at"), c["l"].cast("bigint").alias("f"), F.concat(a["out"], more).alias("out"))
+
+    start = F.struct(s.cast("bigint").alias("at"), first.cast("bigint").alias("f"), none.alias("out"))
+    many = F.aggregate("cuts", start, put, lambda a: F.concat(a["out"], F.when(a["at"] < e, F.array(piece("domain", a["at"], e, a["f"], last, score))).otherwise(none)))
+    whole = F.array(F.struct(F.col("tag"), s.cast("bigint"), e.cast("bigint"), first.cast("bigint"), last.cast("bigint"), score.cast("double"))).cast(_PIECE)
+    pieces = F.when(F.col("cuts").isNull(), whole).when(F.size("cuts") == 1, single).otherwise(many)
+    out = rows.select("chrom", "no", F.posexplode(pieces).alias("piece", "p")).select("chrom", "no", "piece", "p.*")
+    w = Window.partitionBy("chrom").orderBy("no", "piece")
+    behind, ahead, tag = F.lag("end").over(w), F.lead("start").over(w), F.lead("tag").over(w)
+    met = out.withColumns({"_s": F.when((F.col("tag") != "domain") & (behind != F.col("start")), behind).otherwise(F.col("start")), "_e": F.when((tag == "domain") & (ahead != F.col("end")), ahead).otherwise(F.col("end"))})
+    return met.where("_s <> _e").select("chrom", "first", "last", F.col("_s").alias("start"), F.col("_e").alias("end"), "tag", "score")

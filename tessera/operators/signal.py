@@ -64,6 +64,21 @@ def profile_over(ranges: DataFrame, track: DataFrame, part: list[str], ids: list
     return slots.join(track, [*part, index]).groupBy(*part, *ids).agg(F.max(value).alias("height"), F.sum(value).alias("area"))
 
 
+def shape_over(ranges: DataFrame, track: DataFrame, part: list[str], ids: list[str], first: str, last: str, index: str, raw: str, smooth: str) -> DataFrame:
+    """height (largest raw value), correlation of raw and smooth values and concavity of the track in the slots [first, last] of each range; small constants keep them defined on flat ranges.
+
+    concavity is the sum of the smooth values above their least one by that of the straight line that rises from the first value by (last - first) / n a slot."""
+    slots = ranges.withColumn(index, F.explode(F.sequence(F.col(first), F.col(last)))).join(track, [*part, index])
+    x, y = F.col(raw), F.col(smooth)
+    n = F.count("*")
+    sums = slots.groupBy(*part, *ids).agg(n.alias("_n"), F.max(raw).alias("height"), F.covar_pop(x, y).alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy"), F.sum(y).alias("_s"), F.min(y).alias("_low"), F.min_by(y, F.col(index)).alias("_a"), F.max_by(y, F.col(index)).alias("_b"))
+    c = {k: F.col(f"_{k}") for k in ("n", "xy", "xx", "yy", "s", "low", "a", "b")}
+    correlation = (c["n"] * c["xy"] + 1e-8) / F.sqrt((c["n"] * c["xx"] + 1e-8) * (c["n"] * c["yy"] + 1e-8))
+    line = c["n"] * c["a"] + (c["b"] - c["a"]) / c["n"] * c["n"] * (c["n"] - 1) / 2
+    concavity = (c["s"] - c["n"] * c["low"] + 1e-7) / (line - c["n"] * c["low"] + 1e-7)
+    return sums.withColumns({"correlation": correlation, "concavity": concavity}).drop(*[f"_{k}" for k in c])
+
+
 def poisson_tail(observed: Column, mean: Column, upper: bool = True) -> Column:
     """-log10 of the Poisson tail P(X >= observed), or P(X <= observed); 0 for the upper tail at 0.
 

@@ -181,10 +181,22 @@ def lowess_norm(spark, sf_dir):
 
 @query()
 def mann_whitney_domains(spark, sf_dir):
+    """Extremes of the diamond means of each chromosome and the rank test's p of its bins."""
     m = _six(spark, sf_dir)
-    z = matrix.diagonal_zscore(m, 120, 10).withColumnRenamed("z", "cnt")
+    near = F.col("bin2_id") - F.col("bin1_id")
+    z = matrix.diagonal_zscore(m, 120, 10).unionByName(m.where(near == 0).select(*matrix.PIXEL, F.col("cnt").cast("double").alias("z")))
     regions = m.groupBy("chrom").agg(F.min("bin1_id").alias("first"), F.max("bin2_id").alias("last"))
-    return _rounded(kernels.boundaries_in_regions(regions, z, 10), "p")
+    return _rounded(kernels.boundaries_in_regions(regions, matrix.insulation(m, 120, 10), z, matrix.empty_scores(m, 120, 10), 10), "p")
+
+
+@query(_DIAG + """, g AS (SELECT DISTINCT p.chrom, i.range AS bin1_id, i.range + d.range + 1 AS bin2_id, d.range + 1 AS k FROM (SELECT DISTINCT chrom FROM map6_a) p CROSS JOIN range(120) i CROSS JOIN range(19) d WHERE i.range + d.range + 1 < 120)
+SELECT g.chrom, g.bin1_id, g.bin2_id, round((coalesce(cnt, 0) - mean) / sd, 6) AS z FROM g JOIN st ON st.chrom = g.chrom AND st.k = g.k LEFT JOIN map6_a m ON m.chrom = g.chrom AND m.bin1_id = g.bin1_id AND m.bin2_id = g.bin2_id WHERE sd > 0""")
+def diag_zscore_band(spark, sf_dir):
+    """z of all cells of the band, those without a pixel too."""
+    m = _six(spark, sf_dir)
+    fill = matrix.empty_scores(m, 120, 10).select("chrom", F.posexplode("fill").alias("k", "z")).where("k > 0 and z <> 0")
+    spots = fill.withColumn("bin1_id", F.explode(F.sequence(F.lit(0).cast("bigint"), 119 - F.col("k").cast("bigint")))).select("chrom", "bin1_id", (F.col("bin1_id") + F.col("k")).alias("bin2_id"), F.col("z").alias("_f"))
+    return _rounded(spots.join(matrix.diagonal_zscore(m, 120, 10), matrix.PIXEL, "left").select(*matrix.PIXEL, F.coalesce("z", "_f").alias("z")), "z")
 
 
 @query()

@@ -82,24 +82,82 @@ def merge_maps(a: DataFrame, b: DataFrame, sites: DataFrame) -> tuple[DataFrame,
     return merged, kernels.balance_map(merged)
 
 
-def segment(pixels: DataFrame, bins: DataFrame, window: int = 10, tolerance: int = 2, zeros: int = 10) -> DataFrame:
-    """Domains, boundaries and gaps of each chromosome. bins: chrom, bin_id, start, end, nuc."""
-    many = bins.groupBy("chrom").agg(F.count("*").alias("_n"))
-    on = pixels.where("bin1_id = bin2_id").select("chrom", F.col("bin1_id").alias("bin_id"), "cnt")
-    track = bins.join(on, ["chrom", "bin_id"], "left").fillna(0, ["cnt"])
-    runs = islands.zero_runs(track, ["chrom"], "bin_id", "cnt", tolerance, zeros)
-    gaps = runs.select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"))
-    regions = segments.process_regions(bins, gaps)
-    size = bins.agg(F.max("bin_id")).first()[0]  # one number
-    z = matrix.diagonal_zscore(pixels, int(size) + 1, window).withColumnRenamed("z", "cnt")
-    called = kernels.boundaries_in_regions(regions, z, window)
-    tagged = bins.join(gaps.withColumn("gap", F.lit(True)), ["chrom", "bin_id"], "left").join(called, ["chrom", "bin_id"], "left")
-    flags = tagged.select("chrom", "bin_id", F.coalesce("gap", F.lit(False)).alias("gap"), F.coalesce(F.col("extreme") == -1, F.lit(False)).alias("boundary"), F.coalesce("p", F.lit(1.0)).alias("p"))
-    kinds = segments.runs_of_kinds(flags, 1)
-    each = kinds.select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"), "tag")
-    score = matrix.insulation(pixels, int(size) + 1, window)
-    rows = bins.join(each, ["chrom", "bin_id"], "left").join(score, ["chrom", "bin_id"], "left")
-    return segments.close_small_gaps(segments.override_gaps(rows, gaps)).join(many, "chrom").drop("_n")
+def segment(pixels: DataFrame, bins: DataFrame, window: int = 10, tolerance: int = 3, zeros: int = 10, regions_map: bool = False) -> DataFrame:
+    """Domains, boundaries and gaps of each chromosome: chrom, tag, first, last, start, end, score, nuc. bins: chrom, bin_id, start, end, nuc.
+
+    Extremes of the diamond means are sought in the runs of bins between the greedy gaps; minima with a small rank-test p on the scaled map (cells without a pixel included) are boundary bins, of which two
+    in a row make a boundary. A domain's score is its class by its mean p. Runs of zeros on the diagonal then go before all that, domains with fewer than two nucleosomes become gaps, and small gaps boundaries.
+
+    With regions_map, bins are segments of a map of regions and have a column kind (0 gap, 1 boundary, 2 domain): gaps are those given, the means of boundary bins are lowered by their lower quartile and what isn't above 0
+    is set to their least one, p is held against 0.1, the bin behind a minimum is the boundary, one bin is enough for it, and nucleosomes aren't counted."""
+    ext = bins.groupBy("chrom").agg(F.min("bin_id").alias("_first"), F.count("*").alias("bins"))  # one row a chromosome
+    places = bins.join(ext.select("chrom", "_first"), "chrom").withColumn("bin_id", F.col("bin_id") - F.col("_first"))
+    local = pixels.join(ext.select("chrom", "_first"), "chrom").select("chrom", (F.col("bin1_id") - F.col("_first")).alias("bin1_id"), (F.col("bin2_id") - F.col("_first")).alias("bin2_id"), "cnt")
+    track = matrix.insulation(local, ext, window)
+    if regions_map:
+        p_most, gaps = 0.1, places.where("kind = 0").select("chrom", "bin_id")
+        track = places.select("chrom", "bin_id", "kind").join(track, ["chrom", "bin_id"], "left").fillna(0.0, ["score"])
+        low = track.where("kind = 1").groupBy("chrom").agg(F.min("score").alias("_least"), F.percentile("score", F.lit(0.25)).alias("_quarter"))
+        lowered = F.col("score") - F.when(F.col("kind") == 1, F.coalesce("_quarter", F.lit(0.0))).otherwise(0.0)
+        track = track.join(low, "chrom", "left").select("chrom", "bin_id", F.when(lowered <= 0, F.coalesce("_least", lowered)).otherwise(lowered).alias("score"))
+        override = gaps
+    else:
+        p_most = 0.05
+        gaps = kernels.gap_bins(local.groupBy("chrom", F.col("bin1_id").alias("bin_id")).agg(F.min("bin2_id").alias("c")), ext.select("chrom", "bins"))
+        on = local.where("bin1_id = bin2_id").select("chrom", F.col("bin1_id").alias("bin_id"), "cnt")
+        diagonal = places.select("chrom", "bin_id").join(on, ["chrom", "bin_id"], "left").fillna(0, ["cnt"])
+        override = islands.zero_runs(diagonal, ["chrom"], "bin_id", "cnt", tolerance, zeros).select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"))
+    regions = segments.process_regions(places.select("chrom", "bin_id"), gaps)
+    near = F.col("bin2_id") - F.col("bin1_id")
+    z = matrix.diagonal_zscore(local, ext, window).where(near.between(1, 2 * window - 1)).unionByName(local.where(near == 0).select(*matrix.PIXEL, F.col("cnt").cast("double").alias("z")))
+    called = kernels.boundaries_in_regions(regions, track, z, matrix.empty_scores(local, ext, window), window, p_most)
+    marks = called.where("extreme = -1").select("chrom", (F.col("bin_id") + int(regions_map)).alias("bin_id"), F.lit(True).alias("_mark"))
+    flagged = places.select("chrom", "bin_id").join(called, ["chrom", "bin_id"], "left").join(gaps.withColumn("_gap", F.lit(True)), ["chrom", "bin_id"], "left").join(marks, ["chrom", "bin_id"], "left")
+    gap = F.col("_gap").isNotNull() if regions_map else F.col("extreme").isNull()  # short runs between gaps are gaps too
+    flags = flagged.select("chrom", "bin_id", gap.alias("gap"), F.col("_mark").isNotNull().alias("boundary"), F.coalesce("p", F.lit(1.0)).alias("p"))
+    kinds = segments.runs_of_kinds(flags, 1 if regions_map else 2, p_most)
+    top = kinds.groupBy("chrom").agg(F.max("score").alias("_top"))
+    scored = kinds.join(top, "chrom").withColumn("score", segments.score_class(F.col("score"), F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top"))))
+    each = scored.select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"), "tag", F.col("score").cast("double").alias("score"))
+    rows = places.select("chrom", "bin_id", "start", "end", "nuc").join(each, ["chrom", "bin_id"], "left").join(override.withColumn("_over", F.lit(True)), ["chrom", "bin_id"], "left")
+    rows = rows.withColumn("score", F.when(F.col("_over"), 1.0).otherwise(F.col("score"))).drop("_over")
+    out = segments.close_small_gaps(segments.override_gaps(rows, override, 0 if regions_map else 2))
+    back = ext.select("chrom", "_first")
+    return out.join(back, "chrom").withColumns({"first": F.col("first") + F.col("_first"), "last": F.col("last") + F.col("_first")}).drop("_first")
+
+
+def transfer_boundaries(called: DataFrame, bins: DataFrame, source: DataFrame, factors: list[tuple[DataFrame, DataFrame]], bucket: int, around: int = 100) -> DataFrame:
+    """Segments (chrom, first, last, start, end, tag, score) with boundaries of another cell type put in.
+
+    source: chrom, start, end of that type's boundaries; factors: for each, by priority, the tracks (chrom, t_start, t_end, value) of both types. A boundary is a candidate where the largest value near it is at
+    least the cut of the density of all of them, for both tracks; those that overlap a boundary which is there, or one that a factor before gives, are left out. bins: chrom, bin_id, start, end; a boundary is widened to its bins."""
+    there = called.where("tag = 'boundary'").select("chrom", F.col("start").alias("_ts"), F.col("end").alias("_te"))
+    ids = ["chrom", "start", "end"]
+    rows = source.select(*ids).distinct()
+    levels = []
+    for one, two in factors:
+        held = segments.max_signal(rows, one, ids, around, bucket).withColumnRenamed("signal", "signal_1")
+        both = segments.max_signal(held, two, ids, around, bucket)
+        cut = [kernels.signal_cut(both, c, least) for c, least in (("signal_1", 0.015), ("signal", 0.0015))]
+        good = both.where((F.col("signal_1") >= cut[0]) & (F.col("signal") >= cut[1])).select(*ids, F.col("signal"))
+        levels.append((intervals.overlap_exists(good, there, ["chrom"], ids, "start", "end", "_ts", "_te", bucket, keep=False), cut[1]))
+    chosen = segments.transfer_candidates(levels, bucket).select(*ids)
+    widened = intervals.overlap_join(chosen, bins.select("chrom", "bin_id", F.col("start").alias("_bs"), F.col("end").alias("_be")), ["chrom"], "start", "end", "_bs", "_be", bucket)
+    put = widened.groupBy(*ids).agg(F.min("bin_id").alias("b_first"), F.max("bin_id").alias("b_last"), F.min("_bs").alias("b_start"), F.max("_be").alias("b_end"))
+    return segments.insert_boundaries(called, put.select("chrom", "b_start", "b_end", "b_first", "b_last").distinct(), bucket)
+
+
+def transfer_loops(found: DataFrame, genes: DataFrame, bucket: int = 50_000) -> DataFrame:
+    """Loops (chrom1, start1, end1, chrom2, start2, end2) with what lies at both ends, the class and its genes; those at promoters only."""
+    ends = found.select(F.explode(F.array(*[F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")) for i in (1, 2)])).alias("e"))
+    places = ends.select("e.*").distinct()  # each place is annotated once
+    annotated = intervals.annotate(places, intervals.gene_regions(genes, intervals.LOOP_REGIONS), ["chrom"], ["chrom", "start", "end"], "start", "end", bucket)
+    out = found
+    for i in (1, 2):
+        own = annotated.select(*[F.col(c).alias(f"{c}{i}") for c in ("chrom", "start", "end")], F.col("region").alias(f"annot{i}"), F.col("genes").alias(f"detail{i}"))
+        out = out.join(own, [f"chrom{i}", f"start{i}", f"end{i}"])
+    kind, names = loops.loop_class(*[F.col(c) for c in ("annot1", "annot2", "detail1", "detail2")])
+    return loops.promoter_loops(out.withColumns({"assigned_annotation": kind, "genes": names}))
 
 
 def region_map(pixels: DataFrame, runs: DataFrame, mass_bins: int = 200) -> DataFrame:
@@ -114,7 +172,8 @@ def region_map(pixels: DataFrame, runs: DataFrame, mass_bins: int = 200) -> Data
 
 
 def greedy_mass_bins(pixels: DataFrame, bins: int) -> DataFrame:
-    """pixels with mass_bin: walking by distance, a bin is closed when its own sum reaches total / bins, and the next begins at zero. The walk is over the sums of each distance, one row a diagonal."""
+    """pixels with mass_bin: walking by distance, a bin is closed when its own sum reaches total / bins, and the next begins at zero. The walk is over the sums of each distance, one row a diagonal: it closes bins at the ends of
+    diagonals, which keeps a chromosome's pixels out of one task."""
     per = pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).groupBy("chrom", "k").agg(F.sum("cnt").alias("mass"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +187,7 @@ def greedy_mass_bins(pixels: DataFrame, bins: int) -> DataFrame:
         return pd.DataFrame({"chrom": part.chrom, "k": part.k, "mass_bin": out})
 
     walked = per.groupBy("chrom").applyInPandas(run, "chrom string, k bigint, mass_bin int")
-    return pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).join(F.broadcast(walked), ["chrom", "k"]).drop("k")
+    return pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).join(walked, ["chrom", "k"]).drop("k")
 
 
 def quantile_loops(pixels: DataFrame, low: int, high: int, q: float = 0.999, window: int = 3, least_blocks: int = 10) -> DataFrame:
@@ -139,10 +198,21 @@ def quantile_loops(pixels: DataFrame, low: int, high: int, q: float = 0.999, win
     return islands.peaks(islands.pixel_groups(strong, ["chrom"], "bin1_id", "bin2_id", window), ["chrom"], "bin1_id", "bin2_id", "cnt")
 
 
-def call_loops(pixels: DataFrame, tile: int, low: int, high: int, q: float = 0.999, known_least: float = 0.0, **settings) -> DataFrame:
-    """chrom, sidx, eidx, fdr, scale, intensity: blobs of the tiles and quantile peaks, the latter with values on lines fitted to the former; one row for each pair of ends."""
-    found = kernels.blobs_in_tiles(matrix.blocks_of(pixels, tile), **settings)
-    blobs = matrix.point_lookup(found, pixels).withColumn("intensity", F.col("cnt").cast("double")).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), "fdr", "scale", "intensity")
-    peaks = quantile_loops(pixels, low, high, q).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), F.col("cnt").cast("double").alias("intensity"))
+#: Settings of maps with few contacts.
+LOW_DEPTH = {"q_most": 0.2, "sigma": 0.3, "reach": 1}
+
+
+def call_loops(pixels: DataFrame, tile: int, low: int, high: int, q: float | None = None, known_least: float = 0.0, low_depth: bool = False, densities: tuple[float, ...] = (0.25, 0.75), **settings) -> DataFrame:
+    """chrom, sidx, eidx, fdr, scale, intensity: blobs of the tiles with each of the densities of filled cells around them, and quantile peaks, the latter with values on lines fitted to the former; one row for each pair of ends.
+
+    low_depth takes LOW_DEPTH and a lower quantile."""
+    settings = (LOW_DEPTH if low_depth else {}) | settings
+    tiles = matrix.blocks_of(pixels, tile)
+    found = None
+    for dense in densities:
+        own = kernels.blobs_in_tiles(tiles, dense=dense, **settings)
+        found = own if found is None else found.unionByName(own)
+    blobs = matrix.point_lookup(found.distinct(), pixels).withColumn("intensity", F.col("cnt").cast("double")).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), "fdr", "scale", "intensity")
+    peaks = quantile_loops(pixels, low, high, q or (0.995 if low_depth else 0.999)).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), F.col("cnt").cast("double").alias("intensity"))
     more = loops.regress_fdr(peaks, blobs.select("chrom", "intensity", "fdr", "scale"), known_least)
     return loops.unique_loops(blobs.unionByName(more))

@@ -32,14 +32,14 @@ class Registry:
         self.queries: dict[str, Callable] = {}
         self.sql: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None, plain: bool = False) -> Callable:
-        """A decorator: the function's name is the query's. sql may use COMMON; begin it with a comma to add common tables, or set plain."""
+    def __call__(self, sql: str | None = None, plain: bool = False, recursive: bool = False) -> Callable:
+        """A decorator: the function's name is the query's. sql may use COMMON; begin it with a comma to add common tables, or set plain. recursive: these tables may use themselves."""
 
         def add(f: Callable) -> Callable:
             self.queries[f.__name__] = f
             if sql is not None:
                 text = sql.strip()
-                self.sql[f.__name__] = text if plain else "WITH" + COMMON + ("" if text.startswith(",") else "\n") + text
+                self.sql[f.__name__] = text if plain else ("WITH RECURSIVE" if recursive else "WITH") + COMMON + ("" if text.startswith(",") else "\n") + text
             return f
 
         return add

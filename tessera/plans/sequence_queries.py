@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators import islands, segments, signal
+from tessera.operators import intervals, islands, segments, signal
 from tessera.plans.registry import Registry
 from tessera.sources import views
 
@@ -88,7 +88,7 @@ g AS (SELECT chrom, tag, min(hour) AS f, max(hour) AS l, bool_and(n / 100.0 < 0.
 SELECT chrom, f AS "first", l AS "last", CASE WHEN tag = 'domain' AND low THEN 'boundary' ELSE tag END AS tag FROM g WHERE tag <> 'boundary' OR l - f + 1 >= 2""")
 def segment_kinds(spark, sf_dir):
     h = views.hours(spark, sf_dir).select("chrom", F.col("hour").alias("bin_id"), (F.col("n") == 0).alias("gap"), (F.col("n") > 3).alias("boundary"), (F.col("n") / 100.0).alias("p"))
-    return segments.runs_of_kinds(h)
+    return segments.runs_of_kinds(h).drop("score")
 
 
 @query("SELECT chrom, hour, 1 - CAST(trunc(n / greatest(m, 1) * 10) AS INT) AS class FROM (SELECT *, max(n) OVER (PARTITION BY chrom) AS m FROM hours)")
@@ -128,6 +128,59 @@ def local_maxima(spark, sf_dir):
     return islands.local_maxima(views.hours(spark, sf_dir).withColumnRenamed("n", "height"), ["chrom"], "hour", "height")
 
 
+@query(""", ch AS (SELECT *, CASE WHEN n IS DISTINCT FROM lag(n) OVER (PARTITION BY chrom ORDER BY hour) THEN 1 ELSE 0 END AS c FROM hours), rn AS (SELECT *, sum(c) OVER (PARTITION BY chrom ORDER BY hour) AS run FROM ch), g AS (SELECT chrom, n, min(hour) AS f, max(hour) AS l FROM rn GROUP BY chrom, n, run),
+w AS (SELECT *, lag(n) OVER (PARTITION BY chrom ORDER BY f) AS b, lead(n) OVER (PARTITION BY chrom ORDER BY f) AS a FROM g) SELECT chrom, f AS "first", l AS "last", n AS depth FROM w WHERE n < b AND n < a""")
+def local_minima(spark, sf_dir):
+    return islands.local_minima(views.hours(spark, sf_dir).withColumnRenamed("n", "depth"), ["chrom"], "hour", "depth")
+
+
+def _second(sigma: int) -> str:
+    return f"(o * o - {sigma * sigma}) / {float(sigma ** 4)} * exp(-o * o / {2.0 * sigma * sigma}) / ({sigma} * sqrt(2 * pi()))"
+
+
+_CURVED = f""", k3 AS (SELECT o, {_second(3)} AS w FROM (SELECT range - 9 AS o FROM range(19))), k1 AS (SELECT o, {_second(1)} AS w FROM (SELECT range - 3 AS o FROM range(7))),
+l3 AS (SELECT a.chrom, a.hour, round(sum(b.n * w), 9) AS v FROM hours a JOIN k3 ON TRUE JOIN hours b ON b.chrom = a.chrom AND b.hour = a.hour - o GROUP BY ALL), l1 AS (SELECT a.chrom, a.hour, round(sum(b.n * w), 9) AS v FROM hours a JOIN k1 ON TRUE JOIN hours b ON b.chrom = a.chrom AND b.hour = a.hour - o GROUP BY ALL),
+b AS (SELECT 3 AS sigma, chrom, hour, sign(v) AS s FROM l3 WHERE v <> 0 UNION ALL SELECT 1, chrom, hour, sign(v) FROM l1 WHERE v <> 0),
+ch AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (PARTITION BY sigma, chrom ORDER BY hour) THEN 1 ELSE 0 END AS c FROM b), rn AS (SELECT *, sum(c) OVER (PARTITION BY sigma, chrom ORDER BY hour) AS run FROM ch), rg AS (SELECT sigma, chrom, min(hour) AS f, max(hour) AS l FROM rn WHERE s < 0 GROUP BY sigma, chrom, run)"""
+
+
+def _curved(spark: SparkSession, sf_dir: str, sigma: float) -> DataFrame:
+    h = views.hours(spark, sf_dir).select("chrom", "hour", F.col("n").cast("double").alias("n"))
+    bend = signal.convolve(h, ["chrom"], "hour", "n", signal.gaussian(sigma, 2), "v").withColumn("v", F.round("v", 9))
+    return islands.negative_runs(bend, ["chrom"], "hour", "v")
+
+
+@query(_CURVED + ' SELECT CAST(sigma AS INTEGER) AS sigma, chrom, f AS "first", l AS "last" FROM rg')
+def curved_ranges(spark, sf_dir):
+    """Ranges of negative curvature of the track smoothed with the wide and the narrow Gaussian."""
+    return _curved(spark, sf_dir, 3.0).withColumn("sigma", F.lit(3)).unionByName(_curved(spark, sf_dir, 1.0).withColumn("sigma", F.lit(1)))
+
+
+@query(_CURVED + """, t3 AS (SELECT range - 9 AS o, -((range - 9) * (range - 9) * (range - 9) - 27 * (range - 9)) / 729.0 * exp(-(range - 9) * (range - 9) / 18.0) / (3 * sqrt(2 * pi())) AS w FROM range(19)),
+td AS (SELECT a.chrom, a.hour, round(sum(b.n * w), 9) AS v FROM hours a JOIN t3 ON TRUE JOIN hours b ON b.chrom = a.chrom AND b.hour = a.hour - o GROUP BY ALL), c3 AS (SELECT chrom, hour, v, lag(v) OVER (PARTITION BY chrom ORDER BY hour) AS p FROM td), up AS (SELECT chrom, hour FROM c3 WHERE p < 0 AND v > 0)
+SELECT rg.chrom, f AS "first", l AS "last", hour AS middle FROM rg JOIN up ON up.chrom = rg.chrom AND hour BETWEEN f AND l WHERE sigma = 3""")
+def crossings_in_ranges(spark, sf_dir):
+    """Where the third derivative turns upwards inside the ranges of negative curvature: their middles."""
+    h = views.hours(spark, sf_dir).select("chrom", "hour", F.col("n").cast("double").alias("n"))
+    t = signal.convolve(h, ["chrom"], "hour", "n", signal.gaussian(3.0, 3), "v").withColumn("v", F.round("v", 9))
+    before = F.lag("v").over(Window.partitionBy("chrom").orderBy("hour"))
+    up = t.withColumn("p", before).where("p < 0 and v > 0").select("chrom", F.col("hour").alias("middle"), (F.col("hour") + 1).alias("_e"))
+    ranges = _curved(spark, sf_dir, 3.0).withColumn("_end", F.col("last") + 1)
+    return intervals.overlap_join(ranges, up, ["chrom"], "first", "_end", "middle", "_e", 48).select("chrom", "first", "last", "middle")
+
+
+@query(_CURVED + """, sm AS (SELECT a.chrom, a.hour, a.n, sum(b.n * exp(-o * o / 18.0) / (3 * sqrt(2 * pi()))) AS y FROM hours a JOIN k3 ON TRUE JOIN hours b ON b.chrom = a.chrom AND b.hour = a.hour - o GROUP BY ALL),
+t AS (SELECT rg.chrom, f, count(*) AS n, max(s.n) AS height, covar_pop(s.n, y) AS xy, var_pop(s.n) AS xx, var_pop(y) AS yy, sum(y) AS s, min(y) AS low, arg_min(y, hour) AS a, arg_max(y, hour) AS b FROM rg JOIN sm s ON s.chrom = rg.chrom AND hour BETWEEN f AND l WHERE sigma = 3 GROUP BY ALL)
+SELECT chrom, f AS "first", height, round((n * xy + 1e-8) / sqrt((n * xx + 1e-8) * (n * yy + 1e-8)), 6) AS correlation, round((s - n * low + 1e-7) / (n * a + (b - a) / n * n * (n - 1) / 2 - n * low + 1e-7), 6) AS concavity FROM t WHERE n > 2""")
+def range_shapes(spark, sf_dir):
+    """Height, correlation with the smoothed track and concavity of each range of more than two slots."""
+    h = views.hours(spark, sf_dir).select("chrom", "hour", F.col("n").cast("double").alias("n"))
+    track = h.join(signal.convolve(h, ["chrom"], "hour", "n", signal.gaussian(3.0), "y"), ["chrom", "hour"])
+    ranges = _curved(spark, sf_dir, 3.0).where("last - first > 1")
+    shapes = signal.shape_over(ranges.withColumn("id", F.col("first")), track, ["chrom"], ["id"], "first", "last", "hour", "n", "y")
+    return shapes.select("chrom", F.col("id").alias("first"), F.col("height").cast("bigint").alias("height"), F.round("correlation", 6).alias("correlation"), F.round("concavity", 6).alias("concavity"))
+
+
 @query(_TAGGED + ' SELECT chrom, CAST(run AS BIGINT) AS run, max(n) AS height, CAST(sum(n) AS BIGINT) AS area FROM rn WHERE tag = \'domain\' GROUP BY ALL')
 def profile_over(spark, sf_dir):
     t = _tagged(spark, sf_dir)

@@ -129,7 +129,11 @@ def unique_loops(spark, sf_dir):
     return loops.unique_loops(u).select("chrom", "sidx", "eidx", F.round("fdr", 6).alias("fdr"))
 
 
-@query()
+def _tail(low: str, high: str) -> str:
+    return f"round(-log10(list_sum([exp(k * ln(m) - m - lgamma(k + 1)) FOR k IN range({low}, {high})])) + 0.0, 8)"
+
+
+@query(f", h AS (SELECT chrom, hour, n, avg(n) OVER (PARTITION BY chrom) AS m FROM hours) SELECT chrom, hour, CASE WHEN n = 0 THEN 0.0 ELSE {_tail('n', 'n + 400')} END AS upper, {_tail('0', 'n + 1')} AS lower FROM h")
 def poisson_tail(spark, sf_dir):
     """-log10 of both tails of each hour's count under the chromosome's mean."""
     h = views.hours(spark, sf_dir)

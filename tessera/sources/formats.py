@@ -94,6 +94,35 @@ def write_signal(track: DataFrame, path: str) -> None:
     write_table(track.select("chrom", "start", "end", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0))), path)
 
 
+def with_bin_column(bins: DataFrame, name: str, values: DataFrame) -> DataFrame:
+    """bins (chrom, bin_id, ...) with a column added or replaced; values: chrom, bin_id and the column. Bins without a value get null."""
+    return bins.drop(name).join(values.select("chrom", "bin_id", name), ["chrom", "bin_id"], "left")
+
+
+def zipped(left: DataFrame, right: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """Two tables side by side, the n-th row of one with the n-th of the other in the order of part and, inside it, of `order`, which both have; the right one's columns get the ending _2 where they clash. A part is what a
+    task numbers; what one table has more than the other is left out."""
+    from tessera.operators.intervals import number_bins
+
+    other = number_bins(right, part, order, "_no").withColumnsRenamed({c: f"{c}_2" for c in right.columns if c in left.columns})
+    return number_bins(left, part, order, "_no").join(other, "_no").drop("_no")
+
+
+def write_profile(profile: DataFrame, path: str) -> None:
+    """The seven columns of a 10-base profile: coordinate, score, smoothed, LoG, minor LoG, tags and height, with three places; profile: slot and these."""
+    three = lambda c: F.round(c, 3)
+    write_table(profile.select((F.col("slot") * 10 + 1).alias("coordinate"), three("score"), three("smooth"), three("log"), three("minor_log"), "tags", three("height")), path)
+
+
+def write_nucleosomes(called: DataFrame, path: str) -> None:
+    """The ten columns of called nucleosomes, numbered along each chromosome; called: chrom, start, end, height, auc, property, nlp_peak, nlp_valley."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end"))
+    named = called.withColumn("index", F.concat(F.lit("Nucleosome:"), number.cast("string")))
+    write_table(named.select("chrom", "start", "end", "index", (F.col("end") - F.col("start") + 10).alias("width"), F.round("height", 3), F.round("auc", 3), "property", "nlp_peak", "nlp_valley"), path)
+
+
 def tag_statistics(tags: DataFrame, extend: int = 150) -> DataFrame:
     """Tags and the largest coordinate of each chromosome; forward reads count as far as they were extended."""
     return tags.groupBy("chrom").agg(F.count("*").alias("tags"), F.max(F.when(F.col("strand") == "+", F.col("start") + extend).otherwise(F.col("end"))).alias("max_coordinate"))
