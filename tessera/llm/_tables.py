@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-_written: dict[str, SparkSession] = {}
+_written: dict[str, tuple[SparkSession, int]] = {}  # by path; with the thread that wrote it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written[path] = spark
+    _written[path] = spark, threading.get_ident()
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -44,7 +45,16 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_kept_at", None)
         if path in _written:
-            _delete(_written.pop(path), path)
+            _delete(_written.pop(path)[0], path)
+
+
+def keep_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """keep() what make gives, and delete all that this thread kept on the way to it."""
+    before = set(_written)
+    out = keep(make(), name)
+    for path in [p for p, (_, thread) in _written.items() if p not in before and p != out._kept_at and thread == threading.get_ident()]:
+        _delete(_written.pop(path)[0], path)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -55,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     while _written:
-        path, spark = _written.popitem()
+        path, (spark, _) = _written.popitem()
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended before; the folder's owner then clears it
@@ -70,8 +80,3 @@ def rolled(docs: DataFrame) -> DataFrame:
 def unrolled(rows: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
     """The columns of docs from rows that rolled() made, some of them replaced."""
     return rows.select(*[(instead[c] if c in instead else F.col("text") if c == "text" else F.col("own").getField(c)).alias(c) for c in docs.columns])
-
-
-def rolled_schema(rows: DataFrame, more: str = "") -> StructType:
-    """The schema of rolled() rows with some columns more."""
-    return StructType(rows.schema.fields + (StructType.fromDDL(more).fields if more else []))

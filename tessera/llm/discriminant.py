@@ -1,7 +1,7 @@
 """Quality classifier: a regularised quadratic discriminant on document statistics.
 
 Each text gives FEATURES, made near normal by logarithms. Per class only the number of labelled rows and the sums of the features and of their products
-are gathered (map-side, over all labelled rows); from these come means and covariances, shrunk towards their pooled diagonal, and
+are gathered (map-side, over all labelled rows, or about MOST_LABELS of them, as their doc_ids are broadcast); from these come means and covariances, shrunk towards their pooled diagonal, and
 the Cholesky factors, which are made once and sent out. The score is the logistic of the difference of the two log densities
 (Mahalanobis terms and log determinants) plus the log odds of the classes.
 
@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import Words, slices
-from tessera.llm._tables import keep, rolled, rolled_schema, unrolled
+from tessera.llm._tables import keep, rolled, unrolled
 
 FEATURES = ["words", "word_length", "symbols", "upper", "digits", "spaces", "distinct", "top_run", "duplicate_lines", "line_words", "points", "calls", "bars", "short_words", "entropy", "repeated_pairs"]
 SHRINKAGE = 0.15
+MOST_LABELS = 1_000_000  # labels that are learnt from
 CLIP = 6.0  # standard deviations of the training rows beyond which a statistic counts no further
 
 _CLASSES = {
@@ -99,15 +101,16 @@ def _arrays(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), np.ascontiguousarray(x).ravel())
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and features (array of double) of every row."""
+def features(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, features (array of double) and some columns more of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _arrays(statistics(part.column("text")))], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in more], _arrays(statistics(part.column("text")))], ["doc_id", *more, "features"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, features array<double>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in ("doc_id", *more)] + StructType.fromDDL("features array<double>").fields))
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -166,11 +169,11 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.odds, -700, 700)))
 
 
-def fitted(table: DataFrame, labels: DataFrame, held_out: str):
-    """The model, sent to the executors, from the rows of table (doc_id, features) that have a label and that held_out leaves."""
-    known = labels.where("quality is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) q").groupBy("doc_id").agg(F.max("q").alias("y"))
-    train = table.where(f"doc_id is not null and not ({held_out})").select("doc_id", "features").join(known, "doc_id").select("features", "y")
-    return table.sparkSession.sparkContext.broadcast(Discriminant(moments(train)))
+def known(labels: DataFrame, held_out: str) -> DataFrame:
+    """doc_id and y of the labels that held_out leaves; where there are more than MOST_LABELS, about so many, chosen by a hash."""
+    all_of = labels.where("quality is not null and doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) q").where(f"not ({held_out})").groupBy("doc_id").agg(F.max("q").alias("y"))
+    n = all_of.count()
+    return all_of if n <= MOST_LABELS else all_of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * MOST_LABELS / n))
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -179,7 +182,8 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 def scored(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, learnt from the labelled rows that held_out leaves."""
     table = keep(features(docs), "features")
-    model = fitted(table, labels, held_out)
+    train = table.join(F.broadcast(known(labels, held_out)), "doc_id")  # MOST_LABELS rows
+    model = docs.sparkSession.sparkContext.broadcast(Discriminant(moments(train.select("features", "y"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,20 +195,14 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
-    """The rows of docs that are not rejected, with docs' own columns; each row is judged by its own text. The texts are written once beside their features, so no join is needed."""
+    """The rows of docs that are not rejected, with docs' own columns; each row is judged by its own text, in one pass without a join."""
     rows = rolled(docs)
-
-    def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("own"), part.column("text"), _arrays(statistics(part.column("text")))], ["own", "text", "features"])
-
-    table = keep(rows.mapInArrow(with_features, rolled_schema(rows, "features array<double>")), "features")
-    model = fitted(table.select(F.col("own.doc_id").cast("bigint").alias("doc_id"), "features"), labels, held_out)
+    train = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known(labels, held_out)), "doc_id")  # MOST_LABELS rows
+    model = docs.sparkSession.sparkContext.broadcast(Discriminant(moments(features(train, "y").select("features", "y"))))
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield batch.select(["own", "text"]).filter(pa.array(model.value.score(x) >= 0.5))
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.value.score(statistics(part.column("text"))) >= 0.5))
 
-    return unrolled(table.mapInArrow(good, rolled_schema(rows)), docs)
+    return unrolled(rows.mapInArrow(good, rows.schema), docs)

@@ -11,8 +11,8 @@ Every link is confirmed on the full shingle sets, as sets of 64-bit hashes of th
 Equal sets are one class from the start, and only the smallest doc_id of a class goes further. Within a band key, all rows first meet
 the smallest one alone (a star, counted before it is shuffled). What confirmed stars join is one component; only in buckets that still hold several
 components are further pairs looked for, block against block, and only across components: no block of the bucket's largest component meets another block of it. So a bucket with a third of
-all rows costs about one pair a row and for each block of the others, and yet no candidate is left out. Bands of more than HOT rows, of which there can't be more than a fixed number, are
-joined by broadcast where they stand; all others are small. The texts of documents that share a band are fetched once.
+all rows costs about one pair a row and for each block of the others, and yet no candidate is left out. Bands and classes of more than HOT rows, of which there can't be more than MOST_HOT (else the
+bound is raised), are joined by broadcast where their rows stand; all others are small. The texts of documents that share a band are fetched once.
 
 Defined results: null or empty texts and texts of separators only have n_shingles 0 and stand alone. A null doc_id stands alone with
 component_id null and kept true. Rows that repeat a doc_id with the same text share its class, and each is returned; where texts under one doc_id differ, the doc_id links what either links.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import Words, mix, slices
-from tessera.llm._tables import forget, keep, rolled, unrolled
+from tessera.llm._tables import forget, keep, keep_only, rolled, unrolled
 
 ROWS = 4
 BANDS = 32
@@ -38,8 +38,8 @@ SKETCH_BITS = 512
 SET_BITS = 2048
 SMALL = 64  # rows of a bucket up to which it is joined with itself
 BLOCK = 4096  # rows of a bucket that one task compares with as many others
-HOT = 20_000  # rows of a band from which on it is joined by broadcast
-MOST_HOT = 100_000  # bands that are broadcast, at most
+HOT = 1000  # rows of a band or class beyond which it is joined by broadcast
+MOST_HOT = 100_000  # bands or classes that are broadcast, at most
 MISS_SIGMAS = 6.0
 
 _GEN = np.random.Generator(np.random.PCG64(77))
@@ -198,14 +198,19 @@ def _near(x: str, y: str, size_x: str, size_y: str, most: int, percent: int) ->
     return (ones(range(head)) <= most) & (ones(range(head, head + SET_BITS // 64)) * (100 + percent) <= (F.col(size_x) + F.col(size_y)) * (100 - percent))
 
 
-def _by_band(rows: DataFrame, bands: DataFrame, hot: DataFrame, names: list[str]) -> DataFrame:
-    """rows joined with bands (one row a band) on band. hot: the bands whose many rows must not meet in one task, MOST_HOT at most."""
-    few = F.broadcast(hot.select("band"))
-    there = rows.join(F.broadcast(bands.join(few, "band", "left_semi")), "band")
-    others = rows.join(few, "band", "left_anti").join(bands.join(few, "band", "left_anti"), "band")
+def _joined(rows: DataFrame, keyed: DataFrame, hot: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """rows joined with keyed (one row a key). hot: the keys whose many rows must not meet in one task, MOST_HOT at most."""
+    few = F.broadcast(hot.select(*key))
+    there = rows.join(F.broadcast(keyed.join(few, key, "left_semi")), key)
+    others = rows.join(few, key, "left_anti").join(keyed.join(few, key, "left_anti"), key)
     return there.select(*names).unionByName(others.select(*names))
 
 
+def _hot(counted: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """The keys of counted (key, rows; of so many rows in all) that hold more than HOT. Not more than MOST_HOT keys can hold a MOST_HOT-th of all rows."""
+    return keep(counted.where(F.col("rows") > max(HOT, rows // MOST_HOT)).select(*key), "hot")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -213,13 +218,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = keep(texts.mapInArrow(signatures(size), schema), "signatures")
     key = ["n_shingles", "k1", "k2"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = keep(full.join(classes, key).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["rep", "bands"]), "representatives")
+    # the smallest doc_id of each class with its sketches, picked before the shuffle
+    classes = keep(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("first")), "classes")
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "first.bands", "first.sketch")
     band = reps.select("rep", F.explode("bands").alias("band"))
     shared = keep(band.groupBy("band").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"), "bands")
-    # with rows * BANDS rows in all, no more than MOST_HOT bands can hold more than this
-    hot = keep(shared.where(F.col("rows") > max(HOT, reps.count() * BANDS // MOST_HOT)).select("band"), "hot")
-    buckets = keep(_by_band(band, shared, hot, ["band", "rep", "rows", "hub"]), "buckets")
+    hot = _hot(shared, ["band"], reps.count() * BANDS)
+    buckets = keep(_joined(band, shared, hot, ["band"], ["band", "rep", "rows", "hub"]), "buckets")
     sketches = reps.select("rep", "n", "sketch")
     most = most_ones(percent)
     held = buckets.select(F.col("rep").alias("doc_id")).distinct()
@@ -247,17 +252,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
     if comp is None:
         comp = components(checked.where("linked"))
-    forget(buckets, shared, hot, held, rows, reps)
-    member = signed.select("doc_id", *key).join(classes, key, "left").join(comp, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    forget(buckets, shared, hot, held, rows)
+    named = classes.join(comp, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("comp", "rep").alias("component_id"))
+    out = ["doc_id", "n_shingles", "component_id"]
+    linked = _joined(full.select("doc_id", *key), named, _hot(classes, key, signed.count()), key, out)
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _mixed(labelled: DataFrame, hot: DataFrame) -> DataFrame:
     """band, rep, rows, comp (labelled) of the buckets that hold several components, with major (whether the row is of the bucket's largest one), and n_major and n_minor, the numbers of such rows and of others."""
     each = labelled.groupBy("band", "comp").agg(F.count("*").alias("k"))
     bands = each.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("n_major"), F.sum("k").alias("all"), F.count("*").alias("several")).where("several > 1")
-    out = _by_band(labelled, bands, hot, ["band", "rep", "rows", "comp", "largest", "n_major", "all"])
+    out = _joined(labelled, bands, hot, ["band"], ["band", "rep", "rows", "comp", "largest", "n_major", "all"])
     return out.select("band", "rep", "rows", "comp", (F.col("comp") == F.col("largest")).alias("major"), "n_major", (F.col("all") - F.col("n_major")).alias("n_minor"))
 
 
@@ -282,8 +289,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs, with docs' own columns, of each group of linked rows: that with the smallest doc_id (null comes last; of equal ones any). Rows are told apart by a number that is written with
     them, so of rows that repeat a doc_id and its text one stays, and different texts under one doc_id are judged each on its own."""
     rows = keep(rolled(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("row"), "component_id")
-    own = rows.select("row", F.col("own.doc_id").cast("bigint").alias("doc_id"))
-    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stay = found.join(own, "row").groupBy("component_id").agg(first.alias("row")).select("row")
-    return unrolled(rows.join(stay, "row", "left_semi"), docs)
+
+    def first() -> DataFrame:
+        found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("row"), "component_id")
+        own = rows.select("row", F.col("own.doc_id").cast("bigint").alias("doc_id"))
+        least = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+        return found.join(own, "row").groupBy("component_id").agg(least.alias("row")).select("row")
+
+    return unrolled(rows.join(keep_only(first, "stay").hint("merge"), "row", "left_semi"), docs)  # never broadcast: the numbers grow with the input
