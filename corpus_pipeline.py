@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import discriminant, nnls_packing, odd_sketch, rule_ledger, weak_pii
-from tessera.llm._tables import keep, table
+from tessera.llm._tables import forget, keep_only, table
 from tessera.session import ship_package
 
 
@@ -68,8 +68,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written as Parquet to the shared folder and read again as the next one's docs."""
+    """The last stage's rows. Each stage's result is written as Parquet to the shared folder and read again as the next one's docs; what was written before it is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, keep_only(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
