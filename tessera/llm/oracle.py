@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: near-duplicates, rules and licenses."""
+"""DuckDB SQL for the operators that SQL can express: near-duplicates, rules, licenses and hard negatives."""
 
 from __future__ import annotations
 
@@ -56,4 +56,16 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(q.n, 0) AS n_base, q.a AS first_wor
 FROM d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id"""
 
 
-ORACLE_SQL = {"op4_near_dedup": near_dedup(), "op8_rules": rules(), "op10_license_scan": licenses()}
+def hard_negatives() -> str:
+    """All anchors against all rows, over components that became integers."""
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE k <= 5)
+SELECT * FROM n WHERE rank <= 10"""
+
+
+ORACLE_SQL = {"op4_near_dedup": near_dedup(), "op8_rules": rules(), "op10_license_scan": licenses(), "op11_hard_negatives": hard_negatives()}
