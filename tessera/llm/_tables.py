@@ -74,7 +74,10 @@ def _clean() -> None:
 
 def rolled(docs: DataFrame) -> DataFrame:
     """text (as string) and own, a struct of all other columns, so that a batch function can add columns of any name; unrolled() gives docs' columns back."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("own"), F.col("text").cast("string").alias("text"))
+    filler = "_"  # a struct needs a field
+    while filler.lower() in map(str.lower, docs.columns):
+        filler += "_"
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias(filler)).alias("own"), F.col("text").cast("string").alias("text"))
 
 
 def unrolled(rows: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:

@@ -7,9 +7,12 @@ text's end are classes by themselves; the others are sorted by their endings and
 words, as contexts and as targets, are one of BUCKETS classes by their last two bytes; inside such a class a word has its smoothed training frequency. So every word, also one never
 seen, has a probability and all of them sum to one.
 
-The parameters are learnt by noise-contrastive estimation on both levels, with noise from the frequencies of the classes and of the words in a group (the biases start at their logarithms): each
-task makes one pass over all its training tokens from the same start, and what it changed is averaged row by row, weighted by how often the tasks met the row. So the
-parameters, and with them score (but none of the counts), depend on how the input is split into tasks. Scores are normalised by batched matrix products on the executors.
+The parameters are learnt by noise-contrastive estimation on both levels, with noise from the frequencies of the classes and of the words in a group (the biases start at their logarithms). The training rows are dealt to
+ROUNDS by a hash; in each, all tasks start from the same parameters and speeds and make one pass over their rows of it. What they changed is averaged row by row, weighted by how often the tasks met the row. The more tasks a pass is
+dealt to, the shorter each one's way, so the mean of a row that m tasks met alike is taken m^POWER times; the power is the one of POWERS with which a bounded sample of training texts (about SAMPLE tokens) becomes likeliest, in each round anew
+(0 is the mean, 1 would be the sum). So what is learnt grows with the data, however many tasks there are. Tasks
+that learn are as many as have TOKENS_A_TASK tokens each, and four times the cores at most. The parameters, and with them score (but none of the counts), still depend a little on how the input is split into tasks.
+Scores are normalised by batched matrix products on the executors.
 
 Word counts are taken over all training rows. The HEAD most frequent words (ties by a hash) and the end go to the executors as a table, a size fixed by the parameter; the counts
 of all other words are joined to the tokens that need them. No count depends on HEAD.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain, repeat
 
 import numpy as np
@@ -40,11 +44,15 @@ BUCKETS = 64
 DIM = 16
 NOISE = 16
 GROUP_NOISE = 16
-MINIBATCH = 4096
+MINIBATCH = 2048
 RATE = 0.08
 SMOOTH = 0.1
 END = b" "  # no word holds a space
 FLUSH = 300_000  # distinct words a task counts before it sends them on
+ROUNDS = (1, 2, 5)  # shares of the training rows
+POWERS = (0.0, 0.125, 0.25, 0.375, 0.5)
+TOKENS_A_TASK = 1_000_000  # at least, of those that learn at once
+SAMPLE = 60_000  # training tokens, about, on which the powers are compared
 TIES = 4096  # parts by hash of the words at the edge of the head
 BLOCK = 1024  # rows of parameters that are averaged together
 
@@ -191,6 +199,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Step:
+    """What the tasks of a round changed together in a block of rows: which parameters, the rows, their mean change, by how many tasks they were met (less where some met them far more often than others), and the mean of
+    what was added to their speeds."""
+
+    def __init__(self, block: int, rows: bytes, met: bytes, square: bytes, gain: bytes, change: bytes):
+        self.which = block >> 24
+        self.at = (block & 0xFFFFFF) * BLOCK + np.frombuffer(rows, np.int16).astype(np.int64)
+        met, square = np.frombuffer(met, np.float32).astype(float), np.frombuffer(square, np.float32).astype(float)
+        self.tasks = np.maximum(met * met / square, 1.0)
+        self.gain, self.change = np.frombuffer(gain, np.float32).reshape(-1, 2), unpacked(change)
+
+
+def together(blocks: Iterator[tuple[bytes, bytes, bytes, bytes, bytes]]) -> dict:
+    """The changes of several tasks, or of several groups of them, to one block of rows as one."""
+    met, square, gain, total = np.zeros(BLOCK), np.zeros(BLOCK), np.zeros((BLOCK, 2)), np.zeros((BLOCK, DIM + 1))
+    for rows, often, squares, gained, change in blocks:
+        at, w = np.frombuffer(rows, np.int16), np.frombuffer(often, np.float32).astype(float)
+        met[at] += w
+        square[at] += np.frombuffer(squares, np.float32)
+        gain[at] += w[:, None] * np.frombuffer(gained, np.float32).reshape(-1, 2)
+        total[at] += w[:, None] * unpacked(change)
+    at = np.flatnonzero(met)
+    raw = lambda x: x.astype(np.float32).tobytes()
+    return {"rows": at.astype(np.int16).tobytes(), "met": raw(met[at]), "square": raw(square[at]), "gain": raw(gain[at] / met[at, None]), "change": packed(total[at] / met[at, None])}
+
+
 class Model:
     """Position-wise context embeddings, and output vectors of classes and of the words in groups. The last column of outputs is a bias; that of contexts is fixed, so that they add up to 1 there."""
 
@@ -205,10 +239,12 @@ class Model:
         for p, last in zip(self.parts, (1.0, 0.0, np.log(shares[0]), np.log(shares[1])), strict=True):
             p[:, DIM] = last
 
+        self.speed = [np.full((len(p), 2), 1e-2, np.float32) for p in self.parts]  # squared gradients of vectors and of biases so far
+
     def begin(self) -> None:
-        """Make ready for learning: the start, the speeds and how often each row was met."""
+        """Make ready for learning: the start, and how often each row was met."""
         self.start = [p.copy() for p in self.parts]
-        self.speed = [np.full((len(p), 2), 1e-2, np.float32) for p in self.parts]  # of vectors and of biases
+        self.first_speed = [s.copy() for s in self.speed]
         self.met = [np.zeros(len(p), np.float32) for p in self.parts]
         self.offset = {k: np.log(n * self.share[k]).astype(np.float32) for k, n in ((2, NOISE), (3, GROUP_NOISE))}
 
@@ -274,18 +310,26 @@ class Model:
         self.parts[which][at] += total
         self.met[which][at] += often
 
-    def changes(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """For each block of rows its number, the rows in it that were met, how often, and what changed."""
+    def changes(self) -> Iterator[dict]:
+        """For each block of rows its number, the rows in it that were met, how often, what was added to their speeds, and what changed."""
         for which, p in enumerate(self.parts):
             for low in range(0, len(p), BLOCK):
                 rows = np.flatnonzero(self.met[which][low : low + BLOCK])
                 if len(rows):
-                    yield which << 24 | low // BLOCK, rows.astype(np.int16).tobytes(), self.met[which][low + rows].tobytes(), packed(p[low + rows] - self.start[which][low + rows])
+                    met = self.met[which][low + rows]
+                    gain = self.speed[which][low + rows] - self.first_speed[which][low + rows]
+                    yield {"block": which << 24 | low // BLOCK, "rows": rows.astype(np.int16).tobytes(), "met": met.tobytes(), "square": (met * met).tobytes(), "gain": gain.tobytes(), "change": packed(p[low + rows] - self.start[which][low + rows])}
+
+    def moved(self, steps: list["Step"], power: float) -> "Model":
+        """A model whose rows went m^power times their mean change, where m tasks met them."""
+        out = copy(self)
+        out.parts = [p.copy() for p in self.parts]
+        for s in steps:
+            out.parts[s.which][s.at] += (s.change * (s.tasks**power)[:, None]).astype(np.float32)
+        return out
 
-    def apply(self, number: int, rows: bytes, change: bytes) -> None:
-        which, low = number >> 24, (number & 0xFFFFFF) * BLOCK
-        at = low + np.frombuffer(rows, np.int16).astype(np.int64)
-        self.parts[which][at] += unpacked(change)
+    def cost(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray) -> float:
+        return -float(self.log_probability(one, two, classes, places).sum())
 
     def log_probability(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of each token's class and, in groups, of the word."""
@@ -329,44 +373,67 @@ def _tokens(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+LEARNT = {"block": "int", "rows": "binary", "met": "binary", "square": "binary", "gain": "binary", "change": "binary"}
+
+
+def inputs(v: Vocabulary, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both contexts, class and place in a group of each token of some texts."""
+    words, lengths = _tokens(part)
+    at, classes, rows = v.look_up(words)
+    return *contexts(rows, lengths, v.end_row), classes, v.place_of[at]
+
+
+def follow(model: Model, steps: list[Step], some: tuple[np.ndarray, ...]) -> Model:
+    """The model moved by the steps of a round, with the power that makes the sample likeliest."""
+    best = min((model.moved(steps, p) for p in POWERS), key=lambda m: m.cost(*some)) if len(some[0]) else model.moved(steps, 0.0)
+    best.speed = [s.copy() for s in model.speed]
+    for s in steps:
+        best.speed[s.which][s.at] += s.gain
+    return best
+
+
 def train_model(train: DataFrame, vocab) -> Model:
-    """The start, moved by what the tasks learn: for each row of parameters the mean change, weighted by how often the tasks met it.
+    """The start, moved round by round by what the tasks learn.
 
-    Blocks of rows are averaged in two steps, so no task gathers those of all others at once."""
+    As tasks are bounded by the cores, what they send doesn't grow with the input; blocks of rows are averaged in two steps, so no task gathers those of all others at once."""
     model = Model(vocab.value)
-    if not vocab.value.tokens:
+    tokens = vocab.value.tokens
+    if not tokens:
         return model
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        own, rng, seen = Model(v), np.random.Generator(np.random.PCG64(5)), 0
-        own.begin()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, lengths = _tokens(part)
-                at, classes, rows = v.look_up(words)
-                one, two = contexts(rows, lengths, v.end_row)
-                own.learn(one, two, classes, v.place_of[at], rng)
-                seen += len(classes)
-        if seen:
-            part_number = np.int32(TaskContext.get().partitionId() % 64)
-            for number, rows, met, change in own.changes():
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part_number], pa.int32()), pa.array([rows], pa.binary()), pa.array([met], pa.binary()), pa.array([change], pa.binary())], ["block", "part", "rows", "met", "change"])
-
-    def average(t: pa.Table) -> pa.Table:
-        met, total = np.zeros(BLOCK), np.zeros((BLOCK, DIM + 1))
-        for rows, often, change in zip(*(t.column(c).to_pylist() for c in ("rows", "met", "change")), strict=True):
-            at, w = np.frombuffer(rows, np.int16), np.frombuffer(often, np.float32).astype(float)
-            met[at] += w
-            total[at] += w[:, None] * unpacked(change)
-        at = np.flatnonzero(met)
-        mean = packed(total[at] / met[at, None])
-        return pa.table({"block": t.column("block")[:1], "rows": pa.array([at.astype(np.int16).tobytes()], pa.binary()), "met": pa.array([met[at].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([mean], pa.binary())})
-
-    schema = "block int, rows binary, met binary, change binary"
-    learnt = train.select("text").mapInArrow(run, "block int, part int, rows binary, met binary, change binary")
-    for r in learnt.groupBy("block", "part").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema).select("block", "rows", "change").collect():  # one row a block; their number is bounded by HEAD
-        model.apply(r.block, bytes(r.rows), bytes(r.change))
+    context = train.sparkSession.sparkContext
+    drawn = F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / tokens))
+    some = inputs(vocab.value, pa.RecordBatch.from_arrays([train.where(drawn).select("text").toArrow().column("text").combine_chunks()], ["text"]))  # about SAMPLE tokens
+    kinds = ", ".join(f"{c} {k}" for c, k in LEARNT.items())
+    tasks = max(1, min(4 * context.defaultParallelism, tokens // TOKENS_A_TASK))
+    turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(sum(ROUNDS)))
+    for number, share in enumerate(ROUNDS):
+        low = sum(ROUNDS[:number])
+        sent = context.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
+            v, own, rng, seen = vocab.value, copy(sent.value), np.random.Generator(np.random.PCG64(5 + number)), 0
+            own.parts, own.speed = [p.copy() for p in own.parts], [s.copy() for s in own.speed]
+            own.begin()
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    one, two, classes, places = inputs(v, part)
+                    own.learn(one, two, classes, places, rng)
+                    seen += len(classes)
+            if seen:
+                part_number = TaskContext.get().partitionId() % 64
+                for change in own.changes():
+                    yield pa.RecordBatch.from_pylist([change | {"part": part_number}], schema=pa.schema([("part", pa.int32()), *[(c, pa.int32() if k == "int" else pa.binary()) for c, k in LEARNT.items()]]))
+
+        def average(t: pa.Table) -> pa.Table:
+            columns = [t.column(c).to_pylist() for c in LEARNT if c != "block"]
+            mean = together(zip(*columns, strict=True))
+            return pa.table({"block": t.column("block")[:1]} | {c: pa.array([x], pa.binary()) for c, x in mean.items()})
+
+        rows = train.where((turn >= low) & (turn < low + share)).select("text").coalesce(tasks)
+        learnt = rows.mapInArrow(run, f"part int, {kinds}").groupBy("block", "part").applyInArrow(average, kinds).groupBy("block").applyInArrow(average, kinds)
+        steps = [Step(r.block, *(bytes(r[c]) for c in LEARNT if c != "block")) for r in learnt.select(*LEARNT).collect()]  # one row a block; their number is bounded by HEAD
+        model = follow(model, steps, some)
+        sent.destroy()
     return model
 
 

@@ -23,7 +23,7 @@ def documents(spark):
     """With columns whose names the operators use themselves."""
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = base.union(spark.createDataFrame(ODD, "doc_id bigint, text string"))
-    return docs.selectExpr("doc_id", "text", "'xx' lang", "cast(null as string) source", "char_length(text) n_chars", "1 score", "2 spans", "3 row", "4 b", "5 n", "6 rep")
+    return docs.selectExpr("doc_id", "text", "'xx' lang", "cast(null as string) source", "char_length(text) n_chars", "1 score", "2 spans", "3 row", "4 b", "5 n", "6 rep", "7 _")
 
 
 def nothing(spark):

@@ -284,7 +284,7 @@ def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch, head, least):
     """A trained model's probabilities of all training words and of one unseen word in each bucket, after some contexts."""
     monkeypatch.setattr(log_bilinear, "HEAD", head)
     monkeypatch.setattr(log_bilinear, "LEAST_WORDS", least)
-    train = docs.where("doc_id < 60 or doc_id >= 1000000").select("text")
+    train = docs.where("doc_id < 60 or doc_id >= 1000000").select("doc_id", "text")
     counts = log_bilinear.word_counts(train).collect()
     v = log_bilinear.vocabulary(spark.createDataFrame(counts))
     assert v.tokens == sum(r.c for r in counts) and v.words == len(counts) and log_bilinear.END in v.at and len(v.at) <= head + 1
@@ -302,6 +302,27 @@ def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch, head, least):
         assert abs(np.exp(p).sum() + np.exp(q).sum() - 1) < 1e-3
 
 
+def test_lm_learns_alike_however_the_input_is_split(spark):
+    """Bits a token of held-out texts, learnt by 1, 8 and 64 tasks from the same 5,000 documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000").select("doc_id", "text")
+    bits = []
+    for tasks in (1, 8, 64):
+        score, base, n = log_bilinear.scored(docs.repartition(tasks, "doc_id")).where("held_out").selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").head()
+        bits.append(-score / n / np.log10(2))
+    unigram = -base / n / np.log10(2)
+    assert max(bits) - min(bits) < 0.1 and max(bits) < unigram - 0.6
+
+
+def test_lm_moves_further_where_more_tasks_agree():
+    """What several tasks changed together: the mean, and how many of them met a row."""
+    one = {"rows": np.array([0, 2], np.int16).tobytes(), "met": np.array([4, 2], np.float32).tobytes(), "square": np.array([16, 4], np.float32).tobytes(), "gain": np.ones((2, 2), np.float32).tobytes(), "change": log_bilinear.packed(np.full((2, log_bilinear.DIM + 1), 0.5, np.float32))}
+    two = one | {"rows": np.array([0, 3], np.int16).tobytes(), "change": log_bilinear.packed(np.full((2, log_bilinear.DIM + 1), 0.7, np.float32))}
+    fields = [c for c in log_bilinear.LEARNT if c != "block"]
+    step = log_bilinear.Step(1 << 24 | 2, **log_bilinear.together([tuple(x[c] for c in fields) for x in (one, two)]))
+    assert step.which == 1 and step.at.tolist() == [2 * log_bilinear.BLOCK + i for i in (0, 2, 3)]
+    assert np.allclose(step.tasks, [2, 1, 1]) and np.allclose(step.gain, 1) and np.allclose(step.change, [[0.6], [0.5], [0.7]], atol=0.01)
+
+
 def test_lm_vocabulary_grows_with_the_tokens():
     own = [log_bilinear.Vocabulary([(f"w{k}".encode(), 10**9 // (k + 1)) for k in range(30_000)] + [(log_bilinear.END, 1)], {}, n, 10**6) for n in (10**6, 10**7, 4 * 10**7)]
     assert [v.end_row for v in own] == [log_bilinear.LEAST_WORDS, 10**7 // log_bilinear.TOKENS_A_WORD, 4 * 10**7 // log_bilinear.TOKENS_A_WORD]
