@@ -4,7 +4,8 @@ Components become integers (floor of SCALE times the component), so scores are e
 rows, however many rows have the same norm. Inside a cell rows lie in blocks by descending norm.
 
 By Cauchy and Schwarz no score of a block exceeds the anchor's norm times the block's largest one. For each anchor and window of scores the search holds the window's lower limit and the k-th best score so far; a block, or a whole
-level, whose bound is below both is left out, and so is all that follows, as norms only fall. The k-th best scores of the first level are known before anchors are sent to the others. Vectors of nearly the same norm can't be left out,
+level, whose bound is below both is left out, and so is all that follows, as norms only fall. Levels are searched from the largest norms on, always
+GROWTH times as many as before, with the k-th best scores of all that came before. Vectors of nearly the same norm can't be left out,
 then every anchor meets every candidate, in blocks.
 
 First each anchor's positives are looked for, in one window without limits among rows of its label; then, in one window for each positive, its negatives among rows of other labels.
@@ -36,6 +37,7 @@ LEVELS = 1024
 PART = (1024, 8192)  # rows of a cell, between these; a 64th of all rows where that is between
 BLOCK = 1024
 ASKED = 8192
+GROWTH = 4  # times the levels so far are searched together next
 NO_LIMIT = 1 << 62
 SLACK = 1 + 1e-9  # of a bound, for rounding
 
@@ -107,15 +109,20 @@ class Buckets:
     def search(self, asked: DataFrame, k: int, same: bool, name: str) -> DataFrame:
         """anchor_id, w, vec_id, score: the k best candidates for each window of asked (anchor_id, label, q, norm, low, high: arrays with a number for each window), by descending score, then vec_id."""
         rank = F.row_number().over(Window.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "vec_id"))
-        number = asked.count()
-        none = F.transform("low", lambda _: F.lit(-NO_LIMIT).cast("bigint"))
-        got = keep(self._meet(asked.withColumn("kth", none), number, 0, 1, k, same), f"{name}-first")
-        if len(self.tops) == 1:
-            return got.withColumn("rank", rank).where(f"rank <= {k}").drop("rank")
-        known = got.withColumn("rank", rank).where(f"rank = {k}").groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("known"))
-        asked = asked.join(known, "anchor_id", "left").withColumn("kth", F.transform("low", lambda _, i: F.coalesce(F.col("known")[i], F.lit(-NO_LIMIT).cast("bigint")))).drop("known")
-        rest = self._meet(asked, number, 1, len(self.tops), k, same)
-        return got.union(rest).withColumn("rank", rank).where(f"rank <= {k}").drop("rank")
+        number, got, end = asked.count(), None, 0
+        while end < len(self.tops):
+            first, end = end, min(max(1, GROWTH * end), len(self.tops))
+            known = F.transform("low", lambda _: F.lit(-NO_LIMIT).cast("bigint"))
+            ready = asked.withColumn("kth", known)
+            if got is not None:
+                full = got.where(f"place = {k}").groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("known"))
+                ready = asked.join(full, "anchor_id", "left").withColumn("kth", F.transform("low", lambda _, i: F.coalesce(F.col("known")[i], F.lit(-NO_LIMIT).cast("bigint")))).drop("known")
+            found = self._meet(ready, number, first, end, k, same)
+            found = found if got is None else got.drop("place").union(found)
+            before, got = got, keep(found.withColumn("place", rank).where(f"place <= {k}"), name)
+            if before is not None:
+                forget(before)
+        return got.drop("place")
 
     def _reached(self) -> Column:
         """How many levels can hold scores that an anchor still needs."""
