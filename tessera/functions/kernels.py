@@ -488,41 +488,3 @@ def gap_bins(first_columns: DataFrame, bins: DataFrame) -> DataFrame:
         return pd.DataFrame({"chrom": right.chrom.iloc[0], "bin_id": np.flatnonzero(greedy_gaps(at))})
 
     return first_columns.groupBy("chrom").cogroup(_apart(bins).groupBy("chrom")).applyInPandas(run, "chrom string, bin_id bigint")
-
-
-def precise_positions(profile: np.ndarray, smooth: np.ndarray, least: float = 0.5) -> list[tuple[int, int, str]]:
-    """(first, last, label) of peaks of a track: ranges of negative curvature of the smooth track; a lower one whose valley towards a neighbour is shallow is its shoulder, and two of like height are a doublet.
-
-    An approximation of the described positioning only: without the threshold tiers of the shoulder relation, border adjustment and noise discarding; no range is labelled Shoulder alone."""
-    bend = np.concatenate([[0], np.diff(smooth, 2), [0]])
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (bend < 0).astype(int), [0]])))
-    ranges = [(int(a), int(b - 1)) for a, b in zip(edges[::2], edges[1::2], strict=True) if profile[a:b].max(initial=0) > 0]
-    out, i = [], 0
-    while i < len(ranges):
-        a, b = ranges[i]
-        label = "MainPeak"
-        while i + 1 < len(ranges):
-            c, d = ranges[i + 1]
-            h1, h2 = smooth[a : b + 1].max(), smooth[c : d + 1].max()
-            valley = smooth[b : c + 1].min()
-            if c - b > 15 or valley < least * min(h1, h2):
-                break
-            label = "MainPeak:doublet" if min(h1, h2) > 0.8 * max(h1, h2) else "MainPeak+Shoulder"
-            b, i = d, i + 1
-        out.append((a, b, label if smooth[a : b + 1].max() >= 0 else "Other"))
-        i += 1
-    return out
-
-
-def positions_in_tracks(tracks: DataFrame) -> DataFrame:
-    """chrom, first, last, property of peaks; tracks: chrom, slot, score, smooth."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        low = int(part.slot.min())
-        n = int(part.slot.max()) - low + 1
-        score, smooth = np.zeros(n), np.zeros(n)
-        score[part.slot - low], smooth[part.slot - low] = part.score, part.smooth
-        found = precise_positions(score, smooth)
-        return pd.DataFrame([(part.chrom.iloc[0], low + a, low + b, x) for a, b, x in found], columns=["chrom", "first", "last", "property"])
-
-    return tracks.groupBy("chrom").applyInPandas(run, "chrom string, first bigint, last bigint, property string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import RANGE, carried, numbered
+
 
 def fence(x: Column) -> Column:
     """q75 + 1.5 * (q75 - q25), an aggregate."""
@@ -61,10 +63,11 @@ def average_rank(rows: DataFrame, part: list[str], value: str) -> DataFrame:
 
 def equal_mass(rows: DataFrame, part: list[str], order: list[str], mass: str, bins: int) -> DataFrame:
     """rows with mass_bin from 0: where the running sum stands among `bins` equal shares of the total."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(mass).over(Window.partitionBy(*part))
-    before = F.sum(mass).over(w) - F.col(mass)
-    return rows.withColumn("mass_bin", F.least(F.floor(before * bins / total), F.lit(bins - 1)))
+    ranges = [F.col(order[0]), *[F.floor(F.col(c) / RANGE) for c in order[1:2]]]  # the first order column alone may hold a large share
+    summed = carried(rows, part, order, sums={"_upto": F.col(mass)}, ranges=ranges)
+    total = rows.groupBy(*part).agg(F.sum(mass).alias("_total"))  # a row a part
+    before = F.col("_upto") - F.col(mass)
+    return summed.join(F.broadcast(total), part).withColumn("mass_bin", F.least(F.floor(before * bins / F.col("_total")), F.lit(bins - 1))).drop("_upto", "_total")
 
 
 def regression(rows: DataFrame, part: list[str], y: str, x: str) -> DataFrame:
@@ -73,12 +76,8 @@ def regression(rows: DataFrame, part: list[str], y: str, x: str) -> DataFrame:
 
 def interpolate(rows: DataFrame, part: list[str], index: str, value: str) -> DataFrame:
     """rows with filled: missing values on the line between the known ones around, by row number; flat at the ends."""
-    w = Window.partitionBy(*part).orderBy(index)
-    numbered = rows.withColumn("_r", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct("_r", value))
-    back = Window.partitionBy(*part).orderBy(F.desc(index))
-    before, after = (F.last(known, ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, back))  # frames that only grow
-    both = numbered.withColumn("_a", before).withColumn("_b", after)
+    both = carried(numbered(rows, part, [index], "_r"), part, [index], latest={"_a": known}, coming={"_b": known})
     span = F.col("_b._r") - F.col("_a._r")
     line = F.col(f"_a.{value}") + (F.col(f"_b.{value}") - F.col(f"_a.{value}")) * (F.col("_r") - F.col("_a._r")) / span
     filled = F.when(F.col("_a").isNull(), F.col(f"_b.{value}")).when(F.col("_b").isNull(), F.col(f"_a.{value}")).when(span == 0, F.col(value)).otherwise(line)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import carried, numbered
+
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, hint: str | None = None) -> DataFrame:
     """All pairs of rows with equal keys whose intervals [sa, ea) and [sb, eb) overlap, with olp, the overlap's length.
@@ -54,10 +56,9 @@ def orient(rows: DataFrame, strand: str, first: str, last: str) -> DataFrame:
 
 def spacing(rows: DataFrame, part: list[str], order: list[str], middle: str, cap: int = 10_000) -> DataFrame:
     """Distance to the middle before. One that isn't positive takes the next one's; the first takes the second's; none is above cap."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    step = rows.withColumn("_d", F.col(middle) - F.lag(middle).over(w))
-    value = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.lead("_d").over(w))
-    return step.withColumn("spacing", F.least(value, F.lit(cap))).drop("_d")
+    step = carried(rows, part, order, before={"_m0": F.col(middle)}).withColumn("_d", F.col(middle) - F.col("_m0")).drop("_m0")
+    value = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.col("_d1"))
+    return carried(step, part, order, after={"_d1": F.col("_d")}).withColumn("spacing", F.least(value, F.lit(cap))).drop("_d", "_d1")
 
 
 def extend_short(rows: DataFrame, start: str, end: str, width: int = 150, by: int = 35) -> DataFrame:
@@ -67,19 +68,18 @@ def extend_short(rows: DataFrame, start: str, end: str, width: int = 150, by: in
 
 def deoverlap(rows: DataFrame, part: list[str], order: list[str], start: str, end: str, least: int = 10) -> DataFrame:
     """Neighbours closer than `least` are drawn to 5 on either side of the middle between them (whole numbers, towards zero); decided on the original ends."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    before, after = F.lag(end).over(w), F.lead(start).over(w)
+    rows = carried(rows, part, order, before={"_before": F.col(end)}, after={"_after": F.col(start)})
+    before, after = F.col("_before"), F.col("_after")
     middle = lambda x, y: ((x + y) / 2).cast("bigint")
     new_start = F.when(F.col(start) - before < least, middle(before, F.col(start)) + 5).otherwise(F.col(start))
     new_end = F.when(after - F.col(end) < least, middle(F.col(end), after) - 5).otherwise(F.col(end))
-    return rows.withColumns({"_s": new_start, "_e": new_end}).drop(start, end).withColumnsRenamed({"_s": start, "_e": end})
+    return rows.withColumns({"_s": new_start, "_e": new_end}).drop(start, end, "_before", "_after").withColumnsRenamed({"_s": start, "_e": end})
 
 
 def complement(rows: DataFrame, part: list[str], start: str, end: str, length: DataFrame, size: str) -> DataFrame:
     """Gaps between intervals and at both ends of each part, whose sizes are in length(part, size)."""
-    w = Window.partitionBy(*part).orderBy(start, end)
-    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    inner = rows.select(*part, F.coalesce(far, F.lit(0)).alias("gap_start"), F.col(start).alias("gap_end"))
+    far = carried(rows.select(*part, start, end), part, [start, end], most={"_far": F.col(end)})
+    inner = far.select(*part, F.coalesce("_far", F.lit(0)).alias("gap_start"), F.col(start).alias("gap_end"))
     last = length.join(rows.groupBy(*part).agg(F.max(end).alias("_far")), part, "left").select(*part, F.coalesce("_far", F.lit(0)).alias("gap_start"), F.col(size).cast("bigint").alias("gap_end"))
     return inner.unionByName(last).where("gap_start < gap_end")
 
@@ -99,11 +99,10 @@ def subdivide(rows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def number_bins(rows: DataFrame, part: str, order: list[str], name: str = "bin_id") -> DataFrame:
-    """Dense numbers over all parts: a row number in each part plus the rows of the parts before, so that no window holds everything."""
+    """Dense numbers over all parts: a row number in each part plus the rows of the parts before, so that no window holds a part."""
     counts = rows.groupBy(part).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a chromosome
-    w = Window.partitionBy(part).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), part).withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_r", "_before")
+    return numbered(rows, [part], order, "_r").join(F.broadcast(before), part).withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_r", "_before")
 
 
 #: Parameters [p0, p1, p2, p3] of the region kinds, and their bits: the highest wins.
@@ -162,8 +161,8 @@ def interval_type(left_valley: Column, right_valley: Column, cut: Column, region
 
 def sites_of_fragments(fragments: DataFrame) -> DataFrame:
     """Two-base windows around the end of each fragment but a chromosome's last."""
-    w = Window.partitionBy("Chromosome").orderBy(F.desc("Start"))
-    return fragments.withColumn("_r", F.row_number().over(w)).where("_r > 1").select(F.col("Chromosome").alias("chrom"), (F.col("End") - 1).alias("site_start"), (F.col("End") + 1).alias("site_end"))
+    behind = carried(fragments, ["Chromosome"], ["Start"], after={"_more": F.lit(True)})
+    return behind.where("_more").select(F.col("Chromosome").alias("chrom"), (F.col("End") - 1).alias("site_start"), (F.col("End") + 1).alias("site_end"))
 
 
 def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
@@ -192,12 +191,12 @@ def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
 
 def consecutive(rows: DataFrame, part: list[str], order: list[str], start: str, end: str) -> DataFrame:
     """Each start becomes the end before it; the first stays."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    return rows.withColumn("_s", F.coalesce(F.lag(end).over(w), F.col(start))).drop(start).withColumnRenamed("_s", start)
+    behind = carried(rows, part, order, before={"_e0": F.col(end)})
+    return behind.withColumn("_s", F.coalesce("_e0", F.col(start))).drop(start, "_e0").withColumnRenamed("_s", start)
 
 
 def neighbour_extend(rows: DataFrame, bins: DataFrame, index: str) -> DataFrame:
     """rows with start and end stretched over the bins before and after, as far as there are any. bins: chrom, idx, start, end."""
-    w = Window.partitionBy("chrom").orderBy("idx")
-    near = bins.select("chrom", F.col("idx").alias(index), F.coalesce(F.lag("start").over(w), F.col("start")).alias("ext_start"), F.coalesce(F.lead("end").over(w), F.col("end")).alias("ext_end"))
+    near = carried(bins.select("chrom", "idx", "start", "end"), ["chrom"], ["idx"], before={"_s": F.col("start")}, after={"_e": F.col("end")})
+    near = near.select("chrom", F.col("idx").alias(index), F.coalesce("_s", "start").alias("ext_start"), F.coalesce("_e", "end").alias("ext_end"))
     return rows.join(near, ["chrom", index], "left")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.intervals import overlap_exists, overlap_join
-from tessera.operators.islands import differs, regions_of_ids, with_runs
+from tessera.operators.islands import regions_of_ids, with_runs
+from tessera.operators.scans import carried, numbered
+from tessera.tables import keep
 
 
 def tag_runs(rows: DataFrame, index: str = "bin_id", score: str = "score") -> DataFrame:
     """chrom, tag, first, last, start, end, score (mean) and nuc of runs of equal tags; rows: chrom, index, start, end, tag, score, nuc."""
-    runs = with_runs(rows, ["chrom"], [index], differs("tag", ["chrom"], [index]))
+    runs = with_runs(rows, ["chrom"], [index], "tag")
     return runs.groupBy("chrom", "run", "tag").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg(score).alias("score"), F.sum("nuc").alias("nuc")).drop("run")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Runs whose tag is that of the one before are joined."""
-    again = with_runs(runs, ["chrom"], ["first"], differs("tag", ["chrom"], ["first"]))
+    again = with_runs(runs, ["chrom"], ["first"], "tag")
     return again.groupBy("chrom", "run", "tag").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), F.sum("nuc").alias("nuc")).drop("run")
 
 
@@ -41,7 +43,7 @@ def runs_of_kinds(bins: DataFrame, least_boundary: int = 2, p_most: float = 0.05
     is the mean p of a domain, 0 for others."""
     kinds = F.when(F.col("gap"), "gap").when(F.col("boundary"), "boundary").otherwise("domain")
     tagged = bins.withColumn("tag", kinds)
-    runs = with_runs(tagged, ["chrom"], ["bin_id"], differs("tag", ["chrom"], ["bin_id"])).groupBy("chrom", "run", "tag").agg(F.min("bin_id").alias("first"), F.max("bin_id").alias("last"), F.bool_and(F.col("p") < p_most).alias("_low"), F.avg("p").alias("_p"))
+    runs = with_runs(tagged, ["chrom"], ["bin_id"], "tag").groupBy("chrom", "run", "tag").agg(F.min("bin_id").alias("first"), F.max("bin_id").alias("last"), F.bool_and(F.col("p") < p_most).alias("_low"), F.avg("p").alias("_p"))
     kept = runs.where((F.col("tag") != "boundary") | (F.col("last") - F.col("first") + 1 >= least_boundary))
     named = kept.withColumn("tag", F.when((F.col("tag") == "domain") & F.col("_low"), "boundary").otherwise(F.col("tag")))
     return named.withColumn("score", F.when(F.col("tag") == "domain", F.col("_p")).otherwise(0.0)).drop("run", "_low", "_p")
@@ -96,10 +98,10 @@ def insert_boundaries(segments: DataFrame, boundaries: DataFrame, bucket: int) -
 
     A domain that lies inside a boundary stays as it is, and so do other segments. One boundary across an edge cuts the domain there; one inside makes domain, boundary, domain, where a part
     without bins of its own goes to the boundary; several are put in one after the other, cut to the domain. A segment that no longer begins where the one before ends: a domain moves that end, others their own start."""
-    numbered = segments.withColumn("no", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "first")))
-    hits = overlap_join(numbered.where("tag = 'domain'"), boundaries, ["chrom"], "start", "end", "b_start", "b_end", bucket).where("not (start >= b_start and end <= b_end)")
+    placed = keep(numbered(segments, ["chrom"], ["start", "first"], "no"), "segments")
+    hits = overlap_join(placed.where("tag = 'domain'"), boundaries, ["chrom"], "start", "end", "b_start", "b_end", bucket).where("not (start >= b_start and end <= b_end)")
     cuts = hits.groupBy("chrom", "no").agg(F.array_sort(F.collect_set(F.struct(F.col("b_start").alias("s"), F.col("b_end").alias("e"), F.col("b_first").alias("f"), F.col("b_last").alias("l")))).alias("cuts"))
-    rows = numbered.join(cuts, ["chrom", "no"], "left")
+    rows = placed.join(cuts, ["chrom", "no"], "left")
     s, e, first, last, score = (F.col(c) for c in ("start", "end", "first", "last", "score"))
 
     def piece(tag: str, a: Column, b: Column, f: Column, t: Column, value: Column) -> Column:
@@ -123,7 +125,7 @@ def insert_boundaries(segments: DataFrame, boundaries: DataFrame, bucket: int) -
     whole = F.array(F.struct(F.col("tag"), s.cast("bigint"), e.cast("bigint"), first.cast("bigint"), last.cast("bigint"), score.cast("double"))).cast(_PIECE)
     pieces = F.when(F.col("cuts").isNull(), whole).when(F.size("cuts") == 1, single).otherwise(many)
     out = rows.select("chrom", "no", F.posexplode(pieces).alias("piece", "p")).select("chrom", "no", "piece", "p.*")
-    w = Window.partitionBy("chrom").orderBy("no", "piece")
-    behind, ahead, tag = F.lag("end").over(w), F.lead("start").over(w), F.lead("tag").over(w)
-    met = out.withColumns({"_s": F.when((F.col("tag") != "domain") & (behind != F.col("start")), behind).otherwise(F.col("start")), "_e": F.when((tag == "domain") & (ahead != F.col("end")), ahead).otherwise(F.col("end"))})
+    near = carried(out, ["chrom"], ["no", "piece"], before={"_behind": F.col("end")}, after={"_ahead": F.col("start"), "_tag": F.col("tag")})
+    behind, ahead, tag = (F.col(c) for c in ("_behind", "_ahead", "_tag"))
+    met = near.withColumns({"_s": F.when((F.col("tag") != "domain") & (behind != F.col("start")), behind).otherwise(F.col("start")), "_e": F.when((tag == "domain") & (ahead != F.col("end")), ahead).otherwise(F.col("end"))})
     return met.where("_s <> _e").select("chrom", "first", "last", F.col("_s").alias("start"), F.col("_e").alias("end"), "tag", "score")

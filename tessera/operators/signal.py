@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import exp, pi, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import nearby
+
 
 def covered_single(rows: DataFrame) -> DataFrame:
     """first, last (inclusive) and center of single-end tags (start, end, strand): 76 positions around the middle of 150."""
@@ -50,10 +52,8 @@ def convolve(track: DataFrame, part: list[str], index: str, value: str, kernel:
 
 def background(track: DataFrame, part: list[str], index: str, value: str, reaches: list[int]) -> DataFrame:
     """Sums over the slots within each reach, and the largest and smallest of their means."""
-    out = track
-    for r in reaches:
-        w = Window.partitionBy(*part).orderBy(index).rangeBetween(-r, r)
-        out = out.withColumn(f"sum_{r}", F.sum(value).over(w)).withColumn(f"_m{r}", F.avg(value).over(w))
+    frames = {f"sum_{r}": (lambda w, r=r: F.sum(value).over(w.rangeBetween(-r, r))) for r in reaches} | {f"_m{r}": (lambda w, r=r: F.avg(value).over(w.rangeBetween(-r, r))) for r in reaches}
+    out = nearby(track, part, index, max(reaches), frames)
     means = [F.col(f"_m{r}") for r in reaches]
     return out.withColumns({"most": F.greatest(*means) if len(means) > 1 else means[0], "least": F.least(*means) if len(means) > 1 else means[0]}).drop(*[f"_m{r}" for r in reaches])
 

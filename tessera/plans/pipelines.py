@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, stats
 from tessera.operators import intervals, islands, loops, matrix, segments
+from tessera.operators.scans import numbered
+from tessera.tables import keep
 
 
 def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, score_cut: float | None = None) -> DataFrame:
@@ -16,6 +18,7 @@ def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, scor
     Cores are spaced and scored; shoulders below score_cut (where the density of their areas first reaches 3/4 of its peak, if none is given) go; the others are extended and moved apart; what lies between is filtered, annotated, filtered
     again in genes, typed and cut into pieces."""
     width = F.col("end") - F.col("start")
+    nucleosomes = keep(nucleosomes, "nucleosomes")  # each of the tables below is made once
     n = nucleosomes.withColumn("width", width)
     n = stats.positioning(n, "width", "height", "auc", "nlp_peak", "nlp_valley").withColumnRenamed("position_score", "positioning")
     n = n.withColumn("_m", ((F.col("start") + F.col("end")) / 2).cast("bigint"))
@@ -25,13 +28,13 @@ def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, scor
     if score_cut is not None:
         n = n.where((F.col("property") != "Shoulder") | (F.col("auc") >= score_cut))
     n = intervals.deoverlap(intervals.extend_short(n, "start", "end"), ["chrom"], ["start", "end"], "start", "end")
-    cores = n.select("chrom", "start", "end", F.lit("nucleosome").alias("kind"), F.col("spacing").cast("double").alias("spacing"), "positioning", F.lit(1).alias("nuc"), "nlp_valley").where("start < end")
+    cores = keep(n.select("chrom", "start", "end", F.lit("nucleosome").alias("kind"), F.col("spacing").cast("double").alias("spacing"), "positioning", F.lit(1).alias("nuc"), "nlp_valley").where("start < end"), "cores")
     gaps = intervals.complement(cores, ["chrom"], "start", "end", chroms, "length").withColumnsRenamed({"gap_start": "start", "gap_end": "end"})
     left = cores.select("chrom", F.col("end").alias("start"), F.col("nlp_valley").alias("left_valley")).dropDuplicates(["chrom", "start"])
     right = cores.select("chrom", F.col("start").alias("end"), F.col("nlp_valley").alias("right_valley")).dropDuplicates(["chrom", "end"])
-    gaps = gaps.join(left, ["chrom", "start"], "left").join(right, ["chrom", "end"], "left").fillna(20.0, ["left_valley", "right_valley"])
+    gaps = keep(gaps.join(left, ["chrom", "start"], "left").join(right, ["chrom", "end"], "left").fillna(20.0, ["left_valley", "right_valley"]), "gaps")
     cut, mad = gap_measures(gaps)
-    near = interval_filter(gaps.withColumn("cut", F.lit(cut).cast("double")), "cut", mad=mad)
+    near = keep(interval_filter(gaps.withColumn("cut", F.lit(cut).cast("double")), "cut", mad=mad), "near")
     known = intervals.annotate(near, intervals.gene_regions(genes), ["chrom"], ["chrom", "start", "end"], "start", "end", 50_000)
     known = genebody_filter(known, mad)
     typed = known.withColumn("kind", intervals.interval_type(F.col("left_valley"), F.col("right_valley"), F.col("cut"), F.col("region"), F.col("end") - F.col("start")))
@@ -40,7 +43,7 @@ def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, scor
 
 
 def gap_measures(gaps: DataFrame) -> tuple[float | None, float]:
-    """Two deviations (MAD) of the left valleys above 1/32 of all gaps but the first, None if there are none, and the MAD of the gaps' lengths. Numbers, as each use of gaps in a plan repeats what made them."""
+    """Two deviations (MAD) of the left valleys above 1/32 of all gaps but the first, None if there are none, and the MAD of the gaps' lengths."""
     size = F.col("end") - F.col("start")
     at = F.struct("chrom", "start")
     first, middle = gaps.agg(F.min(at), F.median(size)).first()
@@ -71,14 +74,15 @@ def genebody_filter(known: DataFrame, mad: float, least: int = 90) -> DataFrame:
 def merge_maps(a: DataFrame, b: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The integrated map and its balancing weights: both maps' marginals are normalised against each other by the number of sites of a bin, each map is balanced to its new marginals, b is cut to pixels
     with a site, and a goes before b. sites: bin_id, sites."""
+    a, b, sites = keep(a, "map"), keep(b, "map"), keep(sites, "sites")  # each is read several times
     marg = [matrix.marginals(m).withColumnRenamed("marginal", n) for m, n in ((a, "a"), (b, "b"))]
     both = marg[0].join(marg[1], ["chrom", "bin_id"], "full").fillna(0).join(sites, "bin_id", "left").fillna(0, ["sites"])
-    norm = kernels.normalise_marginals(both.select("chrom", "bin_id", "a", "b", "sites"))
+    norm = keep(kernels.normalise_marginals(both.select("chrom", "bin_id", "a", "b", "sites")), "norm")
     out = []
     for m, n in ((a, "norm_a"), (b, "norm_b")):
         target = norm.select("chrom", "bin_id", F.greatest(F.col(n), F.lit(1e-6)).alias("target"))
         out.append(matrix.bias_multiply(m, kernels.balance_map(m, target), "bias").select(*matrix.PIXEL, "cnt"))
-    merged = matrix.union_priority(out[0], matrix.drop_unsupported(out[1], sites, "sites"))
+    merged = keep(matrix.union_priority(out[0], matrix.drop_unsupported(out[1], sites, "sites")), "merged")
     return merged, kernels.balance_map(merged)
 
 
@@ -90,13 +94,15 @@ def segment(pixels: DataFrame, bins: DataFrame, window: int = 10, tolerance: int
 
     With regions_map, bins are segments of a map of regions and have a column kind (0 gap, 1 boundary, 2 domain): gaps are those given, the means of boundary bins are lowered by their lower quartile and what isn't above 0
     is set to their least one, p is held against 0.1, the bin behind a minimum is the boundary, one bin is enough for it, and nucleosomes aren't counted."""
-    ext = bins.groupBy("chrom").agg(F.min("bin_id").alias("_first"), F.count("*").alias("bins"))  # one row a chromosome
+    bins = keep(bins, "bins")  # what is read more than once is written once
+    ext = keep(bins.groupBy("chrom").agg(F.min("bin_id").alias("_first"), F.count("*").alias("bins")), "chromosomes")  # one row a chromosome
     places = bins.join(ext.select("chrom", "_first"), "chrom").withColumn("bin_id", F.col("bin_id") - F.col("_first"))
     local = pixels.join(ext.select("chrom", "_first"), "chrom").select("chrom", (F.col("bin1_id") - F.col("_first")).alias("bin1_id"), (F.col("bin2_id") - F.col("_first")).alias("bin2_id"), "cnt")
+    local = keep(local, "pixels")
     track = matrix.insulation(local, ext, window)
     if regions_map:
         p_most, gaps = 0.1, places.where("kind = 0").select("chrom", "bin_id")
-        track = places.select("chrom", "bin_id", "kind").join(track, ["chrom", "bin_id"], "left").fillna(0.0, ["score"])
+        track = keep(places.select("chrom", "bin_id", "kind").join(track, ["chrom", "bin_id"], "left").fillna(0.0, ["score"]), "track")
         low = track.where("kind = 1").groupBy("chrom").agg(F.min("score").alias("_least"), F.percentile("score", F.lit(0.25)).alias("_quarter"))
         lowered = F.col("score") - F.when(F.col("kind") == 1, F.coalesce("_quarter", F.lit(0.0))).otherwise(0.0)
         track = track.join(low, "chrom", "left").select("chrom", "bin_id", F.when(lowered <= 0, F.coalesce("_least", lowered)).otherwise(lowered).alias("score"))
@@ -106,16 +112,17 @@ def segment(pixels: DataFrame, bins: DataFrame, window: int = 10, tolerance: int
         gaps = kernels.gap_bins(local.groupBy("chrom", F.col("bin1_id").alias("bin_id")).agg(F.min("bin2_id").alias("c")), ext.select("chrom", "bins"))
         on = local.where("bin1_id = bin2_id").select("chrom", F.col("bin1_id").alias("bin_id"), "cnt")
         diagonal = places.select("chrom", "bin_id").join(on, ["chrom", "bin_id"], "left").fillna(0, ["cnt"])
+        gaps = keep(gaps, "gaps")
         override = islands.zero_runs(diagonal, ["chrom"], "bin_id", "cnt", tolerance, zeros).select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"))
     regions = segments.process_regions(places.select("chrom", "bin_id"), gaps)
     near = F.col("bin2_id") - F.col("bin1_id")
     z = matrix.diagonal_zscore(local, ext, window).where(near.between(1, 2 * window - 1)).unionByName(local.where(near == 0).select(*matrix.PIXEL, F.col("cnt").cast("double").alias("z")))
-    called = kernels.boundaries_in_regions(regions, track, z, matrix.empty_scores(local, ext, window), window, p_most)
+    called = keep(kernels.boundaries_in_regions(regions, track, z, matrix.empty_scores(local, ext, window), window, p_most), "called")
     marks = called.where("extreme = -1").select("chrom", (F.col("bin_id") + int(regions_map)).alias("bin_id"), F.lit(True).alias("_mark"))
     flagged = places.select("chrom", "bin_id").join(called, ["chrom", "bin_id"], "left").join(gaps.withColumn("_gap", F.lit(True)), ["chrom", "bin_id"], "left").join(marks, ["chrom", "bin_id"], "left")
     gap = F.col("_gap").isNotNull() if regions_map else F.col("extreme").isNull()  # short runs between gaps are gaps too
     flags = flagged.select("chrom", "bin_id", gap.alias("gap"), F.col("_mark").isNotNull().alias("boundary"), F.coalesce("p", F.lit(1.0)).alias("p"))
-    kinds = segments.runs_of_kinds(flags, 1 if regions_map else 2, p_most)
+    kinds = keep(segments.runs_of_kinds(flags, 1 if regions_map else 2, p_most), "kinds")
     top = kinds.groupBy("chrom").agg(F.max("score").alias("_top"))
     scored = kinds.join(top, "chrom").withColumn("score", segments.score_class(F.col("score"), F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top"))))
     each = scored.select("chrom", F.explode(F.sequence("first", "last")).alias("bin_id"), "tag", F.col("score").cast("double").alias("score"))
@@ -131,17 +138,18 @@ def transfer_boundaries(called: DataFrame, bins: DataFrame, source: DataFrame, f
 
     source: chrom, start, end of that type's boundaries; factors: for each, by priority, the tracks (chrom, t_start, t_end, value) of both types. A boundary is a candidate where the largest value near it is at
     least the cut of the density of all of them, for both tracks; those that overlap a boundary which is there, or one that a factor before gives, are left out. bins: chrom, bin_id, start, end; a boundary is widened to its bins."""
+    called = keep(called, "called")
     there = called.where("tag = 'boundary'").select("chrom", F.col("start").alias("_ts"), F.col("end").alias("_te"))
     ids = ["chrom", "start", "end"]
-    rows = source.select(*ids).distinct()
+    rows = keep(source.select(*ids).distinct(), "source")
     levels = []
     for one, two in factors:
         held = segments.max_signal(rows, one, ids, around, bucket).withColumnRenamed("signal", "signal_1")
-        both = segments.max_signal(held, two, ids, around, bucket)
+        both = keep(segments.max_signal(held, two, ids, around, bucket), "signals")
         cut = [kernels.signal_cut(both, c, least) for c, least in (("signal_1", 0.015), ("signal", 0.0015))]
         good = both.where((F.col("signal_1") >= cut[0]) & (F.col("signal") >= cut[1])).select(*ids, F.col("signal"))
-        levels.append((intervals.overlap_exists(good, there, ["chrom"], ids, "start", "end", "_ts", "_te", bucket, keep=False), cut[1]))
-    chosen = segments.transfer_candidates(levels, bucket).select(*ids)
+        levels.append((keep(intervals.overlap_exists(good, there, ["chrom"], ids, "start", "end", "_ts", "_te", bucket, keep=False), "level"), cut[1]))
+    chosen = keep(segments.transfer_candidates(levels, bucket).select(*ids), "chosen")
     widened = intervals.overlap_join(chosen, bins.select("chrom", "bin_id", F.col("start").alias("_bs"), F.col("end").alias("_be")), ["chrom"], "start", "end", "_bs", "_be", bucket)
     put = widened.groupBy(*ids).agg(F.min("bin_id").alias("b_first"), F.max("bin_id").alias("b_last"), F.min("_bs").alias("b_start"), F.max("_be").alias("b_end"))
     return segments.insert_boundaries(called, put.select("chrom", "b_start", "b_end", "b_first", "b_last").distinct(), bucket)
@@ -165,8 +173,8 @@ def region_map(pixels: DataFrame, runs: DataFrame, mass_bins: int = 200) -> Data
     far = stats.equal_mass(pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")), ["chrom"], ["k", "bin1_id"], "cnt", mass_bins)
     mean = far.groupBy("chrom", "mass_bin").agg(F.avg("cnt").alias("_avg"))
     flat = far.join(F.broadcast(mean), ["chrom", "mass_bin"]).withColumn("cnt", F.col("cnt") / F.col("_avg")).select(*matrix.PIXEL, "cnt")
-    numbered = runs.withColumn("block", F.row_number().over(Window.partitionBy("chrom").orderBy("first")) - 1)
-    blocks = numbered.select("chrom", "block", F.explode(F.sequence("first", "last")).alias("bin_id"))
+    runs = numbered(runs, ["chrom"], ["first"], "_no").withColumn("block", F.col("_no") - 1)
+    blocks = runs.select("chrom", "block", F.explode(F.sequence("first", "last")).alias("bin_id"))
     sums = matrix.block_sum(flat, blocks)
     return matrix.block_mean(sums, blocks.groupBy("chrom", "block").agg(F.count("*").alias("size"))).where("block1 <= block2")
 

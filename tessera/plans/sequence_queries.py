@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators import intervals, islands, segments, signal
+from tessera.operators import intervals, islands, positions, segments, signal
 from tessera.plans.registry import Registry
 from tessera.sources import views
 
@@ -213,6 +213,6 @@ def change_points(spark, sf_dir):
 
 @query()
 def precise_positions(spark, sf_dir):
-    h = views.hours(spark, sf_dir).select("chrom", "hour", F.col("n").cast("double").alias("n"))
-    smooth = signal.convolve(h, ["chrom"], "hour", "n", signal.gaussian(1.0))
-    return kernels.positions_in_tracks(h.join(smooth, ["chrom", "hour"]).select("chrom", F.col("hour").alias("slot"), F.col("n").alias("score"), "smooth"))
+    """Positions called on the hourly track of each chromosome."""
+    h = views.hours(spark, sf_dir).select("chrom", F.col("hour").alias("slot"), F.col("n").cast("double").alias("raw"))
+    return positions.precise(h)
