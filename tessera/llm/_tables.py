@@ -1,77 +1,19 @@
-"""Reading tables, keeping intermediate results where every executor sees them, and carrying a table's own columns through a batch function."""
+"""Reading tables, and carrying a table's own columns through a batch function."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import threading
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: dict[str, tuple[SparkSession, int]] = {}  # by path; with the thread that wrote it
+from tessera.tables import forget, keep, keep_only, release, shared_dir
+
+__all__ = ["forget", "keep", "keep_only", "release", "rolled", "shared_dir", "table", "unrolled"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir. Where none is set a temporary one is made on a local master, whose executors share the driver's disk; a cluster has to name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and go on from the written table: lineage is cut and nothing is computed twice. It is deleted by forget(), or when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark, threading.get_ident()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kept_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete kept tables that nothing will read again: what was made from them has been written or collected."""
-    for df in tables:
-        path = getattr(df, "_kept_at", None)
-        if path in _written:
-            _delete(_written.pop(path)[0], path)
-
-
-def keep_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """keep() what make gives, and delete all that this thread kept on the way to it."""
-    before = set(_written)
-    out = keep(make(), name)
-    for path in [p for p, (_, thread) in _written.items() if p not in before and p != out._kept_at and thread == threading.get_ident()]:
-        _delete(_written.pop(path)[0], path)
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    while _written:
-        path, (spark, _) = _written.popitem()
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before; the folder's owner then clears it
-            pass
-
-
 def rolled(docs: DataFrame) -> DataFrame:
     """text (as string) and own, a struct of all other columns, so that a batch function can add columns of any name; unrolled() gives docs' columns back."""
     filler = "_"  # a struct needs a field

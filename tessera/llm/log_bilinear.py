@@ -11,7 +11,7 @@ The parameters are learnt by noise-contrastive estimation on both levels, with n
 ROUNDS by a hash; in each, all tasks start from the same parameters and speeds and make one pass over their rows of it. What they changed is averaged row by row, weighted by how often the tasks met the row. The more tasks a pass is
 dealt to, the shorter each one's way, so the mean of a row that m tasks met alike is taken m^POWER times; the power is the one of POWERS with which a bounded sample of training texts (about SAMPLE tokens) becomes likeliest, in each round anew
 (0 is the mean, 1 would be the sum). So what is learnt grows with the data, however many tasks there are. Tasks
-that learn are as many as have TOKENS_A_TASK tokens each, and four times the cores at most. The parameters, and with them score (but none of the counts), still depend a little on how the input is split into tasks.
+that learn are as many as have TOKENS_A_TASK tokens each, and twice the cores at most. The parameters, and with them score (but none of the counts), still depend a little on how the input is split into tasks.
 Scores are normalised by batched matrix products on the executors.
 
 Word counts are taken over all training rows. The HEAD most frequent words (ties by a hash) and the end go to the executors as a table, a size fixed by the parameter; the counts
@@ -51,10 +51,11 @@ END = b" "  # no word holds a space
 FLUSH = 300_000  # distinct words a task counts before it sends them on
 ROUNDS = (1, 2, 5)  # shares of the training rows
 POWERS = (0.0, 0.125, 0.25, 0.375, 0.5)
-TOKENS_A_TASK = 1_000_000  # at least, of those that learn at once
+TOKENS_A_TASK = 2_000_000  # at least, of those that learn at once
 SAMPLE = 60_000  # training tokens, about, on which the powers are compared
 TIES = 4096  # parts by hash of the words at the edge of the head
 BLOCK = 1024  # rows of parameters that are averaged together
+TOGETHER = 64  # tasks whose changes to a block are averaged at once
 
 
 def buckets_of(words: list[bytes]) -> np.ndarray:
@@ -395,7 +396,7 @@ def follow(model: Model, steps: list[Step], some: tuple[np.ndarray, ...]) -> Mod
 def train_model(train: DataFrame, vocab) -> Model:
     """The start, moved round by round by what the tasks learn.
 
-    As tasks are bounded by the cores, what they send doesn't grow with the input; blocks of rows are averaged in two steps, so no task gathers those of all others at once."""
+    As tasks are bounded by the cores, what they send doesn't grow with the input; blocks of rows are averaged in two steps where there are more than TOGETHER of them, so no task gathers those of all others at once."""
     model = Model(vocab.value)
     tokens = vocab.value.tokens
     if not tokens:
@@ -404,7 +405,8 @@ def train_model(train: DataFrame, vocab) -> Model:
     drawn = F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / tokens))
     some = inputs(vocab.value, pa.RecordBatch.from_arrays([train.where(drawn).select("text").toArrow().column("text").combine_chunks()], ["text"]))  # about SAMPLE tokens
     kinds = ", ".join(f"{c} {k}" for c, k in LEARNT.items())
-    tasks = max(1, min(4 * context.defaultParallelism, tokens // TOKENS_A_TASK))
+    tasks = max(1, min(2 * context.defaultParallelism, tokens // TOKENS_A_TASK))
+    parts = -(-tasks // TOGETHER)  # of tasks whose changes are averaged first
     turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(sum(ROUNDS)))
     for number, share in enumerate(ROUNDS):
         low = sum(ROUNDS[:number])
@@ -420,7 +422,7 @@ def train_model(train: DataFrame, vocab) -> Model:
                     own.learn(one, two, classes, places, rng)
                     seen += len(classes)
             if seen:
-                part_number = TaskContext.get().partitionId() % 64
+                part_number = TaskContext.get().partitionId() % parts
                 for change in own.changes():
                     yield pa.RecordBatch.from_pylist([change | {"part": part_number}], schema=pa.schema([("part", pa.int32()), *[(c, pa.int32() if k == "int" else pa.binary()) for c, k in LEARNT.items()]]))
 
@@ -430,7 +432,10 @@ def train_model(train: DataFrame, vocab) -> Model:
             return pa.table({"block": t.column("block")[:1]} | {c: pa.array([x], pa.binary()) for c, x in mean.items()})
 
         rows = train.where((turn >= low) & (turn < low + share)).select("text").coalesce(tasks)
-        learnt = rows.mapInArrow(run, f"part int, {kinds}").groupBy("block", "part").applyInArrow(average, kinds).groupBy("block").applyInArrow(average, kinds)
+        learnt = rows.mapInArrow(run, f"part int, {kinds}")
+        if parts > 1:
+            learnt = learnt.groupBy("block", "part").applyInArrow(average, kinds)
+        learnt = learnt.groupBy("block").applyInArrow(average, kinds)
         steps = [Step(r.block, *(bytes(r[c]) for c in LEARNT if c != "block")) for r in learnt.select(*LEARNT).collect()]  # one row a block; their number is bounded by HEAD
         model = follow(model, steps, some)
         sent.destroy()
