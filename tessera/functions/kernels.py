@@ -70,10 +70,8 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(c) for c in rows.columns])
 
 
-def balance_map(pixels: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """chrom, bin_id, bias of each chromosome's balanced matrix; targets: chrom, bin_id, target (1 where none is given)."""
-    want = pixels.select("chrom", F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id")).distinct()
-    want = want.withColumn("target", F.lit(1.0)) if targets is None else want.join(targets, ["chrom", "bin_id"], "left").withColumn("target", F.coalesce("target", F.lit(1.0)))
+def balance_alone(pixels: DataFrame, want: DataFrame) -> DataFrame:
+    """chrom, bin_id, bias by balance(), a chromosome a task; want: chrom, bin_id, target of all bins with pixels."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = right.bin_id.to_numpy()
@@ -379,79 +377,99 @@ def bh_values(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def blobs(a: np.ndarray, sigma: float = 0.5, octaves: int = 2, layers: int = 10, q_most: float = 0.1, dense: float = 0.25, dense_wide: float = 0.6, least: int = 10_000, reach: int = 2) -> list[tuple[int, int, float, float]]:
-    """(row, column, q, scale) of blobs of a dense upper triangle, one a connected group: extrema of differences of Gaussians over scales, with p from an exponential fit, Benjamini-Hochberg q, enough
-    filled cells around, and twice the mean of their diagonal. Fewer than `least` candidate cells give none."""
+def exponential_tail(v: np.ndarray) -> np.ndarray:
+    """P(X > v) under the exponential distribution fitted to all of v: from the least value on, with the mean's distance from it."""
+    spread = v.mean() - v.min()
+    return np.exp(-(v - v.min()) / spread) if spread > 0 else np.ones(len(v))
+
+
+def layers_of(work: np.ndarray, first: float, layers: int) -> list[tuple[np.ndarray, float]]:
+    """Differences of Gaussians of rising width, each with the scale that a peak in it is given.
+
+    The first two are at the widths' first steps; then comes an empty one, as the third width is smoothed twice, and so what is beside it is compared with zero."""
+    width = lambda i: first * 2 ** ((i - 1) / layers)
+    smooth = [blur(work, width(i)) for i in range(1, layers + 2)]
+    apart = [x - y for x, y in zip(smooth[:-1], smooth[1:], strict=True)]
+    rest = [(d, width(i + 1)) for i, d in enumerate(apart[2:], 3)]
+    return [(apart[0], width(2)), (apart[1], width(3)), (np.zeros_like(work), 0.0), *rest]
+
+
+def blobs(a: np.ndarray, limit: int | None = None, sigma: float = 0.5, octaves: int = 2, layers: int = 10, q_most: float = 0.1, dense: float = 0.25, dense_wide: float = 0.6, least: int = 10_000, reach: int = 2) -> list[tuple[int, int, float, float]]:
+    """(row, column, q, scale) of blobs of a dense upper triangle, one a connected group.
+
+    Cells with a contact from the second diagonal on are candidates; those up to that diagonal, and beyond `limit` diagonals, count as 2 on the map. A candidate is a peak in a layer where it is the largest around itself, larger than all around
+    it in both neighbouring layers, and there is the largest in one of them, and larger than it was in any layer before. Its p is the tail of the exponential distribution fitted to all candidates of the layer, made q by Benjamini-Hochberg
+    over the peaks. Of those with q below q_most enough cells around have to be filled, within the scale and twice that, out of the whole square (none, where it reaches over the upper or left edge), and the value must be above twice the
+    mean of its diagonal. Peaks, each with the cells around it, that touch are a group, which gives its cell of the least q. Fewer than `least` candidates (50 at least) give none."""
     n = len(a)
-    inside = np.triu(np.ones((n, n), bool), 2)
-    work = np.where(inside, a, 2.0)
-    if inside.sum() < least or np.count_nonzero(a) < 50:
+    far = np.arange(n)[None] - np.arange(n)[:, None]
+    stored = (a != 0) & (far >= 2)
+    if stored.sum() < max(50, least):
         return []
-    best, scale = np.zeros((n, n)), np.zeros((n, n))
+    work = np.where(far <= 2, 2.0, a)
+    if limit is not None:
+        work = np.where(far > limit, 2.0, work)
+    rows, columns = np.nonzero(stored)
+    best, scale, p = np.zeros(len(rows)), np.ones(len(rows)), np.full(len(rows), 2.0)
     for octave in range(octaves):
-        s0 = sigma * 2**octave
-        smooth = [blur(work, s0)] + [blur(work, s0 * 2 ** (i / layers)) for i in range(layers + 2)]
-        dog = [x - y for x, y in zip(smooth[:-1], smooth[1:], strict=True)]
-        top = [most_around(x, reach) for x in dog]
-        for i in range(1, len(dog) - 1):
-            peak = (dog[i] > best) & (dog[i] == top[i]) & ((dog[i - 1] == top[i - 1]) | (dog[i + 1] == top[i + 1])) & (dog[i] > np.minimum(top[i - 1], top[i + 1]))
-            best[peak], scale[peak] = dog[i][peak], s0 * 2 ** ((i - 1) / layers)
-    at = np.argwhere(inside & (best > 0))
-    if not len(at):
-        return []
-    v = best[at[:, 0], at[:, 1]]
-    spread = v.mean() - v.min()
-    q = bh_values(np.exp(-(v - v.min()) / spread) if spread > 0 else np.ones(len(v)))
-    filled = np.pad(np.cumsum(np.cumsum(a > 0, axis=0), axis=1), ((1, 0), (1, 0)))
-    means = {}
-    kept = []
-    for (r, c), qi in zip(at, q, strict=True):
-        if qi >= q_most:
+        found = layers_of(work, sigma * 2**octave, layers)
+        top = [most_around(d, reach) for d, _ in found]
+        for i in range(1, len(found) - 1):
+            v, own, before, behind = (x[stored] for x in (found[i][0], top[i], top[i - 1], top[i + 1]))
+            at_top = (found[i - 1][0][stored] == before) | (found[i + 1][0][stored] == behind)
+            peak = (v > best) & (v == own) & at_top & (v > before) & (v > behind)
+            if peak.any():
+                best[peak], scale[peak], p[peak] = v[peak], found[i][1], exponential_tail(np.abs(v))[peak]
+    some = p != 2
+    p[some] = bh_values(p[some])
+    o, so = np.ones((n, n)), np.ones((n, n))
+    o[stored], so[stored] = p, scale
+    filled = np.pad(np.cumsum(np.cumsum(stored, axis=0), axis=1), ((1, 0), (1, 0)))
+
+    def share(r: int, c: int, s: int) -> float:
+        if r < s or c < s:
+            return 0.0
+        r1, c1 = min(n, r + s + 1), min(n, c + s + 1)
+        return (filled[r1, c1] - filled[r - s, c1] - filled[r1, c - s] + filled[r - s, c - s]) / (2 * s + 1) ** 2
+
+    means, marked = {}, np.zeros((n + 1, n + 1), bool)
+    for r, c in zip(*np.nonzero(o < q_most), strict=True):
+        s = int(math.ceil(so[r, c]))
+        if not r or share(r, c, s) < dense or share(r, c, 2 * s) < dense_wide:
             continue
-        s = int(math.ceil(scale[r, c]))
-        shares = []
-        for far in (s, 2 * s):
-            r0, r1, c0, c1 = max(0, r - far), min(n, r + far + 1), max(0, c - far), min(n, c + far + 1)
-            shares.append((filled[r1, c1] - filled[r0, c1] - filled[r1, c0] + filled[r0, c0]) / ((r1 - r0) * (c1 - c0)))
-        k = c - r
-        if k not in means:
-            d = np.diagonal(a, k)
-            means[k] = d[d > 0].mean() if (d > 0).any() else 0.0
-        if shares[0] >= dense and shares[1] >= dense_wide and a[r, c] > 2 * means[k]:
-            kept.append((int(r), int(c), float(qi), float(scale[r, c])))
-    cells = {(r, c): (q_, s_) for r, c, q_, s_ in kept}
-    index = {cell: x for x, cell in enumerate(cells)}
-    near = [(index[r, c], index[r + dr, c + dc]) for r, c in cells for dr in range(-2, 3) for dc in range(-2, 3) if (r + dr, c + dc) in index]
-    if not near:
+        if (k := c - r) not in means:
+            d = np.diagonal(work, k)
+            means[k] = d[d != 0].mean()
+        if work[r, c] > 2 * means[k]:
+            marked[r - 1 : r + 2, c - 1 : c + 2] = True
+    x, y = np.nonzero(marked[:n, :n])
+    if not len(x):
         return []
-    label = connected_labels(len(cells), np.array([x for x, _ in near]), np.array([y for _, y in near]))
-    out = {}
-    for (cell, value), lab in zip(cells.items(), label, strict=True):
-        if lab not in out or (value[0], cell) < (out[lab][1][0], out[lab][0]):
-            out[lab] = (cell, value)
-    return [(r, c, q_, s_) for (r, c), (q_, s_) in out.values()]
-
-
-def _dense(part: pd.DataFrame, low: int, high: int) -> np.ndarray:
-    a = np.zeros((high - low + 1, high - low + 1))
-    a[part.bin1_id.to_numpy() - low, part.bin2_id.to_numpy() - low] = part.cnt
-    return a
+    number = np.full((n + 2, n + 2), -1)
+    number[x + 1, y + 1] = np.arange(len(x))
+    pairs = [(number[x + 1, y + 1], number[x + 1 + i, y + 1 + j]) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    one, two = (np.concatenate(z) for z in zip(*pairs, strict=True))
+    label = connected_labels(len(x), one[two >= 0], two[two >= 0])
+    order = np.lexsort((y, x, o[x, y], label))
+    first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+    return sorted((int(x[i]), int(y[i]), float(o[x[i], y[i]]), float(so[x[i], y[i]])) for i in first)
 
 
 def blobs_in_tiles(tiles: DataFrame, **settings) -> DataFrame:
-    """chrom, bin1_id, bin2_id, fdr, scale: blobs of each tile (chrom, block, bin1_id, bin2_id, cnt, own), one tile a group, so memory is bounded by the tile. A blob that several tiles find is that of the tile that owns
-    its pixel, or else of the first one."""
+    """chrom, bin1_id, bin2_id, fdr, scale: blobs of each tile (chrom, block, bin1_id, bin2_id, cnt, near, low, high, behind), one tile a group, so memory is bounded by the tile.
+
+    near: whether a pixel is within the distance limit, so that the farthest such diagonal is the tile's limit; low and high: the tile's first and last bin; behind: the last bin of the tile before, which reports blobs up to there."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(part.bin1_id.min()), int(part.bin2_id.max())
-        found = blobs(_dense(part, low, high), **settings)
-        own = dict(zip(zip(part.bin1_id, part.bin2_id, strict=True), part.own, strict=True))
-        rows = [(part.chrom.iloc[0], int(part.block.iloc[0]), bool(own.get((low + r, low + c), False)), low + r, low + c, q, s) for r, c, q, s in found]
-        return pd.DataFrame(rows, columns=["chrom", "block", "own", "bin1_id", "bin2_id", "fdr", "scale"])
-
-    found = tiles.groupBy("chrom", "block").applyInPandas(run, "chrom string, block bigint, own boolean, bin1_id bigint, bin2_id bigint, fdr double, scale double")
-    first = F.min_by(F.struct("fdr", "scale"), F.struct(~F.col("own"), "block")).alias("f")
-    return found.groupBy("chrom", "bin1_id", "bin2_id").agg(first).select("chrom", "bin1_id", "bin2_id", "f.fdr", "f.scale")
+        low, high, behind = (int(part[c].iloc[0]) for c in ("low", "high", "behind"))
+        dense = np.zeros((high - low + 1,) * 2)
+        dense[part.bin1_id.to_numpy() - low, part.bin2_id.to_numpy() - low] = part.cnt
+        far = (part.bin2_id - part.bin1_id)[part.near.to_numpy(bool)]
+        found = blobs(dense, int(far.max()) if len(far) else None, **settings)
+        rows = [(part.chrom.iloc[0], low + r, low + c, q, s) for r, c, q, s in found if max(low + r, low + c) > behind]
+        return pd.DataFrame(rows, columns=["chrom", "bin1_id", "bin2_id", "fdr", "scale"])
+
+    return tiles.groupBy("chrom", "block").applyInPandas(run, "chrom string, bin1_id bigint, bin2_id bigint, fdr double, scale double")
 
 
 def boundaries_in_regions(regions: DataFrame, track: DataFrame, scores: DataFrame, fills: DataFrame, window: int, p_most: float = 0.05) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CODES = {"Distal": "D1", "Promoter": "P1", "Genebody": "G1"}
-#: What the regression gives where nothing is known: (FDR, scale).
+#: What the regression gives (FDR, scale) where no known loop is strong enough, and where a chromosome has none.
 NO_FIT = (0.01, 0.6155)
+NONE_KNOWN = (0.00001, 0.6155)
 
 
 def genes_in_common(one: Column, two: Column) -> Column:
@@ -36,13 +37,18 @@ def promoter_loops(rows: DataFrame, column: str = "assigned_annotation") -> Data
     return rows.where(F.col(column).contains("P1"))
 
 
-def regress_fdr(loops: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """loops (chrom, intensity) with fdr and scale on lines fitted to the known ones (chrom, intensity, fdr, scale) of at least `least`; constants where a chromosome has none, fdr from 0, five places."""
-    fit = known.where(F.col("intensity") >= least).groupBy("chrom").agg(F.regr_slope("fdr", "intensity").alias("_a"), F.regr_intercept("fdr", "intensity").alias("_b"), F.regr_slope("scale", "intensity").alias("_c"), F.regr_intercept("scale", "intensity").alias("_d"))
-    x = F.col("intensity")
-    value = lambda a, b, const: F.coalesce(F.col(a) * x + F.col(b), F.lit(const))
-    joined = loops.join(F.broadcast(fit), "chrom", "left")
-    return joined.withColumns({"fdr": F.round(F.greatest(value("_a", "_b", NO_FIT[0]), F.lit(0.0)), 5), "scale": F.round(value("_c", "_d", NO_FIT[1]), 5)}).drop("_a", "_b", "_c", "_d")
+def regress_fdr(loops: DataFrame, known: DataFrame) -> DataFrame:
+    """loops (chrom, intensity) with fdr and scale on lines fitted to the known ones (chrom, intensity, fdr, scale) of their chromosome that are at least as strong as its weakest loop; fdr from 0, five places.
+
+    Where the known ones all have one intensity, or there is one, the line is flat. NO_FIT is taken where none is strong enough, NONE_KNOWN where the chromosome has none at all."""
+    weakest = loops.groupBy("chrom").agg(F.min("intensity").alias("_least"))  # a row a chromosome, as all that is joined here
+    there = known.join(F.broadcast(weakest), "chrom").withColumn("_in", F.col("intensity") >= F.col("_least"))
+    x = F.when(F.col("_in"), F.col("intensity"))
+    fits = [f(y, x).alias(f"_{name}_{y}") for y in ("fdr", "scale") for name, f in (("slope", F.regr_slope), ("level", F.regr_intercept))] + [F.avg(F.when(F.col("_in"), F.col(y))).alias(f"_mean_{y}") for y in ("fdr", "scale")]
+    joined = loops.join(F.broadcast(there.groupBy("chrom").agg(F.lit(True).alias("_known"), *fits)), "chrom", "left")
+    line = lambda y: F.coalesce(F.col(f"_slope_{y}") * F.col("intensity") + F.col(f"_level_{y}"), F.col(f"_mean_{y}"))
+    none = lambda i: F.when(F.col("_known"), NO_FIT[i]).otherwise(NONE_KNOWN[i])
+    return joined.withColumns({"fdr": F.round(F.greatest(F.coalesce(line("fdr"), none(0)), F.lit(0.0)), 5), "scale": F.round(F.coalesce(line("scale"), none(1)), 5)}).select(*loops.columns, "fdr", "scale")
 
 
 def recentre(rows: DataFrame, start: str, end: str, by: int = 3000) -> DataFrame:

@@ -172,6 +172,24 @@ def blocks_of(pixels: DataFrame, d: int) -> DataFrame:
     return dealt.where((F.col("bin1_id") >= first(F.col("block"))) & (F.col("bin2_id") <= 5 * d * (F.col("block") + 1)))
 
 
+def tiles_of(pixels: DataFrame, bins: DataFrame, reach: float) -> DataFrame:
+    """Pixels within reach (bases between their bins' middles) dealt to tiles of six times reach, of which each shares one with the next, by where their bins end: chrom, block, bin1_id, bin2_id, cnt, near, low, high, behind as
+    kernels.blobs_in_tiles() takes them. bins: chrom, bin_id, start, end. The tiles' bins are one row a tile."""
+    end, middle = F.col("end"), (F.col("start") + F.col("end")) / 2
+    first = lambda e: F.greatest(F.floor(e / (5 * reach)), F.lit(0))  # noqa: E731  tile k is from 5k - 1 (or 0) to 5k + 5 reaches
+    last = lambda e: F.floor((e / reach + 1) / 5)
+    dealt = bins.select("chrom", "bin_id", F.explode(F.sequence(first(end).cast("bigint"), F.greatest(last(end), first(end)).cast("bigint"))).alias("block"))
+    edges = dealt.groupBy("chrom", "block").agg(F.min("bin_id").alias("low"), F.max("bin_id").alias("high"))
+    before = edges.select("chrom", (F.col("block") + 1).alias("block"), F.col("high").alias("behind"))
+    edges = edges.join(before, ["chrom", "block"], "left").withColumn("behind", F.coalesce("behind", F.lit(-1).cast("bigint")))
+    one, two = (bins.select("chrom", F.col("bin_id").alias(f"bin{i}_id"), middle.alias(f"_m{i}"), end.alias(f"_e{i}")) for i in (1, 2))
+    far = F.abs(F.col("_m2") - F.col("_m1"))
+    near = pixels.where("cnt > 0").join(one, ["chrom", "bin1_id"]).join(two, ["chrom", "bin2_id"]).where(far <= reach)
+    low, high = first(F.greatest("_e1", "_e2")), F.greatest(last(F.least("_e1", "_e2")), first(F.least("_e1", "_e2")))
+    shared = near.where(low <= high).withColumn("block", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    return shared.join(edges, ["chrom", "block"]).select("chrom", "block", "bin1_id", "bin2_id", "cnt", (far < reach).alias("near"), "low", "high", "behind")
+
+
 def expected_pairs(bins: DataFrame, width: int, steps: int) -> DataFrame:
     """How many pairs of bins could lie at each distance step: pairs of rounded middles, counted by how often each middle occurs."""
     m = bins.groupBy("chrom", F.floor((F.col("start") + F.col("end")) / 2 / width).alias("m")).agg(F.count("*").alias("n"))

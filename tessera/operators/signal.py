@@ -79,6 +79,9 @@ def shape_over(ranges: DataFrame, track: DataFrame, part: list[str], ids: list[s
     return sums.withColumns({"correlation": correlation, "concavity": concavity}).drop(*[f"_{k}" for k in c])
 
 
+STIRLING = 64  # counts from which on the factorial's logarithm is a series; its error there is below 1e-15
+
+
 def poisson_tail(observed: Column, mean: Column, upper: bool = True) -> Column:
     """-log10 of the Poisson tail P(X >= observed), or P(X <= observed); 0 for the upper tail at 0.
 
@@ -95,7 +98,10 @@ def poisson_tail(observed: Column, mean: Column, upper: bool = True) -> Column:
         return F.struct((a["term"] * ratio).alias("term"), (a["total"] + a["term"]).alias("total"))
 
     terms = F.sequence(F.lit(0), F.ceil(12 * F.sqrt(mean)).cast("int") + 40)
-    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i))
+    few = F.greatest(F.least(k, F.lit(STIRLING)).cast("int"), F.lit(1))
+    whole = k.cast("double")
+    series = whole * F.log(whole) - whole + 0.5 * F.log(2 * F.lit(pi) * whole) + 1 / (12 * whole) - 1 / (360 * whole**3) + 1 / (1260 * whole**5)
+    log_factorial = F.when(k > STIRLING, series).otherwise(F.aggregate(F.sequence(F.lit(1), few), F.lit(0.0), lambda a, i: a + F.log(i)))
     tail = k * F.log(mean) - mean - log_factorial + F.log(F.aggregate(terms, start, step, lambda a: a["total"]))
     score = F.round(F.when(far, -tail).otherwise(-F.log1p(-F.exp(tail))) / F.log(F.lit(10.0)), 8)
     return F.when(mean > 0, F.when(observed == 0, 0.0).otherwise(score) if upper else score)

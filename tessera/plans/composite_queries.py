@@ -242,7 +242,8 @@ def region_map(spark, sf_dir):
 
 @query()
 def called_loops(spark, sf_dir):
-    return pipelines.call_loops(views.contact_map(spark, sf_dir, wide=True), 12, 2, 60, q=0.9, known_least=2.0, least=500, densities=(0.05, 0.1), dense_wide=0.05, q_most=0.9)
+    bins = _six_bins(spark, sf_dir)
+    return pipelines.call_loops(views.contact_map(spark, sf_dir, wide=True), bins, 43_200, 432_000, 43_200, 1_296_000, q=0.9, least=500, densities=(0.05, 0.1), dense_wide=0.05, q_most=0.9)
 
 
 @query()

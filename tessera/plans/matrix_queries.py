@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.operators import matrix
+from tessera.operators.balancing import balance_map
 from tessera.plans.registry import Registry
 from tessera.sources import views
 
@@ -167,11 +168,20 @@ def expected_pairs(spark, sf_dir):
 def kr_balance(spark, sf_dir):
     """Bias of every bin, and its balanced marginal: 1 up to the tolerance."""
     m = _six(spark, sf_dir)
-    bias = kernels.balance_map(m)
+    bias = balance_map(m)
     balanced = matrix.marginals(matrix.bias_multiply(m, bias, "bias"))
     return bias.join(balanced, ["chrom", "bin_id"]).select("chrom", "bin_id", F.round("bias", 6).alias("bias"), F.round("marginal", 4).alias("marginal"))
 
 
+@query("SELECT chrom, bin_id, 1.0 AS marginal FROM marg6")
+def balanced_marginals(spark, sf_dir):
+    """Row sums of the balanced map, with one contact more on the diagonal, so that there is a balance: 1 for every bin."""
+    m = _six(spark, sf_dir)
+    ends = m.select("chrom", F.explode(F.array("bin1_id", "bin2_id")).alias("bin1_id")).distinct()
+    m = matrix.add(m, ends.select("chrom", "bin1_id", F.col("bin1_id").alias("bin2_id"), F.lit(1).cast("bigint").alias("cnt")))
+    return _rounded(matrix.marginals(matrix.bias_multiply(m, balance_map(m), "bias")), "marginal")
+
+
 @query()
 def lowess_norm(spark, sf_dir):
     a, b = (matrix.marginals(_six(spark, sf_dir, k)).withColumnRenamed("marginal", n) for k, n in ((1, "a"), (2, "b")))
@@ -201,5 +211,6 @@ def diag_zscore_band(spark, sf_dir):
 
 @query()
 def dog_blobs(spark, sf_dir):
-    tiles = matrix.blocks_of(_six(spark, sf_dir), 12)
-    return _rounded(kernels.blobs_in_tiles(tiles, least=500, dense=0.05, dense_wide=0.05, q_most=0.9), "fdr", "scale")
+    m = _six(spark, sf_dir)
+    bins = m.select("chrom").distinct().crossJoin(views.bins(spark, True)).toDF("chrom", "bin_id", "start", "end")  # chromosomes x fixed bins
+    return _rounded(kernels.blobs_in_tiles(matrix.tiles_of(m, bins, 432_000), least=500, dense=0.05, dense_wide=0.05, q_most=0.9), "fdr", "scale")

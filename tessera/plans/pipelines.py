@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, stats
+from tessera.functions.spline import smoothed
 from tessera.operators import intervals, islands, loops, matrix, segments
+from tessera.operators.balancing import balance_map
 from tessera.operators.scans import numbered
 from tessera.tables import keep
 
@@ -81,9 +83,9 @@ def merge_maps(a: DataFrame, b: DataFrame, sites: DataFrame) -> tuple[DataFrame,
     out = []
     for m, n in ((a, "norm_a"), (b, "norm_b")):
         target = norm.select("chrom", "bin_id", F.greatest(F.col(n), F.lit(1e-6)).alias("target"))
-        out.append(matrix.bias_multiply(m, kernels.balance_map(m, target), "bias").select(*matrix.PIXEL, "cnt"))
+        out.append(matrix.bias_multiply(m, balance_map(m, target), "bias").select(*matrix.PIXEL, "cnt"))
     merged = keep(matrix.union_priority(out[0], matrix.drop_unsupported(out[1], sites, "sites")), "merged")
-    return merged, kernels.balance_map(merged)
+    return merged, balance_map(merged)
 
 
 def segment(pixels: DataFrame, bins: DataFrame, window: int = 10, tolerance: int = 3, zeros: int = 10, regions_map: bool = False) -> DataFrame:
@@ -168,13 +170,24 @@ def transfer_loops(found: DataFrame, genes: DataFrame, bucket: int = 50_000) ->
     return loops.promoter_loops(out.withColumns({"assigned_annotation": kind, "genes": names}))
 
 
+def distance_fit(pixels: DataFrame, mass_bins: int) -> tuple[DataFrame, DataFrame]:
+    """pixels (with k, the distance) and their mass_bin, and chrom, mass_bin, mean, fit: the mean of each equal-mass distance bin, and the smoothing spline through these whose squared residual is that of the smallest mean."""
+    far = keep(stats.equal_mass(pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")), ["chrom"], ["k", "bin1_id"], "cnt", mass_bins), "distances")
+    means = far.groupBy("chrom", "mass_bin").agg(F.avg("cnt").alias("mean"))  # mass_bins rows a chromosome
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("mass_bin")
+        return part.assign(fit=smoothed(part["mean"].to_numpy(float), float(part["mean"].min()) ** 2))
+
+    return far, means.groupBy("chrom").applyInPandas(run, "chrom string, mass_bin bigint, mean double, fit double")
+
+
 def region_map(pixels: DataFrame, runs: DataFrame, mass_bins: int = 200) -> DataFrame:
-    """The map of segments: pixels are divided by the mean of their equal-mass distance bin, summed over pairs of segments and divided by the segments' sizes. runs: chrom, first, last."""
-    far = stats.equal_mass(pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")), ["chrom"], ["k", "bin1_id"], "cnt", mass_bins)
-    mean = far.groupBy("chrom", "mass_bin").agg(F.avg("cnt").alias("_avg"))
-    flat = far.join(F.broadcast(mean), ["chrom", "mass_bin"]).withColumn("cnt", F.col("cnt") / F.col("_avg")).select(*matrix.PIXEL, "cnt")
+    """The map of segments: pixels are divided by the fitted mean at their distance, summed over pairs of segments and divided by the segments' sizes. runs: chrom, first, last."""
+    far, fit = distance_fit(pixels, mass_bins)
+    flat = far.join(F.broadcast(fit), ["chrom", "mass_bin"]).withColumn("cnt", F.col("cnt") / F.col("fit")).select(*matrix.PIXEL, "cnt")
     runs = numbered(runs, ["chrom"], ["first"], "_no").withColumn("block", F.col("_no") - 1)
-    blocks = runs.select("chrom", "block", F.explode(F.sequence("first", "last")).alias("bin_id"))
+    blocks = keep(runs.select("chrom", "block", F.explode(F.sequence("first", "last")).alias("bin_id")), "blocks")
     sums = matrix.block_sum(flat, blocks)
     return matrix.block_mean(sums, blocks.groupBy("chrom", "block").agg(F.count("*").alias("size"))).where("block1 <= block2")
 
@@ -198,11 +211,17 @@ def greedy_mass_bins(pixels: DataFrame, bins: int) -> DataFrame:
     return pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).join(walked, ["chrom", "k"]).drop("k")
 
 
-def quantile_loops(pixels: DataFrame, low: int, high: int, q: float = 0.999, window: int = 3, least_blocks: int = 10) -> DataFrame:
-    """Peaks of groups of near pixels among the strongest at distances from low to high; chromosomes with least_blocks bins or fewer are left out."""
-    near = pixels.where((F.col("bin2_id") - F.col("bin1_id")).between(low, high))
-    wide = near.groupBy("chrom").agg((F.max("bin2_id") - F.min("bin1_id") + 1).alias("_n")).where(F.col("_n") > least_blocks)
-    strong = matrix.quantile_filter(near.join(F.broadcast(wide), "chrom").drop("_n"), ["chrom"], "cnt", q)
+def quantile_loops(pixels: DataFrame, bins: DataFrame, low: float = 100_000, high: float = 2_000_000, q: float = 0.999, window: int = 5, least_blocks: int = 10) -> DataFrame:
+    """Peaks of groups of near pixels among the strongest whose bins' middles are from low to high bases apart; chromosomes of least_blocks bins or fewer are left out. bins: chrom, bin_id, start, end.
+
+    The quantile is that of the whole symmetric matrix, so each pixel counts twice."""
+    wide = bins.groupBy("chrom").agg(F.count("*").alias("_n")).where(F.col("_n") > least_blocks).select("chrom")
+    middle = (F.col("start") + F.col("end")) / 2
+    one, two = (bins.select("chrom", F.col("bin_id").alias(f"bin{i}_id"), middle.alias(f"_m{i}")) for i in (1, 2))
+    placed = pixels.join(F.broadcast(wide), "chrom").join(one, ["chrom", "bin1_id"]).join(two, ["chrom", "bin2_id"]).where("bin1_id < bin2_id")
+    near = keep(placed.where(F.abs(F.col("_m2") - F.col("_m1")).between(low, high)).select(*matrix.PIXEL, "cnt"), "near")
+    cut = near.groupBy("chrom").agg(F.percentile("cnt", F.lit(q), F.lit(2)).alias("_cut"))
+    strong = near.join(F.broadcast(cut), "chrom").where("cnt >= _cut").drop("_cut")
     return islands.peaks(islands.pixel_groups(strong, ["chrom"], "bin1_id", "bin2_id", window), ["chrom"], "bin1_id", "bin2_id", "cnt")
 
 
@@ -210,17 +229,23 @@ def quantile_loops(pixels: DataFrame, low: int, high: int, q: float = 0.999, win
 LOW_DEPTH = {"q_most": 0.2, "sigma": 0.3, "reach": 1}
 
 
-def call_loops(pixels: DataFrame, tile: int, low: int, high: int, q: float | None = None, known_least: float = 0.0, low_depth: bool = False, densities: tuple[float, ...] = (0.25, 0.75), **settings) -> DataFrame:
-    """chrom, sidx, eidx, fdr, scale, intensity: blobs of the tiles with each of the densities of filled cells around them, and quantile peaks, the latter with values on lines fitted to the former; one row for each pair of ends.
+def call_loops(pixels: DataFrame, bins: DataFrame, low: float = 5000, high: float = 2_000_000, middle_low: float = 100_000, middle_high: float = 2_000_000, q: float | None = None, low_depth: bool = False, densities: tuple[float, ...] = (0.25, 0.75), **settings) -> DataFrame:
+    """chrom, sidx, eidx, fdr, scale, intensity: blobs with each of the densities of filled cells around them, whose bins' middles are from low to high bases apart, and the strongest pixels from middle_low to middle_high, with values on
+    lines fitted to the blobs; one row for each pair of ends, a blob before a strong pixel. bins: chrom, bin_id, start, end.
 
     low_depth takes LOW_DEPTH and a lower quantile."""
     settings = (LOW_DEPTH if low_depth else {}) | settings
-    tiles = matrix.blocks_of(pixels, tile)
+    pixels, bins = keep(pixels, "map"), keep(bins.select("chrom", "bin_id", "start", "end"), "bins")
+    tiles = keep(matrix.tiles_of(pixels, bins, high), "tiles")
     found = None
-    for dense in densities:
-        own = kernels.blobs_in_tiles(tiles, dense=dense, **settings)
+    for order, dense in enumerate(densities):
+        own = kernels.blobs_in_tiles(tiles, dense=dense, **settings).withColumn("order", F.lit(order))
         found = own if found is None else found.unionByName(own)
-    blobs = matrix.point_lookup(found.distinct(), pixels).withColumn("intensity", F.col("cnt").cast("double")).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), "fdr", "scale", "intensity")
-    peaks = quantile_loops(pixels, low, high, q or (0.995 if low_depth else 0.999)).select("chrom", F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), F.col("cnt").cast("double").alias("intensity"))
-    more = loops.regress_fdr(peaks, blobs.select("chrom", "intensity", "fdr", "scale"), known_least)
-    return loops.unique_loops(blobs.unionByName(more))
+    middle = (F.col("start") + F.col("end")) / 2
+    one, two = (bins.select("chrom", F.col("bin_id").alias(f"bin{i}_id"), middle.alias(f"_m{i}")) for i in (1, 2))
+    placed = keep(found, "blobs").join(one, ["chrom", "bin1_id"]).join(two, ["chrom", "bin2_id"]).where(F.abs(F.col("_m2") - F.col("_m1")).between(low, high))
+    ends = [F.col("bin1_id").alias("sidx"), F.col("bin2_id").alias("eidx"), F.col("cnt").cast("double").alias("intensity")]
+    blobs = matrix.point_lookup(placed, pixels).select("chrom", *ends, "fdr", "scale", "order")
+    peaks = quantile_loops(pixels, bins, middle_low, middle_high, q or (0.995 if low_depth else 0.999)).select("chrom", *ends)
+    more = loops.regress_fdr(peaks, blobs.select("chrom", "intensity", "fdr", "scale").distinct()).withColumn("order", F.lit(len(densities)))
+    return loops.unique_loops(blobs.unionByName(more), best="order").drop("order")

@@ -110,12 +110,13 @@ def qc_report(spark, sf_dir):
     return stats.qc_report(p.agg(F.count("*").alias("total"), n(same).alias("cis"), n(~same).alias("trans"), n(same & (F.abs(F.col("p2") - F.col("p1")) >= 1000)).alias("cis_1kb"), n(F.col("chrom2").isNull()).alias("unpaired")))
 
 
-@query(""", k AS (SELECT chrom, value AS intensity, value / 9973 AS fdr, (event_id % 17) / 10.0 AS scale FROM ev WHERE event_id % 3 = 0 AND chrom <> 'view'), f AS (SELECT chrom, regr_slope(fdr, intensity) AS a, regr_intercept(fdr, intensity) AS b, regr_slope(scale, intensity) AS c, regr_intercept(scale, intensity) AS d FROM k WHERE intensity >= 20 GROUP BY chrom)
-SELECT event_id, round(greatest(coalesce(a * value + b, 0.01), 0), 5) AS fdr, round(coalesce(c * value + d, 0.6155), 5) AS scale FROM ev LEFT JOIN f USING (chrom) WHERE event_id % 3 = 1""")
+@query(""", k AS (SELECT chrom, value AS intensity, value / 9973 AS fdr, (event_id % 17) / 10.0 AS scale FROM ev WHERE event_id % 3 = 0 AND chrom <> 'view'), l AS (SELECT chrom, min(value) AS least FROM ev WHERE event_id % 3 = 1 GROUP BY chrom), f AS (SELECT chrom, regr_slope(fdr, x) AS a, regr_intercept(fdr, x) AS b, regr_slope(scale, x) AS c, regr_intercept(scale, x) AS d, avg(CASE WHEN x IS NOT NULL THEN fdr END) AS mf, avg(CASE WHEN x IS NOT NULL THEN scale END) AS ms, TRUE AS known
+  FROM (SELECT k.*, CASE WHEN intensity >= least THEN intensity END AS x FROM k JOIN l USING (chrom)) GROUP BY chrom)
+SELECT event_id, round(greatest(coalesce(a * value + b, mf, CASE WHEN known THEN 0.01 ELSE 0.00001 END), 0), 5) AS fdr, round(coalesce(c * value + d, ms, 0.6155), 5) AS scale FROM ev LEFT JOIN f USING (chrom) WHERE event_id % 3 = 1""")
 def regression_fdr(spark, sf_dir):
     e = views.events(spark, sf_dir).withColumnRenamed("value", "intensity")
     known = e.where("event_id % 3 = 0 and chrom <> 'view'").select("chrom", "intensity", (F.col("intensity") / 9973).alias("fdr"), ((F.col("event_id") % 17) / 10.0).alias("scale"))
-    return loops.regress_fdr(e.where("event_id % 3 = 1"), known, 20.0).select("event_id", "fdr", "scale")
+    return loops.regress_fdr(e.where("event_id % 3 = 1"), known).select("event_id", "fdr", "scale")
 
 
 @query("""SELECT event_id, CASE WHEN v > 0 AND v < 1 THEN pow(10, ceil(-log10(v))) ELSE 1.0 END AS factor FROM (SELECT event_id, value / 1000 AS v FROM ev)""")

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tessera.functions.kernels import balance, bh_values, blobs, change_points, connected_labels, greedy_gaps, kde, lowess, mann_whitney_less, normalise_marginals, normalise_pair
+from tessera.functions.kernels import balance, bh_values, change_points, connected_labels, greedy_gaps, kde, lowess, mann_whitney_less, normalise_marginals, normalise_pair
 
 
 def test_balanced_rows_meet_their_targets():
@@ -60,14 +60,6 @@ def test_density_is_one_in_all():
     assert abs(d.sum() * (grid[1] - grid[0]) - 1) < 0.01
 
 
-def test_a_planted_blob_is_found():
-    r = np.random.default_rng(4)
-    i = np.arange(160)
-    a = np.triu(np.maximum(0, 5 - np.abs(i[:, None] - i) / 40) + r.random((160, 160)))
-    a[60:63, 100:103] += 20
-    assert any(abs(x - 61) <= 1 and abs(y - 101) <= 1 for x, y, *_ in blobs(a))
-
-
 def test_marginals_leave_outliers_out_and_fill_bins_without_sites(spark):
     # with one site: slope 1 but for the last, whose a is an outlier that alone makes the slope small; with two sites: slope 0.1; without sites: between them
     one = [(0, 10, 12), (1, 20, 21), (2, 30, 33), (3, 40, 39), (4, 50, 54), (5, 5000, 60)]
