@@ -5,9 +5,8 @@ vectors, or single points of the sample. Every vector is put into one leaf of ea
 distances to the hyperplanes on whose other side it lies), until the leaves that it has reached hold the budget of vectors, counted over the trees; all vectors in these leaves are compared
 exactly, in double precision on the original vectors.
 
-The budget is measured, not set: inside the sample the neighbours of some points are known by brute force, and the budget is what RECALL of them took to be reached. Beyond the sample it
-grows with the power of the number of vectors that is measured by putting the sample into trees fitted on an eighth of it. So it grows as slowly as the data allow: hardly for vectors that lie
-in clusters or near a surface of few dimensions, with a power of about 0.7 for directions without any structure, for which no index does much better.
+The budget is measured, not set: for TRIED points of the sample the neighbours among all vectors are found by one pass over these, and the budget is what RECALL of them take to be reached in the whole forest. So it is right at any size, also where
+vectors lie in clusters whose inside the sample doesn't show; it grows as slowly as the data allow, hardly near a surface of few dimensions, and nearly as the table for directions without any structure, for which no index does much better.
 
 Equal vectors are one, with their NEIGHBOURS + 1 smallest ids, which are all that can be reported; that is cut down before the shuffle. Neighbouring leaves of a tree make a cell of about PART
 vectors. A vector is sent to its cells, a query once to each cell in which it reached a leaf; queries of one cell beyond ASKED are dealt to copies of it, and cells that hold
@@ -35,7 +34,7 @@ SAMPLE = 32_000
 TREES = 8
 LEAF = 4  # vectors in a leaf, as long as the sample is large enough for that
 RECALL = 0.95  # of the known neighbours inside the sample that the budget has to reach
-TRIED = 128  # points of the sample whose neighbours are looked up to find the budget
+TRIED = 128  # points of the sample whose neighbours among all vectors are looked up to find the budget
 LEAST_BUDGET = 640  # vectors, counted over the trees
 NEIGHBOURS = 10
 PART = 4096
@@ -93,21 +92,30 @@ class Forest:
             out.append(-1 - node)
         return out
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_normals"}
+
+    def normals(self) -> np.ndarray:
+        """Each node's normal; made once in a process, and not sent."""
+        if "_normals" not in self.__dict__:
+            self._normals = self.sample[self.ends[:, 0]] - self.sample[self.ends[:, 1]]
+        return self._normals
+
     def walk(self, q: np.ndarray) -> Iterator[Iterator[int]]:
-        """For each query its leaves, nearest first."""
-        left, right = self.left.tolist(), self.right.tolist()
+        """For each query its leaves, nearest first. One product gives a batch's places along all normals; only those of nodes on the way are looked at."""
+        nodes = list(zip(self.left.tolist(), self.right.tolist(), self.offsets.tolist(), self.shrink.tolist(), strict=True))
         for at in range(0, len(q), 16):
-            along = q[at : at + 16].astype(np.float32) @ self.sample.T
-            for m in (along[:, self.ends[:, 0]] - along[:, self.ends[:, 1]] - self.offsets) * self.shrink:
-                yield self._leaves(m.tolist(), left, right)
+            for along in q[at : at + 16].astype(np.float32) @ self.normals().T:
+                yield self._leaves(along, nodes)
 
-    def _leaves(self, margin: list[float], left: list[int], right: list[int]) -> Iterator[int]:
+    def _leaves(self, along: np.ndarray, nodes: list[tuple[int, int, float, float]]) -> Iterator[int]:
         queue = [(0.0, r) for r in self.roots]
         while queue:
             far, node = heapq.heappop(queue)
             while node >= 0:  # down the near sides, which are no farther
-                m = margin[node]
-                near, other = (left[node], right[node]) if m > 0 else (right[node], left[node])
+                left, right, offset, shrink = nodes[node]
+                m = (along.item(node) - offset) * shrink
+                near, other = (left, right) if m > 0 else (right, left)
                 heapq.heappush(queue, (far + m * m, other))
                 node = near
             yield -1 - node
@@ -125,20 +133,23 @@ class Forest:
             yield out
 
 
-def needed(forest: Forest, rows: np.ndarray, k: int = NEIGHBOURS, share: float = RECALL) -> float:
-    """How many of the rows, counted over the trees, queries among them have to see until they have met that share of their k nearest."""
-    tried = rows[:: max(1, len(rows) // TRIED)][:TRIED]
-    placed = np.column_stack(forest.place(rows))
-    forest.held = np.bincount(placed.ravel(), minlength=forest.leaves).astype(float)
+def closest(x: np.ndarray, probes: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """probe, place in x and squared distance of the k + 1 rows of x nearest to each probe (itself, where it is in x)."""
+    d = (x**2).sum(axis=1)[:, None] - 2 * x @ probes.T + (probes**2).sum(axis=1)
+    at = np.argpartition(d, min(k, len(x) - 1), axis=0)[: k + 1] if len(x) > k + 1 else np.repeat(np.arange(len(x))[:, None], len(probes), axis=1)
+    which = np.repeat(np.arange(len(probes))[None], len(at), axis=0).ravel()
+    return which, at.ravel(), d[at.ravel(), which]
+
+
+def needed(forest: Forest, probes: np.ndarray, near: list[np.ndarray], share: float = RECALL) -> float:
+    """How many vectors, counted over the trees, queries have to see until they have met that share of their nearest: near, for each probe."""
     held, found = forest.held.tolist(), []
-    square = (rows**2).sum(axis=1)
-    for q, leaves in zip(tried, forest.walk(tried), strict=True):
-        near = np.argpartition(square - 2 * rows @ q, min(k, len(rows) - 1))[: k + 1]  # and q itself
+    for own, leaves in zip(near, forest.walk(probes), strict=True):
         where: dict[int, list[int]] = {}
-        for i in near.tolist():
-            for leaf in placed[i].tolist():
+        for i, places in enumerate(np.column_stack(forest.place(own)).tolist()):
+            for leaf in places:
                 where.setdefault(leaf, []).append(i)
-        left, seen = set(near.tolist()), 0.0
+        left, seen = set(range(len(own))), 0.0
         for leaf in leaves:
             seen += held[leaf]
             for i in where.get(leaf, ()):
@@ -155,18 +166,12 @@ def leaf_size(sample: np.ndarray, rows: int) -> int:
     return max(1, LEAF * len(sample) // max(rows, 1))
 
 
-def budget(forest: Forest, sample: np.ndarray, rows: int) -> float:
+def budget(forest: Forest, probes: np.ndarray, near: list[np.ndarray], rows: int) -> float:
     """The budget among so many rows, counted over the trees."""
     most = float(len(forest.roots) * rows)
-    if rows * len(forest.roots) <= LEAST_BUDGET or len(sample) < 64:
+    if rows * len(forest.roots) <= LEAST_BUDGET or not len(probes):
         return most
-    need = needed(forest, sample)
-    if rows > len(sample):
-        some = sample[::8]
-        one = needed(Forest(some, len(forest.roots)), some)
-        power = math.log(max(1.0, needed(Forest(some, len(forest.roots), leaf_size(some, len(sample))), sample) / one)) / math.log(len(sample) / len(some))
-        need *= (rows / len(sample)) ** min(1.0, power)
-    return min(most, max(LEAST_BUDGET, need))
+    return min(most, max(LEAST_BUDGET, needed(forest, probes, near)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -174,6 +179,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _known(classes: DataFrame, probes: np.ndarray, kind: str, k: int) -> list[np.ndarray]:
+    """The k + 1 vectors of all that are nearest to each probe, by comparing with every one: at most TRIED x (k + 1) rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = _matrix(batch.slice(at, 4096).column("embedding"))
+                which, place, d = closest(x, probes, k)
+                have.append((which, d, x[place]))
+                if len(have) == 16:
+                    have = [kept(have)]
+        if have:
+            which, d, x = kept(have)
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(d), pa.array(list(x.astype(float)), pa.list_(pa.float64()))], ["probe", "d", "embedding"])
+
+    def kept(have: list[tuple]) -> tuple:
+        which, d, x = (np.concatenate(v) for v in zip(*have, strict=True))
+        order = np.lexsort((d, which))
+        which, d, x = which[order], d[order], x[order]
+        first = np.arange(len(which)) - np.searchsorted(which, which) <= k
+        return which[first], d[first], x[first]
+
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("d"))
+    rows = classes.select("embedding").mapInArrow(run, "probe int, d double, embedding array<double>").withColumn("rank", rank).where(f"rank <= {k + 1}")
+    near: list[list] = [[] for _ in probes]
+    for r in rows.select("probe", "embedding").collect():
+        near[r.probe].append(r.embedding)
+    return [np.array(v, float) for v in near]
+
+
 def nearest(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = NEIGHBOURS, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that are found for each query among all other rows of vectors (vec_id, embedding, ...)."""
     spark = vectors.sparkSession
@@ -200,8 +236,9 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = NEIG
     sample = sample[np.lexsort(sample.T)]  # in an order that doesn't depend on how the table is split
     sample = sample[np.random.Generator(np.random.PCG64(4)).permutation(len(sample))]
     forest = Forest(sample, trees, min(LEAF, leaf_size(sample, rows)))
-    enough = budget(forest, sample, rows)
     forest.held = np.bincount(np.concatenate(forest.place(sample)), minlength=forest.leaves) * (rows / len(sample))
+    probes = sample[:TRIED]
+    enough = budget(forest, probes, _known(classes, probes, kind, k), rows)
     # cells: leaves in a row that should hold about PART vectors together, and how many tasks each cell is dealt to
     cell_of = (np.cumsum(forest.held) - forest.held).astype(np.int64) // PART
     size = np.bincount(cell_of, forest.held)

@@ -131,9 +131,11 @@ def found_by(rows, budget_of=None):
     """Recall of 60 points among the others, and the mean share of the rows that they were compared with, in the forest itself."""
     sample = rows[: projection_forest.SAMPLE]
     forest = projection_forest.Forest(sample, leaf=min(projection_forest.LEAF, projection_forest.leaf_size(sample, len(rows))))
-    enough = projection_forest.budget(forest, sample, len(rows))
     placed = np.array(forest.place(rows))
     forest.held = np.bincount(np.concatenate(forest.place(sample)), minlength=forest.leaves) * len(rows) / len(sample)
+    probes = sample[-projection_forest.TRIED :]
+    which, at, _ = projection_forest.closest(rows, probes)
+    enough = projection_forest.budget(forest, probes, [rows[at[which == i]] for i in range(len(probes))], len(rows))
     hit, seen = 0, 0
     for q, leaves in zip(range(60), forest.reach(rows[:60], enough), strict=True):
         compared = np.isin(placed, leaves).any(axis=0)
@@ -164,6 +166,41 @@ def test_visits_stay_behind_the_table(kind, monkeypatch):
         assert got[2][1] < 0.06 * 32_000 and got[2][1] < 2 * got[1][1]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "none"])
+def test_recall_holds_far_beyond_the_sample(kind, monkeypatch):
+    """Thirty times the sample, also in clusters of which the sample shows a few points each."""
+    monkeypatch.setattr(projection_forest, "SAMPLE", 2000)
+    r = np.random.default_rng(8)
+    n = 60_000
+    rows = r.normal(size=(50, 64))[r.integers(0, 50, n)] + 0.3 * r.normal(size=(n, 64)) if kind == "clusters" else r.normal(size=(n, 64))
+    recall, seen = found_by(rows)
+    assert recall >= 0.9 and seen < (0.05 if kind == "clusters" else 0.6) * n
+
+
+def test_a_walk_looks_at_few_nodes():
+    """The nodes whose margin is taken are those on the way to the leaves that are reached."""
+    r = np.random.default_rng(9)
+    rows = r.normal(size=(80, 64))[r.integers(0, 80, 8000)] + 0.3 * r.normal(size=(8000, 64))
+    forest = projection_forest.Forest(rows)
+    forest.held = np.bincount(np.concatenate(forest.place(rows)), minlength=forest.leaves).astype(float)
+
+    class Seen(np.ndarray):
+        looked = 0
+
+        def item(self, *at):
+            Seen.looked += 1
+            return super().item(*at)
+
+    nodes = list(zip(forest.left.tolist(), forest.right.tolist(), forest.offsets.tolist(), forest.shrink.tolist(), strict=True))
+    along = (rows[:1].astype(np.float32) @ forest.normals().T)[0].view(Seen)
+    seen = 0.0
+    for leaf in forest._leaves(along, nodes):
+        seen += forest.held[leaf]
+        if seen >= projection_forest.LEAST_BUDGET:
+            break
+    assert Seen.looked < 0.2 * len(nodes)
+
+
 def test_cells_and_copies(spark, monkeypatch):
     """Small cells dealt to several tasks, queries dealt to copies, and two vectors under one id."""
     for name, value in (("PART", 16), ("ASKED", 2)):
