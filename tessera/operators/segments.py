@@ -90,6 +90,41 @@ def split_domains(domains: DataFrame, boundaries: DataFrame, bucket: int) -> Dat
     return out.where("start < end")
 
 
+def make_consecutive(rows: DataFrame, shift: int = 0) -> DataFrame:
+    """Segments (chrom, start, end, tag, in the order of start and end) whose edges are made to meet.
+
+    Gaps and boundaries take the edges of the domains beside them. Where two others don't meet, a boundary keeps its start, which the one before takes as its end, and a gap begins where the one before ended. What still doesn't begin at
+    the end before it does then, and a start behind its own end becomes that; both are repeated until nothing changes. Chromosomes of three segments or fewer stay as they are. At last boundaries, and what meets them, are moved back by
+    `shift`. Equal segments are one after the other in an order that stays open."""
+    order = ["no"]
+    counts = rows.groupBy("chrom").agg(F.count("*").alias("_n"))  # a row a chromosome
+    now = numbered(rows, ["chrom"], ["start", "end"], "no").join(F.broadcast(counts), "chrom")
+    few = now.where("_n <= 3")
+    domain = lambda c: F.col(c) == "domain"
+    step = carried(now.where("_n > 3"), ["chrom"], order, before={"_bt": F.col("tag"), "_be": F.col("end")}, after={"_at": F.col("tag"), "_as": F.col("start")})
+    start = F.when(~domain("tag") & domain("_bt"), F.col("_be")).otherwise(F.col("start"))
+    end = F.when(~domain("tag") & domain("_at"), F.col("_as")).otherwise(F.col("end"))
+    step = step.withColumns({"_s": start, "_e": end}).drop("start", "end", "_bt", "_be", "_at", "_as").withColumnsRenamed({"_s": "start", "_e": "end"})
+    step = carried(step, ["chrom"], order, before={"_be": F.col("end")}, after={"_at": F.col("tag"), "_as": F.col("start")})
+    start = F.when((F.col("tag") == "gap") & (F.col("_be") != F.col("start")), F.col("_be")).otherwise(F.col("start"))
+    end = F.when((F.col("_at") == "boundary") & (F.col("_as") != F.col("end")), F.col("_as")).otherwise(F.col("end"))
+    step = step.withColumns({"_s": start, "_e": end}).drop("start", "end", "_be", "_at", "_as").withColumnsRenamed({"_s": "start", "_e": "end"})
+    while True:
+        step = keep(carried(step, ["chrom"], order, before={"_be": F.col("end")}), "segments")
+        forced = F.coalesce("_be", "start")
+        met = F.when(forced > F.col("end"), F.col("end")).otherwise(forced)
+        changed = step.where(met != F.col("start")).limit(1).count()
+        step = step.withColumn("_s", met).drop("start", "_be").withColumnRenamed("_s", "start")
+        if not changed:
+            break
+    out = step.select("no", *rows.columns, "_n").unionByName(few.select("no", *rows.columns, "_n"))
+    if shift:
+        out = carried(out, ["chrom"], order, before={"_bt": F.col("tag")}, after={"_at": F.col("tag")})
+        mark = lambda c: F.coalesce(F.col(c) == "boundary", F.lit(False))
+        out = out.withColumns({"start": F.col("start") - F.when(mark("tag") | mark("_bt"), shift).otherwise(0), "end": F.col("end") - F.when(mark("tag") | mark("_at"), shift).otherwise(0)})
+    return out.select(*rows.columns)
+
+
 _PIECE = "array<struct<tag:string,start:bigint,end:bigint,first:bigint,last:bigint,score:double>>"
 
 

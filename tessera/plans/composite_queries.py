@@ -11,6 +11,7 @@ from tessera.plans.interval_queries import _genes
 from tessera.plans.registry import Registry
 from tessera.plans.sequence_queries import _tagged
 from tessera.sources import formats, views
+from tessera.tables import scratch
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -93,10 +94,9 @@ def outward_from_peak(spark, sf_dir):
     return near.select("chrom", "hour", F.row_number().over(w).cast("bigint").alias("place"), "side")
 
 
-@query(""", d AS (SELECT chrom, k, mass, row_number() OVER (PARTITION BY chrom ORDER BY k) AS r, sum(mass) OVER (PARTITION BY chrom) / 20.0 AS target FROM (SELECT chrom, bin2_id - bin1_id AS k, sum(cnt) AS mass FROM map6_a GROUP BY ALL)),
-w AS (SELECT chrom, r, k, 0 AS mass_bin, CASE WHEN mass >= target THEN 0.0 ELSE mass END::DOUBLE AS held, CASE WHEN mass >= target THEN 1 ELSE 0 END AS nxt FROM d WHERE r = 1
-UNION ALL SELECT d.chrom, d.r, d.k, nxt, (CASE WHEN held + mass >= target AND nxt < 19 THEN 0.0 ELSE held + mass END)::DOUBLE, CASE WHEN held + mass >= target AND nxt < 19 THEN nxt + 1 ELSE nxt END FROM w JOIN d ON d.chrom = w.chrom AND d.r = w.r + 1)
-SELECT m.chrom, bin1_id, bin2_id, cnt, CAST(mass_bin AS INTEGER) AS mass_bin FROM map6_a m JOIN w ON w.chrom = m.chrom AND w.k = bin2_id - bin1_id""", recursive=True)
+@query(""", s AS (SELECT chrom, bin1_id, bin2_id, cnt, sum(cnt) OVER (PARTITION BY chrom ORDER BY bin2_id - bin1_id, bin1_id) AS c, sum(cnt) OVER (PARTITION BY chrom) / 20.0 AS target FROM map6_a),
+w AS (SELECT chrom, 0 AS n, CAST(0 AS DOUBLE) AS c, min(target) AS target FROM s GROUP BY chrom UNION ALL SELECT w.chrom, w.n + 1, CAST((SELECT min(s.c) FROM s WHERE s.chrom = w.chrom AND s.c >= w.c + w.target) AS DOUBLE), w.target FROM w WHERE w.c IS NOT NULL)
+SELECT s.chrom, bin1_id, bin2_id, cnt, CAST((SELECT count(*) FROM w WHERE w.chrom = s.chrom AND w.n > 0 AND w.c < s.c) AS INTEGER) AS mass_bin FROM s""", recursive=True)
 def greedy_mass_bins(spark, sf_dir):
     return pipelines.greedy_mass_bins(views.contact_map(spark, sf_dir, wide=True), 20)
 
@@ -234,6 +234,16 @@ def bin_column(spark, sf_dir):
     return formats.with_bin_column(old, "marginal", matrix.marginals(views.contact_map(spark, sf_dir, wide=True)))
 
 
+@query("SELECT chrom, bin1_id, bin2_id, CAST(cnt AS DOUBLE) AS cnt FROM map_a WHERE chrom = 'click' AND bin1_id >= 100 AND bin2_id <= 400")
+def region_fetch(spark, sf_dir):
+    """A region of a map that is stored in tiles."""
+    m = views.contact_map(spark, sf_dir)
+    bins = m.select("chrom").distinct().crossJoin(views.bins(spark))  # chromosomes x fixed bins
+    path = scratch(spark, "map")
+    formats.write_tiles(bins, m, path, side=128)
+    return formats.read_region(spark, path, "click", 100, 400, side=128)[1].select("chrom", "bin1_id", "bin2_id", F.col("cnt").cast("double").alias("cnt"))
+
+
 @query()
 def region_map(spark, sf_dir):
     runs = islands.run_lengths(_tagged(spark, sf_dir), ["chrom"], "hour", "tag").where("tag = 'domain'").select("chrom", "first", "last")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tessera.functions import kernels, stats
 from tessera.functions.spline import smoothed
 from tessera.operators import intervals, islands, loops, matrix, segments
 from tessera.operators.balancing import balance_map
-from tessera.operators.scans import numbered
+from tessera.operators.scans import RANGE, carried, numbered
 from tessera.tables import keep
 
 
@@ -192,23 +193,48 @@ def region_map(pixels: DataFrame, runs: DataFrame, mass_bins: int = 200) -> Data
     return matrix.block_mean(sums, blocks.groupBy("chrom", "block").agg(F.count("*").alias("size"))).where("block1 <= block2")
 
 
-def greedy_mass_bins(pixels: DataFrame, bins: int) -> DataFrame:
-    """pixels with mass_bin: walking by distance, a bin is closed when its own sum reaches total / bins, and the next begins at zero. The walk is over the sums of each distance, one row a diagonal: it closes bins at the ends of
-    diagonals, which keeps a chromosome's pixels out of one task."""
-    per = pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).groupBy("chrom", "k").agg(F.sum("cnt").alias("mass"))
+def greedy_mass_bins(pixels: DataFrame, bins: int, slack: float | None = None) -> DataFrame:
+    """pixels (counts above 0) with mass_bin: walking by distance, then by row, a bin is closed by the pixel with which its own sum reaches total / bins, and the next begins at zero.
+
+    The walk is over running sums, which are scans of ranges: a bin that begins behind the sum b closes at the first sum of at least b + target. Closing sums are looked for among the sums that lie just above b + target, b + 2 target, ... , up to
+    `slack` (the largest pixel) each, a few rows a chromosome; where a close lies beyond these, the next round goes on from the last one that is known, with twice the slack if there was none. What a chromosome's task holds are these few."""
+    placed = pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id"))
+    summed = carried(placed, ["chrom"], ["k", "bin1_id"], sums={"_upto": F.col("cnt").cast("double")}, ranges=[F.col("k"), F.floor(F.col("bin1_id") / RANGE)])
+    summed = keep(summed, "sums")
+    spark = pixels.sparkSession
+    state = {r.chrom: {"target": r.total / bins, "at": 0.0, "slack": slack or r.most, "closes": []} for r in summed.groupBy("chrom").agg(F.max("_upto").alias("total"), F.max(F.col("cnt").cast("double")).alias("most")).collect()}  # a row a chromosome
+    open_ = {c for c, s in state.items() if s["target"] > 0}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        target, held, now, out = part.mass.sum() / bins, 0.0, 0, []
-        for m in part.mass:
-            out.append(now)
-            held += m
-            if held >= target and now < bins - 1:
-                held, now = 0.0, now + 1
-        return pd.DataFrame({"chrom": part.chrom, "k": part.k, "mass_bin": out})
-
-    walked = per.groupBy("chrom").applyInPandas(run, "chrom string, k bigint, mass_bin int")
-    return pixels.withColumn("k", F.col("bin2_id") - F.col("bin1_id")).join(walked, ["chrom", "k"]).drop("k")
+        begin, target, wide = (float(part[c].iloc[0]) for c in ("at", "target", "slack"))
+        sums, at, found, over = np.unique(part._upto.to_numpy(float)), begin, [], False
+        while True:
+            goal = at + target
+            i = int(np.searchsorted(sums, goal))
+            step = np.floor((goal - begin) / target + 1e-9)
+            edge = begin + step * target + wide
+            if goal > edge or i == len(sums) or sums[i] > edge:
+                break
+            at = float(sums[i])
+            found.append(at)
+        return pd.DataFrame({"chrom": [part.chrom.iloc[0]], "closes": [found]})
+
+    while open_:
+        rows = spark.createDataFrame([(c, state[c]["at"], state[c]["target"], state[c]["slack"]) for c in open_], "chrom string, at double, target double, slack double")
+        ahead = F.col("_upto") - F.col("at")
+        near = summed.select("chrom", "_upto").join(F.broadcast(rows), "chrom").where((ahead > 0) & (ahead - F.floor(ahead / F.col("target") + 1e-9) * F.col("target") <= F.col("slack") + 1e-9 * F.col("target")))
+        got = {r.chrom: r.closes for r in near.groupBy("chrom").applyInPandas(run, "chrom string, closes array<double>").collect()}  # `bins` numbers a chromosome at most
+        for c in list(open_):
+            s, closes = state[c], got.get(c, [])
+            s["closes"] += closes
+            s["at"] = s["closes"][-1] if s["closes"] else 0.0
+            if not closes:
+                if s["slack"] > 2 * s["target"]:  # every sum ahead was looked at
+                    open_.remove(c)
+                s["slack"] *= 2
+    closed = spark.createDataFrame([(c, s["closes"]) for c, s in state.items()], "chrom string, _closes array<double>")
+    before = F.size(F.filter("_closes", lambda x: x < F.col("_upto")))
+    return summed.join(F.broadcast(closed), "chrom").withColumn("mass_bin", before.cast("int")).drop("k", "_upto", "_closes")
 
 
 def quantile_loops(pixels: DataFrame, bins: DataFrame, low: float = 100_000, high: float = 2_000_000, q: float = 0.999, window: int = 5, least_blocks: int = 10) -> DataFrame:

@@ -89,6 +89,30 @@ def read_map(spark: SparkSession, path: str, chrom: str | None = None, balanced:
     return bins, pixels
 
 
+SIDE = 4096  # bins along a tile of a stored map
+
+
+def write_tiles(bins: DataFrame, pixels: DataFrame, path: str, side: int = SIDE) -> None:
+    """Bins and pixels as Parquet, pixels in folders by chromosome, distance and row, `side` bins each, so that a region is read from the files that it touches. A folder is written by one task or, where it is large, by several."""
+    bins.write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/bins")
+    far = F.floor((F.col("bin2_id") - F.col("bin1_id")) / side)
+    placed = pixels.withColumns({"cnt": F.col("cnt").cast("float"), "far": far, "row": F.floor(F.col("bin1_id") / side)})
+    placed.hint("rebalance", "chrom", "far", "row").write.mode("overwrite").partitionBy("chrom", "far", "row").parquet(f"{path}/pixels")
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, first: int, last: int, side: int = SIDE, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Bins and pixels of a tiled map with both bins from first to last; balanced multiplies by both bins' weights. side is that of the writer."""
+    bins, pixels = spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/pixels")
+    bins = bins.where((F.col("chrom") == chrom) & F.col("bin_id").between(first, last))
+    folders = (F.col("chrom") == chrom) & F.col("row").between(first // side, last // side) & (F.col("far") <= (last - first) // side)
+    pixels = pixels.where(folders & (F.col("bin1_id") >= first) & (F.col("bin2_id") <= last)).drop("far", "row")
+    if balanced:
+        from tessera.operators.matrix import bias_multiply
+
+        pixels = bias_multiply(pixels, bins.select("chrom", "bin_id", "weight"), "weight")
+    return bins, pixels
+
+
 def write_signal(track: DataFrame, path: str) -> None:
     """A bedGraph-like track; null and NaN are 0."""
     write_table(track.select("chrom", "start", "end", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0))), path)

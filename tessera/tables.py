@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder, which release() deletes, or the driver's end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark, threading.get_ident()
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and go on from the written table: lineage is cut and nothing is computed twice. It is deleted by forget() or release(), or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written[path] = spark, threading.get_ident()
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
