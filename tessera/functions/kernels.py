@@ -24,7 +24,7 @@ def connected_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def balance(i: np.ndarray, j: np.ndarray, v: np.ndarray, target: np.ndarray, tolerance: float = 1e-6, most: int = 1500) -> np.ndarray:
+def balance(i: np.ndarray, j: np.ndarray, v: np.ndarray, target: np.ndarray, tolerance: float = 1e-8, most: int = 1500) -> np.ndarray:
     """x > 0 with x * (A x) = target for the symmetric A whose upper triangle is (i, j, v); rows without entries keep 1.
 
     Newton's method on the logarithm of x, solved by conjugate gradients: with s = x * (A x), the step d solves (diag(s) + X A X) d = target - s; the step is cut so that no factor

@@ -16,7 +16,7 @@ from tessera.operators.matrix import _both_ways
 from tessera.tables import forget, keep, shared_dir
 
 ALONE = 5_000_000  # pixels of a chromosome that one task may hold
-TOLERANCE = 1e-6
+TOLERANCE = 1e-8
 MOST = 1500  # products
 EPS = float(np.finfo(np.float32).eps)  # a little of the identity, for components without a diagonal
 BIN = ["chrom", "bin_id"]
