@@ -5,7 +5,7 @@ are gathered (map-side, over all labelled rows, or about MOST_LABELS of them, as
 the Cholesky factors, which are made once and sent out. The score is the logistic of the difference of the two log densities
 (Mahalanobis terms and log determinants) plus the log odds of the classes.
 
-Defined results: null is the empty text, which is scored like any other (its statistics are zeros). Rows of labels with a null quality
+Defined results: null is the empty text, which is scored like any other (its statistics are zeros); a text of any length is measured whole. Rows of labels with a null quality
 are ignored; if a doc_id has several labels the largest counts. Rows, also repeated ones and those without doc_id (which have no label), are each scored by their own text. If either
 class has no labelled row, all scores are 0.5. An empty table gives none."""
 

@@ -9,7 +9,8 @@ filter). What remains is verified on the full sets. Words that no template has c
 Only DataFrame expressions are used. The templates are a table of fixed size and are broadcast; the frequencies are counted map-side, one row a
 template word.
 
-Defined results: null and empty texts have no words and score 0. Repeated rows are scanned each on its own."""
+Defined results: null and empty texts have no words and score 0. Repeated rows, and those without doc_id (which stays null), are scanned each on its own. A text of any length is scanned whole; one without blank
+lines is one block. Where templates are contained equally well, score is their common value, and all their labels are given. An empty table gives none."""
 
 from __future__ import annotations
 

@@ -17,7 +17,7 @@ Scores are normalised by batched matrix products on the executors.
 Word counts are taken over all training rows. The HEAD most frequent words (ties by a hash) and the end go to the executors as a table, a size fixed by the parameter; the counts
 of all other words are joined to the tokens that need them. No count depends on HEAD.
 
-Defined results: null and empty texts have the one end token. A null doc_id is never held out. Rows, also repeated ones, are scored each on its own. Without training rows N and V are 0 and
+Defined results: null and empty texts have the one end token. A null doc_id is never held out. Rows, also repeated ones, are scored each on its own, whole, whatever their length. Without training rows N and V are 0 and
 the parameters stay as they start. An empty table gives none."""
 
 from __future__ import annotations

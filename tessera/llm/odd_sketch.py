@@ -16,7 +16,7 @@ bound is raised), are joined by broadcast where their rows stand; all others are
 
 Defined results: null or empty texts and texts of separators only have n_shingles 0 and stand alone. A null doc_id stands alone with
 component_id null and kept true. Rows that repeat a doc_id with the same text share its class, and each is returned; where texts under one doc_id differ, the doc_id links what either links.
-An empty table gives none. keep_one() goes by rows, not by doc_id."""
+Of a text of any length all shingles count: its sets and sketches are made in the task that reads it. An empty table gives none. keep_one() goes by rows, not by doc_id."""
 
 from __future__ import annotations
 

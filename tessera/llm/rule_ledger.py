@@ -5,7 +5,7 @@ version and the set of rules that reject; it is applied to a written ledger by o
 ablation() counts by bitwise aggregation what each rule of a policy rejects, alone and together with others.
 
 Defined results: null is the empty text (no words; it fails too_short). Rows, also repeated ones and those without
-doc_id, are judged each by its own text. An empty table gives none."""
+doc_id, are judged each by its own text, which is measured whole at any length. An empty table gives none."""
 
 from __future__ import annotations
 

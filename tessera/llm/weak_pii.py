@@ -9,7 +9,7 @@ these as soft labels a logistic span classifier over kind and votes is trained,
 Only DataFrame expressions are used; the two fits are plain arithmetic over the counted patterns.
 
 Defined results: null is the empty text. Spans are code points, end exclusive. Candidates that overlap a base span, or a candidate of a kind listed before,
-are not added again. Without any candidate the classifier accepts none. Rows, also repeated ones and those without doc_id (which stays null), are searched each on its own. An empty table
+are not added again. Without any candidate the classifier accepts none. Rows, also repeated ones and those without doc_id (which stays null), are searched each on its own. A text of any length is searched whole, in time that grows with its length. An empty table
 gives none."""
 
 from __future__ import annotations
