@@ -29,6 +29,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +79,8 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                seen[END] += len(texts)
-                for text in texts:
-                    seen.update((text or "").encode().lower().split())
+                words, codes, _ = _tokens(part)
+                seen.update({w: n for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True) if n})
                 if len(seen) > FLUSH:
                     yield out()
         yield out()
@@ -346,14 +345,14 @@ class Model:
 
 
 def _log_softmax(context: np.ndarray, vectors: np.ndarray, token: np.ndarray) -> np.ndarray:
+    own = np.einsum("ij,ij->i", context, vectors[token]).astype(float)
     scores = context @ vectors.T
-    own = scores[np.arange(len(token)), token].astype(float)
     top = 0.0
-    if not -60 < float(scores.min()) <= float(scores.max()) < 60:
+    if float((context**2).sum(axis=1).max()) * float((vectors**2).sum(axis=1).max()) > 3600:  # a score may exceed 60
         top = scores.max(axis=1, keepdims=True)
         scores -= top
         top = top[:, 0].astype(float)
-    return own - top - np.log(np.exp(scores, out=scores).sum(axis=1).astype(float))
+    return own - top - np.log((np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)).astype(float))
 
 
 def contexts(rows: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,9 +368,25 @@ def contexts(rows: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndar
     return one, two
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    texts = [[*(x or "").encode().lower().split(), END] for x in part.column("text").to_pylist()]
-    return list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+def _tokens(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, which of them stands at each place of all texts, one after the other, and each text's number of tokens, its end counted."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "")))  # both work on bytes, as words do
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    own = coded.indices.to_numpy(zero_copy_only=False)
+    held = np.ones(len(own), bool)
+    if b"" in words:  # beside leading and trailing separators stands an empty string
+        empty = words.index(b"")
+        del words[empty]
+        held, own = own != empty, own - (own > empty)
+    upto = np.concatenate([[0], np.cumsum(held)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    lengths = np.diff(upto) + 1
+    codes = np.full(int(lengths.sum()), len(words) - 1, np.int64)
+    word = np.ones(len(codes), bool)
+    word[np.cumsum(lengths) - 1] = False
+    codes[word] = own[held]
+    return words, codes, lengths
 
 
 LEARNT = {"block": "int", "rows": "binary", "met": "binary", "square": "binary", "gain": "binary", "change": "binary"}
@@ -379,8 +394,8 @@ LEARNT = {"block": "int", "rows": "binary", "met": "binary", "square": "binary",
 
 def inputs(v: Vocabulary, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Both contexts, class and place in a group of each token of some texts."""
-    words, lengths = _tokens(part)
-    at, classes, rows = v.look_up(words)
+    words, codes, lengths = _tokens(part)
+    at, classes, rows = (x[codes] for x in v.look_up(words))
     return *contexts(rows, lengths, v.end_row), classes, v.place_of[at]
 
 
@@ -457,8 +472,8 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
         inner = np.log10(np.where(v.inner > 0, v.inner, 1.0))
         for batch in batches:
             for part in slices(batch, "text"):
-                words, lengths = _tokens(part)
-                at, classes, context_rows = v.look_up(words)
+                words, codes, lengths = _tokens(part)
+                at, classes, context_rows = (x[codes] for x in v.look_up(words))
                 one, two = contexts(context_rows, lengths, v.end_row)
                 p = model.log_probability(one, two, classes, v.place_of[at]) / np.log(10)
                 known = at >= 0
@@ -468,7 +483,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
                 tails: list[Counter] = [Counter() for _ in range(len(lengths))]
                 tail = np.flatnonzero(~known)
                 for i, d in zip(tail.tolist(), np.repeat(np.arange(len(lengths)), lengths)[tail].tolist(), strict=True):
-                    tails[d][words[i]] += 1
+                    tails[d][words[codes[i]]] += 1
                 many = pa.array(np.concatenate([[0], np.cumsum(list(map(len, tails)))]), pa.int32())
                 own = [pa.ListArray.from_arrays(many, pa.array(list(chain.from_iterable(x)), kind)) for x, kind in ((tails, pa.binary()), ((t.values() for t in tails), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
