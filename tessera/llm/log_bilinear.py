@@ -181,9 +181,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def _sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows that occur, the sum of the gradients of each, and how often it occurs."""
     order = np.argsort(rows)
-    ordered = rows[order]
+    ordered = rows.take(order)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[starts], np.add.reduceat(gradient[order], starts, axis=0), np.diff(np.append(starts, len(rows)))
+    return ordered[starts], np.add.reduceat(gradient.take(order, axis=0), starts, axis=0), np.diff(np.append(starts, len(rows)))
 
 
 def packed(change: np.ndarray) -> bytes:
@@ -251,7 +251,9 @@ class Model:
         self.offset = {k: np.log(n * self.share[k]).astype(np.float32) for k, n in ((2, NOISE), (3, GROUP_NOISE))}
 
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.parts[0][one] + self.parts[1][two]
+        out = self.parts[0].take(one, axis=0)
+        out += self.parts[1].take(two, axis=0)
+        return out
 
     def learn(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation over some tokens: the classes in minibatches, then the words of each group."""
@@ -290,21 +292,21 @@ class Model:
 
     def _against(self, which: int, context: np.ndarray, token: np.ndarray, noise: np.ndarray) -> np.ndarray:
         """One step of the output vectors: the tokens against noise that they share; returns the slope for the contexts."""
-        own, other, offset = self.parts[which][token], self.parts[which][noise], self.offset[which]
-        g_own = 1 - _sigmoid((context * own).sum(axis=1) - offset[token])
+        own, other, offset = self.parts[which].take(token, axis=0), self.parts[which][noise], self.offset[which]
+        g_own = 1 - _sigmoid(_products(context, own) - offset[token])
         g_other = -_sigmoid(context @ other.T - offset[noise])
-        slope = g_own[:, None] * own
-        slope += g_other @ other
+        own *= g_own[:, None]
+        slope = g_other @ other
+        slope += own
         self._step(which, np.concatenate([token, noise.astype(token.dtype)]), np.concatenate([g_own[:, None] * context, g_other.T @ context]))
         return slope
 
     def _step(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Adagrad with one speed a vector and one a bias, over the summed gradient of each row."""
         at, total, often = _sums(rows, gradient)
-        speed = self.speed[which][at]
-        square = total * total
-        speed[:, 0] += square[:, :DIM].mean(axis=1)
-        speed[:, 1] += square[:, DIM]
+        speed = self.speed[which].take(at, axis=0)
+        speed[:, 0] += _products(total[:, :DIM], total[:, :DIM]) / DIM
+        speed[:, 1] += total[:, DIM] ** 2
         self.speed[which][at] = speed
         pace = RATE / np.sqrt(speed)
         total[:, :DIM] *= pace[:, :1]
@@ -334,27 +336,43 @@ class Model:
         return -float(self.log_probability(one, two, classes, places).sum())
 
     def log_probability(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the normalised probability of each token's class and, in groups, of the word."""
-        out = np.zeros(len(classes))
-        for at in range(0, len(classes), 2048):
-            part = slice(at, at + 2048)
-            out[part] = _log_softmax(self.context(one[part], two[part]), self.parts[2], classes[part])
+        """Natural logarithm of the normalised probability of each token's class and, in groups, of the word. Sums over all classes, or all words of a group, are taken once for each distinct context."""
+        pair, which = np.unique(one.astype(np.int64) * len(self.parts[1]) + two, return_inverse=True)
+        context = self.context(pair // len(self.parts[1]), pair % len(self.parts[1]))
+        out = _scores(context, which, self.parts[2], classes) - _log_sums(context, self.parts[2])[which]
         for low, high, own in self._by_group(places):
-            for at in range(0, len(own), 2048):
-                some = own[at : at + 2048]
-                out[some] += _log_softmax(self.context(one[some], two[some]), self.parts[3][low:high], places[some] - low)
+            seen, at = np.unique(which[own], return_inverse=True)
+            near, vectors = context.take(seen, axis=0), self.parts[3][low:high]
+            out[own] += _scores(near, at, vectors, places[own] - low) - _log_sums(near, vectors)[at]
         return out
 
 
-def _log_softmax(context: np.ndarray, vectors: np.ndarray, token: np.ndarray) -> np.ndarray:
-    own = np.einsum("ij,ij->i", context, vectors[token]).astype(float)
-    scores = context @ vectors.T
-    top = 0.0
-    if float((context**2).sum(axis=1).max()) * float((vectors**2).sum(axis=1).max()) > 3600:  # a score may exceed 60
-        top = scores.max(axis=1, keepdims=True)
-        scores -= top
-        top = top[:, 0].astype(float)
-    return own - top - np.log((np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)).astype(float))
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _scores(context: np.ndarray, which: np.ndarray, vectors: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The score of each token in the context that it stands in."""
+    out = np.empty(len(token))
+    for at in range(0, len(token), 16384):
+        part = slice(at, at + 16384)
+        out[part] = _products(context.take(which[part], axis=0), vectors.take(token[part], axis=0))
+    return out
+
+
+def _log_sums(context: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each context the logarithm of the summed exponentials of its scores with all vectors."""
+    out, ones, longest = np.empty(len(context)), np.ones(len(vectors), np.float32), float(_products(vectors, vectors).max())
+    turned = np.ascontiguousarray(vectors.T)
+    for at in range(0, len(context), 2048):
+        part = context[at : at + 2048]
+        scores, top = part @ turned, 0.0
+        if float(_products(part, part).max()) * longest > 3600:  # a score may exceed 60
+            top = scores.max(axis=1, keepdims=True)
+            scores -= top
+            top = top[:, 0].astype(float)
+        out[at : at + 2048] = top + np.log((np.exp(scores, out=scores) @ ones).astype(float))
+    return out
 
 
 def contexts(rows: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
