@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.scans import carried, numbered
+from tessera.tables import keep
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, hint: str | None = None) -> DataFrame:
@@ -165,8 +166,8 @@ def sites_of_fragments(fragments: DataFrame) -> DataFrame:
     return behind.where("_more").select(F.col("Chromosome").alias("chrom"), (F.col("End") - 1).alias("site_start"), (F.col("End") + 1).alias("site_end"))
 
 
-def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
-    """Fragments between the cuts of a motif such as A^AGCTT (^: the cut; N: any base), also where motifs overlap. Empty fragments are left out.
+def _with_cuts(rows: DataFrame, text: str, motif: str) -> DataFrame:
+    """rows with _cuts: the places, without an order, at which a motif such as A^AGCTT cuts the text (^: the cut; N: any base), also where motifs overlap.
 
     The pattern only looks ahead, so the split is at every occurrence, and the cut is moved by the place of ^."""
     cut = motif.index("^")
@@ -181,14 +182,36 @@ def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
         k = F.floor(i / 256).cast("int")
         return total(F.slice("_bl", F.lit(1), k)) + total(F.slice("_l", k * 256 + 1, i % 256)) + cut
 
-    edges = F.filter(F.transform(F.sequence(F.lit(1), F.size("_l") - 1), edge), lambda x: x < F.char_length(text))
+    edges = F.transform(F.sequence(F.lit(1), F.size("_l") - 1), edge)
     first = F.when(F.col(text).rlike(f"^(?:{pattern})"), F.array(F.lit(cut))).otherwise(F.array().cast("array<int>"))
     inner = F.when(F.size("_l") > 1, edges).otherwise(F.array().cast("array<int>"))
-    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.char_length(text)), first, inner)))
-    out = rows.withColumn("_l", lengths).withColumn("_bl", blocks).withColumn("_b", bounds).select(*ids, F.posexplode(F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0)))).alias("fragment", "start"), "_b")
+    return rows.withColumn("_l", lengths).withColumn("_bl", blocks).withColumn("_cuts", F.concat(first, inner)).drop("_l", "_bl")
+
+
+def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
+    """Fragments between the cuts of a motif in texts that are a row each. Empty fragments are left out."""
+    inside = F.filter("_cuts", lambda x: x < F.char_length(text))
+    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.char_length(text)), inside)))
+    out = _with_cuts(rows, text, motif).withColumn("_b", bounds).select(*ids, F.posexplode(F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0)))).alias("fragment", "start"), "_b")
     return out.withColumn("end", F.get("_b", F.col("fragment") + 1)).drop("_b").where("start < end")
 
 
+def digest_chunks(chunks: DataFrame, ids: list[str], motif: str, size: int) -> DataFrame:
+    """The same fragments from texts in chunks, so that no task holds a text: ids, fragment, start, end.
+
+    chunks: ids, offset, sequence, as formats.read_fasta_chunks and formats.chunked give them: the size letters from offset on and at least as many of the next chunk as the motif has letters but one. A cut counts in the chunk in which its motif
+    begins. Texts without letters give none; a null sequence is left out. ids have no nulls."""
+    overlap = len(motif) - 2
+    kept = keep(chunks.where(F.col("sequence").isNotNull()).select(*ids, "offset", "sequence"), "chunks")
+    own = F.least(F.char_length("sequence"), F.lit(size))
+    ends = kept.groupBy(*ids).agg(F.max(F.col("offset") + own).alias("_n"))  # a row a text
+    marks = _with_cuts(kept.withColumn("sequence", F.substring("sequence", 1, size + overlap)), "sequence", motif)
+    marks = marks.select(*ids, F.explode(F.transform("_cuts", lambda x: F.col("offset") + x)).alias("end")).distinct()
+    bounds = marks.join(ends, ids).where("end < _n and end > 0").select(*ids, "end").unionByName(ends.select(*ids, F.explode(F.array(F.lit(0).cast("bigint"), F.col("_n"))).alias("end")).distinct())
+    out = carried(bounds, ids, ["end"], sums={"fragment": F.lit(1)}, before={"start": F.col("end")})
+    return out.where("start is not null").select(*ids, (F.col("fragment") - 2).alias("fragment"), "start", "end")
+
+
 def consecutive(rows: DataFrame, part: list[str], order: list[str], start: str, end: str) -> DataFrame:
     """Each start becomes the end before it; the first stays."""
     behind = carried(rows, part, order, before={"_e0": F.col(end)})

@@ -247,13 +247,22 @@ def transfer_candidates(spark, sf_dir):
     return segments.transfer_candidates([(factor("error"), 100.0), (factor("purchase"), 50.0)], 600).select("event_id", "factor")
 
 
-@query("""SELECT CAST(s AS BIGINT) AS "start", f AS fragment, CAST(e AS BIGINT) AS "end", doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS f, c AS s, lead(c) OVER (PARTITION BY doc_id ORDER BY c) AS e FROM (SELECT DISTINCT doc_id, c FROM (
-SELECT doc_id, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) + 4 * (i - 1) + 1 AS c, n FROM (SELECT doc_id, length(text) AS n, unnest(string_split(text, 'tion')) AS p, generate_subscripts(string_split(text, 'tion'), 1) AS i FROM documents) UNION ALL SELECT doc_id, 0, length(text) FROM documents UNION ALL SELECT doc_id, length(text), length(text) FROM documents) WHERE c <= n)) WHERE e IS NOT NULL""", plain=True)
+_FRAGMENTS = """SELECT CAST(s AS BIGINT) AS "start", f AS fragment, CAST(e AS BIGINT) AS "end", doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS f, c AS s, lead(c) OVER (PARTITION BY doc_id ORDER BY c) AS e FROM (SELECT DISTINCT doc_id, c FROM (
+SELECT doc_id, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) + 4 * (i - 1) + 1 AS c, n FROM (SELECT doc_id, length(text) AS n, unnest(string_split(text, 'tion')) AS p, generate_subscripts(string_split(text, 'tion'), 1) AS i FROM documents) UNION ALL SELECT doc_id, 0, length(text) FROM documents UNION ALL SELECT doc_id, length(text), length(text) FROM documents) WHERE c <= n)) WHERE e IS NOT NULL"""
+
+
+@query(_FRAGMENTS, plain=True)
 def digest_fragments(spark, sf_dir):
     cuts = intervals.digest(views.table(spark, sf_dir, "documents"), "text", ["doc_id"], "t^ion")
     return cuts.withColumns({c: F.col(c).cast("bigint") for c in ("fragment", "start", "end")})
 
 
+@query(_FRAGMENTS, plain=True)
+def digest_in_chunks(spark, sf_dir):
+    chunks = formats.chunked(views.table(spark, sf_dir, "documents"), "text", ["doc_id"], 256, 3)
+    return intervals.digest_chunks(chunks, ["doc_id"], "t^ion", 256)
+
+
 @query("""SELECT value FROM (SELECT CAST(p_partkey AS VARCHAR) AS value, p_partkey FROM part UNION ALL SELECT p_brand, p_partkey FROM part) WHERE try_cast(value AS BIGINT) IS NOT NULL""", plain=True)
 def header_strip(spark, sf_dir):
     p = views.table(spark, sf_dir, "part")

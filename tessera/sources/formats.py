@@ -67,6 +67,42 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("sequence"))
 
 
+def chunked(rows: DataFrame, text: str, ids: list[str], size: int, overlap: int) -> DataFrame:
+    """Texts in chunks of size letters: ids, offset, sequence with the next `overlap` letters. Null and empty texts give none."""
+    starts = F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(size)).cast("array<bigint>")
+    dealt = rows.where(F.char_length(text) > 0).select(*ids, F.explode(starts).alias("offset"), F.col(text).alias("_text"))
+    return dealt.select(*ids, "offset", F.expr(f"substring(_text, cast(offset as int) + 1, {size + overlap})").alias("sequence"))
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 20, overlap: int = 64) -> DataFrame:
+    """FASTA files in chunks of size bases, so that no row or task holds a contig: file, record (its number in the file), contig, offset, sequence with the next `overlap` bases.
+
+    Lines are what is read, of any split of a file; a scan over ranges of lines gives each its record and its place in it. A line that is as long as a contig is one value until it is cut. What stands before the first > of a file is left
+    out, and records without bases have no chunk."""
+    from tessera.operators.scans import carried
+
+    # in a block of a file lines have growing numbers
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_no"), "value")
+    head = F.col("value").startswith(">")
+    bases = F.when(~head, F.upper(F.regexp_replace("value", r"\s", "")))
+    read = lines.select("file", "_block", "_no", F.when(head, F.regexp_extract("value", r"^>(\S+)", 1)).alias("_name"), bases.alias("_bases"))
+    ranges = [F.col("_block"), F.floor(F.col("_no") / 65536)]
+    length = F.coalesce(F.char_length("_bases"), F.lit(0)).cast("bigint")
+    placed = carried(read, ["file"], ["_block", "_no"], sums={"record": F.when(F.col("_name").isNotNull(), 1).otherwise(0), "_to": length}, latest={"contig": F.col("_name")}, ranges=ranges)
+    # where a record begins among all bases of the file
+    begins = placed.where(F.col("_name").isNotNull()).select("file", "record", F.col("_to").alias("_from"))
+    own = placed.where("record > 0 and _bases <> ''").join(begins, ["file", "record"])
+    at, n = F.col("_to") - F.col("_from") - F.char_length("_bases"), F.char_length("_bases")
+    first, last = F.floor(F.greatest(at - overlap, F.lit(0)) / size), F.floor((at + n - 1) / size)
+    dealt = own.select("file", "record", "contig", at.alias("_at"), "_bases", F.explode(F.sequence(first, last)).alias("_chunk"))
+    low, high = F.greatest(F.col("_chunk") * size - F.col("_at"), F.lit(0)), (F.col("_chunk") + 1) * size + overlap - F.col("_at")
+    parts = dealt.select("file", "record", "contig", "_chunk", F.greatest("_at", F.col("_chunk") * size).alias("_at"), F.substring("_bases", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("_part")).where("_part <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]), "")
+    chunks = parts.groupBy("file", "record", "contig", "_chunk").agg(joined.alias("sequence"))
+    # a chunk that has only letters of the one before it isn't there: each begins with letters of its own
+    return chunks.select("file", "record", "contig", (F.col("_chunk") * size).alias("offset"), "sequence")
+
+
 def write_table(rows: DataFrame, path: str, header: bool = False, mode: str = "overwrite") -> None:
     rows.write.mode(mode).options(sep="\t", header=header).csv(path)
 

@@ -9,6 +9,7 @@ from tessera.functions import kernels
 from tessera.operators import intervals, islands, matrix, segments, signal
 from tessera.plans import pipelines
 from tessera.sources import formats
+from tessera.tables import keep
 
 
 @pytest.mark.parametrize("bucket", [1, 7, 50, 1000])
@@ -83,6 +84,29 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(x) for x in formats.read_fasta(spark, str(tmp_path / "f")).collect()) == [("c1", "ACGTT"), ("c2", "GG")]
 
 
+def test_contigs_in_chunks_give_the_same_fragments(spark, tmp_path):
+    rng = random.Random(4)
+    contigs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate([0, 1, 6, 7, 8, 300, 2000])} | {"m": "GATCGATC" * 20, "end": "ACGATC"}
+    for f, width in (("one", 5), ("two", 61)):
+        text = "".join(f">{c} x y\n" + "".join(x[i : i + width].lower() + "\n" for i in range(0, len(x), width)) for c, x in contigs.items())
+        (tmp_path / f"{f}.fa").write_text("bases of no record\n" + text + (">c6\nGATC\n>none\n" if f == "two" else ">one\n" + "GATCA" * 40))
+    want = {"one": [*contigs.items(), ("one", "GATCA" * 40)], "two": [*contigs.items(), ("c6", "GATC"), ("none", "")]}
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, overlap, split in ((7, 3, 97), (64, 5, 1000), (1 << 20, 3, 1 << 27)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            chunks = keep(formats.read_fasta_chunks(spark, str(tmp_path / "*.fa"), size, overlap), "chunks")
+            rows = chunks.collect()
+            assert max(len(r.sequence) for r in rows) <= size + overlap
+            pieces = {(r.file[-6:-3], r.record, r.contig, r.offset): r.sequence for r in rows}
+            assert pieces == {(f, i, c, at): x[at : at + size + overlap] for f, of in want.items() for i, (c, x) in enumerate(of, 1) for at in range(0, len(x), size)}
+            got = sorted((r.file[-6:-3], r.record, r.fragment, r.start, r.end) for r in intervals.digest_chunks(chunks, ["file", "record", "contig"], "^GATC" if size == 7 else "GA^NC", size).collect())
+            whole = spark.createDataFrame([(f, i, x) for f, of in want.items() for i, (c, x) in enumerate(of, 1)], "file string, record long, x string")
+            assert got == sorted((r.file, r.record, r.fragment, r.start, r.end) for r in intervals.digest(whole, "x", ["file", "record"], "^GATC" if size == 7 else "GA^NC").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
 def test_map_round_trip(spark, tmp_path):
     bins = spark.createDataFrame([("c", i, 10 * i, 10 * i + 10, 0.5 * (i + 1)) for i in range(3)], "chrom string, bin_id long, start long, end long, weight double")
     pixels = spark.createDataFrame([("c", 0, 2, 4), ("c", 1, 1, 2)], "chrom string, bin1_id long, bin2_id long, cnt long")
