@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -500,12 +500,11 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
                 c = base[at]  # 0 for words that aren't in the head
                 p += np.where((classes >= v.first_bucket) & (classes < v.first_group), c - inner[classes], 0.0)
                 starts = np.cumsum(lengths) - lengths
-                tails: list[Counter] = [Counter() for _ in range(len(lengths))]
                 tail = np.flatnonzero(~known)
-                for i, d in zip(tail.tolist(), np.repeat(np.arange(len(lengths)), lengths)[tail].tolist(), strict=True):
-                    tails[d][words[codes[i]]] += 1
-                many = pa.array(np.concatenate([[0], np.cumsum(list(map(len, tails)))]), pa.int32())
-                own = [pa.ListArray.from_arrays(many, pa.array(list(chain.from_iterable(x)), kind)) for x, kind in ((tails, pa.binary()), ((t.values() for t in tails), pa.int64()))]
+                text_of = np.repeat(np.arange(len(lengths)), lengths)[tail]
+                each, times = np.unique(text_of * len(words) + codes[tail], return_counts=True)  # each text's words that aren't in the head
+                many = pa.array(np.searchsorted(each, np.arange(len(lengths) + 1) * len(words)), pa.int32())
+                own = [pa.ListArray.from_arrays(many, x) for x in (pa.array(words, pa.binary()).take(pa.array(each % len(words))), pa.array(times, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(c, starts)), pa.array(np.add.reduceat(p, starts)), *own],
                     ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "word", "k"],
