@@ -145,13 +145,27 @@ def region_of(bits: Column) -> Column:
 
 
 def annotate(rows: DataFrame, regions: DataFrame, keys: list[str], id_columns: list[str], start: str, end: str, bucket: int) -> DataFrame:
-    """rows with region (by priority over all that overlap) and genes of that region, sorted and joined by commas."""
-    bit = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])
-    hits = overlap_join(rows, regions.withColumnsRenamed({"start": "_rs", "end": "_re"}), keys, start, end, "_rs", "_re", bucket)
-    hits = hits.select(*id_columns, F.element_at(bit, F.col("region")).alias("bit"), "gene").distinct()
-    by_kind = hits.groupBy(*id_columns, "bit").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"))
-    top = by_kind.groupBy(*id_columns).agg(F.max_by("genes", "bit").alias("genes"), F.max("bit").alias("bit"))
-    return rows.join(top, id_columns, "left").withColumn("region", region_of(F.coalesce("bit", F.lit(0)))).withColumn("genes", F.coalesce("genes", F.lit(""))).drop("bit")
+    """rows with region (by priority over all that overlap) and genes of that region, sorted and joined by commas.
+
+    Kinds are met from the highest on, each with the rows that no higher one overlaps, so only pairs that are reported are made: where promoters lie close, the wide regions behind them meet few rows. Buckets are twice as wide as
+    a kind's regions, or the rows, are on average, and `bucket` at most."""
+    regions = keep(regions.where(F.col("region").isin(*PRIORITY)).withColumnsRenamed({"start": "_rs", "end": "_re"}), "regions")
+    left = keep(rows, "rows")
+    length = lambda a, b: F.avg(F.col(b) - F.col(a)).alias("n")
+    own = left.where(F.col(start) < F.col(end)).agg(length(start, end)).first().n or 0
+    sizes = {r.region: max(r.n, own) for r in regions.where("_rs < _re").groupBy("region").agg(length("_rs", "_re")).collect()}  # a row a kind
+    found = []
+    for kind in sorted(sizes, key=PRIORITY.get, reverse=True):
+        places = left.select(*dict.fromkeys([*keys, *id_columns, start, end]))
+        hits = overlap_join(places, regions.where(F.col("region") == kind).drop("region"), keys, start, end, "_rs", "_re", min(bucket, max(int(2 * sizes[kind]), 1)))
+        genes = hits.groupBy(*id_columns).agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"))
+        level = keep(left.join(genes, id_columns, "left"), "level")
+        found.append(level.where("genes is not null").withColumn("region", F.lit(kind)))
+        left = level.where("genes is null").drop("genes")
+    out = left.withColumns({"genes": F.lit(""), "region": F.lit("Desert")})
+    for level in found:
+        out = out.unionByName(level)
+    return out
 
 
 def interval_type(left_valley: Column, right_valley: Column, cut: Column, region: Column, length: Column) -> Column:
