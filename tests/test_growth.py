@@ -35,3 +35,15 @@ def test_loops_meet_what_they_report(spark, monkeypatch):
     assert made == sum(len(genes.split(",")) for _, genes in places)
 
 
+def test_annotation_meets_what_it_reports(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.lit("c").alias("chrom"), (300_000 + F.col("id") * 1000).alias("s"), (300_300 + F.col("id") * 1000).alias("e"))
+    far = spark.createDataFrame([(-1, "c", 700_000, 700_300), (-2, "c", 5_000_000, 5_000_300), (-3, "d", 300_000, 300_300), (-4, "c", 300_000, 300_000)], rows.schema)
+    genes = close_genes(spark, 300)
+    got, made = pairs_made(monkeypatch, lambda: intervals.annotate(rows.unionByName(far), intervals.gene_regions(genes), ["chrom"], ["id"], "s", "e", 50_000))
+    by_id = {r.id: r for r in got}
+    assert len(got) == len(by_id) == 304
+    assert all(by_id[i].region == "Promoter" and f"g{i}" in by_id[i].genes.split(",") for i in range(300))
+    assert by_id[-1].region == "Distal" and [(by_id[i].region, by_id[i].genes) for i in (-2, -3, -4)] == [("Desert", "")] * 3
+    assert made == sum(len(r.genes.split(",")) for r in got if r.genes)
+
+
