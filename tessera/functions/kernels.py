@@ -366,6 +366,39 @@ def area_cut(rows: DataFrame, value: str) -> float | None:
     return float(2 ** grid[min(int((d >= 0.75 * d.max()).argmax()), len(grid) - 2)])
 
 
+def largest_over(start: np.ndarray, end: np.ndarray, begin: np.ndarray, stop: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For intervals [start, end) the largest value of those [begin, stop) that overlap them, and whether there is one. In n log n: tables of the largest of 1, 2, 4, ... neighbours serve the ranges.
+
+    What overlaps begins inside, or reaches over the start: the first are a range of the sorted begins, and each of the second holds a range of the sorted starts."""
+    out, hit = np.full(len(start), -np.inf), np.zeros(len(start), bool)
+    if not len(start) or not len(begin):
+        return out, hit
+    level = lambda n: np.maximum(np.frexp(np.maximum(n, 1))[1] - 1, 0)  # noqa: E731  the largest k with 2^k <= n
+    order = np.argsort(begin, kind="stable")
+    begins = begin[order]
+    i, j = np.searchsorted(begins, start), np.searchsorted(begins, end)
+    inside, row = level(j - i), value[order].astype(float)
+    for k in range(int(inside.max()) + 1):
+        at = np.flatnonzero((inside == k) & (i < j))
+        out[at] = np.maximum(row[i[at]], row[j[at] - (1 << k)])
+        row = np.maximum(row[: -(1 << k)], row[1 << k :])
+    hit |= i < j
+    starts, back = np.unique(start, return_inverse=True)
+    i, j = np.searchsorted(starts, begin, side="right"), np.searchsorted(starts, stop)
+    some = i < j
+    i, j, v = i[some], j[some], value[some].astype(float)
+    over, deep = level(j - i), np.full(len(starts), -np.inf)
+    for k in range(int(over.max()) if len(over) else -1, -1, -1):
+        at = over == k
+        np.maximum.at(deep, i[at], v[at])
+        np.maximum.at(deep, j[at] - (1 << k), v[at])
+        if k:  # what holds for 2^k neighbours holds for both halves
+            half = 1 << (k - 1)
+            deep[half:] = np.maximum(deep[half:], deep[:-half].copy())
+    covered = np.cumsum(np.bincount(i, minlength=len(starts) + 1) - np.bincount(j, minlength=len(starts) + 1))[:-1] > 0
+    return np.maximum(out, deep[back]), hit | covered[back]
+
+
 def signal_cut(rows: DataFrame, value: str, least_density: float, least: int = 10) -> float:
     """The place on the density's grid, as a number from 0 to 199, behind the peak where it falls to least_density, `least` at least; infinite without rows, and the last place where it doesn't fall so far.
 

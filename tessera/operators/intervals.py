@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions.kernels import largest_over
 from tessera.operators.scans import carried, numbered
 from tessera.tables import keep
 
@@ -30,9 +33,28 @@ def overlap_count(a: DataFrame, b: DataFrame, keys: list[str], id_columns: list[
     return a.join(counts, id_columns, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def overlap_max(a: DataFrame, b: DataFrame, keys: list[str], sa: str, ea: str, sb: str, eb: str, value: str, bucket: int) -> DataFrame:
+    """keys, sa, ea of the distinct intervals of a that overlap rows of b, with the largest `value` of those, a double that isn't null.
+
+    Pairs aren't made: in a bucket, whose distinct intervals a task holds, starts are sorted and largest values of ranges of them are looked up (kernels.largest_over)."""
+    place = lambda x: F.floor(x / bucket)
+    deal = lambda x, s, e: x.where(F.col(s) < F.col(e)).withColumn("_k", F.explode(F.sequence(place(F.col(s)), place(F.col(e) - 1))))
+    left = deal(a.select(*keys, F.col(sa).alias("_sa"), F.col(ea).alias("_ea")), "_sa", "_ea").distinct()
+    right = b.select(*keys, F.col(sb).alias("_sb"), F.col(eb).alias("_eb"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    right = deal(right, "_sb", "_eb").groupBy(*keys, "_k", "_sb", "_eb").agg(F.max("_v").alias("_v"))
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        v, hit = largest_over(*[one[c].to_numpy() for c in ("_sa", "_ea")], *[two[c].to_numpy() for c in ("_sb", "_eb", "_v")])
+        return one[hit].assign(_v=v[hit])
+
+    found = left.groupBy(*keys, "_k").cogroup(right.groupBy(*keys, "_k")).applyInPandas(run, T.StructType([*left.schema.fields, T.StructField("_v", T.DoubleType())]))
+    return found.groupBy(*keys, F.col("_sa").alias(sa), F.col("_ea").alias(ea)).agg(F.max("_v").alias(value))
+
+
 def overlap_exists(a: DataFrame, b: DataFrame, keys: list[str], id_columns: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, keep: bool = True) -> DataFrame:
     """Rows of a that overlap some row of b (keep), or none."""
-    hits = overlap_join(a.select(*{*keys, *id_columns, sa, ea}), b.select(*keys, sb, eb), keys, sa, ea, sb, eb, bucket).select(*id_columns).distinct()
+    hit = overlap_max(a, b.withColumn("_any", F.lit(1.0)), keys, sa, ea, sb, eb, "_any", bucket)
+    hits = a.select(*{*keys, *id_columns, sa, ea}).join(hit, [*keys, sa, ea]).select(*id_columns).distinct()
     return a.join(hits, id_columns, "left_semi" if keep else "left_anti")
 
 

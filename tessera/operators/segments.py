@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import overlap_exists, overlap_join
+from tessera.operators.intervals import overlap_exists, overlap_join, overlap_max
 from tessera.operators.islands import regions_of_ids, with_runs
 from tessera.operators.scans import carried, numbered
 from tessera.tables import keep
@@ -73,7 +73,8 @@ def transfer_candidates(signals: list[tuple[DataFrame, float]], bucket: int) ->
 def max_signal(sites: DataFrame, track: DataFrame, ids: list[str], around: int, bucket: int) -> DataFrame:
     """sites with the largest value of the track (chrom, t_start, t_end, value) within `around` of them; null where there is none."""
     wide = sites.select(*ids, "chrom", (F.col("start") - around).alias("_s"), (F.col("end") + around).alias("_e"))
-    best = overlap_join(wide, track, ["chrom"], "_s", "_e", "t_start", "t_end", bucket).groupBy(*ids).agg(F.max("value").alias("signal"))
+    most = overlap_max(wide, track, ["chrom"], "_s", "_e", "t_start", "t_end", "value", bucket)
+    best = wide.join(most, ["chrom", "_s", "_e"]).groupBy(*ids).agg(F.max("value").cast(track.schema["value"].dataType).alias("signal"))
     return sites.join(best, ids, "left")
 
 

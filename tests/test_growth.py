@@ -1,8 +1,10 @@
 """What the work of a step grows with."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals
+from tessera.functions import kernels
+from tessera.operators import intervals, segments
 from tessera.plans import pipelines
 
 
@@ -17,6 +19,7 @@ def pairs_made(monkeypatch, make):
 
     with monkeypatch.context() as m:
         m.setattr(intervals, "overlap_join", counted)
+        m.setattr(segments, "overlap_join", counted)
         return make().collect(), sum(made)
 
 
@@ -47,3 +50,26 @@ def test_annotation_meets_what_it_reports(spark, monkeypatch):
     assert made == sum(len(r.genes.split(",")) for r in got if r.genes)
 
 
+def test_signals_of_boundaries_make_no_pairs(spark, monkeypatch):
+    sites = spark.range(400).select("id", F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 500).alias("end"))
+    track = spark.range(400).select(F.lit("c").alias("chrom"), (F.col("id") + 200).alias("t_start"), (F.col("id") + 600).alias("t_end"), (F.col("id") * 7 % 400).cast("double").alias("value"))
+    rows, made = pairs_made(monkeypatch, lambda: segments.max_signal(sites, track, ["id"], 10, 300))
+    want = {i: max(float(k * 7 % 400) for k in range(400) if k + 200 < i + 510 and k + 600 > i - 10) for i in range(400)}
+    assert {r.id: r.signal for r in rows} == want
+    assert made < 4000
+    there, made = pairs_made(monkeypatch, lambda: intervals.overlap_exists(sites, track, ["chrom"], ["id"], "start", "end", "t_start", "t_end", 300))
+    assert len(there) == 400 and made < 4000
+
+
+def test_largest_over_by_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(500):
+        n, m, w = (int(x) for x in r.integers([0, 0, 2], [12, 12, 40]))
+        s, b, v = r.integers(0, w, n), r.integers(0, w, m), r.normal(size=m)
+        e, q = s + r.integers(1, 15, n), b + r.integers(1, 25, m)
+        most, hit = kernels.largest_over(s, e, b, q, v)
+        for i in range(n):
+            over = v[(b < e[i]) & (q > s[i])]
+            assert hit[i] == (len(over) > 0) and (not len(over) or most[i] == over.max())
+
+
