@@ -2,15 +2,61 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.scans import RANGE, carried, numbered
-
-
-def fence(x: Column) -> Column:
-    """q75 + 1.5 * (q75 - q25), an aggregate."""
-    return F.percentile(x, F.lit(0.75)) + 1.5 * (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)))
+from tessera.tables import keep
+
+
+#: The sketch's error of a rank, as a share of the rows, is one by this.
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, part: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """A row a part with exact quantiles, name -> (expression, share from 0 to 1), interpolated as percentile() does; null without values.
+
+    percentile() hands the counts of all distinct values of a part to one task. Here a sketch first brackets each quantile by two values, five errors off on either side; rows below the bracket are counted, and only values inside it, a few
+    thousandths of the rows or equal ones, are brought together, with their counts. A bracket that missed its quantile would be an error, not a result."""
+    at = {n: F.when(~F.isnan(x.cast("double")), x.cast("double")).otherwise(F.when(x.isNotNull(), F.lit(float("inf")))) for n, (x, _) in wanted.items()}  # NaN is largest
+    edge = lambda q: min(max(q, 0.0), 1.0)
+    held = rows.select(*part, *[F.struct(at[n].alias("a"), x.cast("double").alias("x")).alias(f"_{i}") for i, (n, (x, _)) in enumerate(wanted.items())])
+    numbers = [f"_{i}" for i in range(len(wanted))]
+    sketch = held.groupBy(*part).agg(*[F.percentile_approx(f"{c}.a", [edge(q - 5 / ACCURACY), edge(q + 5 / ACCURACY)], ACCURACY).alias(f"{c}b") for c, (_, q) in zip(numbers, wanted.values(), strict=True)], *[F.count(f"{c}.a").alias(f"{c}n") for c in numbers])
+    sketch = keep(sketch, "brackets")
+    same = [F.col(f"_p{i}").eqNullSafe(F.col(c)) for i, c in enumerate(part)]
+    known = F.broadcast(sketch.withColumnsRenamed({c: f"_p{i}" for i, c in enumerate(part)}))
+    met = held.join(known, on=functools.reduce(lambda x, y: x & y, same), how="inner") if part else held.crossJoin(known)
+    low, inside = (lambda c: F.col(f"{c}.a") < F.col(f"{c}b")[0]), (lambda c: (F.col(f"{c}.a") >= F.col(f"{c}b")[0]) & (F.col(f"{c}.a") <= F.col(f"{c}b")[1]))
+    below = met.groupBy(*part).agg(*[F.count(F.when(low(c), 1)).alias(c) for c in numbers])
+    below = below.select(*part, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-1).alias("s"), F.lit(None).cast("double").alias("x"), F.col(c).alias("c")) for i, c in enumerate(numbers)])).alias("e")).select(*part, "e.*")
+    some = met.where(functools.reduce(lambda x, y: x | y, [inside(c) for c in numbers]))  # few rows, so what follows is cheap
+    marked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(0).alias("s"), F.col(f"{c}.x").alias("x"), inside(c).alias("in")) for i, c in enumerate(numbers)]))
+    counts = some.select(*part, marked.alias("e")).where("e.in").select(*part, "e.i", "e.s", "e.x").groupBy(*part, "i", "s", "x").agg(F.count("*").alias("c")).unionByName(below)
+    upto = F.sum("c").over(Window.partitionBy(*part, "i").orderBy("s", "x").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sketch.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], *[f"{c}n" for c in numbers])
+    placed = counts.withColumn("u", upto)
+    placed = placed.join(F.broadcast(sizes), on=functools.reduce(lambda x, y: x & y, same), how="inner") if part else placed.crossJoin(F.broadcast(sizes))
+    ranks = {c: (F.col(f"{c}n") - 1) * F.lit(q) for c, (_, q) in zip(numbers, wanted.values(), strict=True)}
+    at_rank = lambda i, k: F.max(F.when((F.col("i") == i) & (F.col("s") == 0) & (F.col("u") > k) & (F.col("u") - F.col("c") <= k), F.col("x")))
+    picks = placed.groupBy(*part).agg(*[at_rank(i, f(r)).alias(f"{c}{k}") for i, (c, r) in enumerate(ranks.items()) for k, f in (("l", F.floor), ("h", F.ceil))])
+    picks = picks.withColumnsRenamed({c: f"_p{i}" for i, c in enumerate(part)})
+    joined = sketch.join(picks, on=functools.reduce(lambda x, y: x & y, same), how="left") if part else sketch.crossJoin(picks)
+    out = []
+    for name, (c, r) in zip(wanted, ranks.items(), strict=True):
+        low, high = F.col(f"{c}l"), F.col(f"{c}h")
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        line = F.when((F.floor(r) == F.ceil(r)) | (low == high), low).otherwise((F.ceil(r) - r) * low + (r - F.floor(r)) * high)
+        out.append(F.when(F.col(f"{c}n") > 0, F.when(low.isNull() | high.isNull(), missed).otherwise(line)).alias(name))
+    return joined.select(*part, *out)
+
+
+def fences(rows: DataFrame, part: list[str], wanted: dict[str, Column]) -> DataFrame:
+    """A row a part with q75 + 1.5 * (q75 - q25) of each expression."""
+    found = quantiles(rows, part, {f"{n}_{k}": (x, q) for n, x in wanted.items() for k, q in (("low", 0.25), ("high", 0.75))})
+    return found.select(*part, *[(F.col(f"{n}_high") + 1.5 * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(n) for n in wanted])
 
 
 def with_median(rows: DataFrame, part: list[str], value: str) -> DataFrame:
@@ -86,12 +132,13 @@ def interpolate(rows: DataFrame, part: list[str], index: str, value: str) -> Dat
 
 def positioning(rows: DataFrame, width: str, height: str, area: str, peak: str, valley: str) -> DataFrame:
     """rows with position_score: heights, areas and p-values, each over its fence, by three widths over theirs; valleys above their fence are first set to the mean valley."""
-    first = rows.agg(fence(F.col(valley)).alias("_fv0"), F.avg(valley).alias("_mv"))
+    rows = keep(rows, "rows")  # read by each of the steps
+    first = fences(rows, [], {"_fv0": F.col(valley)}).crossJoin(rows.agg(F.avg(valley).alias("_mv")))
     cut = rows.join(F.broadcast(first)).withColumn("_v", F.when(F.col(valley) > F.col("_fv0"), F.col("_mv")).otherwise(F.col(valley)))
-    fences = cut.agg(fence(F.col(width)).alias("_fw"), fence(F.col(height)).alias("_fh"), fence(F.col(area)).alias("_fa"), fence(F.col(peak)).alias("_fp"), fence(F.col("_v")).alias("_fv"))
+    found = fences(cut, [], {"_fw": F.col(width), "_fh": F.col(height), "_fa": F.col(area), "_fp": F.col(peak), "_fv": F.col("_v")})
     s = (F.col(height) / F.col("_fh") + F.log2(F.col(peak) / F.col("_fp") * F.col("_v") / F.col("_fv") + 1) + F.col(area) / F.col("_fa")) / (3 * F.col(width) / F.col("_fw"))
-    scored = cut.join(F.broadcast(fences)).withColumn("_s", s)  # one row each
-    last = scored.agg(fence(F.col("_s")).alias("_fs"))
+    scored = cut.join(F.broadcast(found)).withColumn("_s", s)  # one row each
+    last = fences(scored, [], {"_fs": F.col("_s")})
     return scored.join(F.broadcast(last)).withColumn("position_score", 20 * F.col("_s") / F.col("_fs")).select(*rows.columns, "position_score")
 
 

@@ -20,7 +20,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)), 6) AS fence FROM lineitem GROUP BY ALL", plain=True)
 def iqr_fence(spark, sf_dir):
-    return views.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(stats.fence(F.col("l_extendedprice")), 6).alias("fence"))
+    found = stats.fences(views.table(spark, sf_dir, "lineitem"), ["l_returnflag"], {"fence": F.col("l_extendedprice")})
+    return found.withColumn("fence", F.round("fence", 6))
 
 
 _PER_PART = "SELECT l_partkey, count(*) AS w, avg(l_quantity) AS h, sum(l_extendedprice) / 1000 AS a, 100 * avg(l_discount) + 1 AS pp, 100 * avg(l_tax) + 1 AS pv FROM lineitem GROUP BY l_partkey"

@@ -1,9 +1,11 @@
 """What the work of a step grows with."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions import kernels
+from tessera.functions import kernels, stats
 from tessera.operators import intervals, segments
 from tessera.plans import pipelines
 
@@ -73,3 +75,21 @@ def test_largest_over_by_brute_force():
             assert hit[i] == (len(over) > 0) and (not len(over) or most[i] == over.max())
 
 
+def test_quantiles_are_exact_and_bring_few_values_together(spark):
+    k = F.col("id")
+    x = F.when(k % 101 == 0, None).when(k % 503 == 0, float("nan")).when(k % 3 == 0, 0.5).otherwise(F.pow(k * 7919 % 30011, 2) / 7)
+    rows = spark.range(60_000).select(F.when(k % 5 > 0, k % 5).alias("p"), x.alias("x"), F.when(k % 5 != 1, -k).alias("y"))
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+    wanted = {f"{c}{i}": (F.col(c), q) for c in "xy" for i, q in enumerate(shares)}
+    for part in ([], ["p"]):
+        got = {tuple(r[c] for c in part): r for r in stats.quantiles(rows, part, wanted).collect()}
+        want = rows.groupBy(*part).agg(*[F.percentile(v, F.lit(q)).alias(n) for n, (v, q) in wanted.items()]).collect()
+        assert len(got) == len(want)
+        for r in want:
+            for n in wanted:
+                a, b = got[tuple(r[c] for c in part)][n], r[n]
+                assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-12, equal_nan=True)), (part, r, n, a, b)
+    plan = stats.fences(rows, ["p"], {"f": F.col("x")})._jdf.queryExecution().toString()
+    assert not re.search(r"\bpercentile\(", plan)
+
+
