@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -203,33 +205,27 @@ def sites_of_fragments(fragments: DataFrame) -> DataFrame:
 
 
 def _with_cuts(rows: DataFrame, text: str, motif: str) -> DataFrame:
-    """rows with _cuts: the places, without an order, at which a motif such as A^AGCTT cuts the text (^: the cut; N: any base), also where motifs overlap.
+    """rows with _cuts: the places at which a motif such as A^AGCTT cuts the text (^: the cut; N: any base), also where motifs overlap.
 
-    The pattern only looks ahead, so the split is at every occurrence, and the cut is moved by the place of ^."""
+    A pattern that only looks ahead is found at every place, in time that grows with the text."""
     cut = motif.index("^")
-    pattern = motif.replace("^", "").replace("N", "[ACGT]")
-    pieces = F.split(F.col(text), f"(?={pattern})", -1)
-    lengths = F.transform(pieces, lambda x: F.char_length(x))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    blocks = F.transform(F.sequence(F.lit(0), (F.size("_l") / 256).cast("int")), lambda b: total(F.slice("_l", b * 256 + 1, F.lit(256))))
+    pattern = re.compile(f"(?={motif.replace('^', '').replace('N', '[ACGT]')})")
 
-    def edge(i: Column) -> Column:
-        # the lengths of the first i pieces: whole blocks of them, and what is left
-        k = F.floor(i / 256).cast("int")
-        return total(F.slice("_bl", F.lit(1), k)) + total(F.slice("_l", k * 256 + 1, i % 256)) + cut
+    @F.pandas_udf("array<int>")
+    def cuts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [m.start() + cut for m in pattern.finditer(x)])
 
-    edges = F.transform(F.sequence(F.lit(1), F.size("_l") - 1), edge)
-    first = F.when(F.col(text).rlike(f"^(?:{pattern})"), F.array(F.lit(cut))).otherwise(F.array().cast("array<int>"))
-    inner = F.when(F.size("_l") > 1, edges).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("_l", lengths).withColumn("_bl", blocks).withColumn("_cuts", F.concat(first, inner)).drop("_l", "_bl")
+    return rows.withColumn("_cuts", cuts(F.col(text)))
 
 
 def digest(rows: DataFrame, text: str, ids: list[str], motif: str) -> DataFrame:
     """Fragments between the cuts of a motif in texts that are a row each. Empty fragments are left out."""
-    inside = F.filter("_cuts", lambda x: x < F.char_length(text))
-    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.char_length(text)), inside)))
-    out = _with_cuts(rows, text, motif).withColumn("_b", bounds).select(*ids, F.posexplode(F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0)))).alias("fragment", "start"), "_b")
-    return out.withColumn("end", F.get("_b", F.col("fragment") + 1)).drop("_b").where("start < end")
+    cut = _with_cuts(rows.withColumn("_n", F.char_length(text)), text, motif).select(*ids, "_n", "_cuts")
+    inside = F.filter("_cuts", lambda x: x < F.col("_n"))
+    bounds = cut.select(*ids, F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.col("_n")), inside))).alias("_b"))
+    n = F.greatest(F.size("_b") - 1, F.lit(0))
+    pieces = F.arrays_zip(F.slice("_b", F.lit(1), n).alias("start"), F.slice("_b", F.lit(2), n).alias("end"))  # a fragment's row holds its own two ends only
+    return bounds.select(*ids, F.posexplode(pieces).alias("fragment", "_p")).select(*ids, "fragment", F.col("_p")["start"].alias("start"), F.col("_p")["end"].alias("end")).where("start < end")
 
 
 def digest_chunks(chunks: DataFrame, ids: list[str], motif: str, size: int) -> DataFrame:

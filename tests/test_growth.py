@@ -1,6 +1,7 @@
 """What the work of a step grows with."""
 
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -93,3 +94,10 @@ def test_quantiles_are_exact_and_bring_few_values_together(spark):
     assert not re.search(r"\bpercentile\(", plan)
 
 
+def test_digestion_grows_with_the_cuts(spark):
+    """A fragment's row used to hold all cuts of its text: 60,000 x 60,000 numbers here."""
+    rows = spark.range(1).select("id", F.expr("repeat('tion', 60000)").alias("t")).unionByName(spark.createDataFrame([(1, None), (2, ""), (3, "é tion 𝄞tion")], "id bigint, t string"))
+    began = time.time()
+    got = intervals.digest(rows, "t", ["id"], "t^ion").groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("sum")).collect()
+    assert time.time() - began < 30
+    assert {r.id: (r.n, r.end, r.sum) for r in got} == {0: (60_001, 240_000, 240_000), 3: (3, 12, 12)}
