@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,19 +15,27 @@ from tessera.operators.scans import carried, numbered
 from tessera.tables import keep
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, hint: str | None = None) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, hint: str | None = None, reach: int | None = None) -> DataFrame:
     """All pairs of rows with equal keys whose intervals [sa, ea) and [sb, eb) overlap, with olp, the overlap's length.
 
     Both sides are dealt to the buckets of width `bucket` that they touch and meet there by an equi-join; a pair that shares several buckets is
-    taken in the one where the overlap begins. So neither side is compared with a whole chromosome, and a chromosome is not a task."""
-    place = lambda x: F.floor(x / bucket)
-    left = a.where(F.col(sa) < F.col(ea)).withColumn("_k", F.explode(F.sequence(place(F.col(sa)), place(F.col(ea) - 1))))
-    right = b.where(F.col(sb) < F.col(eb)).withColumn("_k", F.explode(F.sequence(place(F.col(sb)), place(F.col(eb) - 1))))
+    taken in the one where the overlap begins. So neither side is compared with a whole chromosome, and a chromosome is not a task.
+    With reach, which no row of a is longer than, a row of a is in the bucket where it begins only, so that all its pairs are made in one task; they have that bucket as _k."""
+    left, right = dealt(a, sa, ea, bucket, reach is not None), dealt(b, sb, eb, bucket, reach=reach or 0)
     if hint:
         right = right.hint(hint)
     begin = F.greatest(sa, sb)
-    met = left.join(right, [*keys, "_k"]).where((F.col(sa) < F.col(eb)) & (F.col(ea) > F.col(sb)) & (F.col("_k") == place(begin)))
-    return met.withColumn("olp", F.least(ea, eb) - begin).drop("_k")
+    met = left.join(right, [*keys, "_k"]).where((F.col(sa) < F.col(eb)) & (F.col(ea) > F.col(sb)))
+    if reach is None:
+        met = met.where(F.col("_k") == F.floor(begin / bucket)).drop("_k")
+    return met.withColumn("olp", F.least(ea, eb) - begin)
+
+
+def dealt(x: DataFrame, s: str, e: str, bucket: int, whole: bool = False, reach: int = 0) -> DataFrame:
+    """The rows of x that aren't empty in each bucket _k that they touch, or whole in the one where they begin; with reach also in those from which a row so long may touch them."""
+    place = lambda at: F.floor(at / bucket)
+    x = x.where(F.col(s) < F.col(e))
+    return x.withColumn("_k", place(F.col(s)) if whole else F.explode(F.sequence(place(F.col(s) - reach), place(F.col(e) - 1))))
 
 
 def overlap_count(a: DataFrame, b: DataFrame, keys: list[str], id_columns: list[str], sa: str, ea: str, sb: str, eb: str, bucket: int, name: str = "n") -> DataFrame:
@@ -171,25 +180,35 @@ def region_of(bits: Column) -> Column:
 def annotate(rows: DataFrame, regions: DataFrame, keys: list[str], id_columns: list[str], start: str, end: str, bucket: int) -> DataFrame:
     """rows with region (by priority over all that overlap) and genes of that region, sorted and joined by commas.
 
-    Kinds are met from the highest on, each with the rows that no higher one overlaps, so only pairs that are reported are made: where promoters lie close, the wide regions behind them meet few rows. Buckets are twice as wide as
-    a kind's regions, or the rows, are on average, and `bucket` at most."""
+    Kinds are met from the highest on, each with the rows that no higher one overlaps, so only pairs that are reported are made: where promoters lie close, the wide regions behind them meet few rows. Of the pairs only the rows that have any
+    leave a task. Lists of genes, which grow faster than the input where genes lie closer, are made last, where a row meets the regions of its bucket as an array, and are neither shuffled nor written.
+    Buckets are four times as wide as a kind's regions, or the rows, are on average, and `bucket`, or once the regions' width, at most. Rows longer than a bucket lie in several, and only their pairs are shuffled; id_columns tell these rows apart."""
     regions = keep(regions.where(F.col("region").isin(*PRIORITY)).withColumnsRenamed({"start": "_rs", "end": "_re"}), "regions")
-    left = keep(rows, "rows")
-    length = lambda a, b: F.avg(F.col(b) - F.col(a)).alias("n")
-    own = left.where(F.col(start) < F.col(end)).agg(length(start, end)).first().n or 0
-    sizes = {r.region: max(r.n, own) for r in regions.where("_rs < _re").groupBy("region").agg(length("_rs", "_re")).collect()}  # a row a kind
-    found = []
+    left = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    columns = [*rows.columns, "genes", "region"]
+    length = F.col(end) - F.col(start)
+    own = left.where(F.col(start) < F.col(end)).agg(F.avg(length).alias("n"), F.max(length).alias("most")).first()
+    sizes = {r.region: r.n for r in regions.where("_rs < _re").groupBy("region").agg(F.avg(F.col("_re") - F.col("_rs")).alias("n")).collect()}  # a row a kind
+    over = lambda x: (x["_rs"] < F.col(end)) & (x["_re"] > F.col(start))
+    listed = lambda genes: F.array_join(F.array_sort(genes), ",").alias("genes")
+    out = []
     for kind in sorted(sizes, key=PRIORITY.get, reverse=True):
-        places = left.select(*dict.fromkeys([*keys, *id_columns, start, end]))
-        hits = overlap_join(places, regions.where(F.col("region") == kind).drop("region"), keys, start, end, "_rs", "_re", min(bucket, max(int(2 * sizes[kind]), 1)))
-        genes = hits.groupBy(*id_columns).agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"))
-        level = keep(left.join(genes, id_columns, "left"), "level")
-        found.append(level.where("genes is not null").withColumn("region", F.lit(kind)))
-        left = level.where("genes is null").drop("genes")
-    out = left.withColumns({"genes": F.lit(""), "region": F.lit("Desert")})
-    for level in found:
-        out = out.unionByName(level)
-    return out
+        there = regions.where(F.col("region") == kind).drop("region")
+        width = max(int(max(min(bucket, 4 * max(sizes[kind], own.n or 0)), sizes[kind])), 1)
+        reach = min(int(own.most or 0), width)
+        is_long = F.coalesce(length > width, F.lit(False))
+        short, long = left.where(~is_long), left.where(is_long)
+        near = dealt(there, "_rs", "_re", width, reach=reach).groupBy(*keys, "_k").agg(F.collect_list(F.struct("_rs", "_re", "gene")).alias("_near"))
+        found = dealt(short, start, end, width, whole=True).join(near, [*keys, "_k"]).where(F.exists("_near", over))
+        out.append(found.withColumns({"genes": listed(F.array_distinct(F.transform(F.filter("_near", over), lambda x: x["gene"]))), "region": F.lit(kind)}).select(*columns))
+        hit = overlap_join(short.select(*keys, "_row", start, end), there.drop("gene"), keys, start, end, "_rs", "_re", width, reach=reach).select(*keys, "_k", "_row").distinct().select("_row")
+        if (own.most or 0) > width:
+            genes = overlap_join(long.select(*dict.fromkeys([*keys, *id_columns, start, end])), there, keys, start, end, "_rs", "_re", width).groupBy(*id_columns).agg(listed(F.collect_set("gene")))
+            out.append(long.join(genes, id_columns).withColumn("region", F.lit(kind)).select(*columns))
+            hit = hit.unionByName(overlap_exists(long, there, keys, ["_row"], start, end, "_rs", "_re", width).select("_row"))
+        left = keep(left.join(hit, "_row", "left_anti"), "level")
+    none = left.withColumns({"genes": F.lit(""), "region": F.lit("Desert")}).select(*columns)
+    return reduce(DataFrame.unionByName, out, none)
 
 
 def interval_type(left_valley: Column, right_valley: Column, cut: Column, region: Column, length: Column) -> Column:

@@ -38,7 +38,7 @@ def build_bins(nucleosomes: DataFrame, genes: DataFrame, chroms: DataFrame, scor
     gaps = keep(gaps.join(left, ["chrom", "start"], "left").join(right, ["chrom", "end"], "left").fillna(20.0, ["left_valley", "right_valley"]), "gaps")
     cut, mad = gap_measures(gaps)
     near = keep(interval_filter(gaps.withColumn("cut", F.lit(cut).cast("double")), "cut", mad=mad), "near")
-    known = intervals.annotate(near, intervals.gene_regions(genes), ["chrom"], ["chrom", "start", "end"], "start", "end", 50_000)
+    known = keep(intervals.annotate(near, intervals.gene_regions(genes), ["chrom"], ["chrom", "start", "end"], "start", "end", 50_000).drop("genes"), "known")
     known = genebody_filter(known, mad)
     typed = known.withColumn("kind", intervals.interval_type(F.col("left_valley"), F.col("right_valley"), F.col("cut"), F.col("region"), F.col("end") - F.col("start")))
     pieces = intervals.subdivide(typed, "start", "end").select("chrom", F.col("piece_start").alias("start"), F.col("piece_end").alias("end"), "kind", F.lit(0.0).alias("spacing"), F.lit(0.0).alias("positioning"), F.lit(0).alias("nuc"))
@@ -162,7 +162,7 @@ def transfer_loops(found: DataFrame, genes: DataFrame, bucket: int = 50_000) ->
     """Loops (chrom1, start1, end1, chrom2, start2, end2) with what lies at both ends, the class and its genes; those at promoters only."""
     ends = found.select(F.explode(F.array(*[F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")) for i in (1, 2)])).alias("e"))
     places = ends.select("e.*").distinct()  # each place is annotated once
-    annotated = intervals.annotate(places, intervals.gene_regions(genes, intervals.LOOP_REGIONS), ["chrom"], ["chrom", "start", "end"], "start", "end", bucket)
+    annotated = keep(intervals.annotate(places, intervals.gene_regions(genes, intervals.LOOP_REGIONS), ["chrom"], ["chrom", "start", "end"], "start", "end", bucket), "annotated")
     out = found
     for i in (1, 2):
         own = annotated.select(*[F.col(c).alias(f"{c}{i}") for c in ("chrom", "start", "end")], F.col("region").alias(f"annot{i}"), F.col("genes").alias(f"detail{i}"))

@@ -53,6 +53,35 @@ def test_annotation_meets_what_it_reports(spark, monkeypatch):
     assert made == sum(len(r.genes.split(",")) for r in got if r.genes)
 
 
+def test_annotation_neither_shuffles_nor_writes_lists(spark, monkeypatch):
+    """Genes that lie on each other: each place lists them all, so the lists grow with the square of the input, and nothing else may."""
+    kept, keep = [], intervals.keep
+    monkeypatch.setattr(intervals, "keep", lambda df, name: kept.append(df.columns) or keep(df, name))
+    rows = spark.range(100).select("id", F.lit("c").alias("chrom"), (300_000 + F.col("id")).alias("s"), (300_300 + F.col("id")).alias("e"))
+    genes = spark.range(100).select(F.lit("c").alias("chrom"), F.lit(300_000).alias("start"), F.lit(300_500).alias("end"), F.lit("+").alias("strand"), F.concat(F.lit("g"), F.col("id")).alias("gene"))
+    out = intervals.annotate(rows, intervals.gene_regions(genes), ["chrom"], ["id"], "s", "e", 50_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.region, r.genes) for r in out.collect()} == {("Promoter", ",".join(sorted(f"g{i}" for i in range(100))))}
+    assert kept and not any("genes" in columns for columns in kept)
+    assert plan.index("array_join") < plan.index("Exchange")  # nothing is moved behind it
+
+
+def test_annotation_by_brute_force(spark):
+    """Rows of all lengths, also far longer than a bucket, empty ones, nulls, and genes without a name."""
+    r = np.random.default_rng(3)
+    places = [("c" if i % 3 else "d", int(s), int(s + w), i) for i, (s, w) in enumerate(zip(r.integers(-2000, 60_000, 150), r.choice([0, 1, 30, 300, 5000, 40_000], 150), strict=True))]
+    places += [(None, 0, 9000, 150), ("c", None, 9000, 151), ("c", 0, None, 152), ("c", 900, 100, 153)]
+    known = [("c" if i % 2 else "d", kind, None if i % 17 == 0 else f"g{i % 40}", int(s), int(s + w)) for i, (kind, s, w) in enumerate(zip(r.choice([*intervals.PRIORITY, "other"], 60), r.integers(0, 60_000, 60), r.choice([50, 700, 4000], 60), strict=True))]
+    rows = spark.createDataFrame(places, "chrom string, s long, e long, id long")
+    got = intervals.annotate(rows, spark.createDataFrame(known, "chrom string, region string, gene string, start long, end long"), ["chrom"], ["id"], "s", "e", 1000).collect()
+    want = set()
+    for chrom, s, e, k in places:
+        met = [x for x in known if chrom == x[0] and None not in (s, e) and s < e and s < x[4] and e > x[3] and x[1] in intervals.PRIORITY]
+        best = max((x[1] for x in met), key=intervals.PRIORITY.get, default="Desert")
+        want.add((k, best, ",".join(sorted({x[2] for x in met if x[1] == best and x[2]}))))
+    assert len(got) == len(places) and {(x.id, x.region, x.genes) for x in got} == want
+
+
 def test_signals_of_boundaries_make_no_pairs(spark, monkeypatch):
     sites = spark.range(400).select("id", F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 500).alias("end"))
     track = spark.range(400).select(F.lit("c").alias("chrom"), (F.col("id") + 200).alias("t_start"), (F.col("id") + 600).alias("t_end"), (F.col("id") * 7 % 400).cast("double").alias("value"))
