@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +58,14 @@ BLOCK = 1024  # rows of parameters that are averaged together
 TOGETHER = 64  # tasks whose changes to a block are averaged at once
 
 
-def buckets_of(words: list[bytes]) -> np.ndarray:
+def buckets_of(words: list[bytes] | pa.Array) -> np.ndarray:
     """Each word's bucket: by 31 and 7 times its last two bytes plus 2, or 31 times its only byte plus 1."""
-    ends = np.frombuffer(b"".join([w[-2:] if len(w) > 1 else w + b"\0" for w in words]), np.uint8).reshape(-1, 2).astype(np.int64)
-    long = np.fromiter(map(len, words), np.int64, len(words)) > 1
-    return (ends[:, 0] * 31 + np.where(long, ends[:, 1] * 7 + 2, 1)) % BUCKETS
+    _, offsets, data = pa.array(words, pa.large_binary()).buffers() if isinstance(words, list) else pc.take(words, pa.array(np.arange(len(words)))).cast(pa.large_binary()).buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(words) + 1]
+    data = np.frombuffer(data if data is not None and len(data) else b"\0", np.uint8).astype(np.int64)
+    long = np.diff(ends) > 1
+    last = ends[1:] - 1
+    return (np.where(long, data[np.maximum(last - 1, 0)], data[last]) * 31 + np.where(long, data[last] * 7 + 2, 1)) % BUCKETS
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -100,6 +102,7 @@ class Vocabulary:
         self.tokens, self.words = tokens, words
         self.count = np.array([c for _, c in head], np.int64)
         self.at = {w: i for i, (w, _) in enumerate(head)}
+        self.head = pa.array([w for w, _ in head], pa.binary())
         most = min(HEAD, max(LEAST_WORDS, tokens // TOKENS_A_WORD))
         own = [(w, c) for w, c in head if w != END][:most]
         grouped = sorted(own[SINGLES:], key=lambda x: x[0][::-1])
@@ -138,12 +141,13 @@ class Vocabulary:
             self.mass[self.first_bucket + b] = t
             self.inner[self.first_bucket + b] = t + SMOOTH * (v + 1)
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the head (-1: not there), class and context row of each word."""
-        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+        at = pc.fill_null(pc.index_in(words, self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         classes, rows = self.class_of[at], self.row_of[at]
         tail = np.flatnonzero(at < 0)
-        b = buckets_of([words[i] for i in tail.tolist()])
+        b = buckets_of(words.take(pa.array(tail)))
         classes[tail], rows[tail] = self.first_bucket + b, self.end_row + 1 + b
         return at, classes, rows
 
@@ -180,7 +184,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows that occur, the sum of the gradients of each, and how often it occurs."""
-    order = np.argsort(rows)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+    if len(rows) and int(rows.max()) >> 16:
+        order = order.take(np.argsort((rows.take(order) >> 16).astype(np.uint16), kind="stable"))
     ordered = rows.take(order)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[starts], np.add.reduceat(gradient.take(order, axis=0), starts, axis=0), np.diff(np.append(starts, len(rows)))
@@ -388,18 +394,19 @@ def contexts(rows: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndar
     return one, two
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct tokens of some texts, which of them stands at each place of all texts, one after the other, and each text's number of tokens, its end counted."""
+def _tokens(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts (binary, the end last), which of them stands at each place of all texts, one after the other, and each text's number of tokens, its end counted."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "")))  # both work on bytes, as words do
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     coded = lists.flatten().dictionary_encode()
-    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    words = coded.dictionary.cast(pa.binary())
     own = coded.indices.to_numpy(zero_copy_only=False)
     held = np.ones(len(own), bool)
-    if b"" in words:  # beside leading and trailing separators stands an empty string
-        empty = words.index(b"")
-        del words[empty]
+    empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:  # beside leading and trailing separators stands an empty string
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
         held, own = own != empty, own - (own > empty)
+    words = pa.concat_arrays([words, pa.array([END], pa.binary())])
     upto = np.concatenate([[0], np.cumsum(held)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     lengths = np.diff(upto) + 1
     codes = np.full(int(lengths.sum()), len(words) - 1, np.int64)
@@ -504,7 +511,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10
                 text_of = np.repeat(np.arange(len(lengths)), lengths)[tail]
                 each, times = np.unique(text_of * len(words) + codes[tail], return_counts=True)  # each text's words that aren't in the head
                 many = pa.array(np.searchsorted(each, np.arange(len(lengths) + 1) * len(words)), pa.int32())
-                own = [pa.ListArray.from_arrays(many, x) for x in (pa.array(words, pa.binary()).take(pa.array(each % len(words))), pa.array(times, pa.int64()))]
+                own = [pa.ListArray.from_arrays(many, x) for x in (words.take(pa.array(each % len(words))), pa.array(times, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(c, starts)), pa.array(np.add.reduceat(p, starts)), *own],
                     ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "word", "k"],

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -323,6 +324,24 @@ def test_lm_moves_further_where_more_tasks_agree():
     assert np.allclose(step.tasks, [2, 1, 1]) and np.allclose(step.gain, 1) and np.allclose(step.change, [[0.6], [0.5], [0.7]], atol=0.01)
 
 
+def test_lm_looks_words_up_without_making_python_objects_of_them():
+    """Words as an Arrow array, as the tasks have them: places, classes and rows as by a dict and byte by byte; a slice of the array too."""
+    words = [b"a", b"bc", "é".encode(), b"\x00", b"xyz", b"never", b"q", "日本".encode(), b" "]
+    v = log_bilinear.Vocabulary([(b"bc", 9), (b"xyz", 5), (b" ", 4), (b"a", 1)], {}, 19, 3)
+    bucket = [(w[-2] * 31 + w[-1] * 7 + 2 if len(w) > 1 else w[0] * 31 + 1) % log_bilinear.BUCKETS for w in words]
+    for own, low in ((words, 0), (pa.array(words, pa.binary()), 0), (pa.array(words, pa.binary())[3:], 3)):
+        at, classes, rows = v.look_up(own)
+        assert at.tolist() == [v.at.get(w, -1) for w in words[low:]]
+        assert log_bilinear.buckets_of(own).tolist() == bucket[low:]
+        assert all((c, r) == (v.first_bucket + b, v.end_row + 1 + b) for p, c, r, b in zip(at, classes, rows, bucket[low:], strict=True) if p < 0)
+    assert [len(x) for x in v.look_up(pa.array([], pa.binary()))] == [0, 0, 0] and len(log_bilinear.buckets_of([])) == 0
+    tokens, codes, lengths = log_bilinear._tokens(pa.RecordBatch.from_arrays([pa.array([" A b  a", None, ""])], ["text"]))
+    assert isinstance(tokens, pa.Array) and [tokens[int(c)].as_py() for c in codes] == [b"a", b"b", b"a", b" ", b" ", b" "] and lengths.tolist() == [4, 1, 1]
+    rows = np.array([70_000, 3, 70_000, 65_539, 3, 4_464])
+    at, total, often = log_bilinear._sums(rows, np.arange(12.0).reshape(6, 2))
+    assert at.tolist() == [3, 4464, 65_539, 70_000] and total.tolist() == [[10, 12], [10, 11], [6, 7], [4, 6]] and often.tolist() == [2, 1, 1, 2]
+
+
 def test_lm_vocabulary_grows_with_the_tokens():
     own = [log_bilinear.Vocabulary([(f"w{k}".encode(), 10**9 // (k + 1)) for k in range(30_000)] + [(log_bilinear.END, 1)], {}, n, 10**6) for n in (10**6, 10**7, 4 * 10**7)]
     assert [v.end_row for v in own] == [log_bilinear.LEAST_WORDS, 10**7 // log_bilinear.TOKENS_A_WORD, 4 * 10**7 // log_bilinear.TOKENS_A_WORD]
